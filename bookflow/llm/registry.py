@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bookflow.llm import mixing
+from bookflow.llm import media, mixing, token_counts
 
-_QUERIES = {"op5_mixing": mixing.op5_mixing}
+_QUERIES = {"op5_mixing": mixing.op5_mixing, "op7_media": media.op7_media, "op10_token_counts": token_counts.op10_token_counts}
 _ORACLES = {"op5_mixing": mixing.ORACLE}
 
 
