@@ -1,0 +1,68 @@
+"""64-bit hashes of words and of runs of words, as numpy arrays."""
+
+from __future__ import annotations
+
+import numpy as np
+import xxhash
+
+#: Odd multipliers of two independent families of run hashes.
+FAMILIES = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+
+
+class WordHashes(dict):
+    """Hash of each word, kept between texts up to a bound."""
+
+    def __init__(self, limit: int = 300_000):
+        self.limit = limit
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > self.limit:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def _pair(x: np.ndarray, y: np.ndarray, family: int) -> np.ndarray:
+    a, b, c = (np.uint64(k) for k in FAMILIES[family])
+    z = x * a + ((y >> np.uint64(31)) | (y << np.uint64(33))) * b
+    z = (z ^ (z >> np.uint64(29))) * c
+    return z ^ (z >> np.uint64(32))
+
+
+def runs(one: np.ndarray, length: int, family: int = 0) -> np.ndarray:
+    """Hash of each run of `length` items, from runs of half that, and half of those: a run twice as long is the pair of its halves."""
+    if length == 1 or len(one) < length:
+        return one[: max(0, len(one) - length + 1)]
+    half = length // 2
+    left = runs(one, half, family)
+    n = len(one) - length + 1
+    if length % 2 == 0:
+        return _pair(left[:n], left[half : half + n], family)
+    right = runs(one, length - half, family)
+    return _pair(left[:n], right[half : half + n], family)
+
+
+def sliding(values: np.ndarray, width: int, take) -> np.ndarray:
+    """`take` (np.minimum or np.maximum) over each `width` values in a row."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return values[:0]
+    have, out = 1, values
+    while 2 * have <= width:
+        out = take(out[:-have], out[have:])
+        have *= 2
+    return take(out[:n], out[width - have : width - have + n])
+
+
+def anchors(base: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each `width` neighbouring hashes the least one, and a mask of the hashes that are the least of some such window.
+
+    It depends on the window's own content alone, so equal windows have equal anchors wherever they are.
+    """
+    least = sliding(base, width, np.minimum)
+    padded = np.zeros(len(least) + 2 * (width - 1), np.uint64)
+    padded[width - 1 : width - 1 + len(least)] = least
+    return least, (sliding(padded, width, np.maximum) == base if len(least) else np.zeros(len(base), bool))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from bookflow.llm import media, mixing, token_counts
+from bookflow.llm import media, mixing, substring_dedup, token_counts
 
-_QUERIES = {"op5_mixing": mixing.op5_mixing, "op7_media": media.op7_media, "op10_token_counts": token_counts.op10_token_counts}
+_QUERIES = {
+    "op5_mixing": mixing.op5_mixing,
+    "op7_media": media.op7_media,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+    "op10_token_counts": token_counts.op10_token_counts,
+}
 _ORACLES = {"op5_mixing": mixing.ORACLE}
 
 
