@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from bookflow.llm import media, mixing, substring_dedup, token_counts
+from bookflow.llm import media, mixing, ngram_join, pivot_search, substring_dedup, token_counts
 
 _QUERIES = {
+    "op2_ngram_join": ngram_join.op2_ngram_join,
+    "op3_pivot_search": pivot_search.op3_pivot_search,
     "op5_mixing": mixing.op5_mixing,
     "op7_media": media.op7_media,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-_ORACLES = {"op5_mixing": mixing.ORACLE}
+_ORACLES = {"op3_pivot_search": pivot_search.ORACLE, "op5_mixing": mixing.ORACLE}
 
 
 def queries():
