@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from bookflow.llm import media, mixing, ngram_join, pivot_search, substring_dedup, token_counts
+from bookflow.llm import language_id, media, mixing, ngram_join, pii, pivot_search, substring_dedup, token_counts
 
 _QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_pivot_search": pivot_search.op3_pivot_search,
+    "op4_language_id": language_id.op4_language_id,
     "op5_mixing": mixing.op5_mixing,
     "op7_media": media.op7_media,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
