@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookflow.llm import language_id, media, mixing, ngram_join, pii, pivot_search, substring_dedup, token_counts
+from bookflow.llm import html_text, language_id, media, mixing, ngram_join, pii, pivot_search, sentencepiece_lattice, substring_dedup, token_counts
 
 _QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,7 +10,9 @@ _QUERIES = {
     "op3_pivot_search": pivot_search.op3_pivot_search,
     "op4_language_id": language_id.op4_language_id,
     "op5_mixing": mixing.op5_mixing,
+    "op6_html_text": html_text.op6_html_text,
     "op7_media": media.op7_media,
+    "op8_sentencepiece": sentencepiece_lattice.op8_sentencepiece,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
