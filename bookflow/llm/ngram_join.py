@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookflow.llm.common import SPACES, written
@@ -206,5 +207,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """`docs` with one row left of each component: its first, of the least doc_id. Rows without words all stay."""
+    found = jaccard_components(docs, doc_id, text, n, percent)
+    found = found.withColumn("id", F.coalesce("doc_id", F.lit(_LAST))).groupBy("id", "content").agg(F.sum(F.col("is_first").cast("int")).alias("stay"))
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col(text)).alias("content"), F.struct("*").alias("doc"))
+    equal = W.partitionBy("id", "content").orderBy(F.monotonically_increasing_id())
+    kept = rows.join(written(found.filter("stay > 0"), "join-stay"), ["id", "content"])
+    return kept.withColumn("place", F.row_number().over(equal)).filter("place <= stay").select("doc.*")
+
+
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
