@@ -24,41 +24,43 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import words, written
-from bookflow.llm.hashing import WordHashes, anchors, runs
+from bookflow.llm.common import written
+from bookflow.llm.wordhash import anchors, runs, sliding, word_hashes
 
 WINDOW = 20
 _LAST = (1 << 63) - 1
+_ROWS = 100_000
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-def _digest(kept: list[str]) -> str:
-    return hashlib.sha256(" ".join(kept).encode("utf-8", "surrogatepass")).hexdigest()
+def _digest(kept: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col(text)).alias("content"), F.col(text).alias("text"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col(text)).alias("content"), F.col(text).cast("binary").alias("text"))
 
 
 def listed_runs(docs: DataFrame, window: int) -> DataFrame:
     """Level 1: `row, doc_id, id, content, n_words, sha, listed` for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             counts, shas, found, ends = [], [], [], [0]
             for cell in batch.column(4):
-                ws = words(cell.as_py())
+                raw = cell.as_py() or b""
+                ws = raw.split()
                 counts.append(len(ws))
                 shas.append(_digest(ws))
                 if len(ws) >= window:
-                    base = runs(hashes.of(ws), window // 2)
+                    base = runs(word_hashes(raw), window // 2)
                     found.append(base[anchors(base, window - window // 2 + 1)[1]])
                     ends.append(ends[-1] + len(found[-1]))
                 else:
@@ -70,13 +72,11 @@ def listed_runs(docs: DataFrame, window: int) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "id", "content", "text").mapInArrow(run, "row long, doc_id long, id long, content long, n_words long, sha string, listed array<long>")
 
 
-def _candidates(text: str, repeated: list[int], window: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Words, and the starts and hash (two parts) of windows whose listed run is repeated."""
-    ws = words(text)
-    one = WordHashes().of(ws)
-    least, _ = anchors(runs(one, window // 2), window - window // 2 + 1)
-    starts = np.flatnonzero(np.isin(least, np.array(repeated, np.int64).view(np.uint64)))
-    return ws, starts, runs(one, window)[starts], runs(one, window, 1)[starts]
+def _candidates(raw: bytes, repeated: pa.ListScalar, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and the starts of windows whose listed run is repeated."""
+    one = word_hashes(raw)
+    least = sliding(runs(one, window // 2), window - window // 2 + 1, np.minimum)
+    return one, np.flatnonzero(np.isin(least, repeated.values.to_numpy().view(np.uint64)))
 
 
 def windows(candidates: DataFrame, window: int) -> DataFrame:
@@ -84,30 +84,24 @@ def windows(candidates: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, key, text, repeated in zip(*(c for c in batch.columns), strict=True):
-                _, starts, a, b = _candidates(text.as_py(), repeated.as_py(), window)
-                _, first = np.unique(a, return_index=True)
-                n = len(first)
-                yield pa.RecordBatch.from_arrays([pa.array(a[first].view(np.int64)), pa.array(b[first].view(np.int64)), pa.array(np.full(n, key.as_py())), pa.array(np.full(n, row.as_py())), pa.array(starts[first].astype(np.int64))], names=["a", "b", "id", "row", "start"])
+            held, n = [], 0
+            for row, key, text, repeated in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:], strict=True):
+                one, starts = _candidates(text.as_py(), repeated, window)
+                a, first = np.unique(runs(one, window)[starts], return_index=True)
+                b = runs(one, window, 1)[starts[first]]
+                held.append((a.view(np.int64), b.view(np.int64), np.full(len(a), key), np.full(len(a), row), starts[first]))
+                n += len(a)
+                if n > _ROWS:
+                    yield _flat(held)
+                    held, n = [], 0
+            if held:
+                yield _flat(held)
 
-    return candidates.select("row", "id", "text", "repeated").mapInArrow(_joined(run), "a long, b long, id long, row long, start long")
+    return candidates.select("row", "id", "text", "repeated").mapInArrow(run, "a long, b long, id long, row long, start long")
 
 
-def _joined(run):
-    """Small Arrow batches put together, to some 100 000 rows each."""
-
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in run(batches):
-            held.append(batch)
-            n += batch.num_rows
-            if n > 100_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if n:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return wrapped
+def _flat(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["a", "b", "id", "row", "start"])
 
 
 def kept(candidates: DataFrame, later: DataFrame, window: int) -> DataFrame:
@@ -117,17 +111,18 @@ def kept(candidates: DataFrame, later: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             rows, removed, shas = batch.column(0), [], []
             for text, repeated, elsewhere in zip(*batch.columns[1:], strict=True):
-                ws, starts, a, _ = _candidates(text.as_py(), repeated.as_py(), window)
-                _, first = np.unique(a, return_index=True)
+                raw = text.as_py()
+                one, starts = _candidates(raw, repeated, window)
+                _, first = np.unique(runs(one, window)[starts], return_index=True)
                 out = np.ones(len(starts), bool)
                 out[first] = False
-                covered = np.zeros(len(ws) + 1, np.int64)
-                gone = np.concatenate([starts[out], np.array(elsewhere.as_py() or [], np.int64)])
+                gone = np.concatenate([starts[out], elsewhere.values.to_numpy() if elsewhere.is_valid else starts[:0]])
+                covered = np.zeros(len(one) + 1, np.int64)
                 np.add.at(covered, gone, 1)
                 np.add.at(covered, gone + window, -1)
-                mask = covered.cumsum()[:-1] > 0
-                removed.append(int(mask.sum()))
-                shas.append(_digest([w for w, m in zip(ws, mask.tolist(), strict=True) if not m]))
+                left = covered.cumsum()[:-1] == 0
+                removed.append(int(len(left) - left.sum()))
+                shas.append(_digest(list(compress(raw.split(), left.tolist()))))
             yield pa.RecordBatch.from_arrays([rows, pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names=["row", "n_removed", "kept_sha"])
 
     both = candidates.select("row", "text", "repeated").join(later, "row", "left")
