@@ -205,7 +205,7 @@ def _met(sent: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
                 i, j = np.nonzero(value > -np.inf)
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(rows, np.int64)[i]), pa.array(own[i]), pa.array(known[order][best[i, j]]), pa.array(value[i, j].astype(np.int64))], names=["row", "query_id", "vec_id", "score"])
 
-    both = sent.join(blocks, ["dim", "pivot", "ring"]).select("dim", "queries", "ids", "rows", "least", "block_ids", "block")
+    both = sent.hint("merge").join(blocks, ["dim", "pivot", "ring"]).select("dim", "queries", "ids", "rows", "least", "block_ids", "block")
     return both.mapInArrow(run, "row long, query_id long, vec_id long, score long")
 
 
