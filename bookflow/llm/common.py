@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-#: The separators of words beside the space, for str.translate.
-SPACES = {i: " " for i in range(9, 14)}
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: shuffle files go with the write, and Arrow batches of whole texts stay small.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -33,18 +35,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {key: spark.conf.get(key) for key in WRITING}
+    for key, value in WRITING.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def words(text: str | None) -> list[str]:
-    """The words of `text`; none of a null."""
-    return [w for w in text.translate(SPACES).split(" ") if w] if text else []
+def often_seen(batches: Iterator[pa.RecordBatch], items_of: Callable[[str], Iterable[str]], least: int, group: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """`item, n` of the items that at least `least` of some `group` documents in a row hold; the batches' first column has the texts."""
+    seen: Counter = Counter()
+    docs = 0
+
+    def out() -> pa.RecordBatch:
+        many = {k: n for k, n in seen.items() if n >= least}
+        return pa.RecordBatch.from_arrays([pa.array(list(many), pa.string()), pa.array(list(many.values()), pa.int64())], names=["item", "n"])
+
+    for batch in batches:
+        for cell in batch.column(0):
+            seen.update(items_of(cell.as_py() or ""))
+        docs += batch.num_rows
+        if docs >= group:
+            yield out()
+            seen, docs = Counter(), 0
+    yield out()
 
 
 def word_count(text: Column) -> Column:

@@ -38,21 +38,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import SPACES, written
+from bookflow.llm.common import written
 from bookflow.llm.components import components
-from bookflow.llm.hashing import WordHashes, runs
+from bookflow.llm.wordhash import runs, word_hashes
 
 WORDS, PERCENT = 3, 90
-#: Most n-grams that stand last in the order, and in how many documents of a batch one must be to be proposed.
-LAST_LIMIT, LAST_DOCS = 100_000, 3
+#: Most n-grams that stand last in the order, and in how many of a group of documents one must be to be proposed.
+LAST_LIMIT, LAST_DOCS, GROUP_DOCS = 100_000, 2, 6000
 BLOCKS = 128
 _LAST = (1 << 63) - 1
 
 
-def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted hashes of the distinct n-grams of a text, A-Z lower-cased."""
-    ws = (text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass").translate(SPACES).split(" ")
-    one = hashes.of([w for w in ws if w])
+def shingles(raw: bytes | None, n: int) -> np.ndarray:
+    """Sorted hashes of the distinct n-grams of a text's UTF-8 bytes, A-Z lower-cased."""
+    one = word_hashes((raw or b"").lower())
     return np.unique(runs(one, n) if len(one) >= n else runs(one, len(one), 1) if len(one) else one)
 
 
@@ -63,24 +62,34 @@ def _ragged(parts: list[np.ndarray]) -> pa.ListArray:
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     key = F.col(doc_id).cast("long")
-    return docs.select(key.alias("doc_id"), F.coalesce(key, F.lit(_LAST)).alias("id"), F.xxhash64(F.col(text)).alias("content"), F.col(text).alias("text"))
+    return docs.select(key.alias("doc_id"), F.coalesce(key, F.lit(_LAST)).alias("id"), F.xxhash64(F.col(text)).alias("content"), F.col(text).cast("binary").alias("text"))
 
 
 def _matrix(keyed: DataFrame, n: int, least: int) -> DataFrame:
-    """`row, doc_id, id, content, n_shingles, key` of each document, and a row of `often` (n-gram, documents) for each batch, with null `row`."""
+    """`row, doc_id, id, content, n_shingles, key` of each document, and a row of `often` (n-gram, documents) for each group of documents, with null `row`."""
     often = pa.list_(pa.struct([("gram", pa.int64()), ("docs", pa.int64())]))
 
+    names = ["row", "doc_id", "id", "content", "n_shingles", "key", "often"]
+
+    def proposed(sets: list[np.ndarray]) -> pa.RecordBatch:
+        grams, count = np.unique(np.concatenate(sets), return_counts=True)
+        many = count >= least
+        items = pa.StructArray.from_arrays([pa.array(grams[many].view(np.int64)), pa.array(count[many])], fields=list(often.value_type))
+        nothing = [pa.nulls(1, pa.int64())] * 5
+        return pa.RecordBatch.from_arrays([*nothing, pa.nulls(1, pa.string()), pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        group: list[np.ndarray] = []
         for batch in batches:
-            sets = [shingles(cell.as_py(), n, hashes) for cell in batch.column(4)]
+            sets = [shingles(cell.as_py(), n) for cell in batch.column(4)]
             keys = [hashlib.md5(s.tobytes()).hexdigest() for s in sets]
-            grams, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            many = count >= least
-            listed = [{"gram": int(g), "docs": int(c)} for g, c in zip(grams[many].view(np.int64).tolist(), count[many].tolist(), strict=True)]
-            rows = batch.num_rows
-            columns = [pa.concat_arrays([pa.array(c.to_pylist(), pa.int64()), pa.nulls(1, pa.int64())]) for c in batch.columns[:4]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([*map(len, sets), None], pa.int64()), pa.array([*keys, None], pa.string()), pa.array([*[None] * rows, listed], often)], names=["row", "doc_id", "id", "content", "n_shingles", "key", "often"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([*map(len, sets)], pa.int64()), pa.array(keys, pa.string()), pa.nulls(len(sets), often)], names=names)
+            group += sets
+            if len(group) >= GROUP_DOCS:
+                yield proposed(group)
+                group = []
+        if group:
+            yield proposed(group)
 
     return keyed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "id", "content", "text").mapInArrow(run, "row long, doc_id long, id long, content long, n_shingles long, key string, often array<struct<gram:long,docs:long>>")
 
@@ -92,11 +101,10 @@ def _leading(keyed: DataFrame, n: int, percent: int, last: np.ndarray) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = shared.value
-        hashes = WordHashes()
         for batch in batches:
             keys, sizes, lead, blocks = [], [], [], []
             for cell in batch.column(2):
-                s = shingles(cell.as_py(), n, hashes)
+                s = shingles(cell.as_py(), n)
                 size = len(s)
                 p = size - -(-percent * size // 100) + 1 if size else 0
                 at = np.searchsorted(known, s)
@@ -136,9 +144,8 @@ def _linked(pairs: DataFrame, rows: DataFrame, keyed: DataFrame, n: int, percent
     """Those pairs whose counted overlap reaches the bound; whole sets are read for the rows of these pairs alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _ragged([shingles(t.as_py(), n, hashes) for t in batch.column(1)])], names=["node", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _ragged([shingles(t.as_py(), n) for t in batch.column(1)])], names=["node", "grams"])
 
     named = written(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct().join(rows.select("node", "id", "content"), "node"), "join-named")
     texts = keyed.select("id", "content", "text").join(named, ["id", "content"]).select("node", "text")

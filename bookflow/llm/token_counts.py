@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import written
+from bookflow.llm.common import often_seen, written
 
-#: Most pre-tokens that are broadcast, their longest length, and in how many documents of one batch one must be to be proposed.
+#: Most pre-tokens that are broadcast, their longest length, and in how many documents of a group one must be to be proposed.
 HOT_LIMIT, HOT_CHARS, HOT_DOCS = 200_000, 32, 3
 TOKEN_LIMIT = 1024
 #: A space beside another white-space character: there the cheap cut isn't safe.
@@ -70,18 +70,13 @@ def pre_tokens(text: str) -> Counter:
 
 
 def frequent(docs: DataFrame, text: str, limit: int, chars: int, least: int) -> DataFrame:
-    """`piece`: at most `limit` pre-tokens of the most documents, proposed by batches in which `least` documents hold them."""
+    """`piece`: at most `limit` pre-tokens of the most documents, proposed by groups in which `least` documents hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: Counter = Counter()
-            for cell in batch.column(0):
-                seen.update(pre_tokens(cell.as_py() or "").keys())
-            many = {k: n for k, n in seen.items() if n >= least and len(k) <= chars}
-            yield pa.RecordBatch.from_arrays([pa.array(list(many), pa.string()), pa.array(list(many.values()), pa.int64())], names=["piece", "n"])
+        return often_seen(batches, lambda value: [k for k in pre_tokens(value) if len(k) <= chars], least)
 
-    counted = docs.select(text).mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.col("n").desc(), "piece").limit(limit).select("piece")
+    counted = docs.select(text).mapInArrow(run, "item string, n long").groupBy("item").agg(F.sum("n").alias("n"))
+    return counted.orderBy(F.col("n").desc(), "item").limit(limit).select(F.col("item").alias("piece"))
 
 
 def counted(pieces: DataFrame, path: str) -> DataFrame:
@@ -127,8 +122,8 @@ def frequencies(docs: DataFrame, doc_id: str, text: str, hot: dict[str, int]) ->
 def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, token_limit: int = TOKEN_LIMIT, hot_limit: int = HOT_LIMIT, hot_chars: int = HOT_CHARS, hot_docs: int = HOT_DOCS) -> DataFrame:
     """`doc_id, n_bytes, n_tokens, over_limit` for each row of `docs`."""
     path = path or default_tokenizer()
-    hot_rows = counted(frequent(docs, text, hot_limit, hot_chars, hot_docs), path).toPandas()  # at most hot_limit short rows
-    per_doc = written(frequencies(docs, doc_id, text, dict(zip(hot_rows.piece, hot_rows.tokens, strict=True))), "tokens-by-doc")
+    hot = counted(frequent(docs, text, hot_limit, hot_chars, hot_docs), path).toArrow()  # at most hot_limit short rows
+    per_doc = written(frequencies(docs, doc_id, text, dict(zip(hot["piece"].to_pylist(), hot["tokens"].to_pylist(), strict=True))), "tokens-by-doc")
     pairs = per_doc.select("row", F.explode("rest").alias("item")).select("row", "item.piece", "item.times")
     vocabulary = written(counted(pairs.select("piece").distinct(), path), "tokens-vocabulary")
     rest = pairs.join(vocabulary, "piece").groupBy("row").agg(F.sum(F.col("times") * F.col("tokens")).alias("rest_tokens"))
