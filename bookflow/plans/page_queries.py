@@ -154,9 +154,9 @@ def _notes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     rows = items(spark, sf_dir).withColumn("tag", F.col("part") % 97).withColumn("pos", F.struct("page", "item", "part", "width"))
     references = rows.filter("flag = 'R' AND tag < 60").select("book", "tag", "pos")
     definitions = rows.filter("flag = 'A'").select("book", "tag", "pos", "page", F.concat("status", F.col("item").cast("string")).alias("note"))
-    chapters = spark.createDataFrame([(1, 1, 3), (2, 3, 5), (3, 5, 7)], "chapter int, start_page int, end_page int")
-    books = rows.select("book").distinct()
-    return references, definitions, books.join(F.broadcast(chapters), F.lit(True))
+    ranges = [F.struct(F.lit(k).alias("chapter"), F.lit(a).alias("start_page"), F.lit(b).alias("end_page")) for k, a, b in ((1, 1, 3), (2, 3, 5), (3, 5, 7))]
+    chapters = rows.select("book").distinct().select("book", F.inline(F.array(*ranges)))
+    return references, definitions, chapters
 
 
 _NOTES = f"""{_ITEMS}, notes AS (SELECT *, part % 97 AS tag FROM items), refs AS (SELECT * FROM notes WHERE flag = 'R' AND tag < 60),

@@ -102,7 +102,7 @@ def test_language_id_on_held_out_rows(docs):
 
 def test_language_id_odd_rows(spark, docs):
     model = language_id.train(docs)
-    rows = spark.createDataFrame([(1, None), (2, ""), (3, "123 !? 😀"), (None, "the and of the is"), (4, "la de le une et les " * 40_000)], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "123 !? 😀", 1), (None, "the and of the is", 1), (4, "la de le une et les " * 40_000, 1)], "doc_id long, text string, guess int")
     got = {r.doc_id: (r.lang_pred, r.held_out) for r in language_id.predict(rows, model).collect()}
     assert got[1] == ("und", zlib.crc32(b"1") % 5 == 0) and got[2][0] == got[3][0] == "und" and got[None] == ("en", False) and got[4][0] == "fr"
     assert sorted(r.doc_id or 0 for r in language_id.accepted(rows, model).collect()) == [0, 4]

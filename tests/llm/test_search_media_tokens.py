@@ -103,13 +103,13 @@ def test_encoding_is_the_library_s(spark):
     from sentencepiece import SentencePieceProcessor
 
     texts, model = odd_texts(), SentencePieceProcessor(model_file=sentencepiece_lattice.default_model())
-    frame = spark.createDataFrame(list(enumerate(texts)), "ids_of long, text string").repartition(3)
+    frame = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "ids_of long, text string, ids string").repartition(3)
     back = sentencepiece_lattice.decode(sentencepiece_lattice.encode(frame))
     for r in back.collect():
         want = None if r.text is None else model.encode(r.text)
         assert r.ids == want
         assert r.decoded == (None if r.text is None else r.text.replace("▁", " "))
-    docs = frame.withColumnRenamed("ids_of", "doc_id")
+    docs = frame.withColumnRenamed("ids_of", "doc_id").drop("ids")
     for limit in (3, 200_000):
         counted = {r.doc_id: r for r in sentencepiece_lattice.count_encoded(docs, hot_limit=limit, hot_docs=1).collect()}
         assert len(counted) == len(texts)
