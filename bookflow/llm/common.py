@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-#: While a table is written: shuffle files go with the write, and Arrow batches of whole texts stay small.
-WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of 1000 whole texts, unless it sets another number itself: workers hold a few MB of text at a time."""
+    if spark.conf.get(BATCH) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, BATCH_ROWS)
+    return spark
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -35,18 +42,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = {key: spark.conf.get(key) for key in WRITING}
-    for key, value in WRITING.items():
-        spark.conf.set(key, value)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def often_seen(batches: Iterator[pa.RecordBatch], items_of: Callable[[str], Iterable[str]], least: int, group: int = 10_000) -> Iterator[pa.RecordBatch]:
+def often_seen(batches: Iterator[pa.RecordBatch], items_of: Callable[[str], Iterable[str]], least: int, group: int = 5_000) -> Iterator[pa.RecordBatch]:
     """`item, n` of the items that at least `least` of some `group` documents in a row hold; the batches' first column has the texts."""
     seen: Counter = Counter()
     docs = 0
@@ -71,4 +76,5 @@ def word_count(text: Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table, whole, in a session with small Arrow batches."""
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")

@@ -28,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bookflow.llm.common import table
+
 BUCKETS = 1 << 15
-FOLDS, ROWS_PER_LANG, ROWS_IN_ALL = 5, 500, 4000
+FOLDS, ROWS_PER_LANG, ROWS_IN_ALL = 5, 300, 3000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.01, 0.1, 3
 UNDETERMINED = "und"
 
@@ -139,10 +141,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             found = [buckets(cell.as_py()) for cell in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([f[0].astype(np.int32).tobytes() for f in found], pa.binary()), pa.array([f[1].astype(np.int32).tobytes() for f in found], pa.binary())], names=["doc_id", "lang", "at", "counts"])
 
-    sample = drawn.select("doc_id", "lang", "text").mapInArrow(sparse, "doc_id string, lang string, at binary, counts binary").toPandas()  # about `each` rows of each language
+    sample = drawn.select("doc_id", "lang", "text").mapInArrow(sparse, "doc_id string, lang string, at binary, counts binary").toArrow()  # about `each` rows of each language
     number = {k: i for i, k in enumerate(model.langs)}
     ready = []
-    for key, name, at, counts in sorted(sample.itertuples(index=False, name=None), key=lambda r: (hash_order(r[0]), r[1:])):
+    for key, name, at, counts in sorted(zip(*(c.to_pylist() for c in sample.columns), strict=True), key=lambda r: (hash_order(r[0]), r[1:])):
         at, counts = np.frombuffer(at, np.int32), np.frombuffer(counts, np.int32)
         if len(at):
             ready.append((at, weighted(at, counts, idf), number[name]))
@@ -159,30 +161,30 @@ def hash_order(key: str) -> int:
 
 
 def _predicted(docs: DataFrame, model: Model, text: str) -> DataFrame:
-    """`docs` with a struct `_guess` of `lang_pred, score`."""
+    """`row`, the whole row of `docs` as a struct, and `guess`, a struct of `lang_pred, score`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def guess(texts):
+    def tell(texts):
         import pandas as pd
 
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_guess", guess(F.col(text)))
+    return docs.select(F.struct("*").alias("row"), tell(F.col(text)).alias("guess"))
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id, held_out, lang_pred, score`."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), (remainder(doc_id) == 0).alias("held_out"), F.col(text).alias("text"))
-    return _predicted(rows, model, "text").select("doc_id", "held_out", "_guess.lang_pred", "_guess.score")
+    return _predicted(rows, model, "text").select("row.doc_id", "row.held_out", "guess.lang_pred", "guess.score")
 
 
 def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = 0.0) -> DataFrame:
     """`docs` without those whose language can't be told: `und`, or a score below `least`."""
-    kept = _predicted(docs, model, text).filter((F.col("_guess.lang_pred") != UNDETERMINED) & (F.col("_guess.score") >= least))
-    return kept.drop("_guess")
+    kept = _predicted(docs, model, text).filter((F.col("guess.lang_pred") != UNDETERMINED) & (F.col("guess.score") >= least))
+    return kept.select("row.*")
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return predict(docs, train(docs))

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bookflow.llm.common import table
+
 #: The payload is padded to a multiple of this, which is also the width of the stored picture.
 BLOCK = 64
 #: Bytes of pictures in one Arrow batch that goes back to Spark.
@@ -189,5 +191,5 @@ def read_media(media: DataFrame, tail: int = BLOCK) -> DataFrame:
 
 
 def op7_media(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return read_media(encode_media(docs)).drop("tile")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import WORD, word_count, written
+from bookflow.llm.common import WORD, table, word_count, written
 
 #: Weights of the sources in order of code points, repeating; share of all words in the mix; most uses of a document.
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
@@ -130,7 +130,7 @@ def copies(mixed: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 

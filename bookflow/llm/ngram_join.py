@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import written
+from bookflow.llm.common import table, written
 from bookflow.llm.components import components
 from bookflow.llm.wordhash import runs, word_hashes
 
@@ -219,10 +219,28 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     found = jaccard_components(docs, doc_id, text, n, percent)
     found = found.withColumn("id", F.coalesce("doc_id", F.lit(_LAST))).groupBy("id", "content").agg(F.sum(F.col("is_first").cast("int")).alias("stay"))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(F.col(text)).alias("content"), F.struct("*").alias("doc"))
-    equal = W.partitionBy("id", "content").orderBy(F.monotonically_increasing_id())
+    equal = W.partitionBy("id", "content").orderBy(F.xxhash64("doc"))
     kept = rows.join(written(found.filter("stay > 0"), "join-stay"), ["id", "content"])
     return kept.withColumn("place", F.row_number().over(equal)).filter("place <= stay").select("doc.*")
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+#: All pairs that share an n-gram are counted here, and reachability is spelled out.
+ORACLE = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+words AS (SELECT doc_id, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM texts),
+runs AS (SELECT doc_id, n, p, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)) AS g FROM words),
+grams AS (SELECT DISTINCT doc_id, g FROM runs WHERE p <= greatest(1, n - 2)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common c JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * c.n >= 90 * (s.n + t.n - c.n)),
+ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT x, y FROM ways UNION SELECT r.x, w.y FROM reach r JOIN ways w ON r.y = w.x),
+least AS (SELECT x AS doc_id, least(x, min(y)) AS component_id FROM reach GROUP BY x)
+SELECT t.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(l.component_id, t.doc_id) AS component_id
+FROM texts t LEFT JOIN sizes s USING (doc_id) LEFT JOIN least l USING (doc_id)
+"""

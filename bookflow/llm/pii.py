@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bookflow.llm.common import table
+
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SKIP_WEIGHT, ROUNDS, LEAST_PROBABILITY = 20_000, 6.0, 8, 0.5
 
@@ -277,5 +279,5 @@ def redact(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "t
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find(docs, train(docs))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import written
+from bookflow.llm.common import table, written
 
 SAMPLE, PIVOTS, RINGS, FIRST_RINGS = 4096, 32, 8, 4
 QUERY_BLOCK, LEAST_BLOCK, MOST_BLOCK = 128, 64, 4096
@@ -239,7 +239,7 @@ def top_k(table: DataFrame, query_filter, k: int = 5, vec_id: str = "vec_id", em
 
 
 def op3_pivot_search(spark, sf_dir: str) -> DataFrame:
-    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 ORACLE = """

@@ -16,7 +16,12 @@ _QUERIES = {
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-_ORACLES = {"op3_pivot_search": pivot_search.ORACLE, "op5_mixing": mixing.ORACLE}
+_ORACLES = {
+    "op2_ngram_join": ngram_join.ORACLE,
+    "op3_pivot_search": pivot_search.ORACLE,
+    "op5_mixing": mixing.ORACLE,
+    "op9_substring_dedup": substring_dedup.ORACLE,
+}
 
 
 def queries():

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import written
+from bookflow.llm.common import table, written
 from bookflow.llm.wordhash import anchors, runs, sliding, word_hashes
 
 WINDOW = 20
@@ -154,4 +154,18 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: i
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH texts AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+words AS (SELECT doc_id, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM texts),
+windows AS (SELECT doc_id, n, p, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) AS w FROM words),
+placed AS (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS place FROM windows WHERE p <= n - 19),
+marked AS (
+  SELECT w.doc_id, w.p, w.word, max(g.p) OVER (PARTITION BY w.doc_id ORDER BY w.p ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM words w LEFT JOIN placed g ON g.doc_id = w.doc_id AND g.p = w.p AND g.place > 1),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS text FROM marked GROUP BY doc_id)
+SELECT t.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM texts t LEFT JOIN kept k USING (doc_id)
+"""

@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import often_seen, written
+from bookflow.llm.common import often_seen, table, written
 
 #: Most pre-tokens that are broadcast, their longest length, and in how many documents of a group one must be to be proposed.
-HOT_LIMIT, HOT_CHARS, HOT_DOCS = 200_000, 32, 3
+HOT_LIMIT, HOT_CHARS, HOT_DOCS = 200_000, 32, 2
 TOKEN_LIMIT = 1024
 #: A space beside another white-space character: there the cheap cut isn't safe.
 _BESIDE = re.compile(r" \s")
@@ -132,4 +132,4 @@ def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pa
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return count_tokens(table(spark, sf_dir, "documents"))

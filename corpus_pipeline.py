@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookflow.llm import language_id, mixing, ngram_join, pii, sentencepiece_lattice
-from bookflow.llm.common import written
+from bookflow.llm.common import small_batches, table, written
 
 #: Near copies: n-grams of five words, Jaccard similarity of 80 % or more.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -18,6 +18,7 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go: those without text or letters."""
+    small_batches(spark)
     return language_id.accepted(docs, language_id.train(docs))
 
 
@@ -58,7 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
