@@ -84,13 +84,12 @@ def apportion(rows: DataFrame, group: list[str], weight: str, seats: str, tie: s
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: Column | None = None, text: str = "text", keep: list[str] | None = None, block_tokens: int = BLOCK_TOKENS, shard_rows: int = SHARD_ROWS, seed: int = SEED) -> DataFrame:
-    """One row for each row of `docs`: `row` (the columns `keep` as a struct), `doc_id, source, size, source_size, target, taken, begin`.
+    """One row for each row of `docs`: `row` (the columns `keep` as a struct), `doc_id, source, size, source_size, target, taken`.
 
-    `begin` is where the shard's cyclic stream enters the document: always 0
-    but for the cut of the last block, which ends inside one document a shard.
+    Documents stand in a shard by a seeded hash of doc_id, ties by size and row.
     """
     size = word_count(F.col(text)) if size is None else size
-    key = F.md5(F.concat_ws(":", F.lit(f"mix{seed}"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws(":", F.lit(f"mix{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     plain = docs.select(F.struct(*[F.col(c) for c in keep or [doc_id]]).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"))
     sizes = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size")), "mix-sizes")
     per_source = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows")))
@@ -100,14 +99,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: C
     def sharded(rows: DataFrame) -> DataFrame:
         number = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
         named = quotas.withColumnRenamed("source", "its")
-        return rows.withColumn("key", key_of(rows)).join(named, F.col("source").eqNullSafe(F.col("its"))).withColumn("shard", number % F.col("shards")).drop("its")
-
-    def key_of(rows: DataFrame) -> Column:
-        return F.md5(F.concat_ws(":", F.lit(f"mix{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        return rows.withColumn("key", key).join(named, F.col("source").eqNullSafe(F.col("its"))).withColumn("shard", number % F.col("shards")).drop("its")
 
     shards = sharded(sizes).groupBy("pos", "shard", "quota").agg(F.sum("size").alias("shard_size"))
     shards = written(apportion(shards, ["pos"], "shard_size", "quota", "shard", "shard_quota").select("pos", "shard", "shard_size", "shard_quota"), "mix-shards")
-    stream = W.partitionBy("pos", "shard").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    stream = W.partitionBy("pos", "shard").orderBy("key", "doc_id", "size", F.xxhash64("row")).rowsBetween(W.unboundedPreceding, W.currentRow)
     words = F.least(F.col("shard_quota") * block_tokens, CAP * F.col("shard_size"))
     rounds = F.when(F.col("shard_size") > 0, F.expr("words div shard_size")).otherwise(0)
     return (
