@@ -16,8 +16,9 @@ its two sizes ask for:
 4. For what is left the whole overlap is counted from the documents' texts.
 
 A group of near copies would meet in all pairs, so step 2 runs twice: first each
-row meets only the two end rows of its column and band, and the links found make
-components; then only rows of different components meet. All links between
+row meets one row, of those that are the end of one of its columns and bands the
+one that it shares most columns with, and the links found make components; then
+only rows of different components meet. All links between
 components are found that way, and copies within one are never expanded.
 
 Defined cases: a null or blank text is empty, linked with nothing; texts under n
@@ -166,7 +167,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     base = matrix.filter(F.col("row").isNotNull()).drop("often")
     firsts = written(base.filter("n_shingles > 0").groupBy("key").agg(F.min(F.struct("id", "row")).alias("first")).select("key", F.col("first.id").alias("first_id"), F.col("first.row").alias("node")), "join-firsts")
     often = matrix.filter(F.col("row").isNull()).select(F.explode("often").alias("g")).groupBy("g.gram").agg(F.sum("g.docs").alias("docs"))
-    top = often.orderBy(F.col("docs").desc(), "gram").limit(last_limit).toPandas()  # at most last_limit longs
+    top = written(often.orderBy(F.col("docs").desc(), "gram").limit(last_limit), "join-last").toPandas()  # at most last_limit longs
     last = top.sort_values(["docs", "gram"]).gram.to_numpy(np.int64).view(np.uint64)
 
     lead = _leading(keyed, n, percent, last).filter("n_shingles > 0").join(firsts, "key").filter("id = first_id")
@@ -177,7 +178,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     entries = written(entries.join(meet, "gram"), "join-entries")
 
     ends = written(entries.groupBy("gram", "band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high"), "join-ends")
-    star = entries.join(ends, ["gram", "band"]).select("node", F.explode(F.array("low", "high")).alias("end")).filter("node != end")
+    met = entries.join(ends, ["gram", "band"]).select("node", F.explode(F.array("low", "high")).alias("end")).filter("node != end").groupBy("node", "end").count()
+    star = met.groupBy("node").agg(F.max(F.struct("count", (-F.col("end")).alias("nearest"))).alias("best")).select("node", (-F.col("best.nearest")).alias("end"))
     star = star.select(F.least("node", "end").alias("x"), F.greatest("node", "end").alias("y")).distinct()
     star = written(_could(star, rows, percent), "join-pairs")
     labels = components(_linked(star, rows, keyed, n, percent))

@@ -217,7 +217,7 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
 def top_k(table: DataFrame, query_filter, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 256, sample: int = SAMPLE, pivots: int = PIVOTS, rings: int = RINGS, first_rings: int = FIRST_RINGS) -> DataFrame:
     """`query_id, rank, vec_id, score` of the rows for which the column `query_filter` (over `vec_id`) holds, against all others."""
     vectors = written(whole_vectors(table, vec_id, embedding, scale), "search-vectors")
-    drawn = vectors.orderBy(F.xxhash64("vec_id"), "row").limit(sample).toPandas()  # at most `sample` vectors
+    drawn = written(vectors.orderBy(F.xxhash64("vec_id"), "row").limit(sample), "search-sample").toPandas()  # at most `sample` vectors
     index = Index(drawn.vec_id.to_numpy(), [np.asarray(v) for v in drawn.v], pivots, rings)
     context = table.sparkSession.sparkContext
     shared = context.broadcast(index)

@@ -14,6 +14,8 @@ from bookflow.llm.common import small_batches, table, written
 
 #: Near copies: n-grams of five words, Jaccard similarity of 80 % or more.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Units that are broadcast; fewer than alone, as five stages share the workers' memory.
+HOT_UNITS = 100_000
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """For each row of the mix how many pieces it has, whether they decode to it, and their digest."""
-    return sentencepiece_lattice.count_encoded(docs)
+    """For each row of the mix how many pieces it has, whether they spell it, and their digest."""
+    return sentencepiece_lattice.count_encoded(docs, hot_limit=HOT_UNITS)
 
 
 def _measured(docs: DataFrame) -> DataFrame:

@@ -136,5 +136,5 @@ def test_pipeline_stages(spark):
     counts = defaultdict(int)
     for r in steps[3]:
         counts[r.doc_id] += 1
-    assert max(counts.values()) == 2 and len(steps[4]) == len(steps[3]) and all(r.restored for r in steps[4])
+    assert max(counts.values()) == 2 and len(steps[4]) == len(steps[3]) and all(r.complete for r in steps[4])
     assert hashlib.sha256(b"").hexdigest()

@@ -115,7 +115,7 @@ def test_encoding_is_the_library_s(spark):
         assert len(counted) == len(texts)
         for i, t in enumerate(texts):
             ids = model.encode(t or "")
-            assert (counted[i].n_pieces, counted[i].n_bytes, counted[i].restored) == (len(ids), sum(map(model.is_byte, ids)), True)
+            assert (counted[i].n_pieces, counted[i].n_bytes, counted[i].complete) == (len(ids), sum(map(model.is_byte, ids)), True)
     assert sentencepiece_lattice.count_encoded(docs.limit(0)).collect() == []
 
 
@@ -135,4 +135,4 @@ def test_viterbi_fold_is_the_best_path(spark):
 
     edges = sentencepiece_lattice.lattice(spark.createDataFrame([(w,) for w in words], "unit string"), table.select("piece", "id", "rank"), 3)
     for r in edges.withColumn("path", sentencepiece_lattice.fold_viterbi(table)).collect():
-        assert [None if e < 0 else order[e >> 40] for e in r.path] == best(r.unit)
+        assert [None if e < 0 else order[e >> 45] for e in r.path] == best(r.unit)
