@@ -15,10 +15,11 @@ its two sizes ask for:
    reach it too.
 4. For what is left the whole overlap is counted from the documents' texts.
 
-A group of near copies would meet in all pairs, so step 2 runs twice: first each
-row meets one row, of those that are the end of one of its columns and bands the
-one that it shares most columns with, and the links found make components; then
-only rows of different components meet. All links between
+A group of near copies would meet in all pairs, so step 2 runs in turns: each row
+meets one row of another component, of those that are an end of one of its
+columns and bands the one that it shares most columns with, and the links found
+join components; after TURNS turns, or one without a link, all rows that are
+still of different components meet. All links between
 components are found that way, and copies within one are never expanded.
 
 Defined cases: a null or blank text is empty, linked with nothing; texts under n
@@ -46,6 +47,8 @@ from bookflow.llm.wordhash import runs, word_hashes
 WORDS, PERCENT = 3, 90
 #: Most n-grams that stand last in the order, and in how many of a group of documents one must be to be proposed.
 LAST_LIMIT, LAST_DOCS, GROUP_DOCS = 100_000, 2, 6000
+#: Most turns in which rows meet one other row before all of different components meet.
+TURNS = 16
 BLOCKS = 128
 _LAST = (1 << 63) - 1
 
@@ -156,6 +159,26 @@ def _linked(pairs: DataFrame, rows: DataFrame, keyed: DataFrame, n: int, percent
     return pairs.join(side("y"), "y").join(side("x"), "x").filter((100 + percent) * overlap >= percent * (F.size("gx") + F.size("gy"))).select("x", "y")
 
 
+def _star(entries: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Pairs `x, y` of each row and one row of another component: of the ends of its columns and bands, in an order that each turn draws anew, the one that it shares most columns with."""
+    placed = written(entries.select("gram", "band", "node").join(labels, "node"), "join-placed")
+    drawn = F.struct(F.xxhash64(F.col("node"), F.lit(turn)).alias("draw"), F.col("node"), F.col("label"))
+    ends = placed.groupBy("gram", "band").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b")
+    ends = written(ends.select("gram", "band", "low", "high"), "join-ends")
+    each = placed.join(ends, ["gram", "band"]).select("node", "label", F.explode(F.array("low", "high")).alias("end")).filter(F.col("label") != F.col("end.label"))
+    met = each.groupBy("node", F.col("end.node").alias("end")).count()
+    best = met.groupBy("node").agg(F.max(F.struct("count", (-F.col("end")).alias("nearest"))).alias("best")).select("node", (-F.col("best.nearest")).alias("end"))
+    return best.select(F.least("node", "end").alias("x"), F.greatest("node", "end").alias("y")).distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`node, label` after links `x, y` between nodes have joined their components."""
+    for c in ("x", "y"):
+        links = links.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c)
+    upper = components(links.select(F.col("lx").alias("x"), F.col("ly").alias("y")).filter("x != y"))
+    return labels.join(upper.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT, last_limit: int = LAST_LIMIT, last_docs: int = LAST_DOCS) -> DataFrame:
     """`row, doc_id, content, n_shingles, component_id, is_first` for each row of `docs`.
 
@@ -177,13 +200,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     meet = written(entries.groupBy("gram").count().filter("count > 1").select("gram"), "join-columns")
     entries = written(entries.join(meet, "gram"), "join-entries")
 
-    ends = written(entries.groupBy("gram", "band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high"), "join-ends")
-    met = entries.join(ends, ["gram", "band"]).select("node", F.explode(F.array("low", "high")).alias("end")).filter("node != end").groupBy("node", "end").count()
-    star = met.groupBy("node").agg(F.max(F.struct("count", (-F.col("end")).alias("nearest"))).alias("best")).select("node", (-F.col("best.nearest")).alias("end"))
-    star = star.select(F.least("node", "end").alias("x"), F.greatest("node", "end").alias("y")).distinct()
-    star = written(_could(star, rows, percent), "join-pairs")
-    labels = components(_linked(star, rows, keyed, n, percent))
-
+    labels = rows.select("node", F.col("node").alias("label"))
+    for turn in range(TURNS):
+        star = written(_could(_star(entries, labels, turn), rows, percent), "join-pairs")
+        links = written(_linked(star, rows, keyed, n, percent), "join-links")
+        if links.isEmpty():
+            break
+        labels = written(_merged(labels, links), "join-labels")
     known = labels.select("node", F.col("label").alias("known"))
     placed = written(entries.join(known, "node", "left").withColumn("label", F.coalesce("known", "node")).drop("known"), "join-placed")
     mixed = written(placed.groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("gram"), "join-mixed")
@@ -197,12 +220,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     cross = cross.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     cross = written(_could(cross, rows, percent), "join-pairs")
     more = _linked(cross, rows, keyed, n, percent)
-    for c in ("x", "y"):
-        more = more.join(known.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("known", c)).drop("known")
-    upper = components(more.filter("x != y")).select(F.col("node").alias("label"), F.col("label").alias("top"))
-
-    all_labels = labels.union(upper.select(F.col("label").alias("node"), F.col("label"))).dropDuplicates(["node"])
-    placed = all_labels.join(upper, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    placed = _merged(labels, more)
     placed = written(placed.join(rows.select("node", "id"), "node"), "join-labels")
     least = written(placed.groupBy("label").agg(F.min(F.struct("id", "node")).alias("least")), "join-least")
     named = written(placed.join(least, "label").select("node", F.col("least.id").alias("component"), F.col("least.node").alias("leader")), "join-named")
