@@ -14,15 +14,17 @@ in order of rank: an edge takes effect where exactly two symbols fill it
 (`fold_merges`). Pieces of a trained BPE model have worse ranks than their parts,
 so one pass over the edges gives the ids of the library.
 
-Decoding maps ids to the bytes of their pieces, through a table as a constant
-array, and joins the bytes; byte pieces need no other way.
+Decoding maps ids to the bytes of their pieces and joins the bytes; byte pieces
+need no other way.
 
 A corpus is encoded by its distinct units. The most frequent ones (a bounded
-number of bounded length) are broadcast with their results; the others are
-joined to the documents' unit frequencies by a shuffle. As a document's row the
-query returns how many pieces it has, how many of them are bytes, whether pieces
-and bytes spell every byte of it, and a digest of its units' ids. `encode`
-returns the ids themselves, and `decode` their text.
+number of bounded length) are broadcast with their ids; a text becomes its ids
+with holes for the other units, whose ids are joined to them by a shuffle and
+put into the holes. As a document's row the query returns its ids in order, how
+many there are, how many of them are bytes, whether they decode to its text
+(compared by 128 bits of BLAKE2, so texts aren't shuffled; marks in a text count
+as spaces, as the model reads them), and a hash of the ids in their order.
+`encode` returns the ids beside other columns, and `decode` their text.
 
 Defined cases: a null or empty text has no pieces and is complete; texts and
 units of any length are encoded whole; characters that the model lacks become
@@ -32,10 +34,11 @@ one; other columns of the input aren't carried.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -202,29 +205,17 @@ def encoded(words: DataFrame, path: str) -> DataFrame:
     return folded.select("unit", F.expr(f"if({gone}, {whole}, flatten(transform({parts}, p -> p.ids)))").alias("ids"), "held")
 
 
-def decoded(ids: Column, path: str) -> Column:
-    """The text of `ids`, with spaces for marks, before the leading space is dropped."""
-    model = pieces(path)
-    of_byte = {i: f"{b:02X}" for b, i in model.byte.items()}
-    hexes = [of_byte.get(i, t.replace(MARK, " ").encode().hex().upper()) for i, t in enumerate(model.texts)]
-    table = F.expr(_constant(hexes))
-    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(table, i + 1)), "")), "UTF-8")
-
-
-def unit_results(words: DataFrame, path: str) -> DataFrame:
-    """`unit, n_pieces, n_bytes, n_open, digest` of distinct units."""
+@lru_cache(maxsize=2)
+def piece_bytes(path: str) -> list[bytes]:
+    """The bytes that each id stands for, with a space for the mark."""
     model = pieces(path)
-    byte_ids = F.array(*[F.lit(i) for i in sorted(model.byte.values())[:1] + sorted(model.byte.values())[-1:]]) if model.byte else None
-    is_byte = (lambda i: i.between(byte_ids[0], byte_ids[1])) if model.byte else (lambda i: F.lit(False))
-    n_bytes = F.size(F.filter("ids", is_byte)).cast("long")
-    spelled = F.expr(f"aggregate(held, 0L, (n, e) -> n + octet_length(substr(unit, {_S} + 1, {_L})))") + n_bytes
-    return encoded(words, path).select(
-        "unit", F.size("ids").cast("long").alias("n_pieces"), n_bytes.alias("n_bytes"),
-        F.when(spelled == F.octet_length("unit"), 0).otherwise(1).cast("long").alias("n_open"), F.pmod(F.xxhash64("ids"), F.lit(1 << 16)).alias("digest"),
-    )
+    of_byte = {i: bytes([b]) for b, i in model.byte.items()}
+    return [of_byte.get(i, t.replace(MARK, " ").encode()) for i, t in enumerate(model.texts)]
 
 
-FIELDS = ("n_pieces", "n_bytes", "n_open", "digest")
+def spell(ids: list[int], table: list[bytes]) -> bytes:
+    """The bytes of the text of `ids`, without the space that encoding puts first."""
+    return b"".join([table[i] for i in ids])[1:]
 
 
 def _plain_cuts(text: str) -> list[str] | None:
@@ -243,67 +234,99 @@ def _frequent(docs: DataFrame, text: str, limit: int, chars: int, least: int) ->
     return counted.orderBy(F.col("n").desc(), "item").limit(limit).select(F.concat(F.lit(MARK), "item").alias("unit"))
 
 
-#: Bits of each of FIELDS in one number, so a document's sums take one multiplication a unit.
-_WIDE = 40
+def _id_type(path: str) -> np.dtype:
+    """The narrowest type of ids; its greatest value holds the place of a unit whose ids aren't known yet."""
+    return np.dtype("<u2" if len(pieces(path).texts) < (1 << 16) - 1 else "<u4")
 
 
-def _packed(values: list[int]) -> int:
-    return sum(int(v) << (_WIDE * i) for i, v in enumerate(values))
+def _fingerprint(spelled: bytes) -> bytes:
+    return blake2b(spelled, digest_size=16).digest()
 
 
-def _by_document(docs: DataFrame, doc_id: str, text: str, path: str, hot: dict[str, int]) -> DataFrame:
-    """`row, doc_id`, the sums of FIELDS over its hot units, and `rest`: its other units and how often. `hot` has units without their mark."""
+def _by_document(docs: DataFrame, doc_id: str, text: str, path: str, hot: dict[str, bytes]) -> DataFrame:
+    """`row, doc_id, print`, the text's fingerprint, `ids` in order with a hole for each unit that isn't hot, `rest`, the distinct units of the holes, and `slots`, which of them each hole takes. `hot` has units without their mark."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
-    rest = pa.list_(pa.struct([("unit", pa.string()), ("times", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, inside, low = shared.value.get, pieces(path).inside, (1 << _WIDE) - 1
+        known, inside, kind = shared.value.get, pieces(path).inside, _id_type(path)
+        hole = np.array([np.iinfo(kind).max], kind).tobytes()
         for batch in batches:
-            sums, names, times, ends = [], [], [], [0]
+            prints, ids, slots, names, ends = [], [], [], [], [0]
             for cell in batch.column(2):
-                value, total = cell.as_py() or "", 0
+                value = cell.as_py() or ""
                 cuts = _plain_cuts(value)
-                if cuts is None:
-                    for unit, n in Counter(units(value, inside)).items():
-                        names.append(unit)
-                        times.append(n)
-                else:
-                    for word, n in Counter(cuts).items():
-                        found = known(word)
-                        if found is not None:
-                            total += n * found
-                        elif len(word) < BITS:
-                            names.append(MARK + word)
-                            times.append(n)
-                        else:
-                            parts = units(word, inside)
-                            names += parts
-                            times += [n] * len(parts)
-                sums.append((total & low, total >> _WIDE & low, total >> 2 * _WIDE & low, total >> 3 * _WIDE))
+                found, taken, own = [], [], {}
+                for unit in units(value, inside) if cuts is None else cuts:
+                    part = known(unit) if cuts is not None else known(unit[1:]) if unit[0] == MARK else None
+                    if part is not None:
+                        found.append(part)
+                        continue
+                    for one in [unit] if cuts is None else [MARK + unit] if len(unit) < BITS else units(unit, inside):
+                        found.append(hole)
+                        taken.append(own.setdefault(one, len(own)))
+                prints.append(_fingerprint(value.replace(MARK, " ").encode("utf-8", "surrogatepass")))
+                ids.append(b"".join(found))
+                slots.append(np.array(taken, "<i4").tobytes())
+                names += own
                 ends.append(len(names))
-            items = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(times, pa.int64())], fields=list(rest.value_type))
-            columns = list(zip(*sums, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.int64()) for c in columns), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], names=["row", "doc_id", *FIELDS, "rest"])
+            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.binary()) for c in (prints, ids, slots)), rest], names=["row", "doc_id", "print", "ids", "slots", "rest"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"row long, doc_id long, {', '.join(f'{f} long' for f in FIELDS)}, rest array<struct<unit:string,times:long>>")
+    return rows.mapInArrow(run, "row long, doc_id long, print binary, ids binary, slots binary, rest array<string>")
+
+
+def _filled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """From `doc_id, print, ids, slots, found`: the holes are filled, and what the ids decode to is compared with the text."""
+    kind, table = _id_type(path), piece_bytes(path)
+    is_byte = np.zeros(len(table), bool)
+    is_byte[list(pieces(path).byte.values())] = True
+    for batch in batches:
+        of_doc = batch.column(4).offsets.to_numpy()
+        flat = batch.column(4).values
+        slot, parts = flat.field("slot").to_numpy(), flat.field("ids")
+        bounds, values = parts.offsets.to_numpy(), parts.values.to_numpy().astype(kind)
+        out, n_bytes, complete, ends = [], [], [], [0]
+        for k in range(batch.num_rows):
+            ids = np.frombuffer(batch.column(2)[k].as_py(), kind)
+            slots = np.frombuffer(batch.column(3)[k].as_py(), "<i4")
+            if len(slots):
+                at = np.full(slots.max() + 1, -1)
+                at[slot[of_doc[k] : of_doc[k + 1]]] = np.arange(of_doc[k], of_doc[k + 1])
+                item = at[slots]
+                if (item < 0).any():
+                    raise ValueError("a unit has no ids")
+                open_ = ids == np.iinfo(kind).max
+                times = np.ones(len(ids), np.int64)
+                times[open_] = bounds[item + 1] - bounds[item]
+                ids, open_ = np.repeat(ids, times), np.repeat(open_, times)
+                ids[open_] = np.concatenate([values[bounds[i] : bounds[i + 1]] for i in item])
+            out.append(ids)
+            n_bytes.append(int(is_byte[ids].sum()))
+            complete.append(_fingerprint(spell(ids.tolist(), table)) == batch.column(1)[k].as_py())
+            ends.append(ends[-1] + len(ids))
+        whole = np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(whole))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(complete, pa.bool_())], names=["doc_id", "ids", "n_pieces", "n_bytes", "complete"])
 
 
 def count_encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, hot_limit: int = HOT_LIMIT, hot_chars: int = HOT_CHARS, hot_docs: int = HOT_DOCS) -> DataFrame:
-    """`doc_id, n_pieces, n_bytes, complete, ids_digest` for each row of `docs`."""
+    """`doc_id, ids, n_pieces, n_bytes, complete, ids_digest` for each row of `docs`: the ids in order, and whether they decode to the text."""
     path = path or default_model()
     hot_units = written(_frequent(docs, text, hot_limit, hot_chars, hot_docs), "pieces-hot")
-    known = unit_results(hot_units.repartition("unit"), path).toArrow()  # at most hot_limit short rows
-    hot = {unit[1:]: _packed(values) for part in known.to_batches(10_000) for unit, *values in zip(*(part[c].to_pylist() for c in ("unit", *FIELDS)), strict=True)}
+    known = encoded(hot_units.repartition("unit"), path).select("unit", "ids").toArrow()  # at most hot_limit short rows
+    kind = _id_type(path)
+    hot = {unit[1:]: np.array(ids, kind).tobytes() for part in known.to_batches(10_000) for unit, ids in zip(part["unit"].to_pylist(), part["ids"].to_pylist(), strict=True)}
     del known
     per_doc = written(_by_document(docs, doc_id, text, path, hot), "pieces-by-doc")
-    pairs = per_doc.select("row", F.explode("rest").alias("item")).select("row", "item.unit", "item.times")
+    pairs = per_doc.select("row", F.posexplode("rest").alias("slot", "unit"))
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vocabulary = written(unit_results(pairs.select("unit").repartition(parts, "unit").distinct(), path), "pieces-vocabulary")
-    sums = [F.sum(F.col("times") * F.col(f)).alias(f"more_{f}") for f in FIELDS]
-    rest = pairs.join(vocabulary, "unit").groupBy("row").agg(*sums)
-    total = {f: F.col(f) + F.coalesce(f"more_{f}", F.lit(0)) for f in FIELDS}
-    return per_doc.drop("rest").join(rest, "row", "left").select("doc_id", total["n_pieces"].alias("n_pieces"), total["n_bytes"].alias("n_bytes"), (total["n_open"] == 0).alias("complete"), total["digest"].alias("ids_digest"))
+    vocabulary = written(encoded(pairs.select("unit").repartition(parts, "unit").distinct(), path).select("unit", "ids"), "pieces-vocabulary")
+    found = written(pairs.join(vocabulary, "unit").groupBy("row").agg(F.collect_list(F.struct("slot", "ids")).alias("found")), "pieces-found")
+    none = F.array().cast(found.schema["found"].dataType)
+    both = per_doc.join(found, "row", "left").select("doc_id", "print", "ids", "slots", F.coalesce("found", none).alias("found"))
+    filled = both.mapInArrow(lambda batches: _filled(batches, path), "doc_id long, ids array<int>, n_pieces long, n_bytes long, complete boolean")
+    return filled.withColumn("ids_digest", F.xxhash64("ids"))
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
@@ -325,7 +348,13 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
 
 def decode(encoded_docs: DataFrame, ids: str = "ids", into: str = "decoded", path: str | None = None) -> DataFrame:
     """The same rows with the text of their ids."""
-    return encoded_docs.withColumn(into, F.substring(decoded(F.col(ids), path or default_model()), 2, 1 << 30))
+    path = path or default_model()
+
+    @F.udf("string", useArrow=True)
+    def text_of(value):
+        return None if value is None else spell(value, piece_bytes(path)).decode("utf-8", "replace")
+
+    return encoded_docs.withColumn(into, text_of(F.col(ids)))
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:

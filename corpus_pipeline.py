@@ -40,7 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """For each row of the mix how many pieces it has, whether they spell it, and their digest."""
+    """For each row of the mix its ids in order, how many they are, whether they decode to its text, and their digest."""
     return sentencepiece_lattice.count_encoded(docs, hot_limit=HOT_UNITS)
 
 

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,21 @@ def test_encoding_is_the_library_s(spark):
     assert sentencepiece_lattice.count_encoded(docs.limit(0)).collect() == []
 
 
+def test_query_has_ids_in_order_and_decodes_them(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=sentencepiece_lattice.default_model())
+    texts = ["one two qqzxv three qqzxv \u4e16", "three \u4e16 qqzxv two qqzxv one", None, "", "a  b\u2581c", "x" * 300 + " end " + "longer-word" * 9]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for limit in (2, 200_000):
+        got = {r.doc_id: r for r in sentencepiece_lattice.count_encoded(docs, hot_limit=limit, hot_docs=1).collect()}
+        assert [got[i].ids for i in range(len(texts))] == [model.encode(t or "") for t in texts]
+        assert got[0].ids_digest != got[1].ids_digest and all(r.complete for r in got.values())
+    rows = pa.RecordBatch.from_pydict({"d": [1], "print": [sentencepiece_lattice._fingerprint(b"one two")], "ids": [np.array(model.encode("two one"), "<u2").tobytes()], "slots": [b""], "found": pa.array([[]], pa.list_(pa.struct([("slot", pa.int32()), ("ids", pa.list_(pa.int32()))])))})
+    (out,) = sentencepiece_lattice._filled(iter([rows]), sentencepiece_lattice.default_model())
+    assert out.column(4).to_pylist() == [False]  # as many bytes, in another order
+
+
 def test_viterbi_fold_is_the_best_path(spark):
     scores = {"a": -1.0, "b": -1.5, "ab": -2.0, "abc": -6.0, "c": -2.5, "bc": -2.2, "ca": -0.5}
     order = sorted(scores, key=lambda p: -scores[p])
