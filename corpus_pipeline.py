@@ -19,7 +19,7 @@ HOT_UNITS = 100_000
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go: those without text or letters."""
+    """Documents whose language can't be told go: those without text or letters, and those whose calibrated score is below a half. Without any label all stay."""
     small_batches(spark)
     return language_id.accepted(docs, language_id.train(docs))
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bookflow.llm import language_id, pii
 
@@ -117,3 +118,15 @@ def test_lang_and_source_are_no_input_of_a_prediction(docs):
     few = docs.limit(50)
     other = few.withColumn("lang", F.lit(None).cast("string")).withColumn("source", F.lit("z"))
     assert sorted(map(str, language_id.predict(few, model).collect())) == sorted(map(str, language_id.predict(other, model).collect()))
+
+
+def test_scores_decide_what_is_accepted(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    strange = ["Это русский текст о погоде", "これは日本語の文章です", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQK" * 4]
+    odd = spark.createDataFrame([(10**9 + k, t, None) for k, t in enumerate(strange)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.tell_language(spark, docs.unionByName(odd), "").select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    unnamed = odd.unionByName(docs.limit(20).withColumn("lang", F.lit(None).cast("string")))
+    assert sorted(map(str, corpus_pipeline.tell_language(spark, unnamed, "").collect())) == sorted(map(str, unnamed.collect()))
