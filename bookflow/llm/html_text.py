@@ -7,10 +7,12 @@ words on enough distinct pages are boilerplate. Words that such substrings cover
 are removed, and the unique runs between them are kept.
 
 Copies of one article repeat too, and menus may differ from page to page. So
-what the markup states comes before what repeats: blocks in menus, headers,
-footers, asides, forms, scripts, adverts, notices and reader comments always go,
-and blocks of an <article> or <main> always stay where a page has one. The
-suffix array decides on the rest.
+blocks in menus, headers, footers, asides, forms, scripts, adverts, notices and
+reader comments always go, and where a page has an <article> or <main>, only
+blocks of one stay. The suffix array decides on the rest, in articles too: there
+pages whose articles share half of their word pairs are copies of one article
+and count as one page, so what repeats with different surroundings goes and a
+copied article stays.
 
 A host is cut into shards of about SHARD_PAGES pages by hash, so a host with a
 third of all pages is many groups; boilerplate shows in each shard by itself.
@@ -36,6 +38,10 @@ from bookflow.llm.common import table, written
 from bookflow.llm.wordhash import word_hashes
 
 LENGTH, SHARD_PAGES, LEAST_PAGES, LEAST_SHARE = 8, 32, 3, 0.1
+#: The level of <main>; articles have a higher one.
+MAIN = 2
+#: The share of word pairs that makes two articles copies of one.
+COPY_SHARE = 0.5
 
 # Names of elements and words in class, id and role.
 _RAW = frozenset("script style textarea title noscript template iframe svg math canvas object".split())
@@ -172,7 +178,7 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, int]]:
                 if stack[i][0] not in _INLINE:
                     break
         after_level, after = _meaning(tag, attributes, level, dropped)
-        if tag in _HEADINGS and level == 3:  # an article's own header holds its title
+        if tag in _HEADINGS and level >= MAIN:  # the header of an article or <main> holds its title
             after = next((entry[2] for entry in stack if entry[0] == "header"), after)
         if after != dropped:
             flush()
@@ -185,8 +191,8 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, int]]:
     return out
 
 
-def repeated(streams: list[np.ndarray], length: int, least: int) -> list[np.ndarray]:
-    """For each stream of words a mask of those covered by a substring of `length` words that is in `least` distinct streams.
+def repeated(streams: list[np.ndarray], length: int, least: int, articles: list[int] | None = None) -> list[np.ndarray]:
+    """For each stream of words a mask of those covered by a substring of `length` words that is in `least` distinct streams, or streams of `least` distinct `articles`.
 
     The joined streams' suffixes are ranked by their first word, then by twice
     as many, up to `length`; equal ranks are neighbours in the suffix array with
@@ -210,8 +216,9 @@ def repeated(streams: list[np.ndarray], length: int, least: int) -> list[np.ndar
         ahead[:-step] = rank[step:]
         rank = np.unique(rank * (int(rank.max()) + 1) + ahead, return_inverse=True)[1]
         have += step
-    suffixes = np.argsort(rank, kind="stable")
-    ranked, of = rank[suffixes], owner[suffixes]
+    article = owner if articles is None else np.array(articles, np.int64)[owner]
+    suffixes = np.lexsort((article, rank))
+    ranked, of = rank[suffixes], article[suffixes]
     fresh = np.ones(n, bool)
     fresh[1:] = ranked[1:] != ranked[:-1]
     new_page = fresh.copy()
@@ -225,6 +232,31 @@ def repeated(streams: list[np.ndarray], length: int, least: int) -> list[np.ndar
     return [part[:-1] for part in np.split(mask, last + 1)[:-1]]
 
 
+def article_numbers(pages: list[list[tuple[str, int, bool, int]]]) -> list[int]:
+    """A number for each page: the same for copies of one article. A page without article has its own."""
+    pairs = []
+    for page in pages:
+        words = word_hashes("\n".join(b[0] for b in page if not b[2] and b[1] >= MAIN).encode("utf-8", "surrogatepass"))
+        pairs.append(np.unique(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) if len(words) > 1 else words)
+    out = list(range(len(pages)))
+    sizes = np.array([len(p) for p in pairs])
+    if not sizes.any():
+        return out
+    of = np.repeat(np.arange(len(pages)), sizes)
+    known, code = np.unique(np.concatenate(pairs), return_inverse=True)
+    ends = np.cumsum(sizes)
+    for k in range(len(pages)):
+        if sizes[k]:
+            own = np.zeros(len(known), bool)
+            own[code[ends[k] - sizes[k] : ends[k]]] = True
+            both = np.bincount(of[own[code]], minlength=len(pages))
+            for other in np.flatnonzero(both >= COPY_SHARE * (sizes + sizes[k] - both)):
+                if sizes[other] and out[other] != out[k]:
+                    gone, stays = max(out[other], out[k]), min(out[other], out[k])
+                    out = [stays if x == gone else x for x in out]
+    return out
+
+
 def unique_runs(text: str, covered: np.ndarray, length: int) -> str:
     """`text` without its covered words, where they are `length` in a row or all of it: a repeated substring may reach a little into the next block."""
     if covered.all():
@@ -243,9 +275,9 @@ def main_text(page: list[tuple[str, int, bool, int]], covered: np.ndarray, lengt
     for text, level, dropped, linked in page:
         n = len(text.encode("utf-8", "surrogatepass").split())
         mask, at = covered[at : at + n], at + n
-        if dropped or level < best:
+        if dropped or level < min(best, MAIN):
             continue
-        if best < 2 and n:
+        if n:
             if 2 * linked > n and best == 0:
                 continue
             if mask.any():
@@ -270,7 +302,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         lists = [[tuple(b.values()) for b in page] for page in group.column("blocks").to_pylist()]
         streams = [word_hashes("\n".join(b[0] for b in page).encode("utf-8", "surrogatepass")) for page in lists]
         least = max(LEAST_PAGES, int(LEAST_SHARE * len(lists)))
-        masks = repeated(streams, length, least) if len(lists) >= least else [np.zeros(len(s), bool) for s in streams]
+        masks = repeated(streams, length, least, article_numbers(lists)) if len(lists) >= least else [np.zeros(len(s), bool) for s in streams]
         texts = [main_text(page, mask, length) for page, mask in zip(lists, masks, strict=True)]
         return pa.table([group.column("page_id"), group.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

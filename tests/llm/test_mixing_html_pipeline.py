@@ -120,6 +120,19 @@ def test_pages_without_article_lose_what_their_host_repeats(spark):
     assert html_text.extract(frame.limit(0)).collect() == []
 
 
+def test_notices_in_articles_go_and_copied_articles_stay(spark):
+    shared = "all rights reserved by the owner of this very site since the year two"
+    own = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(12)]
+    copied = " ".join(f"copied{i}" for i in range(40))
+    rows = [(k, f"http://h.example/{k}", f"<article><p>{own[k]}</p><div>{shared}</div></article>") for k in range(12)]
+    rows += [(20 + k, f"http://h.example/{20 + k}", f"<article><p>{copied} end{k}</p></article>") for k in range(6)]
+    rows += [(30, "http://h.example/30", "<main><header><h1>Title of it</h1></header><p>long text</p><article>teaser</article></main>")]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(12)] == own
+    assert [got[20 + k] for k in range(6)] == [f"{copied} end{k}" for k in range(6)]
+    assert got[30] == "Title of it\nlong text\nteaser"
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     first = docs.collect()
