@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections import Counter
@@ -25,9 +26,11 @@ def small_batches(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: `spark.checkpoint.dir`, or a temporary one where it is unset."""
+    """The shared folder for intermediate tables: `spark.checkpoint.dir`. Where it is unset, a temporary one if all of Spark is one local process, else an error, as executors elsewhere couldn't read it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="bookflow-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -48,7 +51,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables of `written` that nothing reads any more: what was made of them is written too."""
+    for one in tables:
+        spark = one.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(one.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def often_seen(batches: Iterator[pa.RecordBatch], items_of: Callable[[str], Iterable[str]], least: int, group: int = 5_000) -> Iterator[pa.RecordBatch]:

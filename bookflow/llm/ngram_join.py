@@ -1,26 +1,26 @@
 """Operator 2: Jaccard join of documents on word n-grams, by a blocked sparse product.
 
 The matrix is documents by n-grams; a pair's overlap is its entry in the product
-with the transpose. It is taken in column blocks, and a pair is dropped as soon
-as what it has, with the most that the rest can add, is below the overlap that
-its two sizes ask for:
+with the transpose:
 
 1. Documents with equal sets become one row of the matrix.
-2. First block: the leading columns of each row in one global order, just as
-   many as two linked rows must share one of. The order is by hash, with the
-   n-grams of the most documents last; this list is bounded and only an order,
-   so it moves work and never the result. Rows meet on a column and a size band.
-   A pair stays if the columns after the meeting point can reach its overlap.
-3. 128 column blocks: the least of both rows' counts in each block, summed, must
-   reach it too.
-4. For what is left the whole overlap is counted from the documents' texts.
-
-A group of near copies would meet in all pairs, so step 2 runs in turns: each row
-meets one row of another component, of those that are an end of one of its
-columns and bands the one that it shares most columns with, and the links found
-join components; after TURNS turns, or one without a link, all rows that are
-still of different components meet. All links between
-components are found that way, and copies within one are never expanded.
+2. The columns get one global order, the rarest first: n-grams are counted in a
+   fixed number of hashed counters, summed over all documents. Counters that
+   n-grams share only make the order coarser; it moves work and never the result.
+3. Two linked rows share one of their leading columns, as many as their sizes
+   ask for; rows meet there, within a size band.
+4. The product of the rows that meet is taken in blocks of columns. A pair's
+   overlap adds up block by block, and the pair is dropped as soon as what it
+   has, with the most that the blocks to come can add, is below the overlap that
+   its two sizes ask for.
+
+A group of near copies would meet in all pairs. So rows first meet, for each of
+their columns and bands, its hub alone: the row whose leading columns are the
+most frequent, which stands in the middle of its copies. A row's overlap is
+taken with the hubs that it shares most columns with. These links make
+components, and then only rows of different components meet; of each column's
+main component no two rows are paired. All links between components are found
+that way, and copies within one are never expanded.
 
 Defined cases: a null or blank text is empty, linked with nothing; texts under n
 words are one n-gram; a null doc_id is larger than all and is reported as null
@@ -40,16 +40,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import table, written
+from bookflow.llm.common import forget, table, written
 from bookflow.llm.components import components
 from bookflow.llm.wordhash import runs, word_hashes
 
 WORDS, PERCENT = 3, 90
-#: Most n-grams that stand last in the order, and in how many of a group of documents one must be to be proposed.
-LAST_LIMIT, LAST_DOCS, GROUP_DOCS = 100_000, 2, 6000
-#: Most turns in which rows meet one other row before all of different components meet.
-TURNS = 16
-BLOCKS = 128
+#: 2^21 counters of n-grams, kept and summed in 2^8 parts; their levels take one byte each.
+COUNTER_BITS, PART_BITS = 21, 8
+#: Levels are eighths of a power of two.
+LEVELS = 8
+#: Hubs whose overlap a row takes in full.
+HUBS = 2
+BLOCKS = 16
 _LAST = (1 << 63) - 1
 
 
@@ -69,162 +71,190 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(key.alias("doc_id"), F.coalesce(key, F.lit(_LAST)).alias("id"), F.xxhash64(F.col(text)).alias("content"), F.col(text).cast("binary").alias("text"))
 
 
-def _matrix(keyed: DataFrame, n: int, least: int) -> DataFrame:
-    """`row, doc_id, id, content, n_shingles, key` of each document, and a row of `often` (n-gram, documents) for each group of documents, with null `row`."""
-    often = pa.list_(pa.struct([("gram", pa.int64()), ("docs", pa.int64())]))
+def _bucket(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (grams & np.uint64((1 << bits) - 1)).astype(np.int64)
 
-    names = ["row", "doc_id", "id", "content", "n_shingles", "key", "often"]
 
-    def proposed(sets: list[np.ndarray]) -> pa.RecordBatch:
-        grams, count = np.unique(np.concatenate(sets), return_counts=True)
-        many = count >= least
-        items = pa.StructArray.from_arrays([pa.array(grams[many].view(np.int64)), pa.array(count[many])], fields=list(often.value_type))
-        nothing = [pa.nulls(1, pa.int64())] * 5
-        return pa.RecordBatch.from_arrays([*nothing, pa.nulls(1, pa.string()), pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)], names=names)
+def _matrix(keyed: DataFrame, n: int, bits: int) -> DataFrame:
+    """`row, doc_id, id, content, n_shingles, key` of each document, and for each task the parts of its counters, with null `row`."""
+    names = ["row", "doc_id", "id", "content", "n_shingles", "key", "part", "counts"]
+    width = 1 << (bits - min(bits, PART_BITS))
+
+    def parts(counters: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lines = counters.reshape(-1, width)
+        for at in range(0, len(lines), 32):
+            some = lines[at : at + 32]
+            nothing = [pa.nulls(len(some), pa.int64())] * 5
+            yield pa.RecordBatch.from_arrays([*nothing, pa.nulls(len(some), pa.binary()), pa.array(np.arange(at, at + len(some))), pa.array([x.tobytes() for x in some], pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[np.ndarray] = []
+        counters, waiting = np.zeros(1 << bits, np.uint32), []
+
+        def count() -> None:
+            np.add(counters, np.bincount(_bucket(np.concatenate(waiting), bits), minlength=1 << bits).astype(np.uint32), out=counters)
+            waiting.clear()
+
         for batch in batches:
             sets = [shingles(cell.as_py(), n) for cell in batch.column(4)]
-            keys = [hashlib.md5(s.tobytes()).hexdigest() for s in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([*map(len, sets)], pa.int64()), pa.array(keys, pa.string()), pa.nulls(len(sets), often)], names=names)
-            group += sets
-            if len(group) >= GROUP_DOCS:
-                yield proposed(group)
-                group = []
-        if group:
-            yield proposed(group)
+            keys = [hashlib.md5(s.tobytes()).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([*map(len, sets)], pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())], names=names)
+            waiting += sets
+            if sum(map(len, waiting)) >= 1 << bits:
+                count()
+        if waiting:
+            count()
+        if counters.any():
+            yield from parts(counters)
 
-    return keyed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "id", "content", "text").mapInArrow(run, "row long, doc_id long, id long, content long, n_shingles long, key string, often array<struct<gram:long,docs:long>>")
+    rows = keyed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "id", "content", "text")
+    return rows.mapInArrow(run, "row long, doc_id long, id long, content long, n_shingles long, key binary, part long, counts binary")
 
 
-def _leading(keyed: DataFrame, n: int, percent: int, last: np.ndarray) -> DataFrame:
-    """`id, content, key, n_shingles, leading, blocks`: the first columns of each row in the global order, and its counts in each block (255 and more as 255). `last` holds the n-grams that stand last, the rarest of them first."""
-    by_hash = np.argsort(last)
-    shared = keyed.sparkSession.sparkContext.broadcast((last[by_hash], by_hash))
+def _levels(counted: DataFrame, bits: int) -> np.ndarray:
+    """The level of each counter, of the sums over all tasks. Tasks sum the parts that come to them one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place = shared.value
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            keys, sizes, lead, blocks = [], [], [], []
-            for cell in batch.column(2):
-                s = shingles(cell.as_py(), n)
-                size = len(s)
-                p = size - -(-percent * size // 100) + 1 if size else 0
-                at = np.searchsorted(known, s)
-                late = known[np.minimum(at, len(known) - 1)] == s if len(known) else np.zeros(size, bool)
-                first = s[~late][:p]
-                if len(first) < p:
-                    there = at[late]
-                    first = np.concatenate([first, known[there[np.argsort(place[there])[: p - len(first)]]]])
-                keys.append(hashlib.md5(s.tobytes()).hexdigest())
-                sizes.append(size)
-                lead.append(first)
-                blocks.append(np.minimum(np.bincount((s % np.uint64(BLOCKS)).astype(np.int64), minlength=BLOCKS), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.string()), pa.array(sizes, pa.int64()), _ragged(lead), pa.array(blocks, pa.binary())], names=["id", "content", "key", "n_shingles", "leading", "blocks"])
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(counts.as_py(), np.uint32).astype(np.int64)
+                sums[part] = own + sums[part] if part in sums else own
+        levels = [np.floor(np.log2(x + 1.0) * LEVELS).clip(0, 255).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(levels, pa.binary())], names=["part", "levels"])
 
-    return keyed.select("id", "content", "text").mapInArrow(run, "id long, content long, key string, n_shingles long, leading array<long>, blocks binary")
+    summed = counted.repartition("part").mapInArrow(run, "part long, levels binary").collect()  # 2^bits bytes in all
+    out = np.zeros(1 << bits, np.uint8)
+    width = 1 << (bits - min(bits, PART_BITS))
+    for r in summed:
+        out[r.part * width : (r.part + 1) * width] = np.frombuffer(r.levels, np.uint8)
+    return out
 
 
-def _could(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Those pairs `x, y` whose blocks' bounds reach the overlap that their sizes ask for."""
-    side = lambda c: rows.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("blocks").alias(f"b{c}"))
+def _leading(keyed: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataFrame:
+    """`id, content, key, n_shingles, leading, weight`: the first columns of each row in the global order, by level and hash, and the sum of their levels."""
+    shared = keyed.sparkSession.sparkContext.broadcast(levels)
+    bits = int(len(levels)).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level_of = shared.value
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BLOCKS) for c in (4, 5))
-                n, m = (batch.column(c).to_numpy() for c in (2, 3))
-                most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-                unknown = ((x == 255) & (y == 255)).any(axis=1)
-                keep = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (unknown | ((100 + percent) * most >= percent * (n + m)))
-                yield batch.select([0, 1]).filter(pa.array(keep))
-
-    both = pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "nx", "ny", "bx", "by")
-    return both.mapInArrow(run, "x long, y long")
+            keys, sizes, lead, weights = [], [], [], []
+            for cell in batch.column(2):
+                s = shingles(cell.as_py(), n)
+                size = len(s)
+                level = level_of[_bucket(s, bits)]
+                first = np.argsort(level, kind="stable")[: size - -(-percent * size // 100) + 1 if size else 0]
+                keys.append(hashlib.md5(s.tobytes()).digest())
+                sizes.append(size)
+                lead.append(s[first])
+                weights.append(int(level[first].sum(dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), _ragged(lead), pa.array(weights, pa.int64())], names=["id", "content", "key", "n_shingles", "leading", "weight"])
+
+    return keyed.select("id", "content", "text").mapInArrow(run, "id long, content long, key binary, n_shingles long, leading array<long>, weight long")
+
+
+def reaching(x: list[np.ndarray], y: list[np.ndarray], percent: int, blocks: int = BLOCKS) -> np.ndarray:
+    """Which pairs of sorted sets of hashes have an overlap that reaches `percent` of their union: the overlaps add up by blocks of columns, and pairs go as soon as the blocks to come can't make up."""
+    count = len(x)
+    pair = np.repeat(np.tile(np.arange(count), 2), [*map(len, x), *map(len, y)])
+    gram = np.concatenate([*x, *y]) if count else np.zeros(0, np.uint64)
+    block = ((gram >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+    half = sum(map(len, x))
+    sizes = [np.bincount(pair[part] * blocks + block[part], minlength=count * blocks).reshape(count, blocks) for part in (slice(half), slice(half, None))]
+    to_come = np.minimum(*sizes)[:, ::-1].cumsum(axis=1)[:, ::-1]
+    have, total = np.zeros(count, np.int64), sizes[0].sum(axis=1) + sizes[1].sum(axis=1)
+    alive = np.ones(count, bool)
+    by_block = np.argsort(block, kind="stable")
+    ends = np.searchsorted(block[by_block], np.arange(blocks + 1))
+    for k in range(blocks):
+        alive &= (100 + percent) * (have + to_come[:, k]) >= percent * total
+        own = by_block[ends[k] : ends[k + 1]]
+        own = own[alive[pair[own]]]
+        p, g = pair[own], gram[own]
+        order = np.lexsort((g, p))
+        p, g = p[order], g[order]
+        have += np.bincount(p[1:][(p[1:] == p[:-1]) & (g[1:] == g[:-1])], minlength=count)
+    return alive & ((100 + percent) * have >= percent * total) & (total > 0)
 
 
 def _linked(pairs: DataFrame, rows: DataFrame, keyed: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those pairs whose counted overlap reaches the bound; whole sets are read for the rows of these pairs alone."""
+    """Those pairs `x, y` of a written table whose overlap reaches the bound, written. Sets are made for the rows of these pairs alone."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _ragged([shingles(t.as_py(), n) for t in batch.column(1)])], names=["node", "grams"])
 
-    named = written(pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct().join(rows.select("node", "id", "content"), "node"), "join-named")
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([values[a:b] for a, b in zip(ends, ends[1:], strict=False)] for c in (2, 3) for ends, values in [(batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy().view(np.uint64))])
+            yield batch.select([0, 1]).filter(pa.array(reaching(x, y, percent), pa.bool_()))
+
+    named = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct().join(rows.select("node", "id", "content"), "node")
     texts = keyed.select("id", "content", "text").join(named, ["id", "content"]).select("node", "text")
-    sets = written(texts.mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"]), "join-sets")
+    sets = written(texts.dropDuplicates(["node"]).mapInArrow(sets_of, "node long, grams array<long>"), "join-sets")
     side = lambda c: sets.select(F.col("node").alias(c), F.col("grams").alias(f"g{c}"))
-    overlap = F.size(F.array_intersect("gx", "gy"))
-    return pairs.join(side("y"), "y").join(side("x"), "x").filter((100 + percent) * overlap >= percent * (F.size("gx") + F.size("gy"))).select("x", "y")
-
-
-def _star(entries: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Pairs `x, y` of each row and one row of another component: of the ends of its columns and bands, in an order that each turn draws anew, the one that it shares most columns with."""
-    placed = written(entries.select("gram", "band", "node").join(labels, "node"), "join-placed")
-    drawn = F.struct(F.xxhash64(F.col("node"), F.lit(turn)).alias("draw"), F.col("node"), F.col("label"))
-    ends = placed.groupBy("gram", "band").agg(F.min(drawn).alias("low"), F.max(drawn).alias("high"), F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b")
-    ends = written(ends.select("gram", "band", "low", "high"), "join-ends")
-    each = placed.join(ends, ["gram", "band"]).select("node", "label", F.explode(F.array("low", "high")).alias("end")).filter(F.col("label") != F.col("end.label"))
-    met = each.groupBy("node", F.col("end.node").alias("end")).count()
-    best = met.groupBy("node").agg(F.max(F.struct("count", (-F.col("end")).alias("nearest"))).alias("best")).select("node", (-F.col("best.nearest")).alias("end"))
-    return best.select(F.least("node", "end").alias("x"), F.greatest("node", "end").alias("y")).distinct()
-
-
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """`node, label` after links `x, y` between nodes have joined their components."""
-    for c in ("x", "y"):
-        links = links.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), c)
-    upper = components(links.select(F.col("lx").alias("x"), F.col("ly").alias("y")).filter("x != y"))
-    return labels.join(upper.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    both = pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "gx", "gy")
+    out = written(both.mapInArrow(met, "x long, y long"), "join-links")
+    forget(sets, pairs)
+    return out
+
+
+def _to_hubs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs `x, y` of each row and the hubs that it shares most columns with."""
+    hub = F.max(F.struct("weight", "node", "n_shingles")).alias("hub")
+    hubs = entries.groupBy("gram", "band").agg(hub, F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "band", F.col("hub.node").alias("y"), F.col("hub.n_shingles").alias("ny"))
+    alike = 100 * F.least("n_shingles", "ny") >= percent * F.greatest("n_shingles", "ny")
+    met = entries.join(hubs, ["gram", "band"]).filter((F.col("node") != F.col("y")) & alike).groupBy(F.col("node").alias("x"), "y").count()
+    best = met.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("count", (-F.col("y")).alias("last"))), asc=False).alias("best"))
+    pairs = best.select("x", F.explode(F.slice("best", 1, HUBS)).alias("of")).select("x", (-F.col("of.last")).alias("y"))
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _across(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs `x, y` of rows of different components that share a leading column, and whose columns from there on can reach the overlap."""
+    placed = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = placed.groupBy("gram", "label").count().groupBy("gram").agg(F.max(F.struct("count", "label")).alias("most"), F.count(F.lit(1)).alias("n"))
+    placed = written(placed.join(labelled.filter("n > 1").select("gram", F.col("most.label").alias("main")), "gram"), "join-placed")
+    left = placed.filter("label != main").select("gram", F.col("node").alias("x"), F.col("n_shingles").alias("nx"), F.col("pos").alias("px"), F.col("label").alias("lx"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    right = placed.select("gram", "band", F.col("node").alias("y"), F.col("n_shingles").alias("ny"), F.col("pos").alias("py"), F.col("label").alias("ly"))
+    reach = (100 + percent) * F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= percent * (F.col("nx") + F.col("ny"))
+    alike = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+    pairs = left.join(right, ["gram", "band"]).filter((F.col("lx") != F.col("ly")) & alike & reach)
+    out = written(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "join-pairs")
+    forget(placed)
+    return out
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT, last_limit: int = LAST_LIMIT, last_docs: int = LAST_DOCS) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT, counter_bits: int = COUNTER_BITS) -> DataFrame:
     """`row, doc_id, content, n_shingles, component_id, is_first` for each row of `docs`.
 
     `content` is xxhash64 of the text; `is_first` marks one row of each
     component, of its least doc_id.
     """
     keyed = _keyed(docs, doc_id, text)
-    matrix = written(_matrix(keyed, n, last_docs), "join-matrix")
-    base = matrix.filter(F.col("row").isNotNull()).drop("often")
+    matrix = written(_matrix(keyed, n, counter_bits), "join-matrix")
+    base = matrix.filter(F.col("row").isNotNull()).drop("part", "counts")
     firsts = written(base.filter("n_shingles > 0").groupBy("key").agg(F.min(F.struct("id", "row")).alias("first")).select("key", F.col("first.id").alias("first_id"), F.col("first.row").alias("node")), "join-firsts")
-    often = matrix.filter(F.col("row").isNull()).select(F.explode("often").alias("g")).groupBy("g.gram").agg(F.sum("g.docs").alias("docs"))
-    top = written(often.orderBy(F.col("docs").desc(), "gram").limit(last_limit), "join-last").toPandas()  # at most last_limit longs
-    last = top.sort_values(["docs", "gram"]).gram.to_numpy(np.int64).view(np.uint64)
+    levels = _levels(matrix.filter(F.col("row").isNull()).select("part", "counts"), counter_bits)
 
-    lead = _leading(keyed, n, percent, last).filter("n_shingles > 0").join(firsts, "key").filter("id = first_id")
-    rows = written(lead.dropDuplicates(["node"]).select("node", "id", "content", "n_shingles", "leading", "blocks"), "join-rows")
+    lead = _leading(keyed, n, percent, levels).filter("n_shingles > 0").join(firsts, "key").filter("id = first_id")
+    rows = written(lead.dropDuplicates(["node"]).select("node", "id", "content", "n_shingles", "weight", "leading"), "join-rows")
     band = F.floor(F.log(F.col("n_shingles")) / math.log(100 / percent)).cast("int")
-    entries = rows.select("node", "n_shingles", band.alias("band"), F.posexplode("leading").alias("pos", "gram"))
-    meet = written(entries.groupBy("gram").count().filter("count > 1").select("gram"), "join-columns")
+    entries = rows.select("node", F.col("n_shingles").cast("int").alias("n_shingles"), F.col("weight").cast("int").alias("weight"), band.alias("band"), F.posexplode("leading").alias("pos", "gram"))
+    meet = entries.groupBy("gram").count().filter("count > 1").select("gram")
     entries = written(entries.join(meet, "gram"), "join-entries")
 
-    labels = rows.select("node", F.col("node").alias("label"))
-    for turn in range(TURNS):
-        star = written(_could(_star(entries, labels, turn), rows, percent), "join-pairs")
-        links = written(_linked(star, rows, keyed, n, percent), "join-links")
-        if links.isEmpty():
-            break
-        labels = written(_merged(labels, links), "join-labels")
-    known = labels.select("node", F.col("label").alias("known"))
-    placed = written(entries.join(known, "node", "left").withColumn("label", F.coalesce("known", "node")).drop("known"), "join-placed")
-    mixed = written(placed.groupBy("gram").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("gram"), "join-mixed")
-    placed = written(placed.join(mixed, "gram"), "join-placed")
-    left = placed.select("gram", "node", F.col("n_shingles").alias("nx"), F.col("pos").alias("px"), "band", F.col("label").alias("lx"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("to")).withColumnRenamed("node", "x")
-    right = placed.select("gram", F.col("node").alias("y"), F.col("n_shingles").alias("ny"), F.col("pos").alias("py"), F.col("band").alias("to"), F.col("label").alias("ly"))
-    reach = (100 + percent) * F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= percent * (F.col("nx") + F.col("ny"))
-    alike = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-    once = (F.col("to") > F.col("band")) | (F.col("x") < F.col("y"))
-    cross = left.join(right, ["gram", "to"]).filter((F.col("lx") != F.col("ly")) & once & alike & reach)
-    cross = cross.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    cross = written(_could(cross, rows, percent), "join-pairs")
-    more = _linked(cross, rows, keyed, n, percent)
-    placed = _merged(labels, more)
-    placed = written(placed.join(rows.select("node", "id"), "node"), "join-labels")
-    least = written(placed.groupBy("label").agg(F.min(F.struct("id", "node")).alias("least")), "join-least")
-    named = written(placed.join(least, "label").select("node", F.col("least.id").alias("component"), F.col("least.node").alias("leader")), "join-named")
+    links = _linked(written(_to_hubs(entries, percent), "join-pairs"), rows, keyed, n, percent)
+    labels = components(links)
+    more = _linked(_across(entries, labels, percent), rows, keyed, n, percent)
+    all_labels = components(labels.select(F.col("node").alias("x"), F.col("label").alias("y")).union(more))
+    forget(entries, links, more)
+
+    placed = written(all_labels.join(rows.select("node", "id"), "node"), "join-labels")
+    least = placed.groupBy("label").agg(F.min(F.struct("id", "node")).alias("least"))
+    named = placed.join(least, "label").select("node", F.col("least.id").alias("component"), F.col("least.node").alias("leader"))
     nodes = written(firsts.join(named, "node", "left").select("key", "node", F.coalesce("component", "first_id").alias("component"), F.coalesce("leader", "node").alias("leader")), "join-nodes")
+    forget(firsts, rows, placed)
     out = base.join(nodes, "key", "left")
     component = F.coalesce("component", "id")
     return out.select(

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from bookflow.llm import ngram_join, substring_dedup, wordhash
@@ -100,10 +101,41 @@ def test_jaccard_components(frame, n, percent):
 
 
 def test_jaccard_order_is_only_an_order(frame):
-    few = ngram_join.jaccard_components(frame, last_limit=3, last_docs=1)
+    few = ngram_join.jaccard_components(frame, counter_bits=3)
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in few.collect()) == linked_by_hand(odd_rows(), 3, 90)
 
 
+def near_group(copies: int):
+    """Copies of one text with up to ten words changed: many are linked with few others, some with none; and texts of five times their length."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    rows = []
+    for k in range(copies):
+        words = list(base)
+        for _ in range(rng.randrange(11)):
+            words[rng.randrange(200)] = f"x{rng.randrange(50)}"
+        rows.append((k, " ".join(words)))
+    return rows + [(copies + k, " ".join(rng.choice(base) for _ in range(1000))) for k in range(3)] + [(copies + 5, " ".join(base * 5)), (copies + 6, " ".join(base * 6))]
+
+
+@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
+def test_large_group_of_near_copies(spark, n, percent):
+    rows = near_group(2000)
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=n, percent=percent).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == linked_by_hand(rows, n, percent)
+
+
+def test_block_products_equal_whole_overlaps():
+    rng = np.random.default_rng(2)
+    x = [np.unique(rng.integers(0, 1 << 64, 300, np.uint64)) for _ in range(50)] + [np.zeros(0, np.uint64)]
+    y = [np.unique(np.concatenate([s[rng.random(len(s)) < share], rng.integers(0, 1 << 64, 20, np.uint64)])) for s, share in zip(x, np.linspace(0.7, 1, len(x)), strict=True)]
+    for blocks in (1, 16, 64):
+        got = ngram_join.reaching(x, y, 80, blocks)
+        assert got.tolist() == [100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for a, b in zip(x, y, strict=True)]
+        assert 0 < got.sum() < len(x)
+    assert ngram_join.reaching([], [], 80).tolist() == [] and ngram_join.reaching([x[-1]], [x[-1]], 80).tolist() == [False]
+
+
 def test_one_of_each_keeps_columns_and_first_rows(spark):
     text = " ".join(f"a{k}" for k in range(25))
     rows = spark.createDataFrame([(5, text, 1), (5, text, 1), (3, text.upper(), 2), (7, "other words here", 3), (8, None, 4), (8, None, 4), (9, "", 5)], "doc_id long, text string, key int")
