@@ -1,11 +1,12 @@
 """Operator 8: SentencePiece encoding and decoding as a relational lattice.
 
-A text is cut into units: a space (as the model's mark) and the characters up to
-the next. No piece of the model crosses such a cut, which is checked when the
-piece table is read, so a unit's ids depend on the unit alone. Of every distinct
-unit all substrings of up to the longest piece's length are exploded and
-equi-joined to the piece table; the edges found are grouped by unit and folded
-with Spark's higher-order aggregate.
+A text is cut into units: spaces (as the model's marks) and what follows of one
+class of characters, letters, others, or one digit or line end. No piece of the
+model crosses such a cut, which is checked when the piece table is read, so a
+unit's ids depend on the unit alone. Of every distinct unit all substrings of up
+to the longest piece's length are exploded and equi-joined to the piece table;
+the edges found are grouped by unit and folded with Spark's higher-order
+aggregate.
 
 The fold depends on the kind of model. In a unigram model ids are the path of
 the best score sum: Viterbi (`fold_viterbi`). In a BPE model scores are merge
@@ -26,14 +27,20 @@ many there are, how many of them are bytes, whether they decode to its text
 as spaces, as the model reads them), and a hash of the ids in their order.
 `encode` returns the ids beside other columns, and `decode` their text.
 
-Defined cases: a null or empty text has no pieces and is complete; texts and
-units of any length are encoded whole; characters that the model lacks become
-byte pieces; repeated rows each get their row; an empty table gives an empty
-one; other columns of the input aren't carried.
+Defined cases: a null or empty text has no pieces and is complete; texts of any
+length are encoded whole, and so are units: one of over BITS characters, such as
+a thousand equal letters, is cut where no piece can cross, and parts that are
+still longer merge where they stand, by a heap of their pairs (`merge_long`);
+characters that the model lacks become byte pieces; repeated rows each get their
+row; an empty table gives an empty one; other columns of the input aren't
+carried by `count_encoded`.
 """
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -42,16 +49,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from zstandard import ZstdCompressor, ZstdDecompressor
 
-from bookflow.llm.common import often_seen, table, written
+from bookflow.llm.common import forget, table, written
 
 MARK = "▁"
 #: Units up to this many characters hold their boundaries in one long.
 BITS = 62
-HOT_LIMIT, HOT_CHARS, HOT_DOCS = 200_000, 32, 2
+HOT_LIMIT, HOT_CHARS = 200_000, 32
+#: Distinct units that a task counts before it hands them on.
+GROUP_UNITS = 200_000
 #: Places of an edge's rank, id, start and length in one long: 18, 18, 20 and 7 bits.
 _RANK, _ID, _START = 1 << 45, 1 << 27, 1 << 7
 _WIDEST, _LONGEST = (1 << 18) - 1, (1 << 7) - 1
+_LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+#: Spaces and a run of letters, a digit, a line end or a run of others.
+_UNIT = re.compile(rf" *(?:[{_LETTERS}]+|[0-9]|\n|[^{_LETTERS}0-9\n ]+)| +")
+_ONE_CLASS = re.compile(rf"[{_LETTERS}]{{2}}|[^{_LETTERS}0-9\n]{{2}}")
 
 
 def default_model() -> str:
@@ -61,7 +75,7 @@ def default_model() -> str:
 
 
 class Pieces:
-    """The piece table of a model file: texts, scores, which are bytes, and the pairs of characters inside pieces."""
+    """The piece table of a model file: texts, scores, ranks by text, which are bytes, and the pairs of characters inside pieces."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -72,12 +86,14 @@ class Pieces:
         self.scores = [model.get_score(i) for i in range(n)]
         self.byte = {int(self.texts[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+        self.ranked = sorted(self.plain, key=lambda i: (-self.scores[i], i))
+        self.rank = {self.texts[i]: r for r, i in enumerate(self.ranked)}
         self.longest = max(len(self.texts[i]) for i in self.plain)
         self.inside = {t[k : k + 2] for i in self.plain for t in [self.texts[i]] for k in range(len(t) - 1)}
         if n > _WIDEST or self.longest > _LONGEST:
             raise ValueError("this model has too many or too long pieces for one long an edge")
-        if any(a != MARK and b == MARK for a, b in self.inside):
-            raise ValueError("pieces of this model cross spaces; units can't be encoded alone")
+        if any(pair[0] != MARK and (pair[1] == MARK or not _ONE_CLASS.fullmatch(pair)) for pair in self.inside):
+            raise ValueError("pieces of this model cross spaces or classes of characters; units can't be encoded alone")
 
 
 @lru_cache(maxsize=2)
@@ -85,42 +101,63 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def units(text: str, inside: set[str]) -> list[str]:
-    """The units of a text in order. A unit too long for one long is cut where no piece can cross."""
-    if not text:
-        return []
-    cuts = text.split(" ")
-    if "" in cuts or MARK in text:
-        out, marks = [], ""
-        for part in (MARK + text.replace(" ", MARK)).split(MARK)[1:]:
-            marks += MARK
-            if part:
-                out.append(marks + part)
-                marks = ""
-        out += [marks] if marks else []
-    else:
-        out = [MARK + c for c in cuts]
-    if max(map(len, out)) <= BITS:
-        return out
-    short = []
-    for unit in out:
-        if len(unit) > BITS:
-            starts = [0, *(k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in inside), len(unit)]
-            short += [unit[a:b] for a, b in zip(starts, starts[1:], strict=False)]
-        else:
-            short.append(unit)
-    return short
+def units(text: str) -> list[str]:
+    """The units of a text in order, with spaces for marks."""
+    return _UNIT.findall(" " + text.replace(MARK, " ")) if text else []
+
+
+def short_units(unit: str, inside: set[str]) -> list[str]:
+    """A unit with marks, or its parts where it is too long for one long: it is cut where no piece can cross."""
+    if len(unit) <= BITS:
+        return [unit]
+    starts = [0, *(k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in inside), len(unit)]
+    return [unit[a:b] for a, b in zip(starts, starts[1:], strict=False)]
+
+
+def merge_long(unit: str, path: str) -> list[int]:
+    """The ids of a unit of any length: neighbouring symbols merge in order of rank, the leftmost first."""
+    model = pieces(path)
+    symbols, after = list(unit), list(range(1, len(unit) + 1))
+    before = list(range(-1, len(unit) - 1))
+    heap: list[tuple[int, int, str]] = []
+
+    def propose(left: int) -> None:
+        right = after[left]
+        if right < len(symbols):
+            both = symbols[left] + symbols[right]
+            rank = model.rank.get(both)
+            if rank is not None:
+                heapq.heappush(heap, (rank, left, both))
+
+    for k in range(len(symbols)):
+        propose(k)
+    while heap:
+        _, left, both = heapq.heappop(heap)
+        right = after[left] if symbols[left] else len(symbols)
+        if right == len(symbols) or symbols[left] + symbols[right] != both:
+            continue
+        symbols[left], symbols[right] = both, ""
+        after[left] = after[right]
+        if after[left] < len(symbols):
+            before[after[left]] = left
+        propose(left)
+        if before[left] >= 0:
+            propose(before[left])
+    out = []
+    for symbol in filter(None, symbols):
+        rank = model.rank.get(symbol)
+        out += [model.ranked[rank]] if rank is not None else [model.byte.get(b, 0) for b in symbol.encode()]
+    return out
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
     """`piece, id, rank` of the model's plain pieces, the best score first; as many rows as the model has pieces."""
     model = pieces(path)
-    order = sorted(model.plain, key=lambda i: (-model.scores[i], i))
-    return spark.createDataFrame([(model.texts[i], i, r) for r, i in enumerate(order)], "piece string, id int, rank long")
+    return spark.createDataFrame([(model.texts[i], i, r) for r, i in enumerate(model.ranked)], "piece string, id int, rank long")
 
 
 def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """From distinct `unit`s: `unit, edges`, each edge rank, id, start and length in one long.
+    """From distinct `unit`s: `unit, edges` and other columns, each edge rank, id, start and length in one long.
 
     The empty substring at the start of each unit stands for a unit without any
     piece, and is dropped again; so no second join with the units is needed. The
@@ -128,40 +165,34 @@ def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     and the texts are compared where it is found.
     """
     n = F.char_length("unit")
-    starts = words.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    others = [c for c in words.columns if c != "unit"]
+    starts = words.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     least = F.when(F.col("start") == 0, 0).otherwise(1)
-    spans = starts.select("unit", "start", F.explode(F.sequence(least, F.least(F.lit(longest), n - F.col("start")))).alias("len"))
+    spans = starts.select("*", F.explode(F.sequence(least, F.least(F.lit(longest), n - F.col("start")))).alias("len"))
     empty = table.sparkSession.createDataFrame([("", 0, _WIDEST)], "piece string, id int, rank long")
     known = table.select("piece", "id", "rank").unionByName(empty).select(F.xxhash64("piece").alias("code"), F.col("piece").alias("whole"), (F.col("rank") * _RANK + F.col("id").cast("long") * _ID).alias("front"))
     part = spans.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("len"))).withColumn("code", F.xxhash64("piece"))
     same = F.startswith("piece", "whole") & (F.octet_length("whole") >= F.octet_length("piece"))
     found = part.join(F.broadcast(known), (part["code"] == known["code"]) & same)
     edge = F.col("front") + F.col("start") * _START + F.col("len")
-    edges = found.select("unit", edge.alias("edge")).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    return edges.select("unit", F.expr("slice(edges, 1, size(edges) - 1)").alias("edges"))
+    edges = found.select("unit", *others, edge.alias("edge")).groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"), *(F.first(c).alias(c) for c in others))
+    return edges.withColumn("edges", F.expr("slice(edges, 1, size(edges) - 1)"))
 
 
 # The parts of an edge as SQL inside lambdas.
 _S, _L, _I = "cast(shiftright(e, 7) & 1048575 as int)", "cast(e & 127 as int)", "cast(shiftright(e, 27) & 262143 as int)"
-_TEXT_ENDS = f"substr(m, {_S} + 1, 1) = '1' and substr(m, {_S} + {_L} + 1, 1) = '1'"
-_TEXT_INNER = f"length(replace(substr(m, {_S} + 2, {_L} - 1), '0', ''))"
 
 
 def fold_merges(edges: DataFrame) -> DataFrame:
     """`unit, edges` with `held`, the edges between neighbouring boundaries after all merges.
 
-    A unit's boundaries are the bits of one long, of a long unit the signs of a
-    text. An edge is two masks: its ends must be boundaries, and it merges where
-    just one boundary is inside.
+    A unit's boundaries are the bits of one long. An edge is two masks: its ends
+    must be boundaries, and it merges where just one boundary is inside.
     """
     masks = f"transform(edges, e -> named_struct('e', e, 'ends', shiftleft(shiftleft(1L, {_L}) | 1L, {_S}), 'inner', shiftleft(shiftleft(1L, {_L} - 1) - 1L, {_S} + 1)))"
     bits = "aggregate(filter(masks, x -> x.inner <> 0), shiftleft(1L, char_length(unit) + 1) - 1, (m, x) -> if((m & x.ends) = x.ends and bit_count(m & x.inner) = 1, m & ~x.inner, m))"
-    text = f"aggregate(edges, repeat('1', char_length(unit) + 1), (m, e) -> if({_TEXT_ENDS} and {_TEXT_INNER} = 1, overlay(m placing repeat('0', {_L} - 1) from {_S} + 2), m))"
-    short = f"char_length(unit) <= {BITS}"
-    folded = edges.withColumn("masks", F.expr(f"if({short}, {masks}, null)")).withColumn("bits", F.expr(f"if({short}, {bits}, null)")).withColumn("text", F.expr(f"if({short}, null, {text})"))
-    by_bits = "transform(filter(masks, x -> (bits & x.ends) = x.ends and (bits & x.inner) = 0), x -> x.e)"
-    by_text = f"filter(edges, e -> {_TEXT_ENDS} and {_TEXT_INNER} = 0)".replace("(m,", "(text,")
-    return folded.withColumn("held", F.expr(f"if({short}, {by_bits}, {by_text})")).drop("masks", "bits", "text")
+    held = "transform(filter(masks, x -> (bits & x.ends) = x.ends and (bits & x.inner) = 0), x -> x.e)"
+    return edges.withColumn("masks", F.expr(masks)).withColumn("bits", F.expr(bits)).withColumn("held", F.expr(held)).drop("masks", "bits")
 
 
 def fold_viterbi(table: DataFrame, unknown: float = -1e4) -> Column:
@@ -190,7 +221,7 @@ def _constant(values: list) -> str:
 
 
 def encoded(words: DataFrame, path: str) -> DataFrame:
-    """`unit, ids` of distinct units, by the merges of a BPE model, and `held`, the edges that the ids are of; the characters between them are bytes."""
+    """`unit, ids` and other columns of distinct units, by the merges of a BPE model, and `held`, the edges that the ids are of; the characters between them are bytes."""
     spark, model = words.sparkSession, pieces(path)
     table = piece_table(spark, path)
     byte_ids = _constant([model.byte.get(b, 0) for b in range(256)])
@@ -202,7 +233,7 @@ def encoded(words: DataFrame, path: str) -> DataFrame:
     hexes = "hex(encode(substr(unit, s + 1, 1), 'UTF-8'))"
     as_bytes = f"transform(sequence(1, length({hexes}) div 2), k -> cast(element_at({byte_ids}, cast(conv(substr({hexes}, 2 * k - 1, 2), 16, 10) as int) + 1) as int))"
     parts = f"array_sort(concat({own}, transform({places}, s -> named_struct('s', s, 'ids', {as_bytes}))))"
-    return folded.select("unit", F.expr(f"if({gone}, {whole}, flatten(transform({parts}, p -> p.ids)))").alias("ids"), "held")
+    return folded.withColumn("ids", F.expr(f"if({gone}, {whole}, flatten(transform({parts}, p -> p.ids)))")).drop("edges")
 
 
 @lru_cache(maxsize=2)
@@ -218,22 +249,6 @@ def spell(ids: list[int], table: list[bytes]) -> bytes:
     return b"".join([table[i] for i in ids])[1:]
 
 
-def _plain_cuts(text: str) -> list[str] | None:
-    """The units of a text without their mark, if each has just one."""
-    cuts = text.split(" ") if text else []
-    return None if MARK in text or "" in cuts else cuts
-
-
-def _frequent(docs: DataFrame, text: str, limit: int, chars: int, least: int) -> DataFrame:
-    """`unit`: at most `limit` units of the most documents, proposed by groups in which `least` documents hold them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return often_seen(batches, lambda value: {k for k in _plain_cuts(value) or () if len(k) < chars}, least)
-
-    counted = docs.select(text).mapInArrow(run, "item string, n long").groupBy("item").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.col("n").desc(), "item").limit(limit).select(F.concat(F.lit(MARK), "item").alias("unit"))
-
-
 def _id_type(path: str) -> np.dtype:
     """The narrowest type of ids; its greatest value holds the place of a unit whose ids aren't known yet."""
     return np.dtype("<u2" if len(pieces(path).texts) < (1 << 16) - 1 else "<u4")
@@ -243,29 +258,77 @@ def _fingerprint(spelled: bytes) -> bytes:
     return blake2b(spelled, digest_size=16).digest()
 
 
+def _counted(docs: DataFrame, text: str, path: str) -> DataFrame:
+    """`unit, n`: every distinct unit of up to BITS characters of all documents, with marks, and how often it occurs. Tasks count before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside = pieces(path).inside
+        seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            made: Counter = Counter()
+            for unit, n in seen.items():
+                for one in short_units(unit.replace(" ", MARK), inside):
+                    if len(one) <= BITS:
+                        made[one] += n
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), pa.array(list(made.values()), pa.int64())], names=["unit", "n"])
+
+        for batch in batches:
+            for cell in batch.column(0):
+                seen.update(units(cell.as_py() or ""))
+                if len(seen) >= GROUP_UNITS:
+                    yield out()
+        yield out()
+
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return docs.select(text).mapInArrow(run, "unit string, n long").repartition(parts, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
+
+
+def _hot(vocabulary: DataFrame, limit: int, chars: int, kind: np.dtype) -> dict[str, bytes]:
+    """At most `limit` of the most frequent short units, with spaces for marks, and their ids. The least frequency is found from a count of levels, an eighth of a power of two each."""
+    level = F.floor(F.log2("n") * 8)
+    short = vocabulary.filter(F.char_length("unit") <= chars)
+    sizes = sorted(((r.level, r.units) for r in short.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("units")).collect()), reverse=True)  # at most 8 * 63 rows
+    least, total = None, 0
+    for at, units_there in sizes:
+        total += units_there
+        if total > limit:
+            break
+        least = at
+    if least is None:
+        return {}
+    known = short.filter(level >= least).select("unit", "ids").toArrow()  # at most `limit` short rows
+    return {unit.replace(MARK, " "): np.array(ids, kind).tobytes() for part in known.to_batches(10_000) for unit, ids in zip(part["unit"].to_pylist(), part["ids"].to_pylist(), strict=True)}
+
+
 def _by_document(docs: DataFrame, doc_id: str, text: str, path: str, hot: dict[str, bytes]) -> DataFrame:
-    """`row, doc_id, print`, the text's fingerprint, `ids` in order with a hole for each unit that isn't hot, `rest`, the distinct units of the holes, and `slots`, which of them each hole takes. `hot` has units without their mark."""
+    """`row, doc_id, print`, the text's fingerprint, `ids` in order with a hole for each unit that isn't hot (compressed), `rest`, the distinct units of the holes, and `slots`, which of them each hole takes. `hot` has units with spaces for marks."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, inside, kind = shared.value.get, pieces(path).inside, _id_type(path)
         hole = np.array([np.iinfo(kind).max], kind).tobytes()
+        pack = ZstdCompressor(level=1).compress
         for batch in batches:
             prints, ids, slots, names, ends = [], [], [], [], [0]
             for cell in batch.column(2):
                 value = cell.as_py() or ""
-                cuts = _plain_cuts(value)
-                found, taken, own = [], [], {}
-                for unit in units(value, inside) if cuts is None else cuts:
-                    part = known(unit) if cuts is not None else known(unit[1:]) if unit[0] == MARK else None
-                    if part is not None:
-                        found.append(part)
-                        continue
-                    for one in [unit] if cuts is None else [MARK + unit] if len(unit) < BITS else units(unit, inside):
-                        found.append(hole)
-                        taken.append(own.setdefault(one, len(own)))
+                cuts = units(value)
+                found, taken, own = list(map(known, cuts)), [], {}
+                if None in found:
+                    for k, part in enumerate(found):
+                        if part is None:
+                            made = []
+                            for one in short_units(cuts[k].replace(" ", MARK), inside):
+                                if len(one) > BITS:
+                                    made.append(np.array(merge_long(one, path), kind).tobytes())
+                                else:
+                                    made.append(hole)
+                                    taken.append(own.setdefault(one, len(own)))
+                            found[k] = b"".join(made)
                 prints.append(_fingerprint(value.replace(MARK, " ").encode("utf-8", "surrogatepass")))
-                ids.append(b"".join(found))
+                ids.append(pack(b"".join(found)))
                 slots.append(np.array(taken, "<i4").tobytes())
                 names += own
                 ends.append(len(names))
@@ -278,7 +341,7 @@ def _by_document(docs: DataFrame, doc_id: str, text: str, path: str, hot: dict[s
 
 def _filled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """From `doc_id, print, ids, slots, found`: the holes are filled, and what the ids decode to is compared with the text."""
-    kind, table = _id_type(path), piece_bytes(path)
+    kind, table, unpack = _id_type(path), piece_bytes(path), ZstdDecompressor().decompress
     is_byte = np.zeros(len(table), bool)
     is_byte[list(pieces(path).byte.values())] = True
     for batch in batches:
@@ -288,7 +351,7 @@ def _filled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         bounds, values = parts.offsets.to_numpy(), parts.values.to_numpy().astype(kind)
         out, n_bytes, complete, ends = [], [], [], [0]
         for k in range(batch.num_rows):
-            ids = np.frombuffer(batch.column(2)[k].as_py(), kind)
+            ids = np.frombuffer(unpack(batch.column(2)[k].as_py()), kind)
             slots = np.frombuffer(batch.column(3)[k].as_py(), "<i4")
             if len(slots):
                 at = np.full(slots.max() + 1, -1)
@@ -310,19 +373,14 @@ def _filled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(complete, pa.bool_())], names=["doc_id", "ids", "n_pieces", "n_bytes", "complete"])
 
 
-def count_encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, hot_limit: int = HOT_LIMIT, hot_chars: int = HOT_CHARS, hot_docs: int = HOT_DOCS) -> DataFrame:
+def count_encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, hot_limit: int = HOT_LIMIT, hot_chars: int = HOT_CHARS) -> DataFrame:
     """`doc_id, ids, n_pieces, n_bytes, complete, ids_digest` for each row of `docs`: the ids in order, and whether they decode to the text."""
     path = path or default_model()
-    hot_units = written(_frequent(docs, text, hot_limit, hot_chars, hot_docs), "pieces-hot")
-    known = encoded(hot_units.repartition("unit"), path).select("unit", "ids").toArrow()  # at most hot_limit short rows
-    kind = _id_type(path)
-    hot = {unit[1:]: np.array(ids, kind).tobytes() for part in known.to_batches(10_000) for unit, ids in zip(part["unit"].to_pylist(), part["ids"].to_pylist(), strict=True)}
-    del known
-    per_doc = written(_by_document(docs, doc_id, text, path, hot), "pieces-by-doc")
+    vocabulary = written(encoded(_counted(docs, text, path), path).select("unit", "n", "ids"), "pieces-vocabulary")
+    per_doc = written(_by_document(docs, doc_id, text, path, _hot(vocabulary, hot_limit, hot_chars, _id_type(path))), "pieces-by-doc")
     pairs = per_doc.select("row", F.posexplode("rest").alias("slot", "unit"))
-    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    vocabulary = written(encoded(pairs.select("unit").repartition(parts, "unit").distinct(), path).select("unit", "ids"), "pieces-vocabulary")
-    found = written(pairs.join(vocabulary, "unit").groupBy("row").agg(F.collect_list(F.struct("slot", "ids")).alias("found")), "pieces-found")
+    found = written(pairs.join(vocabulary.drop("n"), "unit").groupBy("row").agg(F.collect_list(F.struct("slot", "ids")).alias("found")), "pieces-found")
+    forget(vocabulary)
     none = F.array().cast(found.schema["found"].dataType)
     both = per_doc.join(found, "row", "left").select("doc_id", "print", "ids", "slots", F.coalesce("found", none).alias("found"))
     filled = both.mapInArrow(lambda batches: _filled(batches, path), "doc_id long, ids array<int>, n_pieces long, n_bytes long, complete boolean")
@@ -335,12 +393,18 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
 
     @F.udf("array<string>", useArrow=True)
     def cut(value):
-        return None if value is None else units(value, pieces(path).inside)
+        inside = pieces(path).inside
+        return None if value is None else [one for unit in units(value) for one in short_units(unit.replace(" ", MARK), inside)]
+
+    @F.udf("array<int>", useArrow=True)
+    def merged(unit):
+        return merge_long(unit, path)
 
     rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct("*").alias("_doc"), cut(F.col(text)).alias("_units")), "pieces-units")
     places = rows.select("_row", F.posexplode("_units").alias("_at", "unit"))
-    vocabulary = written(encoded(places.select("unit").distinct(), path), "pieces-vocabulary")
-    found = places.join(vocabulary, "unit").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_parts"))
+    short = F.char_length("unit") <= BITS
+    vocabulary = written(encoded(places.filter(short).select("unit").distinct(), path), "pieces-vocabulary")
+    found = places.filter(short).join(vocabulary.drop("held"), "unit").unionByName(places.filter(~short).withColumn("ids", merged("unit"))).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_parts"))
     ids = F.flatten(F.transform("_parts", lambda p: p["ids"]))
     both = rows.select("_row", "_doc", (F.size("_units") == 0).alias("_none")).join(found, "_row", "left")
     return both.select(*[F.col("_doc")[c].alias(c) for c in docs.columns if c != "ids"], F.when(F.col("_none"), F.array().cast("array<int>")).otherwise(ids).alias("ids"))

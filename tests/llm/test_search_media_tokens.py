@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from zstandard import ZstdCompressor
 
 from bookflow.llm import media, pivot_search, sentencepiece_lattice, token_counts
 
@@ -112,7 +113,7 @@ def test_encoding_is_the_library_s(spark):
         assert r.decoded == (None if r.text is None else r.text.replace("▁", " "))
     docs = frame.withColumnRenamed("ids_of", "doc_id").drop("ids")
     for limit in (3, 200_000):
-        counted = {r.doc_id: r for r in sentencepiece_lattice.count_encoded(docs, hot_limit=limit, hot_docs=1).collect()}
+        counted = {r.doc_id: r for r in sentencepiece_lattice.count_encoded(docs, hot_limit=limit).collect()}
         assert len(counted) == len(texts)
         for i, t in enumerate(texts):
             ids = model.encode(t or "")
@@ -124,13 +125,13 @@ def test_query_has_ids_in_order_and_decodes_them(spark):
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=sentencepiece_lattice.default_model())
-    texts = ["one two qqzxv three qqzxv \u4e16", "three \u4e16 qqzxv two qqzxv one", None, "", "a  b\u2581c", "x" * 300 + " end " + "longer-word" * 9]
+    texts = ["one two qqzxv three qqzxv \u4e16", "three \u4e16 qqzxv two qqzxv one", None, "", "a  b\u2581c", "x" * 300 + " end " + "longer-word" * 9, "abcdefgh" * 40 + "  \n\n" + "é" * 70 + "=" * 200, "a\nb1234 -- 5.\r\nЖук🙂\u3000x\u200bz", "y" * 1_200_000 + " " * 90 + "z"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     for limit in (2, 200_000):
-        got = {r.doc_id: r for r in sentencepiece_lattice.count_encoded(docs, hot_limit=limit, hot_docs=1).collect()}
+        got = {r.doc_id: r for r in sentencepiece_lattice.count_encoded(docs, hot_limit=limit).collect()}
         assert [got[i].ids for i in range(len(texts))] == [model.encode(t or "") for t in texts]
         assert got[0].ids_digest != got[1].ids_digest and all(r.complete for r in got.values())
-    rows = pa.RecordBatch.from_pydict({"d": [1], "print": [sentencepiece_lattice._fingerprint(b"one two")], "ids": [np.array(model.encode("two one"), "<u2").tobytes()], "slots": [b""], "found": pa.array([[]], pa.list_(pa.struct([("slot", pa.int32()), ("ids", pa.list_(pa.int32()))])))})
+    rows = pa.RecordBatch.from_pydict({"d": [1], "print": [sentencepiece_lattice._fingerprint(b"one two")], "ids": [ZstdCompressor().compress(np.array(model.encode("two one"), "<u2").tobytes())], "slots": [b""], "found": pa.array([[]], pa.list_(pa.struct([("slot", pa.int32()), ("ids", pa.list_(pa.int32()))])))})
     (out,) = sentencepiece_lattice._filled(iter([rows]), sentencepiece_lattice.default_model())
     assert out.column(4).to_pylist() == [False]  # as many bytes, in another order
 
