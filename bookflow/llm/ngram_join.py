@@ -9,10 +9,12 @@ with the transpose:
    n-grams share only make the order coarser; it moves work and never the result.
 3. Two linked rows share one of their leading columns, as many as their sizes
    ask for; rows meet there, within a size band.
-4. The product of the rows that meet is taken in blocks of columns. A pair's
+4. A row has a number of blocks of columns in proportion to its size, and keeps
+   its count in each. The lesser counts of both rows, summed, bound a pair's
+   overlap; pairs go that stay below the overlap that their two sizes ask for.
+5. The product of the rows that are left is taken in blocks of columns. A pair's
    overlap adds up block by block, and the pair is dropped as soon as what it
-   has, with the most that the blocks to come can add, is below the overlap that
-   its two sizes ask for.
+   has, with the most that the blocks to come can add, is below the bound.
 
 A group of near copies would meet in all pairs. So rows first meet, for each of
 their columns and bands, its hub alone: the row whose leading columns are the
@@ -39,19 +41,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from zstandard import ZstdCompressor, ZstdDecompressor
 
 from bookflow.llm.common import forget, table, written
 from bookflow.llm.components import components
 from bookflow.llm.wordhash import runs, word_hashes
 
 WORDS, PERCENT = 3, 90
-#: 2^21 counters of n-grams, kept and summed in 2^8 parts; their levels take one byte each.
-COUNTER_BITS, PART_BITS = 21, 8
+#: 2^22 counters of n-grams, kept and summed in 2^8 parts; their levels take one byte each.
+COUNTER_BITS, PART_BITS = 22, 8
 #: Levels are eighths of a power of two.
 LEVELS = 8
 #: Hubs whose overlap a row takes in full.
 HUBS = 2
-BLOCKS = 16
+#: Blocks of the product; and n-grams in a counted block, about, and most blocks of a row.
+BLOCKS, BLOCK_GRAMS, MOST_BLOCKS = 16, 4, 1 << 14
 _LAST = (1 << 63) - 1
 
 
@@ -81,11 +85,11 @@ def _matrix(keyed: DataFrame, n: int, bits: int) -> DataFrame:
     width = 1 << (bits - min(bits, PART_BITS))
 
     def parts(counters: np.ndarray) -> Iterator[pa.RecordBatch]:
-        lines = counters.reshape(-1, width)
+        lines, pack = counters.reshape(-1, width), ZstdCompressor(level=1).compress
         for at in range(0, len(lines), 32):
             some = lines[at : at + 32]
             nothing = [pa.nulls(len(some), pa.int64())] * 5
-            yield pa.RecordBatch.from_arrays([*nothing, pa.nulls(len(some), pa.binary()), pa.array(np.arange(at, at + len(some))), pa.array([x.tobytes() for x in some], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*nothing, pa.nulls(len(some), pa.binary()), pa.array(np.arange(at, at + len(some))), pa.array([pack(x.tobytes()) for x in some], pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, waiting = np.zeros(1 << bits, np.uint32), []
@@ -115,9 +119,10 @@ def _levels(counted: DataFrame, bits: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
+        unpack = ZstdDecompressor().decompress
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(counts.as_py(), np.uint32).astype(np.int64)
+                own = np.frombuffer(unpack(counts.as_py()), np.uint32).astype(np.int64)
                 sums[part] = own + sums[part] if part in sums else own
         levels = [np.floor(np.log2(x + 1.0) * LEVELS).clip(0, 255).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(levels, pa.binary())], names=["part", "levels"])
@@ -130,15 +135,30 @@ def _levels(counted: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def block_counts(grams: np.ndarray) -> bytes:
+    """How many of a row's n-grams fall into each of its blocks of columns, 255 for that and more. The blocks are a power of two, by the leading bits of the hashes."""
+    bits = max(6, min(MOST_BLOCKS, max(1, len(grams) // BLOCK_GRAMS)).bit_length())
+    return np.minimum(np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def could_reach(x: bytes, y: bytes, need: int) -> bool:
+    """Whether rows of these block counts can have an overlap of `need`. The finer counts are added up to the coarser blocks."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    full = (a == 255).any() and (b == 255).any()
+    width = min(len(a), len(b))
+    least = np.minimum(a.reshape(width, -1).sum(axis=1, dtype=np.int64), b.reshape(width, -1).sum(axis=1, dtype=np.int64)).sum()
+    return bool(full or least >= need)
+
+
 def _leading(keyed: DataFrame, n: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """`id, content, key, n_shingles, leading, weight`: the first columns of each row in the global order, by level and hash, and the sum of their levels."""
+    """`id, content, key, n_shingles, leading, weight, blocks`: the first columns of each row in the global order, by level and hash, the sum of their levels, and the counts in the row's blocks."""
     shared = keyed.sparkSession.sparkContext.broadcast(levels)
     bits = int(len(levels)).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of = shared.value
         for batch in batches:
-            keys, sizes, lead, weights = [], [], [], []
+            keys, sizes, lead, weights, blocks = [], [], [], [], []
             for cell in batch.column(2):
                 s = shingles(cell.as_py(), n)
                 size = len(s)
@@ -148,9 +168,10 @@ def _leading(keyed: DataFrame, n: int, percent: int, levels: np.ndarray) -> Data
                 sizes.append(size)
                 lead.append(s[first])
                 weights.append(int(level[first].sum(dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), _ragged(lead), pa.array(weights, pa.int64())], names=["id", "content", "key", "n_shingles", "leading", "weight"])
+                blocks.append(block_counts(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), _ragged(lead), pa.array(weights, pa.int64()), pa.array(blocks, pa.binary())], names=["id", "content", "key", "n_shingles", "leading", "weight", "blocks"])
 
-    return keyed.select("id", "content", "text").mapInArrow(run, "id long, content long, key binary, n_shingles long, leading array<long>, weight long")
+    return keyed.select("id", "content", "text").mapInArrow(run, "id long, content long, key binary, n_shingles long, leading array<long>, weight long, blocks binary")
 
 
 def reaching(x: list[np.ndarray], y: list[np.ndarray], percent: int, blocks: int = BLOCKS) -> np.ndarray:
@@ -177,6 +198,20 @@ def reaching(x: list[np.ndarray], y: list[np.ndarray], percent: int, blocks: int
     return alive & ((100 + percent) * have >= percent * total) & (total > 0)
 
 
+def _could(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Those pairs `x, y` whose block counts can reach the overlap that their sizes ask for, written."""
+    side = lambda c: rows.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("blocks").alias(f"b{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            need = -(-percent * (batch.column(2).to_numpy() + batch.column(3).to_numpy()) // (100 + percent))
+            keep = [could_reach(a.as_py(), b.as_py(), n) for a, b, n in zip(batch.column(4), batch.column(5), need.tolist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(side("y"), "y").join(side("x"), "x").select("x", "y", "nx", "ny", "bx", "by")
+    return written(both.mapInArrow(run, "x long, y long"), "join-pairs")
+
+
 def _linked(pairs: DataFrame, rows: DataFrame, keyed: DataFrame, n: int, percent: int) -> DataFrame:
     """Those pairs `x, y` of a written table whose overlap reaches the bound, written. Sets are made for the rows of these pairs alone."""
 
@@ -214,15 +249,13 @@ def _across(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs `x, y` of rows of different components that share a leading column, and whose columns from there on can reach the overlap."""
     placed = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     labelled = placed.groupBy("gram", "label").count().groupBy("gram").agg(F.max(F.struct("count", "label")).alias("most"), F.count(F.lit(1)).alias("n"))
-    placed = written(placed.join(labelled.filter("n > 1").select("gram", F.col("most.label").alias("main")), "gram"), "join-placed")
+    placed = placed.join(labelled.filter("n > 1").select("gram", F.col("most.label").alias("main")), "gram")
     left = placed.filter("label != main").select("gram", F.col("node").alias("x"), F.col("n_shingles").alias("nx"), F.col("pos").alias("px"), F.col("label").alias("lx"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
     right = placed.select("gram", "band", F.col("node").alias("y"), F.col("n_shingles").alias("ny"), F.col("pos").alias("py"), F.col("label").alias("ly"))
     reach = (100 + percent) * F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) >= percent * (F.col("nx") + F.col("ny"))
     alike = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
     pairs = left.join(right, ["gram", "band"]).filter((F.col("lx") != F.col("ly")) & alike & reach)
-    out = written(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "join-pairs")
-    forget(placed)
-    return out
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, percent: int = PERCENT, counter_bits: int = COUNTER_BITS) -> DataFrame:
@@ -238,15 +271,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     levels = _levels(matrix.filter(F.col("row").isNull()).select("part", "counts"), counter_bits)
 
     lead = _leading(keyed, n, percent, levels).filter("n_shingles > 0").join(firsts, "key").filter("id = first_id")
-    rows = written(lead.dropDuplicates(["node"]).select("node", "id", "content", "n_shingles", "weight", "leading"), "join-rows")
+    rows = written(lead.dropDuplicates(["node"]).select("node", "id", "content", "n_shingles", "weight", "leading", "blocks"), "join-rows")
     band = F.floor(F.log(F.col("n_shingles")) / math.log(100 / percent)).cast("int")
     entries = rows.select("node", F.col("n_shingles").cast("int").alias("n_shingles"), F.col("weight").cast("int").alias("weight"), band.alias("band"), F.posexplode("leading").alias("pos", "gram"))
     meet = entries.groupBy("gram").count().filter("count > 1").select("gram")
     entries = written(entries.join(meet, "gram"), "join-entries")
 
-    links = _linked(written(_to_hubs(entries, percent), "join-pairs"), rows, keyed, n, percent)
+    links = _linked(_could(_to_hubs(entries, percent), rows, percent), rows, keyed, n, percent)
     labels = components(links)
-    more = _linked(_across(entries, labels, percent), rows, keyed, n, percent)
+    more = _linked(_could(_across(entries, labels, percent), rows, percent), rows, keyed, n, percent)
     all_labels = components(labels.select(F.col("node").alias("x"), F.col("label").alias("y")).union(more))
     forget(entries, links, more)
 

@@ -133,6 +133,12 @@ def test_block_products_equal_whole_overlaps():
         got = ngram_join.reaching(x, y, 80, blocks)
         assert got.tolist() == [100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for a, b in zip(x, y, strict=True)]
         assert 0 < got.sum() < len(x)
+    for a, b in zip(x, y, strict=True):
+        overlap = len(np.intersect1d(a, b))
+        assert ngram_join.could_reach(ngram_join.block_counts(a), ngram_join.block_counts(b), overlap)
+        assert not ngram_join.could_reach(ngram_join.block_counts(a), ngram_join.block_counts(b), min(len(a), len(b)) + 1)
+    assert ngram_join.could_reach(ngram_join.block_counts(x[0]), ngram_join.block_counts(np.concatenate([*x, *y])), len(x[0]))
+    assert not ngram_join.could_reach(ngram_join.block_counts(x[0]), ngram_join.block_counts(x[1]), 280)
     assert ngram_join.reaching([], [], 80).tolist() == [] and ngram_join.reaching([x[-1]], [x[-1]], 80).tolist() == [False]
 
 
