@@ -19,9 +19,9 @@ Decoding maps ids to the bytes of their pieces and joins the bytes; byte pieces
 need no other way.
 
 A corpus is encoded by its distinct units. The most frequent ones (a bounded
-number of bounded length) are broadcast with their ids; a text becomes its ids
-with holes for the other units, whose ids are joined to them by a shuffle and
-put into the holes. As a document's row the query returns its ids in order, how
+number of bounded length) get codes by rank and are broadcast; a text becomes
+its codes, packed, with holes for the other units, whose ids are joined to them
+by a shuffle. Codes and holes then give way to ids. As a document's row the query returns its ids in order, how
 many there are, how many of them are bytes, whether they decode to its text
 (compared by 128 bits of BLAKE2, so texts aren't shuffled; marks in a text count
 as spaces, as the model reads them), and a hash of the ids in their order.
@@ -56,9 +56,9 @@ from bookflow.llm.common import forget, table, written
 MARK = "▁"
 #: Units up to this many characters hold their boundaries in one long.
 BITS = 62
-HOT_LIMIT, HOT_CHARS = 200_000, 32
+HOT_LIMIT, HOT_CHARS = 400_000, 32
 #: Distinct units that a task counts before it hands them on.
-GROUP_UNITS = 200_000
+GROUP_UNITS = 500_000
 #: Places of an edge's rank, id, start and length in one long: 18, 18, 20 and 7 bits.
 _RANK, _ID, _START = 1 << 45, 1 << 27, 1 << 7
 _WIDEST, _LONGEST = (1 << 18) - 1, (1 << 7) - 1
@@ -249,11 +249,6 @@ def spell(ids: list[int], table: list[bytes]) -> bytes:
     return b"".join([table[i] for i in ids])[1:]
 
 
-def _id_type(path: str) -> np.dtype:
-    """The narrowest type of ids; its greatest value holds the place of a unit whose ids aren't known yet."""
-    return np.dtype("<u2" if len(pieces(path).texts) < (1 << 16) - 1 else "<u4")
-
-
 def _fingerprint(spelled: bytes) -> bytes:
     return blake2b(spelled, digest_size=16).digest()
 
@@ -285,85 +280,131 @@ def _counted(docs: DataFrame, text: str, path: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "unit string, n long").repartition(parts, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def _hot(vocabulary: DataFrame, limit: int, chars: int, kind: np.dtype) -> dict[str, bytes]:
-    """At most `limit` of the most frequent short units, with spaces for marks, and their ids. The least frequency is found from a count of levels, an eighth of a power of two each."""
+#: Ids as three bytes each, the first byte first.
+_PACKED = "unhex(array_join(transform(ids, i -> lpad(hex(i), 6, '0')), ''))"
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    three = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+    return three[:, 0] << 16 | three[:, 1] << 8 | three[:, 2]
+
+
+def short_codes(codes: np.ndarray) -> bytes:
+    """Codes below 2^21 as one to three bytes each, seven bits a byte, the lowest first."""
+    size = 1 + (codes >= 1 << 7) + (codes >= 1 << 14)
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(3):
+        more = size > k
+        out[start[more] + k] = (codes[more] >> 7 * k & 127) | (size[more] > k + 1) * 128
+    return out.tobytes()
+
+
+def long_codes(raw: bytes) -> np.ndarray:
+    """What `short_codes` has packed."""
+    part = np.frombuffer(raw, np.uint8)
+    last = np.flatnonzero(part < 128)
+    start = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    place = np.arange(len(part)) - np.repeat(start, last - start + 1)
+    return np.add.reduceat((part & 127).astype(np.int64) << 7 * place, start) if len(start) else np.zeros(0, np.int64)
+
+
+class Hot:
+    """The most frequent units: their codes, from 1 on, and their ids one after the other with where each code's begin. Code 0 is a hole."""
+
+    def __init__(self, known: list[tuple[str, int, bytes]]):
+        known = sorted(known, key=lambda r: (-r[1], r[0]))
+        ids = [unpacked(r[2]) for r in known]
+        self.codes = {r[0].replace(MARK, " "): k + 1 for k, r in enumerate(known)}
+        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        self.begins = np.concatenate([[0, 0], np.cumsum([*map(len, ids)])]).astype(np.int64)
+
+
+def _hot(vocabulary: DataFrame, limit: int, chars: int) -> Hot:
+    """At most `limit` of the most frequent short units. The least frequency is found from a count of levels, an eighth of a power of two each."""
     level = F.floor(F.log2("n") * 8)
     short = vocabulary.filter(F.char_length("unit") <= chars)
     sizes = sorted(((r.level, r.units) for r in short.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("units")).collect()), reverse=True)  # at most 8 * 63 rows
     least, total = None, 0
-    for at, units_there in sizes:
-        total += units_there
+    for at, there in sizes:
+        total += there
         if total > limit:
             break
         least = at
     if least is None:
-        return {}
-    known = short.filter(level >= least).select("unit", "ids").toArrow()  # at most `limit` short rows
-    return {unit.replace(MARK, " "): np.array(ids, kind).tobytes() for part in known.to_batches(10_000) for unit, ids in zip(part["unit"].to_pylist(), part["ids"].to_pylist(), strict=True)}
+        return Hot([])
+    known = short.filter(level >= least).select("unit", "n", "ids").toArrow()  # at most `limit` short rows
+    return Hot(list(zip(*(c.to_pylist() for c in known.columns), strict=True)))
+
+
+_FOUND = pa.list_(pa.struct([("slot", pa.int32()), ("ids", pa.binary())]))
 
 
-def _by_document(docs: DataFrame, doc_id: str, text: str, path: str, hot: dict[str, bytes]) -> DataFrame:
-    """`row, doc_id, print`, the text's fingerprint, `ids` in order with a hole for each unit that isn't hot (compressed), `rest`, the distinct units of the holes, and `slots`, which of them each hole takes. `hot` has units with spaces for marks."""
+def _by_document(docs: DataFrame, doc_id: str, text: str, path: str, hot: dict[str, int]) -> DataFrame:
+    """`row, doc_id, print`, the text's fingerprint, `codes` of its units, `rest`, the distinct units of the holes, `slots`, which of them each hole takes, and `own`, holes whose ids are known already, of units too long to be shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, inside, kind = shared.value.get, pieces(path).inside, _id_type(path)
-        hole = np.array([np.iinfo(kind).max], kind).tobytes()
-        pack = ZstdCompressor(level=1).compress
+        known, inside, pack = shared.value.get, pieces(path).inside, ZstdCompressor(level=3).compress
         for batch in batches:
-            prints, ids, slots, names, ends = [], [], [], [], [0]
+            prints, codes, slots, names, ends, own = [], [], [], [], [0], []
             for cell in batch.column(2):
                 value = cell.as_py() or ""
                 cuts = units(value)
-                found, taken, own = list(map(known, cuts)), [], {}
+                found, taken, rest, merged = list(map(known, cuts)), [], {}, []
                 if None in found:
-                    for k, part in enumerate(found):
-                        if part is None:
-                            made = []
-                            for one in short_units(cuts[k].replace(" ", MARK), inside):
-                                if len(one) > BITS:
-                                    made.append(np.array(merge_long(one, path), kind).tobytes())
-                                else:
-                                    made.append(hole)
-                                    taken.append(own.setdefault(one, len(own)))
-                            found[k] = b"".join(made)
+                    coded = []
+                    for unit, code in zip(cuts, found, strict=True):
+                        if code is not None:
+                            coded.append(code)
+                            continue
+                        for one in short_units(unit.replace(" ", MARK), inside):
+                            coded.append(0)
+                            if len(one) <= BITS:
+                                taken.append(rest.setdefault(one, len(rest)))
+                            else:
+                                merged.append({"slot": -len(merged) - 1, "ids": np.array(merge_long(one, path), ">i4").reshape(-1, 1).view(np.uint8)[:, 1:].tobytes()})
+                                taken.append(-len(merged))
+                    found = coded
                 prints.append(_fingerprint(value.replace(MARK, " ").encode("utf-8", "surrogatepass")))
-                ids.append(pack(b"".join(found)))
+                codes.append(pack(short_codes(np.array(found, np.int64))))
                 slots.append(np.array(taken, "<i4").tobytes())
-                names += own
+                names += rest
                 ends.append(len(names))
-            rest = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.binary()) for c in (prints, ids, slots)), rest], names=["row", "doc_id", "print", "ids", "slots", "rest"])
+                own.append(merged)
+            rests = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.binary()) for c in (prints, codes, slots)), rests, pa.array(own, _FOUND)], names=["row", "doc_id", "print", "codes", "slots", "rest", "own"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, print binary, ids binary, slots binary, rest array<string>")
+    return rows.mapInArrow(run, "row long, doc_id long, print binary, codes binary, slots binary, rest array<string>, own array<struct<slot:int,ids:binary>>")
 
 
-def _filled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """From `doc_id, print, ids, slots, found`: the holes are filled, and what the ids decode to is compared with the text."""
-    kind, table, unpack = _id_type(path), piece_bytes(path), ZstdDecompressor().decompress
+def _filled(batches: Iterator[pa.RecordBatch], path: str, hot_ids: np.ndarray, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """From `doc_id, print, codes, slots, found`: codes and holes become ids, and what the ids decode to is compared with the text."""
+    table, unpack = piece_bytes(path), ZstdDecompressor().decompress
     is_byte = np.zeros(len(table), bool)
     is_byte[list(pieces(path).byte.values())] = True
     for batch in batches:
-        of_doc = batch.column(4).offsets.to_numpy()
-        flat = batch.column(4).values
-        slot, parts = flat.field("slot").to_numpy(), flat.field("ids")
-        bounds, values = parts.offsets.to_numpy(), parts.values.to_numpy().astype(kind)
         out, n_bytes, complete, ends = [], [], [], [0]
         for k in range(batch.num_rows):
-            ids = np.frombuffer(unpack(batch.column(2)[k].as_py()), kind)
+            codes = long_codes(unpack(batch.column(2)[k].as_py()))
             slots = np.frombuffer(batch.column(3)[k].as_py(), "<i4")
+            first, size, more = begins[codes], begins[codes + 1] - begins[codes], hot_ids[:0]
             if len(slots):
-                at = np.full(slots.max() + 1, -1)
-                at[slot[of_doc[k] : of_doc[k + 1]]] = np.arange(of_doc[k], of_doc[k + 1])
-                item = at[slots]
-                if (item < 0).any():
-                    raise ValueError("a unit has no ids")
-                open_ = ids == np.iinfo(kind).max
-                times = np.ones(len(ids), np.int64)
-                times[open_] = bounds[item + 1] - bounds[item]
-                ids, open_ = np.repeat(ids, times), np.repeat(open_, times)
-                ids[open_] = np.concatenate([values[bounds[i] : bounds[i + 1]] for i in item])
+                known = {f["slot"]: unpacked(f["ids"]) for f in batch.column(4)[k].as_py()}
+                order = {slot: at for at, slot in enumerate(known)}
+                item = np.array([order[slot] for slot in slots.tolist()])
+                lengths = np.array([*map(len, known.values())])
+                open_ = codes == 0
+                first[open_] = len(hot_ids) + (np.cumsum(lengths) - lengths)[item]
+                size[open_] = lengths[item]
+                more = np.concatenate(list(known.values()))
+            total = int(size.sum())
+            at = np.arange(total) + np.repeat(first - (np.cumsum(size) - size), size)
+            late = at >= len(hot_ids)
+            ids = np.empty(total, np.int32)
+            ids[~late] = hot_ids[at[~late]]
+            ids[late] = more[at[late] - len(hot_ids)]
             out.append(ids)
             n_bytes.append(int(is_byte[ids].sum()))
             complete.append(_fingerprint(spell(ids.tolist(), table)) == batch.column(1)[k].as_py())
@@ -376,14 +417,15 @@ def _filled(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 def count_encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, hot_limit: int = HOT_LIMIT, hot_chars: int = HOT_CHARS) -> DataFrame:
     """`doc_id, ids, n_pieces, n_bytes, complete, ids_digest` for each row of `docs`: the ids in order, and whether they decode to the text."""
     path = path or default_model()
-    vocabulary = written(encoded(_counted(docs, text, path), path).select("unit", "n", "ids"), "pieces-vocabulary")
-    per_doc = written(_by_document(docs, doc_id, text, path, _hot(vocabulary, hot_limit, hot_chars, _id_type(path))), "pieces-by-doc")
+    vocabulary = written(encoded(_counted(docs, text, path), path).select("unit", "n", F.expr(_PACKED).alias("ids")), "pieces-vocabulary")
+    hot = _hot(vocabulary, min(hot_limit, (1 << 21) - 2), hot_chars)
+    per_doc = written(_by_document(docs, doc_id, text, path, hot.codes), "pieces-by-doc")
     pairs = per_doc.select("row", F.posexplode("rest").alias("slot", "unit"))
     found = written(pairs.join(vocabulary.drop("n"), "unit").groupBy("row").agg(F.collect_list(F.struct("slot", "ids")).alias("found")), "pieces-found")
     forget(vocabulary)
-    none = F.array().cast(found.schema["found"].dataType)
-    both = per_doc.join(found, "row", "left").select("doc_id", "print", "ids", "slots", F.coalesce("found", none).alias("found"))
-    filled = both.mapInArrow(lambda batches: _filled(batches, path), "doc_id long, ids array<int>, n_pieces long, n_bytes long, complete boolean")
+    shared = docs.sparkSession.sparkContext.broadcast((hot.ids, hot.begins))
+    both = per_doc.drop("rest").join(found, "row", "left").select("doc_id", "print", "codes", "slots", F.expr("if(found is null, own, concat(found, own))").alias("found"))
+    filled = both.mapInArrow(lambda batches: _filled(batches, path, *shared.value), "doc_id long, ids array<int>, n_pieces long, n_bytes long, complete boolean")
     return filled.withColumn("ids_digest", F.xxhash64("ids"))
 
 

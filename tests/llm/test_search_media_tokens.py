@@ -131,9 +131,18 @@ def test_query_has_ids_in_order_and_decodes_them(spark):
         got = {r.doc_id: r for r in sentencepiece_lattice.count_encoded(docs, hot_limit=limit).collect()}
         assert [got[i].ids for i in range(len(texts))] == [model.encode(t or "") for t in texts]
         assert got[0].ids_digest != got[1].ids_digest and all(r.complete for r in got.values())
-    rows = pa.RecordBatch.from_pydict({"d": [1], "print": [sentencepiece_lattice._fingerprint(b"one two")], "ids": [ZstdCompressor().compress(np.array(model.encode("two one"), "<u2").tobytes())], "slots": [b""], "found": pa.array([[]], pa.list_(pa.struct([("slot", pa.int32()), ("ids", pa.list_(pa.int32()))])))})
-    (out,) = sentencepiece_lattice._filled(iter([rows]), sentencepiece_lattice.default_model())
-    assert out.column(4).to_pylist() == [False]  # as many bytes, in another order
+    assert sentencepiece_lattice.Hot([]).codes == {} and sentencepiece_lattice.Hot([]).begins.tolist() == [0, 0]
+    ids = np.array(model.encode("two one"), np.int32)
+    rows = pa.RecordBatch.from_pydict({"d": [1], "print": [sentencepiece_lattice._fingerprint(b"one two")], "codes": [ZstdCompressor().compress(sentencepiece_lattice.short_codes(np.array([1])))], "slots": [b""], "found": pa.array([[]], sentencepiece_lattice._FOUND)})
+    (out,) = sentencepiece_lattice._filled(iter([rows]), sentencepiece_lattice.default_model(), ids, np.array([0, 0, len(ids)]))
+    assert out.column(1).to_pylist() == [ids.tolist()] and out.column(4).to_pylist() == [False]  # as many bytes, in another order
+
+
+def test_codes_and_ids_come_back_from_bytes():
+    codes = np.array([0, 1, 127, 128, 16383, 16384, (1 << 21) - 1, 5])
+    for part in (codes, codes[:0], codes[:1]):
+        assert sentencepiece_lattice.long_codes(sentencepiece_lattice.short_codes(part)).tolist() == part.tolist()
+    assert sentencepiece_lattice.unpacked(bytes([0, 0, 7, 0, 125, 0, 3, 0, 1])).tolist() == [7, 32000, 196609] and len(sentencepiece_lattice.unpacked(b"")) == 0
 
 
 def test_viterbi_fold_is_the_best_path(spark):
