@@ -103,7 +103,7 @@ def _matrix(keyed: DataFrame, n: int, bits: int) -> DataFrame:
             keys = [hashlib.md5(s.tobytes()).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([*map(len, sets)], pa.int64()), pa.array(keys, pa.binary()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.binary())], names=names)
             waiting += sets
-            if sum(map(len, waiting)) >= 1 << bits:
+            if sum(map(len, waiting)) >= 1 << 20:
                 count()
         if waiting:
             count()
