@@ -1,26 +1,27 @@
-"""Operator 6: main text of web pages, by a suffix array over each host's pages.
-
-Each page becomes blocks of text with what its markup says of them. The word
-streams of a host's pages are joined and their suffixes sorted (by doubling, as
-far as LENGTH words); neighbours in that order with a common beginning of LENGTH
-words on enough distinct pages are boilerplate. Words that such substrings cover
-are removed, and the unique runs between them are kept.
-
-Copies of one article repeat too, and menus may differ from page to page. So
-blocks in menus, headers, footers, asides, forms, scripts, adverts, notices and
-reader comments always go, and where a page has an <article> or <main>, only
-blocks of one stay. The suffix array decides on the rest, in articles too: there
-pages whose articles share half of their word pairs are copies of one article
-and count as one page, so what repeats with different surroundings goes and a
-copied article stays.
-
-A host is cut into shards of about SHARD_PAGES pages by hash, so a host with a
-third of all pages is many groups; boilerplate shows in each shard by itself.
+"""Operator 6: main text of web pages, by repeated substrings of each host's token streams.
+
+Each page becomes blocks of text with what its markup says of them, and a stream
+of words. The suffixes of all streams of a host are one distributed table, by
+the hash of their first RUN words: a group of equal hashes is a stretch of the
+host's suffix array. Of a substring of LENGTH words at least one of its suffixes
+is in the table, as the least hash of each WINDOW neighbours is kept (it depends
+on the words alone). Spark counts the distinct articles of each group, over the
+whole host. What is on enough of them is boilerplate; a page's stream is covered
+from hit to hit, covered words are removed, and unique runs are kept.
+
+Markup is evidence: blocks in menus, headers, footers, asides, forms, scripts,
+adverts, notices and reader comments always go, and where a page has an
+<article> or <main>, only blocks of one stay. On the rest of a page a substring
+goes that is on LEAST_SHARE of the host's articles. Articles themselves quote
+and repeat lines, so in them it has to be on ARTICLE_SHARE of them, as notices
+of a template are. Copies of one article repeat too: pages whose articles have
+the same least hash of word pairs (copies have, with the probability of their
+similarity) count as one article.
 
 Defined cases: null html is empty and has no text; unclosed, misnested and
-unended markup is read as far as it goes, in linear time; a null url is a host
-of its own, sharded like others; repeated rows each get their row; an empty
-table gives an empty one; other columns of the input aren't carried.
+unended markup and stray quotes are read as browsers do, in linear time; a null
+url is a host of its own; repeated rows each get their row; an empty table gives
+an empty one; other columns of the input aren't carried.
 """
 
 from __future__ import annotations
@@ -34,53 +35,65 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import table, written
-from bookflow.llm.wordhash import word_hashes
+from bookflow.llm.common import forget, table, written
+from bookflow.llm.wordhash import anchors, runs, word_hashes
 
-LENGTH, SHARD_PAGES, LEAST_PAGES, LEAST_SHARE = 8, 32, 3, 0.1
+LENGTH, RUN = 12, 5
+WINDOW = LENGTH - RUN + 1
+#: Boilerplate is on so many articles of a host, and on such a share of them; within articles on more.
+LEAST_PAGES, LEAST_SHARE = 3, 0.1
+ARTICLE_PAGES, ARTICLE_SHARE = 5, 0.5
 #: The level of <main>; articles have a higher one.
 MAIN = 2
-#: The share of word pairs that makes two articles copies of one.
-COPY_SHARE = 0.5
 
 # Names of elements and words in class, id and role.
 _RAW = frozenset("script style textarea title noscript template iframe svg math canvas object".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 _DROPPED = frozenset("nav header footer aside form button select option dialog menu head fieldset datalist".split()) | _RAW
-_DROPPED_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adslot adsense sponsor sponsored promo promotion banner taboola outbrain "
-    "cookie cookies cookiebar consent gdpr notice notices alert disclaimer copyright legal sidebar sidebars rail menu menus nav navbar navigation topbar "
-    "breadcrumb breadcrumbs footer header masthead comment comments commentlist disqus reply replies respond responses discussion feedback related recommended "
+# A class, id or role of these words alone, or of them and words for places, drops an element; in an article only those of the first list do.
+_ALWAYS_DROPPED = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox adslot adsense sponsor sponsored banner taboola outbrain cookie cookies cookiebar consent gdpr notice notices disclaimer "
+    "sidebar sidebars menu menus nav navbar navigation topbar breadcrumb breadcrumbs footer header masthead comment comments commentlist disqus".split()
+)
+_DROPPED_OUTSIDE = _ALWAYS_DROPPED | frozenset(
+    "promo promotion alert copyright legal rail reply replies respond responses discussion feedback related recommended "
     "share sharing social newsletter subscribe subscription signup login popup modal overlay pager pagination toolbar widget widgets skip paywall".split()
 )
+_PLACES = frozenset("box slot bar banner container wrapper wrap area section list block inner outer unit top bottom left right main site page global id link links item items form thread policy post posts".split())
 _BODY_WORDS = frozenset("content article post entry story main body text articlebody".split())
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|style|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\shidden(?=[\s/=]|$)", re.I)
+#: One attribute, or the tag's end. A quote counts only where a value begins.
+_ATTRIBUTE = re.compile(r"[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?)")
+_SAYS = frozenset("class id role itemprop style aria-hidden hidden".split())
 _PART = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def _meaning(tag: str, attributes: str, level: int, dropped: bool) -> tuple[int, bool]:
+_RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I | re.A) for tag in _RAW}
+
+
+def _dropped_name(parts: list[str], words: frozenset[str]) -> bool:
+    return any(p in words for p in parts) and all(p in words or p in _PLACES or p.isdigit() for p in parts)
+
+
+def _meaning(tag: str, attributes: list[tuple[str, str]], level: int, dropped: bool) -> tuple[int, bool]:
     """How strongly an element says that it is the article (3, 2, 1 or 0), and whether it is none of it; from its own and its parent's."""
     if tag in _DROPPED:
         return level, True
     own = 3 if tag == "article" else 2 if tag == "main" else 0
-    if attributes and tag not in ("html", "body"):
-        if _HIDDEN.search(attributes):
-            return level, True
-        for m in _ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+    if tag not in ("html", "body"):
+        words = _ALWAYS_DROPPED if max(own, level) >= MAIN else _DROPPED_OUTSIDE
+        for name, value in attributes:
             if name == "itemprop" and value.lower() == "articlebody" or name == "role" and value.lower() == "main":
                 own = max(own, 2)
-            elif name == "style" and "display:none" in value.replace(" ", "").lower() or name == "aria-hidden" and value.lower() == "true":
+            elif name == "hidden" or name == "style" and "display:none" in value.replace(" ", "").lower() or name == "aria-hidden" and value.lower() == "true":
                 dropped = True
             elif name in ("class", "id", "role"):
                 for one in value.split():
                     parts = [p.lower() for p in _PART.findall(one)]
-                    if parts and (parts[0] in _DROPPED_WORDS or parts[-1] in _DROPPED_WORDS):
+                    if _dropped_name(parts, words):
                         dropped = True
                     elif parts and parts[-1] in _BODY_WORDS:
                         own = max(own, 1)
@@ -90,8 +103,10 @@ def _meaning(tag: str, attributes: str, level: int, dropped: bool) -> tuple[int,
 def blocks(page: str | None) -> list[tuple[str, int, bool, int]]:
     """`text, level, dropped, words in links` of each block, in page order."""
     page = page or ""
-    lower, out, stack, parts = page.lower(), [], [], []
+    out, stack, parts = [], [], []
     level, dropped, linked, links = 0, False, 0, 0
+    open_at: dict[str, list[int]] = {}
+    not_inline: list[int] = []
 
     def flush() -> None:
         nonlocal linked
@@ -108,6 +123,10 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, int]]:
             flush()
         links -= sum(t == "a" for t, *_ in stack[depth:])
         _, level, dropped = stack[depth]
+        for t, *_ in stack[depth:]:
+            open_at[t].pop()
+        while not_inline and not_inline[-1] >= depth:
+            not_inline.pop()
         del stack[depth:]
 
     at, end = 0, len(page)
@@ -133,36 +152,29 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, int]]:
             parts.append("<")
             at = opens + 1
             continue
-        tag = m[0].lower()
-        at = m.end()
-        while True:  # to the tag's end, over quoted values
-            closes = page.find(">", at)
-            if closes < 0:
-                at = closes = end
-                break
-            inside = page[m.end() : closes]
-            if inside.count('"') % 2 == 0 and inside.count("'") % 2 == 0 or closes - m.end() > 5000:
-                at = closes + 1
+        tag, attributes, at, bare = m[0].lower(), [], m.end(), False
+        while m := _ATTRIBUTE.match(page, at):
+            at = m.end()
+            if m[1]:
+                bare = page[at - 2] == "/"
                 break
-            if page.find('"', closes) < 0 and page.find("'", closes) < 0:
-                at = closes + 1
-                break
-            at = closes + 1
-        attributes = page[m.end() : closes]
+            if m[2].lower() in _SAYS:
+                attributes.append((m[2].lower(), m[3] or m[4] or m[5] or ""))
+        else:
+            at = end
         if tag == "br" or tag == "wbr":
             parts.append(" " if tag == "br" else "")
             continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if depth >= 0:
-                leave(depth)
+            if open_at.get(tag):
+                leave(open_at[tag][-1])
             elif tag not in _INLINE:
                 flush()
             continue
         if tag in _RAW:
             flush()
-            closes = lower.find(f"</{tag}", at)
-            at = end if closes < 0 else closes
+            closes = _RAW_END[tag].search(page, at)
+            at = closes.start() if closes else end
             continue
         if tag in _VOID:
             if tag not in _INLINE:
@@ -170,150 +182,132 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, int]]:
             continue
         if tag not in _INLINE:
             flush()
-            shut = _CLOSED_BY.get(tag, ())
-            for i in range(len(stack) - 1, max(-1, len(stack) - 8), -1):
-                if stack[i][0] == "p" or stack[i][0] in shut:
-                    leave(i)
-                    break
-                if stack[i][0] not in _INLINE:
-                    break
+            if not_inline and (stack[not_inline[-1]][0] == "p" or stack[not_inline[-1]][0] in _CLOSED_BY.get(tag, ())):
+                leave(not_inline[-1])
         after_level, after = _meaning(tag, attributes, level, dropped)
         if tag in _HEADINGS and level >= MAIN:  # the header of an article or <main> holds its title
-            after = next((entry[2] for entry in stack if entry[0] == "header"), after)
+            after = stack[open_at["header"][0]][2] if open_at.get("header") else after
         if after != dropped:
             flush()
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag not in _INLINE:
+            not_inline.append(len(stack))
         stack.append((tag, level, dropped))
         links += tag == "a"
         level, dropped = after_level, after
-        if attributes.endswith("/") and tag not in _INLINE:
+        if bare and tag not in _INLINE:
             leave(len(stack) - 1)
     flush()
     return out
 
 
-def repeated(streams: list[np.ndarray], length: int, least: int, articles: list[int] | None = None) -> list[np.ndarray]:
-    """For each stream of words a mask of those covered by a substring of `length` words that is in `least` distinct streams, or streams of `least` distinct `articles`.
-
-    The joined streams' suffixes are ranked by their first word, then by twice
-    as many, up to `length`; equal ranks are neighbours in the suffix array with
-    that long a common beginning. A unique mark ends each stream.
-    """
-    sizes = np.array([len(s) for s in streams])
-    n = int(sizes.sum()) + len(streams)
-    owner = np.repeat(np.arange(len(streams)), sizes + 1)
-    last = np.cumsum(sizes + 1) - 1
-    text = np.zeros(n, np.uint64)
-    inner = np.ones(n, bool)
-    inner[last] = False
-    text[inner] = np.concatenate(streams) if n > len(streams) else np.zeros(0, np.uint64)
-    rank = np.zeros(n, np.int64)
-    rank[inner] = np.unique(text[inner], return_inverse=True)[1] + 1 + len(streams)
-    rank[last] = 1 + np.arange(len(streams))
-    have = 1
-    while have < length:
-        step = min(have, length - have)
-        ahead = np.zeros(n, np.int64)
-        ahead[:-step] = rank[step:]
-        rank = np.unique(rank * (int(rank.max()) + 1) + ahead, return_inverse=True)[1]
-        have += step
-    article = owner if articles is None else np.array(articles, np.int64)[owner]
-    suffixes = np.lexsort((article, rank))
-    ranked, of = rank[suffixes], article[suffixes]
-    fresh = np.ones(n, bool)
-    fresh[1:] = ranked[1:] != ranked[:-1]
-    new_page = fresh.copy()
-    new_page[1:] |= of[1:] != of[:-1]
-    group = np.cumsum(fresh) - 1
-    often = np.bincount(group, weights=new_page)[group] >= least
-    cover = np.zeros(n + length + 1, np.int64)
-    np.add.at(cover, suffixes[often], 1)
-    np.add.at(cover, suffixes[often] + length, -1)
-    mask = cover.cumsum()[:n] > 0
-    return [part[:-1] for part in np.split(mask, last + 1)[:-1]]
-
-
-def article_numbers(pages: list[list[tuple[str, int, bool, int]]]) -> list[int]:
-    """A number for each page: the same for copies of one article. A page without article has its own."""
-    pairs = []
-    for page in pages:
-        words = word_hashes("\n".join(b[0] for b in page if not b[2] and b[1] >= MAIN).encode("utf-8", "surrogatepass"))
-        pairs.append(np.unique(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) if len(words) > 1 else words)
-    out = list(range(len(pages)))
-    sizes = np.array([len(p) for p in pairs])
-    if not sizes.any():
-        return out
-    of = np.repeat(np.arange(len(pages)), sizes)
-    known, code = np.unique(np.concatenate(pairs), return_inverse=True)
-    ends = np.cumsum(sizes)
-    for k in range(len(pages)):
-        if sizes[k]:
-            own = np.zeros(len(known), bool)
-            own[code[ends[k] - sizes[k] : ends[k]]] = True
-            both = np.bincount(of[own[code]], minlength=len(pages))
-            for other in np.flatnonzero(both >= COPY_SHARE * (sizes + sizes[k] - both)):
-                if sizes[other] and out[other] != out[k]:
-                    gone, stays = max(out[other], out[k]), min(out[other], out[k])
-                    out = [stays if x == gone else x for x in out]
-    return out
+Block = tuple[str, int, bool, int]
+
+
+def stream(page: list[Block]) -> np.ndarray:
+    """The hashes of a page's words, block after block."""
+    return word_hashes("\n".join(b[0] for b in page).encode("utf-8", "surrogatepass"))
 
 
-def unique_runs(text: str, covered: np.ndarray, length: int) -> str:
-    """`text` without its covered words, where they are `length` in a row or all of it: a repeated substring may reach a little into the next block."""
-    if covered.all():
+def article_key(page: list[Block], other: int) -> int:
+    """The least hash of the word pairs in the page's article; `other` where it has none."""
+    words = stream([b for b in page if not b[2] and b[1] >= MAIN])
+    return int(runs(words, 2).min().view(np.int64)) if len(words) > 1 else other
+
+
+def kept_runs(words: np.ndarray) -> np.ndarray:
+    """The distinct hashes of RUN words that are the least of some WINDOW neighbours."""
+    all_runs = runs(words, RUN)
+    return np.unique(all_runs[anchors(all_runs, WINDOW)[1]])
+
+
+def covered(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """A mask of the words in runs whose hash is in `known`, and between two such runs that begin at most WINDOW words apart."""
+    at = np.flatnonzero(np.isin(runs(words, RUN), known))
+    mask = np.zeros(len(words) + 1, np.int64)
+    if len(at):
+        follows = np.append(np.diff(at) <= WINDOW, False)
+        ends = np.where(follows, np.append(at[1:], 0), at + RUN)
+        np.add.at(mask, at, 1)
+        np.add.at(mask, ends, -1)
+    return mask.cumsum()[:-1] > 0
+
+
+def unique_runs(text: str, mask: np.ndarray) -> str:
+    """`text` without its covered words, where they are LENGTH in a row: a repeated substring may reach a little into the next block. A block that is covered but for fewer than WINDOW words at either end goes whole, if that is most of it: its last suffixes needn't be in the table."""
+    at = np.flatnonzero(mask)
+    if mask[at[0] : at[-1] + 1].all() and at[0] < WINDOW and len(mask) - at[-1] <= WINDOW and 2 * len(at) >= len(mask):
         return ""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
-    gone = np.zeros(len(covered), bool)
-    for a, b in zip(edge[::2], edge[1::2], strict=True):
-        gone[a:b] = b - a >= length
-    return " ".join(w for w, g in zip(text.split(" "), gone.tolist(), strict=False) if not g)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
+    gone = np.zeros(len(mask), bool)
+    for first, end in zip(edge[::2], edge[1::2], strict=True):
+        gone[first:end] = end - first >= LENGTH
+    return " ".join(w for w, is_gone in zip(text.split(" "), gone.tolist(), strict=False) if not is_gone)
 
 
-def main_text(page: list[tuple[str, int, bool, int]], covered: np.ndarray, length: int = LENGTH) -> str:
-    """The blocks that stay. `covered` masks the page's words, block after block."""
+def main_text(page: list[Block], outside: np.ndarray, inside: np.ndarray) -> str:
+    """The blocks that stay. `outside` and `inside` mask the page's words, block after block, as boilerplate out of and in articles."""
     best = max((b[1] for b in page if not b[2]), default=0)
     kept, at = [], 0
     for text, level, dropped, linked in page:
         n = len(text.encode("utf-8", "surrogatepass").split())
-        mask, at = covered[at : at + n], at + n
+        mask, at = (inside if level >= MAIN else outside)[at : at + n], at + n
         if dropped or level < min(best, MAIN):
             continue
         if n:
             if 2 * linked > n and best == 0:
                 continue
             if mask.any():
-                text = unique_runs(text, mask, length)
+                text = unique_runs(text, mask)
         if text:
             kept.append(text)
     return "\n".join(kept)
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", length: int = LENGTH, shard_pages: int = SHARD_PAGES) -> DataFrame:
-    """`page_id, url, text, n_chars` for each row of `pages`."""
-    found = pa.list_(pa.struct([("text", pa.string()), ("level", pa.int32()), ("dropped", pa.bool_()), ("linked", pa.int32())]))
+def boilerplate(rows: DataFrame) -> DataFrame:
+    """From `page, host, html`: `page, outside, inside`, the hashes of runs of each page that are boilerplate of its host out of articles, and in them."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                rows = [[dict(zip(("text", "level", "dropped", "linked"), b, strict=True)) for b in blocks(cell.as_py())] for cell in part.column(4)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(rows, found)], names=["host", "shard", "page_id", "url", "blocks"])
-
-    def judge(group: pa.Table) -> pa.Table:
-        lists = [[tuple(b.values()) for b in page] for page in group.column("blocks").to_pylist()]
-        streams = [word_hashes("\n".join(b[0] for b in page).encode("utf-8", "surrogatepass")) for page in lists]
-        least = max(LEAST_PAGES, int(LEAST_SHARE * len(lists)))
-        masks = repeated(streams, length, least, article_numbers(lists)) if len(lists) >= least else [np.zeros(len(s), bool) for s in streams]
-        texts = [main_text(page, mask, length) for page, mask in zip(lists, masks, strict=True)]
-        return pa.table([group.column("page_id"), group.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            keys, lists = [], []
+            for page, cell in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                found = blocks(cell.as_py())
+                keys.append(article_key(found, page))
+                lists.append(kept_runs(stream(found)).view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([*map(len, lists)])]).astype(np.int32)
+            runs_of = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), runs_of], names=["page", "host", "article", "runs"])
+
+    suffixes = written(rows.mapInArrow(parse, "page long, host long, article long, runs array<long>"), "pages-suffixes")
+    hosts = suffixes.groupBy("host").agg(F.count_distinct("article").alias("articles"))
+    each = suffixes.select("page", "host", "article", F.explode("runs").alias("run"))
+    often = each.groupBy("host", "run").agg(F.count_distinct("article").alias("n")).filter(F.col("n") >= LEAST_PAGES)
+    often = written(often, "pages-often").join(hosts, "host").filter(F.col("n") >= LEAST_SHARE * F.col("articles"))
+    often = often.select("host", "run", ((F.col("n") >= ARTICLE_PAGES) & (F.col("n") >= ARTICLE_SHARE * F.col("articles"))).alias("strong"))
+    hits = each.select("page", "host", "run").join(often, ["host", "run"]).groupBy("page")
+    out = written(hits.agg(F.collect_set("run").alias("outside"), F.collect_set(F.when(F.col("strong"), F.col("run"))).alias("inside")), "pages-boilerplate")
+    forget(suffixes)
+    return out
+
+
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """`page_id, url, text, n_chars` for each row of `pages`."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for cell, outside, inside in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+                found = blocks(cell.as_py())
+                words = stream(found)
+                nothing = np.zeros(len(words), bool)
+                masks = [nothing if not runs_of.is_valid else covered(words, runs_of.values.to_numpy().view(np.uint64)) for runs_of in (outside, inside)]
+                texts.append(main_text(found, *masks))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select(host.alias("host"), F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    shards = written(rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / shard_pages).alias("shards")), "pages-shards")
-    shard = F.pmod(F.xxhash64("page_id", "url"), F.col("shards"))
-    kind = dict(rows.dtypes)
-    sharded = rows.join(shards, "host").select("host", shard.alias("shard"), "page_id", "url", "html")
-    parsed = sharded.mapInArrow(parse, f"host string, shard long, page_id {kind['page_id']}, url string, blocks array<struct<text:string,level:int,dropped:boolean,linked:int>>")
-    return parsed.groupBy("host", "shard").applyInArrow(judge, f"page_id {kind['page_id']}, url string, text string, n_chars long")
+    rows = pages.select(F.xxhash64(page_id, url, html).alias("page"), F.xxhash64(host).alias("host"), F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
+    marked = rows.join(boilerplate(rows.select("page", "host", "html")), "page", "left")
+    return marked.select("page_id", "url", "html", "outside", "inside").mapInArrow(judge, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long")
 
 
 def op6_html_text(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """The mix against brute force, page text, and the pipeline's stages."""
 
 import hashlib
+import html
+import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -87,26 +90,57 @@ def test_blocks_of_a_page():
     three<br>four<p data-x="a > b">Five &lt;six&gt; &#233;<ul><li>a<li>b</ul><form><p>x</p></form><aside>side</aside><section class="comments"><p>nice</p></section><p hidden>no</p></article>
     <p>outside</p><footer>f</footer></body></html>"""
     found = html_text.blocks(page)
-    assert html_text.main_text(found, np.zeros(1000, bool)) == "Head & tail\nOne two three four\nFive <six> é\na\nb"
+    assert main_text(page) == "Head & tail\nOne two three four\nFive <six> é\na\nb"
     for bad in (None, "", "<", "<p", "<!-- x", "<p>a < b</p>", "<script>x", "</p></div>", "<a b='" * 200, "<" * 5000):
         html_text.blocks(bad)
-    assert html_text.main_text(html_text.blocks("<p>a < b</p>"), np.zeros(9, bool)) == "a < b"
+    assert main_text("<p>a < b</p>") == "a < b"
 
 
-def test_repeated_substrings_by_hand():
+def main_text(page):
+    found = html_text.blocks(page)
+    nothing = np.zeros(len(html_text.stream(found)), bool)
+    return html_text.main_text(found, nothing, nothing)
+
+
+def test_odd_markup_loses_no_text():
+    assert main_text("<p>İİ</p><script>x</script><p>hello</p>") == "İİ\nhello"
+    assert main_text("<article>" + "İ" * 40 + "<STYLE>p{}</Style ><p>one two three</p></article>") == "İ" * 40 + "\none two three"
+    assert main_text("<article><a title=don't>link</a><p>keep 'me'</p></article>") == "link\nkeep 'me'"
+    assert main_text("<article><img alt='" + "x>" * 3000 + "'><p>kept</p></article>") == "kept"
+    assert main_text('<article><p class="legal-history">law<p class=share-price>9<div class="related">r</div><div class="ad-box">buy</div><div id=comments>c</div></article>') == "law\n9\nr"
+    assert main_text("<article>" + "<b>" * 50 + "<p>one" + "<i>" * 50 + "<p>two</article>") == "one\ntwo"
+    for odd in ("<b>" * 20_000 + "<p></p>" * 20_000, "<div>" * 20_000 + "</x>" * 20_000, "<a b='" * 50_000, '<a "' * 50_000, "<p a" * 50_000, "<script>" * 20_000, "<a " + " /" * 50_000):
+        began = time.perf_counter()
+        html_text.blocks(odd)
+        assert time.perf_counter() - began < 5
+
+
+def test_boilerplate_by_hand(spark):
+    """The middle of every substring of 15 words on enough pages of a host is covered, and nothing that isn't in or between runs on such pages."""
     rng = np.random.default_rng(10)
-    streams = [wordhash.word_hashes(" ".join(f"w{x}" for x in rng.integers(0, 6, int(n))).encode()) for n in rng.integers(0, 60, 12)]
-    for length, least in ((1, 2), (3, 2), (4, 3), (8, 2)):
-        where = defaultdict(set)
-        for k, s in enumerate(streams):
-            for i in range(len(s) - length + 1):
-                where[tuple(s[i : i + length])].add(k)
-        for s, mask in zip(streams, html_text.repeated(streams, length, least), strict=True):
-            want = np.zeros(len(s), bool)
-            for i in range(len(s) - length + 1):
-                if len(where[tuple(s[i : i + length])]) >= least:
-                    want[i : i + length] = True
-            assert (mask == want).all()
+    shared = [[f"s{k}x{i}" for i in range(n)] for k, n in enumerate((12, 13, 20, 40))]
+    pages = []
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 30)]
+        for part in shared:
+            if rng.random() < 0.4:
+                at = int(rng.integers(0, len(words)))
+                words[at:at] = part
+        pages.append(words)
+    rows = [(k, f"http://{'ab'[k % 2]}.example/{k}", "<p>" + " ".join(w)) for k, w in enumerate(pages)]
+    found = html_text.boilerplate(spark.createDataFrame([(k, len(u.split("/")[2]) + k % 2, h) for k, u, h in rows], "page long, host long, html string"))
+    known = {r.page: np.array(r.outside, np.int64).view(np.uint64) for r in found.collect()}
+    where = defaultdict(set)
+    for k, words in enumerate(pages):
+        for length in (2 * html_text.WINDOW - 1, html_text.RUN):
+            for i in range(len(words) - length + 1):
+                where[k % 2, tuple(words[i : i + length])].add(k)
+    for k, words in enumerate(pages):
+        mask = html_text.covered(wordhash.word_hashes(" ".join(words).encode()), known.get(k, np.zeros(0, np.uint64)))
+        often = lambda length: [i for i in range(len(words) - length + 1) if len(where[k % 2, tuple(words[i : i + length])]) >= 3]  # noqa: B023, E731
+        assert all(mask[i + html_text.WINDOW - 1] for i in often(2 * html_text.WINDOW - 1))
+        near = {i + j for i in often(html_text.RUN) for j in range(html_text.WINDOW)}
+        assert set(np.flatnonzero(mask).tolist()) <= near
 
 
 def test_pages_without_article_lose_what_their_host_repeats(spark):
@@ -133,6 +167,24 @@ def test_notices_in_articles_go_and_copied_articles_stay(spark):
     assert got[30] == "Title of it\nlong text\nteaser"
 
 
+def test_the_host_s_repeats_decide_where_markup_says_nothing(spark, monkeypatch):
+    shared = "this little paragraph stands on each page of the host and says nothing at all about it"
+    rows = [(k, f"http://h.example/{k}", f"<div>{shared}</div><p>own words {k} alpha{k} beta{k}</p>") for k in range(200)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    assert {r.text for r in html_text.extract(frame).collect()} == {f"own words {k} alpha{k} beta{k}" for k in range(200)}
+    monkeypatch.setattr(html_text, "boilerplate", lambda rows: spark.createDataFrame([], "page long, outside array<long>, inside array<long>"))
+    assert all(r.text.startswith(shared) for r in html_text.extract(frame).collect())
+
+
+def test_articles_of_the_test_pages_are_whole(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        parts = [" ".join(html.unescape(re.sub(r"</?b>", "", p).replace("<br>", " ")).split()) for p in re.split(r"</?(?:p|h1)>", inner)]
+        assert got[r.page_id] == "\n".join(p for p in parts if p)
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     first = docs.collect()
