@@ -44,6 +44,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -166,12 +167,13 @@ def lattice(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
     """
     n = F.char_length("unit")
     others = [c for c in words.columns if c != "unit"]
-    starts = words.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    starts = words.select("*", n.alias("n_chars"), F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    starts = starts.select("unit", *others, "start", F.substring(F.col("unit"), F.col("start") + 1, longest).alias("suffix"), F.least(F.lit(longest), F.col("n_chars") - F.col("start")).alias("most"))
     least = F.when(F.col("start") == 0, 0).otherwise(1)
-    spans = starts.select("*", F.explode(F.sequence(least, F.least(F.lit(longest), n - F.col("start")))).alias("len"))
+    spans = starts.select("unit", *others, "start", "suffix", F.explode(F.sequence(least, F.col("most"))).alias("len"))
     empty = table.sparkSession.createDataFrame([("", 0, _WIDEST)], "piece string, id int, rank long")
     known = table.select("piece", "id", "rank").unionByName(empty).select(F.xxhash64("piece").alias("code"), F.col("piece").alias("whole"), (F.col("rank") * _RANK + F.col("id").cast("long") * _ID).alias("front"))
-    part = spans.withColumn("piece", F.substring(F.col("unit"), F.col("start") + 1, F.col("len"))).withColumn("code", F.xxhash64("piece"))
+    part = spans.withColumn("piece", F.substring(F.col("suffix"), F.lit(1), F.col("len"))).withColumn("code", F.xxhash64("piece"))
     same = F.startswith("piece", "whole") & (F.octet_length("whole") >= F.octet_length("piece"))
     found = part.join(F.broadcast(known), (part["code"] == known["code"]) & same)
     edge = F.col("front") + F.col("start") * _START + F.col("len")
@@ -263,6 +265,9 @@ def _counted(docs: DataFrame, text: str, path: str) -> DataFrame:
         def out() -> pa.RecordBatch:
             made: Counter = Counter()
             for unit, n in seen.items():
+                if len(unit) <= BITS:
+                    made[unit.replace(" ", MARK)] += n
+                    continue
                 for one in short_units(unit.replace(" ", MARK), inside):
                     if len(one) <= BITS:
                         made[one] += n
@@ -310,17 +315,18 @@ def long_codes(raw: bytes) -> np.ndarray:
 
 
 class Hot:
-    """The most frequent units: their codes, from 1 on, and their ids one after the other with where each code's begin. Code 0 is a hole."""
+    """The most frequent units: their codes, from 1 on, their ids one after the other with where each code's begin, and what the ids of each decode to. Code 0 is a hole."""
 
-    def __init__(self, known: list[tuple[str, int, bytes]]):
+    def __init__(self, known: list[tuple[str, int, bytes]], path: str):
         known = sorted(known, key=lambda r: (-r[1], r[0]))
-        ids = [unpacked(r[2]) for r in known]
+        table, ids = piece_bytes(path), [unpacked(r[2]) for r in known]
         self.codes = {r[0].replace(MARK, " "): k + 1 for k, r in enumerate(known)}
         self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         self.begins = np.concatenate([[0, 0], np.cumsum([*map(len, ids)])]).astype(np.int64)
+        self.spelled = [b"", *(b"".join([table[i] for i in part.tolist()]) for part in ids)]
 
 
-def _hot(vocabulary: DataFrame, limit: int, chars: int) -> Hot:
+def _hot(vocabulary: DataFrame, limit: int, chars: int, path: str) -> Hot:
     """At most `limit` of the most frequent short units. The least frequency is found from a count of levels, an eighth of a power of two each."""
     level = F.floor(F.log2("n") * 8)
     short = vocabulary.filter(F.char_length("unit") <= chars)
@@ -332,99 +338,98 @@ def _hot(vocabulary: DataFrame, limit: int, chars: int) -> Hot:
             break
         least = at
     if least is None:
-        return Hot([])
+        return Hot([], path)
     known = short.filter(level >= least).select("unit", "n", "ids").toArrow()  # at most `limit` short rows
-    return Hot(list(zip(*(c.to_pylist() for c in known.columns), strict=True)))
-
-
-_FOUND = pa.list_(pa.struct([("slot", pa.int32()), ("ids", pa.binary())]))
+    return Hot(list(zip(*(c.to_pylist() for c in known.columns), strict=True)), path)
 
 
 def _by_document(docs: DataFrame, doc_id: str, text: str, path: str, hot: dict[str, int]) -> DataFrame:
-    """`row, doc_id, print`, the text's fingerprint, `codes` of its units, `rest`, the distinct units of the holes, `slots`, which of them each hole takes, and `own`, holes whose ids are known already, of units too long to be shuffled."""
+    """`row, doc_id, print`, the text's fingerprint, `codes` of its units, `rest`, the distinct units of the holes, `own`, the ids of holes that are known already, of units too long to be shuffled, and `slots`: for each hole twice its place in `rest`, or one more than twice its place in `own`."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, inside, pack = shared.value.get, pieces(path).inside, ZstdCompressor(level=3).compress
         for batch in batches:
-            prints, codes, slots, names, ends, own = [], [], [], [], [0], []
+            prints, all_codes, slots, names, ends, own = [], [], [], [], [0], []
             for cell in batch.column(2):
                 value = cell.as_py() or ""
                 cuts = units(value)
-                found, taken, rest, merged = list(map(known, cuts)), [], {}, []
-                if None in found:
-                    coded = []
-                    for unit, code in zip(cuts, found, strict=True):
-                        if code is not None:
-                            coded.append(code)
-                            continue
-                        for one in short_units(unit.replace(" ", MARK), inside):
-                            coded.append(0)
-                            if len(one) <= BITS:
-                                taken.append(rest.setdefault(one, len(rest)))
-                            else:
-                                merged.append({"slot": -len(merged) - 1, "ids": np.array(merge_long(one, path), ">i4").reshape(-1, 1).view(np.uint8)[:, 1:].tobytes()})
-                                taken.append(-len(merged))
-                    found = coded
+                codes = np.fromiter(map(known, cuts, repeat(0)), np.int64, len(cuts))
+                taken, rest, merged, times = [], {}, [], {}
+                for k in np.flatnonzero(codes == 0).tolist():
+                    unit = cuts[k].replace(" ", MARK)
+                    if len(unit) <= BITS:
+                        taken.append(2 * rest.setdefault(unit, len(rest)))
+                        continue
+                    parts = short_units(unit, inside)
+                    times[k] = len(parts)
+                    for one in parts:
+                        if len(one) <= BITS:
+                            taken.append(2 * rest.setdefault(one, len(rest)))
+                        else:
+                            taken.append(2 * len(merged) + 1)
+                            merged.append(np.array(merge_long(one, path), ">i4").reshape(-1, 1).view(np.uint8)[:, 1:].tobytes())
+                if times:
+                    each = np.ones(len(codes), np.int64)
+                    each[list(times)] = list(times.values())
+                    codes = np.repeat(codes, each)
                 prints.append(_fingerprint(value.replace(MARK, " ").encode("utf-8", "surrogatepass")))
-                codes.append(pack(short_codes(np.array(found, np.int64))))
-                slots.append(np.array(taken, "<i4").tobytes())
+                all_codes.append(pack(short_codes(codes)))
+                slots.append(pack(short_codes(np.array(taken, np.int64))))
                 names += rest
                 ends.append(len(names))
                 own.append(merged)
             rests = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.binary()) for c in (prints, codes, slots)), rests, pa.array(own, _FOUND)], names=["row", "doc_id", "print", "codes", "slots", "rest", "own"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.binary()) for c in (prints, all_codes, slots)), rests, pa.array(own, pa.list_(pa.binary()))], names=["row", "doc_id", "print", "codes", "slots", "rest", "own"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, print binary, codes binary, slots binary, rest array<string>, own array<struct<slot:int,ids:binary>>")
+    return rows.mapInArrow(run, "row long, doc_id long, print binary, codes binary, slots binary, rest array<string>, own array<binary>")
 
 
-def _filled(batches: Iterator[pa.RecordBatch], path: str, hot_ids: np.ndarray, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """From `doc_id, print, codes, slots, found`: codes and holes become ids, and what the ids decode to is compared with the text."""
+def _filled(batches: Iterator[pa.RecordBatch], path: str, hot_ids: np.ndarray, begins: np.ndarray, spelled: list[bytes]) -> Iterator[pa.RecordBatch]:
+    """From `doc_id, print, codes, slots, found, own`: codes and holes become ids, and what the ids decode to is compared with the text."""
     table, unpack = piece_bytes(path), ZstdDecompressor().decompress
     is_byte = np.zeros(len(table), bool)
     is_byte[list(pieces(path).byte.values())] = True
     for batch in batches:
-        out, n_bytes, complete, ends = [], [], [], [0]
-        for k in range(batch.num_rows):
-            codes = long_codes(unpack(batch.column(2)[k].as_py()))
-            slots = np.frombuffer(batch.column(3)[k].as_py(), "<i4")
-            first, size, more = begins[codes], begins[codes + 1] - begins[codes], hot_ids[:0]
-            if len(slots):
-                known = {f["slot"]: unpacked(f["ids"]) for f in batch.column(4)[k].as_py()}
-                order = {slot: at for at, slot in enumerate(known)}
-                item = np.array([order[slot] for slot in slots.tolist()])
-                lengths = np.array([*map(len, known.values())])
-                open_ = codes == 0
-                first[open_] = len(hot_ids) + (np.cumsum(lengths) - lengths)[item]
-                size[open_] = lengths[item]
-                more = np.concatenate(list(known.values()))
-            total = int(size.sum())
-            at = np.arange(total) + np.repeat(first - (np.cumsum(size) - size), size)
-            late = at >= len(hot_ids)
-            ids = np.empty(total, np.int32)
-            ids[~late] = hot_ids[at[~late]]
-            ids[late] = more[at[late] - len(hot_ids)]
-            out.append(ids)
-            n_bytes.append(int(is_byte[ids].sum()))
-            complete.append(_fingerprint(spell(ids.tolist(), table)) == batch.column(1)[k].as_py())
-            ends.append(ends[-1] + len(ids))
-        whole = np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(whole))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.diff(ends), pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(complete, pa.bool_())], names=["doc_id", "ids", "n_pieces", "n_bytes", "complete"])
+        coded, slotted = ([unpack(v) for v in batch.column(c).to_pylist()] for c in (2, 3))
+        codes, slots = long_codes(b"".join(coded)), long_codes(b"".join(slotted))
+        ends = [np.cumsum([0, *(np.count_nonzero(np.frombuffer(v, np.uint8) < 128) for v in part)]) for part in (coded, slotted)]
+        lists = [batch.column(c) for c in (4, 5)]
+        late = [unpacked(v) for part in lists for v in part.values.to_pylist()]
+        lengths = np.array([*map(len, late)], np.int64)
+        late_begins = len(hot_ids) + np.cumsum(lengths) - lengths
+        shift = np.stack([lists[0].offsets.to_numpy()[:-1], len(lists[0].values) + lists[1].offsets.to_numpy()[:-1]]) if batch.num_rows else np.zeros((2, 0), np.int64)
+        of_doc = np.repeat(np.arange(batch.num_rows), np.diff(ends[1]))
+        item = shift[slots & 1, of_doc] + (slots >> 1)
+        holes = np.flatnonzero(codes == 0)
+        first, size = begins[codes], begins[codes + 1] - begins[codes]
+        first[holes], size[holes] = late_begins[item], lengths[item]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = np.concatenate([hot_ids, *late])[np.arange(upto[-1]) + np.repeat(first - upto[:-1], size)].astype(np.int32)
+        bounds = upto[ends[0]]
+        byte_ids = np.concatenate([[0], np.cumsum(is_byte[ids])])[bounds]
+        parts = list(map(spelled.__getitem__, codes.tolist()))
+        for k, i in zip(holes.tolist(), item.tolist(), strict=True):
+            parts[k] = b"".join([table[x] for x in late[i].tolist()])
+        texts = (b"".join(parts[a:b])[1:] for a, b in zip(ends[0].tolist(), ends[0][1:].tolist(), strict=False))
+        complete = [_fingerprint(t) == p for t, p in zip(texts, batch.column(1).to_pylist(), strict=True)]
+        whole = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+        yield pa.RecordBatch.from_arrays([batch.column(0), whole, pa.array(np.diff(bounds), pa.int64()), pa.array(np.diff(byte_ids), pa.int64()), pa.array(complete, pa.bool_())], names=["doc_id", "ids", "n_pieces", "n_bytes", "complete"])
 
 
 def count_encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, hot_limit: int = HOT_LIMIT, hot_chars: int = HOT_CHARS) -> DataFrame:
     """`doc_id, ids, n_pieces, n_bytes, complete, ids_digest` for each row of `docs`: the ids in order, and whether they decode to the text."""
     path = path or default_model()
     vocabulary = written(encoded(_counted(docs, text, path), path).select("unit", "n", F.expr(_PACKED).alias("ids")), "pieces-vocabulary")
-    hot = _hot(vocabulary, min(hot_limit, (1 << 21) - 2), hot_chars)
+    hot = _hot(vocabulary, min(hot_limit, (1 << 21) - 2), hot_chars, path)
     per_doc = written(_by_document(docs, doc_id, text, path, hot.codes), "pieces-by-doc")
     pairs = per_doc.select("row", F.posexplode("rest").alias("slot", "unit"))
-    found = written(pairs.join(vocabulary.drop("n"), "unit").groupBy("row").agg(F.collect_list(F.struct("slot", "ids")).alias("found")), "pieces-found")
+    found = pairs.join(vocabulary.drop("n"), "unit").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("slot", "ids"))).alias("found"))
+    found = written(found.select("row", F.expr("transform(found, f -> f.ids)").alias("found")), "pieces-found")
     forget(vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast((hot.ids, hot.begins))
-    both = per_doc.drop("rest").join(found, "row", "left").select("doc_id", "print", "codes", "slots", F.expr("if(found is null, own, concat(found, own))").alias("found"))
+    shared = docs.sparkSession.sparkContext.broadcast((hot.ids, hot.begins, hot.spelled))
+    both = per_doc.drop("rest").join(found, "row", "left").select("doc_id", "print", "codes", "slots", F.coalesce("found", F.array().cast("array<binary>")).alias("found"), "own")
     filled = both.mapInArrow(lambda batches: _filled(batches, path, *shared.value), "doc_id long, ids array<int>, n_pieces long, n_bytes long, complete boolean")
     return filled.withColumn("ids_digest", F.xxhash64("ids"))
 

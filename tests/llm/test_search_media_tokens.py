@@ -131,11 +131,15 @@ def test_query_has_ids_in_order_and_decodes_them(spark):
         got = {r.doc_id: r for r in sentencepiece_lattice.count_encoded(docs, hot_limit=limit).collect()}
         assert [got[i].ids for i in range(len(texts))] == [model.encode(t or "") for t in texts]
         assert got[0].ids_digest != got[1].ids_digest and all(r.complete for r in got.values())
-    assert sentencepiece_lattice.Hot([]).codes == {} and sentencepiece_lattice.Hot([]).begins.tolist() == [0, 0]
-    ids = np.array(model.encode("two one"), np.int32)
-    rows = pa.RecordBatch.from_pydict({"d": [1], "print": [sentencepiece_lattice._fingerprint(b"one two")], "codes": [ZstdCompressor().compress(sentencepiece_lattice.short_codes(np.array([1])))], "slots": [b""], "found": pa.array([[]], sentencepiece_lattice._FOUND)})
-    (out,) = sentencepiece_lattice._filled(iter([rows]), sentencepiece_lattice.default_model(), ids, np.array([0, 0, len(ids)]))
-    assert out.column(1).to_pylist() == [ids.tolist()] and out.column(4).to_pylist() == [False]  # as many bytes, in another order
+    path = sentencepiece_lattice.default_model()
+    ids = model.encode("two one")
+    hot = sentencepiece_lattice.Hot([("two one", 9, b"".join(i.to_bytes(3, "big") for i in ids))], path)
+    empty = pa.array([[]], pa.list_(pa.binary()))
+    for text, same in ((b"one two", False), (b"two one", True)):  # as many bytes, in another order
+        rows = pa.RecordBatch.from_pydict({"d": [1], "print": [sentencepiece_lattice._fingerprint(text)], "codes": [ZstdCompressor().compress(sentencepiece_lattice.short_codes(np.array([1])))], "slots": [ZstdCompressor().compress(b"")], "found": empty, "own": empty})
+        (out,) = sentencepiece_lattice._filled(iter([rows]), path, hot.ids, hot.begins, hot.spelled)
+        assert out.column(1).to_pylist() == [ids] and out.column(4).to_pylist() == [same]
+    assert sentencepiece_lattice.Hot([], path).codes == {} and sentencepiece_lattice.Hot([], path).begins.tolist() == [0, 0]
 
 
 def test_codes_and_ids_come_back_from_bytes():
