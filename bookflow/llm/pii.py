@@ -2,21 +2,28 @@
 
 Base spans come from fixed patterns. Over them runs a CRF whose nodes are the
 base spans, held at their kind, and every other word with a digit, `@` or `+`.
-Nodes a word apart are chained; nodes of the same form (digits without their
-punctuation, or a lower-cased address) are joined by skip edges, each to the
-next one, however far. Loopy sum-product passes messages along both, so a number
-that a pattern found once is found again where it stands in another shape.
-
-The node weights are a multinomial logistic regression of the base labels on
-word shapes, and the chain weights come from counts of neighbouring labels; both
-are fitted to at most SAMPLE_DOCS documents, those of the least hash.
+Nodes a word apart are chained. All occurrences of a form (digits without their
+punctuation, or a lower-cased address), however far apart, share one node for
+the form, and a potential ties each of them to it. A base span gives the form of
+all its digits, and of those that are left without its leading groups, so that a
+number is known without its country code; neighbouring words of digits that
+together have such a form are one node. A form of a base span is held at the
+span's kind, so repeats don't outvote the pattern. Loopy sum-product passes
+messages along chains and forms until they settle.
+
+What is learnt, from at most SAMPLE_DOCS documents, those of the least hash:
+node weights by a multinomial logistic regression of the base labels on word
+shapes (without the words that share a form with a base span, which are what the
+field decides), chain weights from counts of neighbouring labels, and the
+potential of forms from how often two base spans of one form agree in kind.
 The field of a document is held and solved inside one Arrow batch; documents
 without digit, `@` and `+` are passed over by a byte search.
 
 Defined cases: a null text is empty: no spans, the hash of the empty string;
-texts of any length are read whole, in linear time; repeated rows each get their
-row; an empty table gives an empty one; without labels to fit, no span is added.
-Other columns of the input aren't carried by `find`, and all are by `redact`.
+texts and words of any length are read whole, in linear time; repeated rows each
+get their row; an empty table gives an empty one; without labels to fit, no span
+is added. Other columns of the input aren't carried by `find`, and all are by
+`redact`.
 """
 
 from __future__ import annotations
@@ -33,7 +40,13 @@ from pyspark.sql import functions as F
 from bookflow.llm.common import table
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS, SKIP_WEIGHT, ROUNDS, LEAST_PROBABILITY = 20_000, 6.0, 8, 0.5
+SAMPLE_DOCS, LEAST_PROBABILITY = 20_000, 0.5
+#: What counts of agreeing and other pairs start from; messages have settled when none moves more.
+PAIRS, SETTLED, HALVED = 0.1, 1e-3, 16
+#: What holds a label against any number of messages.
+HELD = 1e9
+#: Digits of a form at least, and of one without leading groups; most words of digits in one node.
+FORM_DIGITS, TAIL_DIGITS, GROUPS = 5, 7, 6
 
 # The base patterns.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -41,7 +54,10 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Words of the field; data files have no spaces, but these signs.
+_WORD = re.compile(r"[^\x20\x09-\x0D\"',;={}\[\]<>|]+")
+_DIGITS = re.compile(r"[0-9]+")
+_GROUP = re.compile(r"[+(]*[0-9][0-9().-]*")
 _SIGNS = "0123456789@+"
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -95,41 +111,75 @@ FEATURES = 18
 _EDGES = "\"'`.,;:!?#$%&*<>[]{}|()"
 
 
-def nodes(text: str, base: list[Span]) -> list[tuple[int, int, int, int, tuple[str, ...], int]]:
-    """`start, end, kind (0 none), shape, forms, word number` in text order. A base span is one node; other nodes are words outside of base spans."""
-    spans = sorted((s, e, k) for k, s, e in base)
-    out, k = [], 0
+Node = tuple[int, int, int, int, tuple[str, ...], int]
+
+
+def _digits(text: str) -> str:
+    return "".join(_DIGITS.findall(text))
+
+
+def _base_forms(kind: int, word: str) -> tuple[str, ...]:
+    if kind == 0:
+        return (word.lower(),)
+    groups = _DIGITS.findall(word)
+    tails = {"".join(groups[k:]) for k in range(len(groups))} if kind > 1 else set()
+    return tuple(sorted({f for f in ["".join(groups)] if len(f) >= FORM_DIGITS} | {f for f in tails if len(f) >= TAIL_DIGITS}))
+
+
+def nodes(text: str, base: list[Span]) -> list[Node]:
+    """`start, end, kind (0 none), shape, forms, word number` in text order. A base span is one node; other nodes are words outside of base spans, and neighbouring words that have a base span's form together."""
+    out = [(s, e, kind + 1, _shape(text[s:e], _digits(text[s:e])), _base_forms(kind, text[s:e]), -1) for kind, s, e in base]
+    known = {f for node in out for f in node[4]}
+    spans, k = sorted((s, e) for _, s, e in base), 0
+    groups: list[tuple[int, int, str, int]] = []
+
+    def close() -> None:
+        at = 0
+        while at < len(groups):
+            for size in range(min(GROUPS, len(groups) - at), 0, -1):
+                part = groups[at : at + size]
+                digits = "".join(g[2] for g in part)
+                if size == 1 or digits in known:
+                    word = text[part[0][0] : part[-1][1]]
+                    out.append((part[0][0], part[-1][1], 0, _shape(word, digits), (digits,) if len(digits) >= FORM_DIGITS else (), part[-1][3]))
+                    at += size
+                    break
+        groups.clear()
+
     for number, m in enumerate(_WORD.finditer(text)):
         while k < len(spans) and spans[k][1] <= m.start():
             k += 1
-        if k < len(spans) and spans[k][0] < m.end():
-            continue
         word = m[0]
-        if len(word) > 256 or not any(c in word for c in _SIGNS):
+        if k < len(spans) and spans[k][0] < m.end() or not any(c in word for c in _SIGNS):
+            close()
             continue
         bare = word.strip(_EDGES)
         if not bare:
+            close()
             continue
         start = m.start() + word.index(bare)
-        digits = "".join(c for c in bare if "0" <= c <= "9")
-        forms = tuple([bare.lower()] if "@" in bare else [digits] if len(digits) >= 5 else [])
+        if groups and groups[-1][1] < m.start() - 3:
+            close()
+        if _GROUP.fullmatch(bare):
+            groups.append((start, start + len(bare), _digits(bare), number))
+            continue
+        close()
+        digits = _digits(bare)
+        forms = (bare.lower(),) if "@" in bare else (digits,) if len(digits) >= FORM_DIGITS else ()
         out.append((start, start + len(bare), 0, _shape(bare, digits), forms, number))
-    for s, e, kind in spans:
-        word = text[s:e]
-        digits = "".join(c for c in word if "0" <= c <= "9")
-        parts = {digits, *(re.sub(r"[^0-9]", "", p) for p in word.split(" "))} if kind else set()
-        forms = (word.lower(),) if kind == 0 else tuple(sorted(p for p in parts if len(p) >= 5))
-        out.append((s, e, kind + 1, _shape(word, digits), forms, -1))
-    out.sort()
-    return out
+    close()
+    return sorted(out)
 
 
 def _bits(shapes: np.ndarray) -> np.ndarray:
     return np.concatenate([(shapes[:, None] >> np.arange(FEATURES)) & 1, np.ones((len(shapes), 1), np.int64)], axis=1).astype(np.float64)
 
 
-def fit(counts: list[tuple[int, int, int]], chains: list[tuple[int, int, int]], steps: int = 300, pull: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Node weights from (shape, label, times) and chain weights from (label, next label, times)."""
+Model = tuple[np.ndarray, np.ndarray, float]
+
+
+def fit(counts: list[tuple[int, int, int]], chains: list[tuple[int, int, int]], pairs: list[tuple[int, int, int]], steps: int = 300, pull: float = 1e-3) -> Model:
+    """Node weights from (shape, label, times), chain weights from (label, next label, times), and the forms' potential from (label, another label of the form, times)."""
     size = len(KINDS) + 1
     weights, chain = np.zeros((FEATURES + 1, size)), np.zeros((size, size))
     if counts:
@@ -147,11 +197,12 @@ def fit(counts: list[tuple[int, int, int]], chains: list[tuple[int, int, int]],
     for a, b, n in chains:
         table[a, b] += n
     chain = np.log(table / table.sum()) - np.log(table.sum(1, keepdims=True) / table.sum()) - np.log(table.sum(0, keepdims=True) / table.sum())
-    return weights, np.clip(chain, -2, 2)
+    agree, other = (sum(n for a, b, n in pairs if (a == b) is same) for same in (True, False))
+    return weights, np.clip(chain, -2, 2), float(max(0.0, np.log((agree + PAIRS) / (other + PAIRS))))
 
 
-def marginals(unary: np.ndarray, pairs: np.ndarray, tables: np.ndarray, rounds: int) -> np.ndarray:
-    """Loopy sum-product in logarithms: `unary` by node and label, `pairs` of nodes, `tables` by pair, label, label."""
+def marginals(unary: np.ndarray, pairs: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Loopy sum-product in logarithms: `unary` by node and label, `pairs` of nodes, `tables` by pair, label, label. Messages pass until they settle; every HALVED rounds their step is halved, so they do on any graph."""
     n = len(pairs)
     if not n:
         return np.exp(unary - np.logaddexp.reduce(unary, axis=1, keepdims=True))
@@ -160,48 +211,64 @@ def marginals(unary: np.ndarray, pairs: np.ndarray, tables: np.ndarray, rounds:
     table = np.concatenate([tables, tables.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
     sent = np.zeros((2 * n, unary.shape[1]))
-    for _ in range(rounds):
+    step, k = 1.0, 0
+    while True:
         belief = unary.copy()
         np.add.at(belief, target, sent)
         fresh = np.logaddexp.reduce((belief[source] - sent[back])[:, :, None] + table, axis=1)
         fresh -= np.logaddexp.reduce(fresh, axis=1, keepdims=True)
-        moved = np.abs(fresh - sent).max()
-        sent = 0.5 * sent + 0.5 * fresh if moved > 1e-3 else fresh
+        moved = step * np.abs(fresh - sent).max()
+        sent = sent + step * (fresh - sent)
+        k += 1
+        if k % HALVED == 0:
+            step /= 2
+        if moved < SETTLED:
+            break
     belief = unary.copy()
     np.add.at(belief, target, sent)
     return np.exp(belief - np.logaddexp.reduce(belief, axis=1, keepdims=True))
 
 
-def edges(found: list) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain pairs, of neighbouring words; skip pairs, of one form's occurrences in a row."""
+def edges(found: list[Node]) -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """Chain pairs, of neighbouring words; and the occurrences of each form that has more than one."""
     chain = [(i, i + 1) for i in range(len(found) - 1) if found[i][5] >= 0 and found[i + 1][5] == found[i][5] + 1]
-    last, skip = {}, set()
+    at: dict[str, list[int]] = {}
     for i, node in enumerate(found):
         for form in node[4]:
-            if form in last and last[form] != i:
-                skip.add((last[form], i))
-            last[form] = i
-    return chain, sorted(skip)
+            at.setdefault(form, []).append(i)
+    return chain, [own for own in at.values() if len(own) > 1]
 
 
-def spans(text: str | None, model: tuple[np.ndarray, np.ndarray]) -> tuple[list[Span], list[Span]]:
+def field(found: list[Node], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`unary, pairs, tables` of a document's graph: the nodes, and after them one node for each form."""
+    weights, chained, agree = model
+    chain, forms = edges(found)
+    unary = np.concatenate([_bits(np.array([n[3] for n in found])) @ weights, np.zeros((len(forms), weights.shape[1]))])
+    for i, node in enumerate(found):
+        if node[2]:
+            unary[i, node[2]] = HELD
+    tied = []
+    for k, own in enumerate(forms):
+        hub = len(found) + k
+        for i in own:
+            tied.append((i, hub))
+            if found[i][2]:
+                unary[hub, found[i][2]] = HELD
+    tables = np.concatenate([np.repeat(chained[None], len(chain), 0), np.repeat((agree * np.eye(weights.shape[1]))[None], len(tied), 0)])
+    return unary, np.array([*chain, *tied], np.int64).reshape(-1, 2), tables
+
+
+def spans(text: str | None, model: Model) -> tuple[list[Span], list[Span]]:
     """Base spans, and those that the field adds."""
     if not text or not any(c in text for c in _SIGNS):
         return [], []
     base = base_spans(text)
     found = nodes(text, base)
-    if not any(n[2] == 0 for n in found):
+    if all(n[2] for n in found):
         return base, []
-    unary = _bits(np.array([n[3] for n in found])) @ model[0]
-    for i, node in enumerate(found):
-        if node[2]:
-            unary[i] = -30.0
-            unary[i, node[2]] = 30.0
-    chain, skip = edges(found)
-    agree = SKIP_WEIGHT * np.eye(unary.shape[1])
-    tables = np.concatenate([np.repeat(model[1][None], len(chain), 0), np.repeat(agree[None], len(skip), 0)])
-    belief = marginals(unary, np.array([*chain, *skip], np.int64).reshape(-1, 2), tables, ROUNDS)
-    added = [(int(b.argmax()) - 1, n[0], n[1]) for n, b in zip(found, belief, strict=True) if not n[2] and b.argmax() and b.max() >= LEAST_PROBABILITY]
+    graph = field(found, model)
+    belief = marginals(*graph)
+    added = [(int(b.argmax()) - 1, n[0], n[1]) for n, b in zip(found, belief[: len(found)], strict=True) if not n[2] and b.argmax() and b.max() >= LEAST_PROBABILITY]
     return base, sorted(added)
 
 
@@ -209,12 +276,12 @@ def listed(found: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(found))
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
     """The field's weights, from the documents of the least hash."""
     drawn = docs.select(F.xxhash64(F.col(doc_id)).alias("h")).orderBy("h").limit(sample_docs)
     least = drawn.agg(F.max("h")).first()[0]
     if least is None:
-        return fit([], [])
+        return fit([], [], [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,11 +290,13 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_do
                 value = cell.as_py()
                 if value and any(c in value for c in _SIGNS):
                     found = nodes(value, base_spans(value))
-                    for node in found:
-                        key = (0, node[3], node[2])
-                        seen[key] = seen.get(key, 0) + 1
-                    for a, b in edges(found)[0]:
-                        key = (1, found[a][2], found[b][2])
+                    chain, forms = edges(found)
+                    held = [[i for i in own if found[i][2]] for own in forms]
+                    open_ = {i for own, based in zip(forms, held, strict=True) if based for i in own if not found[i][2]}
+                    keys = [(0, node[3], node[2]) for i, node in enumerate(found) if i not in open_]
+                    keys += [(1, found[a][2], found[b][2]) for a, b in chain if a not in open_ and b not in open_]
+                    keys += [(2, found[a][2], found[b][2]) for based in held for a, b in zip(based, based[1:], strict=False)]
+                    for key in keys:
                         seen[key] = seen.get(key, 0) + 1
             rows = list(zip(*seen, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows), pa.array(list(seen.values()), pa.int64())], names=["what", "a", "b", "times"])
@@ -235,10 +304,10 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_do
     counted = docs.filter(F.xxhash64(F.col(doc_id)) <= least).select(text).mapInArrow(run, "what long, a long, b long, times long")
     rows = counted.groupBy("what", "a", "b").agg(F.sum("times").alias("times")).collect()  # shapes and labels: at most 2^18 times 5 rows
     pick = lambda what: [(r.a, r.b, r.times) for r in rows if r.what == what]
-    return fit(pick(0), pick(1))
+    return fit(pick(0), pick(1), pick(2))
 
 
-def find(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`doc_id, n_email, n_ip, n_card, n_phone` (base spans), `base_sha256, spans, n_added`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +326,7 @@ def find(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], doc_id: str = "d
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, out)
 
 
-def redact(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with each span of `text` replaced by its kind in angle brackets, such as <EMAIL>; overlapping spans are replaced as one, named after the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
