@@ -2,9 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -168,3 +170,73 @@ def test_scores_decide_what_is_accepted(spark):
     assert kept == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
     unnamed = odd.unionByName(docs.limit(20).withColumn("lang", F.lit(None).cast("string")))
     assert sorted(map(str, corpus_pipeline.tell_language(spark, unnamed, "").collect())) == sorted(map(str, unnamed.collect()))
+
+
+def plain_model(rows):
+    """TF-IDF, follow-the-regularised-leader and temperature with dictionaries and single numbers, from (doc_id, text, lang) of the learning rows, all of which are in the sample."""
+    docs = len(rows)
+    grams = {i: dict(zip(*map(np.ndarray.tolist, language_id.buckets(t)), strict=True)) for i, t, _ in rows}
+    df = Counter(b for g in grams.values() for b in g)
+    idf = {b: math.log((1 + docs) / (1 + n)) + 1 for b, n in df.items()}
+    vectors = {}
+    for i, g in grams.items():
+        raw = {b: (1 + math.log(n)) * idf[b] for b, n in g.items()}
+        size = math.sqrt(sum(v * v for v in raw.values()))
+        vectors[i] = {b: v / size for b, v in raw.items()}
+    langs = sorted({lang for *_, lang in rows})
+    order = sorted(rows, key=lambda r: language_id.hash_order(str(r[0])))
+    learn, aside = [r for k, r in enumerate(order) if k % 5], order[::5]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(key):
+        if abs(z[key]) <= language_id.L1:
+            return 0.0
+        return -(z[key] - math.copysign(language_id.L1, z[key])) / ((language_id.BETA + math.sqrt(n[key])) / language_id.ALPHA + language_id.L2)
+
+    def chances(i, temperature=1.0):
+        scores = [sum(weight((c, b)) * v for b, v in vectors[i].items()) / temperature for c in range(len(langs))]
+        e = [math.exp(s - max(scores)) for s in scores]
+        return [x / sum(e) for x in e]
+
+    for epoch in range(language_id.EPOCHS):
+        for i, _, lang in learn if epoch % 2 == 0 else learn[::-1]:
+            p = chances(i)
+            for c in range(len(langs)):
+                for b, v in vectors[i].items():
+                    g, w = (p[c] - (langs[c] == lang)) * v, weight((c, b))
+                    sigma = (math.sqrt(n[c, b] + g * g) - math.sqrt(n[c, b])) / language_id.ALPHA
+                    z[c, b] += g - sigma * w
+                    n[c, b] += g * g
+    grid = [math.exp(k * 0.1) for k in range(-20, 21)]
+    loss = [-sum(math.log(chances(i, t)[langs.index(lang)] + 1e-12) for i, _, lang in aside) for t in grid]
+    return langs, {key: weight(key) for key in list(z)}, grid[loss.index(min(loss))]
+
+
+def test_training_is_the_plain_one(spark):
+    words = {"x": "alpha beta gamma delta", "y": "epsilon zeta eta theta", "z": "iota kappa lambda mu"}
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(words[k].split()) for _ in range(rng.randint(1, 8))), k) for i in range(60) for k in [rng.choice("xyz")]]
+    frame = spark.createDataFrame(rows + [(90, None, "x"), (91, "no label", None)], "doc_id long, text string, lang string").repartition(3)
+    model = language_id.train(frame)
+    langs, weights, temperature = plain_model([r for r in rows if zlib.crc32(str(r[0]).encode()) % 5])
+    assert model.langs == langs and model.temperature == pytest.approx(temperature)
+    want = np.zeros_like(model.weights)
+    for (c, b), w in weights.items():
+        want[c, b] = w
+    assert np.allclose(model.weights, want, atol=1e-9) and (want != 0).any()
+    for r in language_id.predict(frame, model).collect():
+        text = dict((i, t) for i, t, _ in rows).get(r.doc_id, "no label" if r.doc_id == 91 else None)
+        assert (r.lang_pred, r.score) == model.predict(text) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_language_ties_repeats_and_many_languages(spark, monkeypatch):
+    rows = [(i, "same words here", "ba"[i % 2]) for i in range(40)] * 2
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["a", "b"] and len(language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()) == 80
+    model.weights[:] = 0
+    assert model.predict("same") == ("a", 0.5)
+    monkeypatch.setattr(language_id, "MOST_LANGS", 3)
+    many = [(i, f"text {i}", f"l{min(i % 20, 7)}") for i in range(200)]
+    assert len(language_id.train(spark.createDataFrame(many, "doc_id long, text string, lang string")).langs) == 3
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert language_id.train(empty).langs == [] and language_id.predict(empty, language_id.train(empty)).collect() == []
