@@ -70,12 +70,20 @@ def clean_literal(text: Column, numbers: tuple[int, ...] = tuple(r[0] for r in L
 
 
 def has_anomaly(text: Column, split_letters: bool = True) -> Column:
-    """Whether a text still looks damaged, footnote marks aside. A null or blank text doesn't."""
-    plain = trimmed(F.regexp_replace(text, FOOTNOTES, ""))
-    hit = F.lit(False)
-    for pattern in ANOMALIES:
-        hit = hit | plain.rlike(pattern)
-    if split_letters:
-        found = F.regexp_extract_all(plain, F.lit(f"({SPLIT_LETTERS})"), 1)
-        hit = hit | F.exists(found, lambda m: ~F.lower(m).isin(*SHORT_PHRASES))
-    return F.coalesce((plain != "") & hit, F.lit(False))
+    """Whether a text still looks damaged, footnote marks aside. A null or blank text doesn't.
+
+    The text without its marks is the one element of an array that the tests run
+    on, so it is made once; texts without a sign of a mark are taken as they are.
+    """
+
+    def damaged(plain: Column) -> Column:
+        hit = F.lit(False)
+        for pattern in ANOMALIES:
+            hit = hit | plain.rlike(pattern)
+        if split_letters:
+            found = F.regexp_extract_all(plain, F.lit(f"({SPLIT_LETTERS})"), 1)
+            hit = hit | F.exists(found, lambda m: ~F.lower(m).isin(*SHORT_PHRASES))
+        return (plain != "") & hit
+
+    plain = trimmed(F.when(text.rlike("[<^]"), F.regexp_replace(text, FOOTNOTES, "")).otherwise(text))
+    return F.coalesce(F.exists(F.array(plain), damaged), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bookflow.functions.headings import OPENERS, ORDINALS
 from bookflow.functions.literal_rules import both_cases
 from bookflow.functions.text import LETTERS, LOWER, UPPER, WS, round_half_up, trimmed
 
@@ -42,15 +43,16 @@ def representative_pages(pages: DataFrame, book: str, page: str, items: str) ->
 def running_medians(items: DataFrame, book: str, page: str, size: str) -> DataFrame:
     """`book, page, median`: of the sizes on all pages so far, the one at place floor(n / 2) from 0.
 
-    Sizes have few values, so counts by value are added up over pages and over
-    values; no list of sizes is ever built.
+    Sizes have few values, so their counts are summed over pages for each value,
+    and over values for each page: as many rows as pages times sizes of a book.
     """
     counts = items.groupBy(book, page, size).agg(F.count(F.lit(1)).alias("n"))
-    pages = counts.select(book, F.col(page).alias("to_page")).distinct()
-    so_far = pages.join(counts, book).filter(F.col(page) <= F.col("to_page")).groupBy(book, "to_page", size).agg(F.sum("n").alias("n"))
-    by_size = W.partitionBy(book, "to_page").orderBy(size)
-    ranked = so_far.withColumn("through", F.sum("n").over(by_size)).withColumn("all", F.sum("n").over(W.partitionBy(book, "to_page")))
-    return ranked.filter(F.col("through") > F.floor(F.col("all") / 2)).groupBy(book, "to_page").agg(F.min(size).alias("median")).withColumnRenamed("to_page", page)
+    grid = counts.select(book, page).distinct().join(counts.select(book, size).distinct(), book)
+    up_to = W.partitionBy(book, size).orderBy(page)
+    so_far = grid.join(counts, [book, page, size], "left").withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(up_to))
+    by_size = W.partitionBy(book, page).orderBy(size)
+    ranked = so_far.withColumn("through", F.sum("n").over(by_size)).withColumn("all", F.sum("n").over(W.partitionBy(book, page)))
+    return ranked.filter(F.col("through") > F.floor(F.col("all") / 2)).groupBy(book, page).agg(F.min(size).alias("median"))
 
 
 def percentile(values: Column, share: float) -> Column:
@@ -76,17 +78,9 @@ def is_header_or_footer(text: Column, y: Column, font: Column, page_height: Colu
     return outer | F.coalesce((font <= median * 1.15) & t.rlike(r"^[0-9]{1,4}\.?\z") & near & edge, F.lit(False))
 
 
-# Words of chapter headings, and words that no heading begins with.
-_ORDINALS = (
-    "BİRİNCİ İKİNCİ ÜÇÜNCÜ DÖRDÜNCÜ BEŞİNCİ ALTINCI YEDİNCİ SEKİZİNCİ DOKUZUNCU ONUNCU ON+BİRİNCİ ON+İKİNCİ ON+ÜÇÜNCÜ ON+DÖRDÜNCÜ ON+BEŞİNCİ ON+ALTINCI "
-    "ON+YEDİNCİ ON+SEKİZİNCİ ON+DOKUZUNCU YİRMİNCİ YİRMİ+BİRİNCİ YİRMİ+İKİNCİ"
-).split()
-_OPENERS = (
-    "ve veya ile ama fakat çünkü ancak bu şu o ben sen biz siz bir her de da ki dedi diye sonra şimdi artık kadar olduğunu yaptığını istiyorsunuz düşünüyorsunuz"
-).split()
-_any_case = lambda words: "|".join(both_cases(w.lower() if w.isascii() else w).replace("+", f"{WS}+") for w in words)
+_any_case = lambda words: "|".join(both_cases(w.lower() if w.isascii() else w).replace(" ", f"{WS}+") for w in words)
 _ENDS = "(?![A-Za-z0-9_])"
-_CHAPTER = rf"^(?:(?:{_any_case(_ORDINALS)}){WS}+(?:{_any_case(['BÖLÜM', 'KISIM'])})|(?:{_any_case(['BÖLÜM', 'KISIM', 'CHAPTER', 'PART'])}){WS}*(?:[0-9]{{1,3}}|[IVXLCDMivxlcdm]{{1,6}})?|{_any_case(['GİRİŞ', 'ÖNSÖZ'])}|{both_cases('SON'.lower())}{WS}*{both_cases('SÖZ')}|{_any_case(['EPİLOG', 'PROLOG', 'İÇİNDEKİLER'])}){_ENDS}"
+_CHAPTER = rf"^(?:(?:{_any_case(ORDINALS)}){WS}+(?:{_any_case(['BÖLÜM', 'KISIM'])})|(?:{_any_case(['BÖLÜM', 'KISIM', 'CHAPTER', 'PART'])}){WS}*(?:[0-9]{{1,3}}|[IVXLCDMivxlcdm]{{1,6}})?|{_any_case(['GİRİŞ', 'ÖNSÖZ'])}|{both_cases('SON'.lower())}{WS}*{both_cases('SÖZ')}|{_any_case(['EPİLOG', 'PROLOG', 'İÇİNDEKİLER'])}){_ENDS}"
 
 
 def collapse_letter_spacing(text: Column) -> Column:
@@ -107,7 +101,7 @@ def is_chapter_heading(text: Column, font: Column, median: Column, y: Column) ->
     numeral = n.rlike(rf"^(?:{both_cases('bölüm')}{WS}*)?(?:[0-9]{{1,2}}|[IVXLCDMivxlcdm]{{1,6}})\.?\z") & (font >= median * 1.35)
     caps = (n == F.upper(n)) & n.rlike(f"[{UPPER}]")
     title = n.rlike(f"^[{UPPER}]") & ~n.rlike(f"[{LOWER}]+[{UPPER}]")
-    large = (font >= median * 1.75) & (F.char_length(t) <= 35) & ~t.rlike("[.,;!?:…»\"']\\z") & ~t.rlike(f"^(?:{_any_case(_OPENERS)}){_ENDS}") & (F.char_length(n) >= 3) & (caps | title)
+    large = (font >= median * 1.75) & (F.char_length(t) <= 35) & ~t.rlike("[.,;!?:…»\"']\\z") & ~t.rlike(f"^(?:{_any_case(OPENERS)}){_ENDS}") & (F.char_length(n) >= 3) & (caps | title)
     return could & (named | end | numeral | large)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bookflow.functions import casing, rules
-from bookflow.functions.lexicon import Lexicon, repair_split_words, suffixes
+from bookflow.functions.lexicon import SUFFIXES, Lexicon, repair_split_words, suffixes
 from bookflow.functions.literal_rules import clean_literal, has_anomaly
 
 WORDS = "kitap düşünmek duş tarih anlatmak şans demek takla sarmalanmak kol fikir en iyi etmek onaylamak ayak olay masa ağrı dava görünmek".split()
@@ -90,7 +90,10 @@ def test_casing():
 def test_lexicon(lexicon):
     assert lexicon.is_valid("kitapları") and lexicon.is_valid("anlattı") and not lexicon.is_valid("zzzz")
     assert lexicon.is_valid("kitabı") and lexicon.stands_alone("mı") and not lexicon.stands_alone("q")
-    assert 511 <= len(suffixes()) < 3000
+    assert len(suffixes()) == len(SUFFIXES) == 511 and [len(s) for s in suffixes()] == sorted(map(len, SUFFIXES), reverse=True)
+    known = Lexicon(["gel", "gelmek"])
+    assert all(known.is_valid(w) for w in ("gelebildi", "gelersin", "gelebiliyor", "geldiğinde"))
+    assert not any(known.is_valid(w) for w in ("geleceksunuz", "gelyip"))
     assert repair_split_words("ab", lexicon) == ("ab", 0)
 
 
