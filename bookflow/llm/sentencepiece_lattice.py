@@ -18,10 +18,11 @@ so one pass over the edges gives the ids of the library.
 Decoding maps ids to the bytes of their pieces and joins the bytes; byte pieces
 need no other way.
 
-A corpus is encoded by its distinct units. The most frequent ones (a bounded
-number of bounded length) get codes by rank and are broadcast; a text becomes
-its codes, packed, with holes for the other units, whose ids are joined to them
-by a shuffle. Codes and holes then give way to ids. As a document's row the query returns its ids in order, how
+A corpus is encoded by its distinct units. The most frequent words (what stands
+between two spaces, of one or more units) and units, a bounded number of bounded
+length, get codes and are broadcast; texts become their codes, packed in bundles
+of documents, with holes for the other units, whose ids are joined to the
+bundles by a shuffle. Codes and holes then give way to ids. As a document's row the query returns its ids in order, how
 many there are, how many of them are bytes, whether they decode to its text
 (compared by 128 bits of BLAKE2, so texts aren't shuffled; marks in a text count
 as spaces, as the model reads them), and a hash of the ids in their order.
@@ -48,6 +49,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from zstandard import ZstdCompressor, ZstdDecompressor
@@ -57,9 +59,10 @@ from bookflow.llm.common import forget, table, written
 MARK = "▁"
 #: Units up to this many characters hold their boundaries in one long.
 BITS = 62
-HOT_LIMIT, HOT_CHARS = 400_000, 32
-#: Distinct units that a task counts before it hands them on.
-GROUP_UNITS = 500_000
+#: Most words and most units with codes, their characters, and how often a task has to see a word to propose it.
+HOT_LIMIT, HOT_UNITS, HOT_CHARS, HOT_TIMES = 200_000, 50_000, 32, 4
+#: Distinct words that a task counts before it hands them on, and codes in a bundle of documents.
+GROUP_WORDS, BUNDLE_CODES = 400_000, 400_000
 #: Places of an edge's rank, id, start and length in one long: 18, 18, 20 and 7 bits.
 _RANK, _ID, _START = 1 << 45, 1 << 27, 1 << 7
 _WIDEST, _LONGEST = (1 << 18) - 1, (1 << 7) - 1
@@ -107,6 +110,12 @@ def units(text: str) -> list[str]:
     return _UNIT.findall(" " + text.replace(MARK, " ")) if text else []
 
 
+def words(text: str) -> list[str] | None:
+    """The words of a text, each with a space before it in the model's reading; None if it has two spaces in a row or one at an end."""
+    parts = text.replace(MARK, " ").split(" ") if text else []
+    return None if "" in parts else parts
+
+
 def short_units(unit: str, inside: set[str]) -> list[str]:
     """A unit with marks, or its parts where it is too long for one long: it is cut where no piece can cross."""
     if len(unit) <= BITS:
@@ -256,33 +265,43 @@ def _fingerprint(spelled: bytes) -> bytes:
 
 
 def _counted(docs: DataFrame, text: str, path: str) -> DataFrame:
-    """`unit, n`: every distinct unit of up to BITS characters of all documents, with marks, and how often it occurs. Tasks count before the shuffle."""
+    """`item, is_word, n`: every distinct unit of up to BITS characters of all documents, with marks, and the words that some task has often, and how often each occurs. Tasks count before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = pieces(path).inside
         seen: Counter = Counter()
+        rest: Counter = Counter()
 
         def out() -> pa.RecordBatch:
             made: Counter = Counter()
-            for unit, n in seen.items():
+            for word, n in seen.items():
+                for unit in _UNIT.findall(" " + word):
+                    rest[unit] += n
+            for unit, n in rest.items():
                 if len(unit) <= BITS:
                     made[unit.replace(" ", MARK)] += n
                     continue
                 for one in short_units(unit.replace(" ", MARK), inside):
                     if len(one) <= BITS:
                         made[one] += n
+            often = {word: n for word, n in seen.items() if n >= HOT_TIMES and len(word) < HOT_CHARS}
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), pa.array(list(made.values()), pa.int64())], names=["unit", "n"])
+            rest.clear()
+            is_word = np.arange(len(made) + len(often)) >= len(made)
+            return pa.RecordBatch.from_arrays([pa.array([*made, *often], pa.string()), pa.array(is_word), pa.array([*made.values(), *often.values()], pa.int64())], names=["item", "is_word", "n"])
 
         for batch in batches:
-            for cell in batch.column(0):
-                seen.update(units(cell.as_py() or ""))
-                if len(seen) >= GROUP_UNITS:
+            for value in batch.column(0).to_pylist():
+                parts = words(value or "")
+                if parts is None:
+                    rest.update(units(value))
+                else:
+                    seen.update(parts)
+                if len(seen) + len(rest) >= GROUP_WORDS:
                     yield out()
         yield out()
 
-    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return docs.select(text).mapInArrow(run, "unit string, n long").repartition(parts, "unit").groupBy("unit").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(run, "item string, is_word boolean, n long").groupBy("item", "is_word").agg(F.sum("n").alias("n"))
 
 
 #: Ids as three bytes each, the first byte first.
@@ -315,121 +334,165 @@ def long_codes(raw: bytes) -> np.ndarray:
 
 
 class Hot:
-    """The most frequent units: their codes, from 1 on, their ids one after the other with where each code's begin, and what the ids of each decode to. Code 0 is a hole."""
-
-    def __init__(self, known: list[tuple[str, int, bytes]], path: str):
-        known = sorted(known, key=lambda r: (-r[1], r[0]))
-        table, ids = piece_bytes(path), [unpacked(r[2]) for r in known]
-        self.codes = {r[0].replace(MARK, " "): k + 1 for k, r in enumerate(known)}
+    """The codes of frequent words and units, from 1 on, with their ids one after the other, where each code's begin, and what the ids of each decode to. Code 0 is a hole."""
+
+    def __init__(self, known_words: list[tuple[str, int, bytes]], known_units: list[tuple[str, int, bytes]], path: str):
+        known = [*((r, False) for r in known_words), *((r, True) for r in known_units)]
+        known.sort(key=lambda r: (-r[0][1], r[1], r[0][0]))
+        table, ids = piece_bytes(path), [unpacked(r[2]) for r, _ in known]
+        self.words = {r[0]: k + 1 for k, (r, is_unit) in enumerate(known) if not is_unit}
+        self.units = {r[0].replace(MARK, " "): k + 1 for k, (r, is_unit) in enumerate(known) if is_unit}
         self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         self.begins = np.concatenate([[0, 0], np.cumsum([*map(len, ids)])]).astype(np.int64)
         self.spelled = [b"", *(b"".join([table[i] for i in part.tolist()]) for part in ids)]
 
 
-def _hot(vocabulary: DataFrame, limit: int, chars: int, path: str) -> Hot:
-    """At most `limit` of the most frequent short units. The least frequency is found from a count of levels, an eighth of a power of two each."""
+def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """At most `limit` rows of the greatest `n`. The least is found from a count of levels, an eighth of a power of two each."""
     level = F.floor(F.log2("n") * 8)
-    short = vocabulary.filter(F.char_length("unit") <= chars)
-    sizes = sorted(((r.level, r.units) for r in short.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("units")).collect()), reverse=True)  # at most 8 * 63 rows
-    least, total = None, 0
+    sizes = sorted(((r.level, r.rows) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect()), reverse=True)  # at most 8 * 63 rows
+    least, total = 1 << 20, 0
     for at, there in sizes:
         total += there
         if total > limit:
             break
         least = at
-    if least is None:
-        return Hot([], path)
-    known = short.filter(level >= least).select("unit", "n", "ids").toArrow()  # at most `limit` short rows
-    return Hot(list(zip(*(c.to_pylist() for c in known.columns), strict=True)), path)
-
-
-def _by_document(docs: DataFrame, doc_id: str, text: str, path: str, hot: dict[str, int]) -> DataFrame:
-    """`row, doc_id, print`, the text's fingerprint, `codes` of its units, `rest`, the distinct units of the holes, `own`, the ids of holes that are known already, of units too long to be shuffled, and `slots`: for each hole twice its place in `rest`, or one more than twice its place in `own`."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, inside, pack = shared.value.get, pieces(path).inside, ZstdCompressor(level=3).compress
-        for batch in batches:
-            prints, all_codes, slots, names, ends, own = [], [], [], [], [0], []
-            for cell in batch.column(2):
-                value = cell.as_py() or ""
-                cuts = units(value)
-                codes = np.fromiter(map(known, cuts, repeat(0)), np.int64, len(cuts))
-                taken, rest, merged, times = [], {}, [], {}
-                for k in np.flatnonzero(codes == 0).tolist():
-                    unit = cuts[k].replace(" ", MARK)
-                    if len(unit) <= BITS:
-                        taken.append(2 * rest.setdefault(unit, len(rest)))
+    return counts.filter(level >= least)
+
+
+def _hot(counted: DataFrame, vocabulary: DataFrame, limit: int, unit_limit: int, path: str) -> Hot:
+    cut = F.udf(lambda word: [u.replace(" ", MARK) for u in _UNIT.findall(" " + word)], "array<string>", useArrow=True)
+    often = _most_frequent(counted.filter("is_word").select(F.col("item").alias("word"), "n"), limit)
+    parts = often.select("word", "n", F.posexplode(cut("word")).alias("at", "unit")).join(vocabulary.select("unit", "ids"), "unit")
+    whole = parts.groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
+    known_words = whole.select("word", "n", F.expr("unhex(array_join(transform(parts, p -> hex(p.ids)), ''))").alias("ids")).toArrow()  # at most `limit` short rows
+    known_units = _most_frequent(vocabulary.filter(F.char_length("unit") <= HOT_CHARS), unit_limit).select("unit", "n", "ids").toArrow()  # at most `unit_limit` short rows
+    rows = lambda t: list(zip(*(c.to_pylist() for c in t.columns), strict=True))
+    return Hot(rows(known_words), rows(known_units), path)
+
+
+_BUNDLE = ("bundle", "doc_ids", "prints", "sizes", "codes", "slots", "rest", "own")
+
+
+class _Bundle:
+    """Documents in codes: one row of the written table."""
+
+    def __init__(self) -> None:
+        self.doc_ids, self.prints, self.codes, self.slots = [], [], [], []
+        self.rest: dict[str, int] = {}
+        self.own: list[bytes] = []
+
+    def add(self, doc_id: int | None, value: str, hot_words: dict[str, int], hot_units: dict[str, int], inside: set[str], path: str) -> int:
+        parts = words(value)
+        if parts is None:
+            parts = units(value)
+            codes = np.fromiter(map(hot_units.get, parts, repeat(0)), np.int64, len(parts))
+            cut = lambda unit: [unit]
+        else:
+            codes = np.fromiter(map(hot_words.get, parts, repeat(0)), np.int64, len(parts))
+            cut = lambda word: _UNIT.findall(" " + word)
+        unknown = np.flatnonzero(codes == 0)
+        if len(unknown):
+            more, times = [], np.ones(len(codes), np.int64)
+            for k in unknown.tolist():
+                before = len(more)
+                for unit in cut(parts[k]):
+                    code = hot_units.get(unit, 0)
+                    if code:
+                        more.append(code)
                         continue
-                    parts = short_units(unit, inside)
-                    times[k] = len(parts)
-                    for one in parts:
+                    for one in short_units(unit.replace(" ", MARK), inside):
+                        more.append(0)
                         if len(one) <= BITS:
-                            taken.append(2 * rest.setdefault(one, len(rest)))
+                            self.slots.append(2 * self.rest.setdefault(one, len(self.rest)))
                         else:
-                            taken.append(2 * len(merged) + 1)
-                            merged.append(np.array(merge_long(one, path), ">i4").reshape(-1, 1).view(np.uint8)[:, 1:].tobytes())
-                if times:
-                    each = np.ones(len(codes), np.int64)
-                    each[list(times)] = list(times.values())
-                    codes = np.repeat(codes, each)
-                prints.append(_fingerprint(value.replace(MARK, " ").encode("utf-8", "surrogatepass")))
-                all_codes.append(pack(short_codes(codes)))
-                slots.append(pack(short_codes(np.array(taken, np.int64))))
-                names += rest
-                ends.append(len(names))
-                own.append(merged)
-            rests = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.binary()) for c in (prints, all_codes, slots)), rests, pa.array(own, pa.list_(pa.binary()))], names=["row", "doc_id", "print", "codes", "slots", "rest", "own"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "row long, doc_id long, print binary, codes binary, slots binary, rest array<string>, own array<binary>")
+                            self.slots.append(2 * len(self.own) + 1)
+                            self.own.append(np.array(merge_long(one, path), ">i4").reshape(-1, 1).view(np.uint8)[:, 1:].tobytes())
+                times[k] = len(more) - before
+            was_known = np.repeat(codes, times)
+            was_known[was_known == 0] = more
+            codes = was_known
+        self.doc_ids.append(doc_id)
+        self.prints.append(_fingerprint(value.replace(MARK, " ").encode("utf-8", "surrogatepass")))
+        self.codes.append(codes)
+        return len(codes)
+
+    def row(self, number: int) -> pa.RecordBatch:
+        pack = ZstdCompressor(level=3).compress
+        sizes = np.array([*map(len, self.codes)], "<i4").tobytes()
+        binaries = [b"".join(self.prints), pack(sizes), pack(short_codes(np.concatenate(self.codes))), pack(short_codes(np.array(self.slots, np.int64)))]
+        columns = [pa.array([number]), pa.array([self.doc_ids], pa.list_(pa.int64())), *(pa.array([b], pa.binary()) for b in binaries)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([list(self.rest)], pa.list_(pa.string())), pa.array([self.own], pa.list_(pa.binary()))], names=list(_BUNDLE))
+
+
+def _bundled(docs: DataFrame, doc_id: str, text: str, path: str, hot: Hot) -> DataFrame:
+    """Rows of `bundle, doc_ids, prints`, the texts' fingerprints, `sizes`, the codes of each text, `codes` of all, `rest`, the distinct units of the holes, `own`, the ids of holes that are known already, of units too long to be shuffled, and `slots`: for each hole twice its place in `rest`, or one more than twice its place in `own`."""
+    shared = docs.sparkSession.sparkContext.broadcast((hot.words, hot.units))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (hot_words, hot_units), inside = shared.value, pieces(path).inside
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            bundle, codes = _Bundle(), 0
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                codes += bundle.add(key, value or "", hot_words, hot_units, inside, path)
+                if codes >= BUNDLE_CODES:
+                    yield bundle.row(number)
+                    bundle, codes, number = _Bundle(), 0, number + 1
+            if bundle.codes:
+                yield bundle.row(number)
+                number += 1
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "bundle long, doc_ids array<long>, prints binary, sizes binary, codes binary, slots binary, rest array<string>, own array<binary>")
 
 
 def _filled(batches: Iterator[pa.RecordBatch], path: str, hot_ids: np.ndarray, begins: np.ndarray, spelled: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """From `doc_id, print, codes, slots, found, own`: codes and holes become ids, and what the ids decode to is compared with the text."""
+    """From `doc_ids, prints, sizes, codes, slots, found, own` of bundles a row for each document: codes and holes become ids, and what the ids decode to is compared with the text."""
     table, unpack = piece_bytes(path), ZstdDecompressor().decompress
     is_byte = np.zeros(len(table), bool)
     is_byte[list(pieces(path).byte.values())] = True
     for batch in batches:
-        coded, slotted = ([unpack(v) for v in batch.column(c).to_pylist()] for c in (2, 3))
-        codes, slots = long_codes(b"".join(coded)), long_codes(b"".join(slotted))
-        ends = [np.cumsum([0, *(np.count_nonzero(np.frombuffer(v, np.uint8) < 128) for v in part)]) for part in (coded, slotted)]
-        lists = [batch.column(c) for c in (4, 5)]
-        late = [unpacked(v) for part in lists for v in part.values.to_pylist()]
-        lengths = np.array([*map(len, late)], np.int64)
-        late_begins = len(hot_ids) + np.cumsum(lengths) - lengths
-        shift = np.stack([lists[0].offsets.to_numpy()[:-1], len(lists[0].values) + lists[1].offsets.to_numpy()[:-1]]) if batch.num_rows else np.zeros((2, 0), np.int64)
-        of_doc = np.repeat(np.arange(batch.num_rows), np.diff(ends[1]))
-        item = shift[slots & 1, of_doc] + (slots >> 1)
-        holes = np.flatnonzero(codes == 0)
-        first, size = begins[codes], begins[codes + 1] - begins[codes]
-        first[holes], size[holes] = late_begins[item], lengths[item]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        ids = np.concatenate([hot_ids, *late])[np.arange(upto[-1]) + np.repeat(first - upto[:-1], size)].astype(np.int32)
-        bounds = upto[ends[0]]
-        byte_ids = np.concatenate([[0], np.cumsum(is_byte[ids])])[bounds]
-        parts = list(map(spelled.__getitem__, codes.tolist()))
-        for k, i in zip(holes.tolist(), item.tolist(), strict=True):
-            parts[k] = b"".join([table[x] for x in late[i].tolist()])
-        texts = (b"".join(parts[a:b])[1:] for a, b in zip(ends[0].tolist(), ends[0][1:].tolist(), strict=False))
-        complete = [_fingerprint(t) == p for t, p in zip(texts, batch.column(1).to_pylist(), strict=True)]
-        whole = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
-        yield pa.RecordBatch.from_arrays([batch.column(0), whole, pa.array(np.diff(bounds), pa.int64()), pa.array(np.diff(byte_ids), pa.int64()), pa.array(complete, pa.bool_())], names=["doc_id", "ids", "n_pieces", "n_bytes", "complete"])
-
-
-def count_encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, hot_limit: int = HOT_LIMIT, hot_chars: int = HOT_CHARS) -> DataFrame:
+        for doc_ids, prints, sizes, codes, slots, found, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ends = np.concatenate([[0], np.cumsum(np.frombuffer(unpack(sizes), "<i4"))])
+            codes, slots = long_codes(unpack(codes)), long_codes(unpack(slots))
+            late = [unpacked(v) for v in (*found, *own)]
+            lengths = np.array([*map(len, late)], np.int64)
+            late_begins = len(hot_ids) + np.cumsum(lengths) - lengths
+            item = np.where(slots & 1, len(found), 0) + (slots >> 1)
+            holes = np.flatnonzero(codes == 0)
+            first, size = begins[codes], begins[codes + 1] - begins[codes]
+            first[holes], size[holes] = late_begins[item], lengths[item]
+            upto = np.concatenate([[0], np.cumsum(size)])
+            ids = np.concatenate([hot_ids, *late])[np.arange(upto[-1]) + np.repeat(first - upto[:-1], size)].astype(np.int32)
+            bounds = upto[ends]
+            byte_ids = np.concatenate([[0], np.cumsum(is_byte[ids])])[bounds]
+            parts = list(map(spelled.__getitem__, codes.tolist()))
+            late_spelled = [b"".join([table[x] for x in v.tolist()]) for v in late]
+            for k, i in zip(holes.tolist(), item.tolist(), strict=True):
+                parts[k] = late_spelled[i]
+            texts = (b"".join(parts[a:b])[1:] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False))
+            complete = [_fingerprint(t) == prints[16 * k : 16 * k + 16] for k, t in enumerate(texts)]
+            whole = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), whole, pa.array(np.diff(bounds), pa.int64()), pa.array(np.diff(byte_ids), pa.int64()), pa.array(complete, pa.bool_())], names=["doc_id", "ids", "n_pieces", "n_bytes", "complete"])
+
+
+def count_encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, hot_limit: int = HOT_LIMIT, unit_limit: int = HOT_UNITS) -> DataFrame:
     """`doc_id, ids, n_pieces, n_bytes, complete, ids_digest` for each row of `docs`: the ids in order, and whether they decode to the text."""
     path = path or default_model()
-    vocabulary = written(encoded(_counted(docs, text, path), path).select("unit", "n", F.expr(_PACKED).alias("ids")), "pieces-vocabulary")
-    hot = _hot(vocabulary, min(hot_limit, (1 << 21) - 2), hot_chars, path)
-    per_doc = written(_by_document(docs, doc_id, text, path, hot.codes), "pieces-by-doc")
-    pairs = per_doc.select("row", F.posexplode("rest").alias("slot", "unit"))
-    found = pairs.join(vocabulary.drop("n"), "unit").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("slot", "ids"))).alias("found"))
-    found = written(found.select("row", F.expr("transform(found, f -> f.ids)").alias("found")), "pieces-found")
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = written(_counted(docs, text, path), "pieces-counted")
+    distinct = counted.filter("NOT is_word").select(F.col("item").alias("unit"), "n").repartition(parts, "unit")
+    vocabulary = written(encoded(distinct, path).select("unit", "n", F.expr(_PACKED).alias("ids")), "pieces-vocabulary")
+    hot = _hot(counted, vocabulary, min(hot_limit, 1 << 20), min(unit_limit, 1 << 19), path)
+    forget(counted)
+    bundles = written(_bundled(docs, doc_id, text, path, hot), "pieces-bundles")
+    pairs = bundles.select("bundle", F.posexplode("rest").alias("slot", "unit"))
+    found = pairs.join(vocabulary.drop("n"), "unit").groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("slot", "ids"))).alias("found"))
+    found = written(found.select("bundle", F.expr("transform(found, f -> f.ids)").alias("found")), "pieces-found")
     forget(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((hot.ids, hot.begins, hot.spelled))
-    both = per_doc.drop("rest").join(found, "row", "left").select("doc_id", "print", "codes", "slots", F.coalesce("found", F.array().cast("array<binary>")).alias("found"), "own")
+    both = bundles.drop("rest").join(found, "bundle", "left").select("doc_ids", "prints", "sizes", "codes", "slots", F.coalesce("found", F.array().cast("array<binary>")).alias("found"), "own")
     filled = both.mapInArrow(lambda batches: _filled(batches, path, *shared.value), "doc_id long, ids array<int>, n_pieces long, n_bytes long, complete boolean")
     return filled.withColumn("ids_digest", F.xxhash64("ids"))
 

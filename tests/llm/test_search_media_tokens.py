@@ -133,13 +133,23 @@ def test_query_has_ids_in_order_and_decodes_them(spark):
         assert got[0].ids_digest != got[1].ids_digest and all(r.complete for r in got.values())
     path = sentencepiece_lattice.default_model()
     ids = model.encode("two one")
-    hot = sentencepiece_lattice.Hot([("two one", 9, b"".join(i.to_bytes(3, "big") for i in ids))], path)
-    empty = pa.array([[]], pa.list_(pa.binary()))
+    hot = sentencepiece_lattice.Hot([("two one", 9, b"".join(i.to_bytes(3, "big") for i in ids))], [], path)
+    pack = ZstdCompressor().compress
     for text, same in ((b"one two", False), (b"two one", True)):  # as many bytes, in another order
-        rows = pa.RecordBatch.from_pydict({"d": [1], "print": [sentencepiece_lattice._fingerprint(text)], "codes": [ZstdCompressor().compress(sentencepiece_lattice.short_codes(np.array([1])))], "slots": [ZstdCompressor().compress(b"")], "found": empty, "own": empty})
+        rows = pa.RecordBatch.from_pydict({"d": [[1]], "print": [sentencepiece_lattice._fingerprint(text)], "sizes": [pack(np.array([1], "<i4").tobytes())], "codes": [pack(sentencepiece_lattice.short_codes(np.array([1])))], "slots": [pack(b"")], "found": [[]], "own": [[]]})
         (out,) = sentencepiece_lattice._filled(iter([rows]), path, hot.ids, hot.begins, hot.spelled)
         assert out.column(1).to_pylist() == [ids] and out.column(4).to_pylist() == [same]
-    assert sentencepiece_lattice.Hot([], path).codes == {} and sentencepiece_lattice.Hot([], path).begins.tolist() == [0, 0]
+    empty = sentencepiece_lattice.Hot([], [], path)
+    assert empty.words == {} == empty.units and empty.begins.tolist() == [0, 0]
+
+
+def test_small_bundles_give_the_same(spark, monkeypatch):
+    texts = [t or "" for t in odd_texts()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    whole = {r.doc_id: r for r in sentencepiece_lattice.count_encoded(docs).collect()}
+    monkeypatch.setattr(sentencepiece_lattice, "BUNDLE_CODES", 7)
+    monkeypatch.setattr(sentencepiece_lattice, "HOT_TIMES", 1)
+    assert {r.doc_id: r for r in sentencepiece_lattice.count_encoded(docs, hot_limit=20, unit_limit=5).collect()} == whole and all(r.complete for r in whole.values())
 
 
 def test_codes_and_ids_come_back_from_bytes():
