@@ -2,8 +2,8 @@
 
 Each page becomes blocks of text with what its markup says of them, and a stream
 of words. The suffixes of all streams of a host are one distributed table, by
-the hash of their first RUN words: a group of equal hashes is a stretch of the
-host's suffix array. Of a substring of LENGTH words at least one of its suffixes
+the hash of the host and their first RUN words: a group of equal hashes is a
+stretch of the host's suffix array. Of a substring of LENGTH words at least one of its suffixes
 is in the table, as the least hash of each WINDOW neighbours is kept (it depends
 on the words alone). Spark counts the distinct articles of each group, over the
 whole host. What is on enough of them is boilerplate; a page's stream is covered
@@ -215,15 +215,20 @@ def article_key(page: list[Block], other: int) -> int:
     return int(runs(words, 2).min().view(np.int64)) if len(words) > 1 else other
 
 
-def kept_runs(words: np.ndarray) -> np.ndarray:
-    """The distinct hashes of RUN words that are the least of some WINDOW neighbours."""
-    all_runs = runs(words, RUN)
+def host_runs(words: np.ndarray, host: int) -> np.ndarray:
+    """The hash of the host and the RUN words from each word on."""
+    return (runs(words, RUN) ^ np.int64(host).view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def kept_runs(words: np.ndarray, host: int) -> np.ndarray:
+    """The distinct hashes that are the least of some WINDOW neighbours."""
+    all_runs = host_runs(words, host)
     return np.unique(all_runs[anchors(all_runs, WINDOW)[1]])
 
 
-def covered(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+def covered(words: np.ndarray, host: int, known: np.ndarray) -> np.ndarray:
     """A mask of the words in runs whose hash is in `known`, and between two such runs that begin at most WINDOW words apart."""
-    at = np.flatnonzero(np.isin(runs(words, RUN), known))
+    at = np.flatnonzero(np.isin(host_runs(words, host), known))
     mask = np.zeros(len(words) + 1, np.int64)
     if len(at):
         follows = np.append(np.diff(at) <= WINDOW, False)
@@ -233,10 +238,10 @@ def covered(words: np.ndarray, known: np.ndarray) -> np.ndarray:
     return mask.cumsum()[:-1] > 0
 
 
-def unique_runs(text: str, mask: np.ndarray) -> str:
-    """`text` without its covered words, where they are LENGTH in a row: a repeated substring may reach a little into the next block. A block that is covered but for fewer than WINDOW words at either end goes whole, if that is most of it: its last suffixes needn't be in the table."""
-    at = np.flatnonzero(mask)
-    if mask[at[0] : at[-1] + 1].all() and at[0] < WINDOW and len(mask) - at[-1] <= WINDOW and 2 * len(at) >= len(mask):
+def unique_runs(text: str, words: np.ndarray, mask: np.ndarray, host: int, known: np.ndarray) -> str:
+    """`text` without its covered words, where they are LENGTH in a row: a repeated substring may reach a little into the next block. A block goes whole if all of its own least hashes are known, or all of its words covered."""
+    own = kept_runs(words, host)
+    if mask.all() or len(own) and np.isin(own, known).all():
         return ""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.astype(np.int8), [0]])))
     gone = np.zeros(len(mask), bool)
@@ -245,20 +250,24 @@ def unique_runs(text: str, mask: np.ndarray) -> str:
     return " ".join(w for w, is_gone in zip(text.split(" "), gone.tolist(), strict=False) if not is_gone)
 
 
-def main_text(page: list[Block], outside: np.ndarray, inside: np.ndarray) -> str:
-    """The blocks that stay. `outside` and `inside` mask the page's words, block after block, as boilerplate out of and in articles."""
+NOTHING = np.zeros(0, np.uint64)
+
+
+def main_text(page: list[Block], host: int = 0, outside: np.ndarray = NOTHING, inside: np.ndarray = NOTHING) -> str:
+    """The blocks that stay. `outside` and `inside` are the hashes of runs that are boilerplate of the host out of and in articles."""
     best = max((b[1] for b in page if not b[2]), default=0)
+    words = stream(page)
+    known = {False: outside, True: inside}
+    masks = {k: covered(words, host, v) if len(v) else None for k, v in known.items()}
     kept, at = [], 0
     for text, level, dropped, linked in page:
         n = len(text.encode("utf-8", "surrogatepass").split())
-        mask, at = (inside if level >= MAIN else outside)[at : at + n], at + n
-        if dropped or level < min(best, MAIN):
+        here, at = slice(at, at + n), at + n
+        if dropped or level < min(best, MAIN) or 2 * linked > n > 0 == best:
             continue
-        if n:
-            if 2 * linked > n and best == 0:
-                continue
-            if mask.any():
-                text = unique_runs(text, mask)
+        mask = masks[level >= MAIN]
+        if n and mask is not None and mask[here].any():
+            text = unique_runs(text, words[here], mask[here], host, known[level >= MAIN])
         if text:
             kept.append(text)
     return "\n".join(kept)
@@ -270,23 +279,27 @@ def boilerplate(rows: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, lists = [], []
-            for page, cell in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            for page, host, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 found = blocks(cell.as_py())
                 keys.append(article_key(found, page))
-                lists.append(kept_runs(stream(found)).view(np.int64))
+                lists.append(kept_runs(stream(found), host).view(np.int64))
             ends = np.concatenate([[0], np.cumsum([*map(len, lists)])]).astype(np.int32)
             runs_of = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), runs_of], names=["page", "host", "article", "runs"])
 
     suffixes = written(rows.mapInArrow(parse, "page long, host long, article long, runs array<long>"), "pages-suffixes")
-    hosts = suffixes.groupBy("host").agg(F.count_distinct("article").alias("articles"))
-    each = suffixes.select("page", "host", "article", F.explode("runs").alias("run"))
-    often = each.groupBy("host", "run").agg(F.count_distinct("article").alias("n")).filter(F.col("n") >= LEAST_PAGES)
-    often = written(often, "pages-often").join(hosts, "host").filter(F.col("n") >= LEAST_SHARE * F.col("articles"))
-    often = often.select("host", "run", ((F.col("n") >= ARTICLE_PAGES) & (F.col("n") >= ARTICLE_SHARE * F.col("articles"))).alias("strong"))
-    hits = each.select("page", "host", "run").join(often, ["host", "run"]).groupBy("page")
+    each = suffixes.select("page", F.explode("runs").alias("run"))
+    more = written(each.groupBy("run").count().filter(F.col("count") >= LEAST_PAGES).select("run"), "pages-repeated")
+    of_page = written(suffixes.select("page", "host", "article").distinct(), "pages-articles")
+    repeats = written(each.join(more, "run"), "pages-repeats")
+    forget(suffixes, more)
+    hosts = of_page.groupBy("host").agg(F.count_distinct("article").alias("articles"))
+    often = repeats.join(of_page, "page").groupBy("host", "run").agg(F.count_distinct("article").alias("n")).join(hosts, "host")
+    often = often.filter((F.col("n") >= LEAST_PAGES) & (F.col("n") >= LEAST_SHARE * F.col("articles")))
+    often = often.select("run", ((F.col("n") >= ARTICLE_PAGES) & (F.col("n") >= ARTICLE_SHARE * F.col("articles"))).alias("strong"))
+    hits = repeats.join(often, "run").groupBy("page")
     out = written(hits.agg(F.collect_set("run").alias("outside"), F.collect_set(F.when(F.col("strong"), F.col("run"))).alias("inside")), "pages-boilerplate")
-    forget(suffixes)
+    forget(repeats, of_page)
     return out
 
 
@@ -296,18 +309,15 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for cell, outside, inside in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
-                found = blocks(cell.as_py())
-                words = stream(found)
-                nothing = np.zeros(len(words), bool)
-                masks = [nothing if not runs_of.is_valid else covered(words, runs_of.values.to_numpy().view(np.uint64)) for runs_of in (outside, inside)]
-                texts.append(main_text(found, *masks))
+            for host, cell, outside, inside in zip(batch.column(5).to_pylist(), *batch.columns[2:5], strict=True):
+                known = [r.values.to_numpy().view(np.uint64) if r.is_valid else NOTHING for r in (outside, inside)]
+                texts.append(main_text(blocks(cell.as_py()), host, *known))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.xxhash64(page_id, url, html).alias("page"), F.xxhash64(host).alias("host"), F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     marked = rows.join(boilerplate(rows.select("page", "host", "html")), "page", "left")
-    return marked.select("page_id", "url", "html", "outside", "inside").mapInArrow(judge, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long")
+    return marked.select("page_id", "url", "html", "outside", "inside", "host").mapInArrow(judge, f"page_id {dict(rows.dtypes)['page_id']}, url string, text string, n_chars long")
 
 
 def op6_html_text(spark, sf_dir: str) -> DataFrame:

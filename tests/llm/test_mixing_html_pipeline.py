@@ -89,7 +89,6 @@ def test_blocks_of_a_page():
     <article><header><h1>Head &amp; tail</h1><p>by me</p></header><p><b>One&nbsp;two
     three<br>four<p data-x="a > b">Five &lt;six&gt; &#233;<ul><li>a<li>b</ul><form><p>x</p></form><aside>side</aside><section class="comments"><p>nice</p></section><p hidden>no</p></article>
     <p>outside</p><footer>f</footer></body></html>"""
-    found = html_text.blocks(page)
     assert main_text(page) == "Head & tail\nOne two three four\nFive <six> é\na\nb"
     for bad in (None, "", "<", "<p", "<!-- x", "<p>a < b</p>", "<script>x", "</p></div>", "<a b='" * 200, "<" * 5000):
         html_text.blocks(bad)
@@ -97,9 +96,7 @@ def test_blocks_of_a_page():
 
 
 def main_text(page):
-    found = html_text.blocks(page)
-    nothing = np.zeros(len(html_text.stream(found)), bool)
-    return html_text.main_text(found, nothing, nothing)
+    return html_text.main_text(html_text.blocks(page))
 
 
 def test_odd_markup_loses_no_text():
@@ -128,7 +125,7 @@ def test_boilerplate_by_hand(spark):
                 words[at:at] = part
         pages.append(words)
     rows = [(k, f"http://{'ab'[k % 2]}.example/{k}", "<p>" + " ".join(w)) for k, w in enumerate(pages)]
-    found = html_text.boilerplate(spark.createDataFrame([(k, len(u.split("/")[2]) + k % 2, h) for k, u, h in rows], "page long, host long, html string"))
+    found = html_text.boilerplate(spark.createDataFrame([(k, k % 2, h) for k, _, h in rows], "page long, host long, html string"))
     known = {r.page: np.array(r.outside, np.int64).view(np.uint64) for r in found.collect()}
     where = defaultdict(set)
     for k, words in enumerate(pages):
@@ -136,7 +133,7 @@ def test_boilerplate_by_hand(spark):
             for i in range(len(words) - length + 1):
                 where[k % 2, tuple(words[i : i + length])].add(k)
     for k, words in enumerate(pages):
-        mask = html_text.covered(wordhash.word_hashes(" ".join(words).encode()), known.get(k, np.zeros(0, np.uint64)))
+        mask = html_text.covered(wordhash.word_hashes(" ".join(words).encode()), k % 2, known.get(k, np.zeros(0, np.uint64)))
         often = lambda length: [i for i in range(len(words) - length + 1) if len(where[k % 2, tuple(words[i : i + length])]) >= 3]  # noqa: B023, E731
         assert all(mask[i + html_text.WINDOW - 1] for i in often(2 * html_text.WINDOW - 1))
         near = {i + j for i in often(html_text.RUN) for j in range(html_text.WINDOW)}
