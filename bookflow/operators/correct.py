@@ -31,23 +31,38 @@ def by_table(words: dict[str, str]) -> Model:
 
 
 def with_retries(model: Model, tries: int = 4, wait: float = 2.0, growth: float = 1.8, longest: float = 15.0, sleep: Callable[[float], None] = time.sleep) -> Model:
-    """`model`, called again after growing waits while it raises."""
+    """`model`, called again after growing waits while it raises. An error with a number in `retry_after` names its own wait."""
 
     def call(request: str) -> str:
         delay = wait
         for k in range(tries):
             try:
                 return model(request)
-            except Exception:
+            except Exception as error:
                 if k == tries - 1:
                     raise
-                sleep(delay)
+                named = getattr(error, "retry_after", None)
+                sleep(delay if named is None else float(named))
                 delay = min(delay * growth, longest)
         return ""
 
     return call
 
 
+def in_turn(*models: Model) -> Model:
+    """The answer of the first of `models` that doesn't raise; the last one's error if all do."""
+
+    def call(request: str) -> str:
+        for model in models[:-1]:
+            try:
+                return model(request)
+            except Exception:
+                continue
+        return models[-1](request)
+
+    return call
+
+
 def corrected(blocks: DataFrame, batches: DataFrame, model: Model, parallel: int = 2, pause: float = 0.0) -> DataFrame:
     """`book, ord, corrected` of `book, ord, text`, by batches `book, ord, batch`; a block that the response lacks keeps its text.
 

@@ -19,6 +19,15 @@ def numbered(references: DataFrame, definitions: DataFrame) -> DataFrame:
     return first.withColumn("number", order).join(last_definitions(definitions).select("book", "tag", "note"), ["book", "tag"], "left").drop("pos")
 
 
+def numbered_by_definition(references: DataFrame, definitions: DataFrame) -> DataFrame:
+    """`book, tag, number, note`: tags numbered from 1 by their first definition, and after those the tags that are only referred to, by their first reference. A tag's first definition is its note; '' where it has none."""
+    defined = definitions.groupBy("book", "tag").agg(F.min("pos").alias("pos"), F.min_by("note", "pos").alias("note"))
+    named = references.groupBy("book", "tag").agg(F.min("pos").alias("ref"))
+    both = defined.join(named, ["book", "tag"], "full")
+    order = F.row_number().over(W.partitionBy("book").orderBy(F.col("pos").isNull(), F.coalesce("pos", "ref"), "tag"))
+    return both.select("book", "tag", order.alias("number"), F.coalesce("note", F.lit("")).alias("note"))
+
+
 def orphans(references: DataFrame, definitions: DataFrame, chapters: DataFrame) -> DataFrame:
     """`book, tag, note, chapter`: definitions that nothing refers to, in the first chapter whose pages hold theirs.
 

@@ -40,6 +40,13 @@ def representative_pages(pages: DataFrame, book: str, page: str, items: str) ->
     return pages.join(few, [book, page]).groupBy(book).agg(F.min_by(page, F.struct(-F.col(items), F.col(page))).alias(page))
 
 
+def scanned_pages(items: DataFrame, book: str, page: str) -> DataFrame:
+    """`book, page`: page numbers up to the last of any book that have no item in a book."""
+    last = items.agg(F.max(page).cast("int").alias("last"))  # one row
+    every = items.select(book).distinct().join(F.broadcast(last)).select(book, F.explode(F.sequence(F.lit(1), F.col("last"))).alias(page))
+    return every.join(items, [book, page], "left_anti")
+
+
 def running_medians(items: DataFrame, book: str, page: str, size: str) -> DataFrame:
     """`book, page, median`: of the sizes on all pages so far, the one at place floor(n / 2) from 0.
 

@@ -86,9 +86,21 @@ def chapter_stats(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("complete", F.col("processed_blocks") == F.col("total_blocks")).withColumn("progress", F.least(F.lit(100), F.floor(F.col("processed_blocks") * 100 / F.col("total_blocks") + 0.5)).cast("long")).withColumn("title", F.when(F.char_length("first_heading") < 75, F.col("first_heading"))).drop("first_heading")
 
 
-def route(mode: Column, has_anomaly: Column, is_merged: Column, cached: Column, translate: Column) -> Column:
-    """Where a block goes: skipped, taken from the cache, to the model, or done by the rules alone."""
-    return F.when(is_merged, "skip").when(cached, "cache").when(translate, "model").when(mode == "rules_only", "done").when(mode == "deep_llm", "model").otherwise(F.when(has_anomaly, "model").otherwise("done"))
+def route(mode: Column, has_anomaly: Column, is_merged: Column, cached: Column, translate: Column, is_figure: Column | None = None, finished: Column | None = None) -> Column:
+    """Where a block goes: skipped, left as a figure, kept as it is finished, taken from the cache, to the model, or done by the rules alone."""
+    no = F.lit(False)
+    before = F.when(is_merged, "skip").when(no if is_figure is None else is_figure, "figure").when(no if finished is None else finished, "kept")
+    return before.when(cached, "cache").when(translate, "model").when(mode == "rules_only", "done").when(mode == "deep_llm", "model").otherwise(F.when(has_anomaly, "model").otherwise("done"))
+
+
+def completed_chapters(chapters: DataFrame) -> DataFrame:
+    """How many of the chapters of `chapter_stats` are complete, and how many there are."""
+    return chapters.agg(F.count_if("complete").alias("completed_chapters"), F.count(F.lit(1)).alias("chapters"))
+
+
+def newest_first(log: DataFrame, stamp: str, last: int) -> DataFrame:
+    """The `last` entries of a log, the newest first; equal stamps in the order of the other columns."""
+    return log.orderBy(F.col(stamp).desc(), *[c for c in log.columns if c != stamp]).limit(last)
 
 
 def global_counters(events: DataFrame, action: Column, words: Column) -> DataFrame:

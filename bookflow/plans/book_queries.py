@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bookflow.functions.diff import diff_column
 from bookflow.functions.rules import audit, repaired
+from bookflow.functions.text import trimmed
 from bookflow.operators import batching, correct, layout
 from bookflow.plans.base import blocks, damaged, read
 from bookflow.sinks import books as sinks
@@ -52,23 +53,44 @@ def page_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as chapters of books of ten."""
+    """Pages as chapters of books of ten: all headings and paragraphs of each article, as paragraphs."""
     rows = read(spark, sf_dir, "pages")
     book = F.concat(F.lit("book-"), F.floor(F.col("page_id") / 10).cast("string"))
-    text = F.regexp_replace(F.regexp_extract("html", r"(?is)<article>.*?<p>(.*?)<p>", 1), "<[^>]*>", " ")
-    return rows.select(book.alias("book"), book.alias("title"), F.lit("Author").alias("creator"), (F.col("page_id") % 10).cast("int").alias("chapter_no"), F.concat(F.lit("Part "), F.col("page_id").cast("string")).alias("chapter_title"), F.concat(F.lit("<p>"), text, F.lit("</p><p>The end of it.</p>")).alias("html"))
+    inner = F.regexp_extract("html", r"(?is)<article[^>]*>(.*)</article>", 1)
+    parts = F.filter(F.transform(F.split(inner, "</?(?:p|h1)>"), lambda p: trimmed(F.regexp_replace(p, "<[^>]*>", " "))), lambda p: p != "")
+    html = F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "")
+    return rows.select(book.alias("book"), book.alias("title"), F.lit("Author").alias("creator"), (F.col("page_id") % 10).cast("int").alias("chapter_no"), F.concat(F.lit("Part "), F.col("page_id").cast("string")).alias("chapter_title"), html.alias("html"))
+
+
+_PARTS = """chapters AS (
+  SELECT page_id, 'book-' || (page_id // 10) AS book, (page_id % 10)::INT AS no, list_filter(list_transform(string_split_regex(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), '</?(?:p|h1)>'),
+    lambda p: trim(regexp_replace(p, '<[^>]*>', ' ', 'g'), E' \\t\\n\\r')), lambda p: p <> '') AS parts FROM pages),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY book ORDER BY no))::INT AS place FROM chapters)"""
 
 
 def epub_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books are written and read back: the blocks of each chapter, and their texts, markup and references read."""
     files = sinks.packaged(_chapters(spark, sf_dir)).withColumnRenamed("file", "content")
     entries = epub.entries(files)
     found = epub.blocks(epub.chapters(entries, epub.packages(entries)))
-    return found.groupBy("book", "chapter_no").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.char_length("text")).alias("chars"))
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block_no", "text"))), lambda b: b["text"]), "\n")
+    return found.groupBy("book", "chapter_no").agg(F.count(F.lit(1)).alias("blocks"), F.md5(texts).alias("texts_md5"))
+
+
+_EPUB = f"""
+WITH {_PARTS} SELECT book, place - 1 AS chapter_no, len(parts) AS blocks,
+  md5(array_to_string(list_transform(parts, lambda p: replace(replace(replace(replace(regexp_replace(p, '\\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&')), chr(10))) AS texts_md5
+FROM placed WHERE len(parts) > 0"""
 
 
 def mobi_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = sinks.packaged(_chapters(spark, sf_dir), "mobi").withColumnRenamed("file", "content")
-    return mobi.chapters(files).select("book", "title", "creator", "chapter_no", "chapter_title", F.char_length("html").alias("chars"))
+    return mobi.chapters(files).select("book", "title", "creator", "chapter_no", "chapter_title", F.md5("html").alias("html_md5"))
+
+
+_MOBI = f"""
+WITH {_PARTS} SELECT book, book AS title, 'Author' AS creator, place - 1 AS chapter_no, 'Part ' || page_id AS chapter_title,
+  md5('<mbp:pagebreak/><h2>Part ' || page_id || '</h2>' || array_to_string(list_transform(parts, lambda p: '<p>' || p || '</p>'), '')) AS html_md5 FROM placed"""
 
 
 def model_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +105,4 @@ QUERIES = {
     "turkish_repair": turkish_repair, "audit_log": audit_log, "text_diffs": text_diffs, "page_paragraphs": page_paragraphs, "page_chapters": page_chapters,
     "epub_round_trip": epub_round_trip, "mobi_round_trip": mobi_round_trip, "model_correction": model_correction,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"epub_round_trip": _EPUB, "mobi_round_trip": _MOBI}

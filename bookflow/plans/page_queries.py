@@ -175,6 +175,19 @@ n AS (SELECT book, tag, row_number() OVER (PARTITION BY book ORDER BY page, item
 SELECT book, tag, number, note FROM n LEFT JOIN last USING (book, tag)"""
 
 
+def footnote_definitions_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    references, definitions, _ = _notes(spark, sf_dir)
+    return footnotes.numbered_by_definition(references, definitions)
+
+
+_BY_DEFINITION = f"""
+WITH {_NOTES}, alld AS (SELECT book, tag, page, item, part, width, status || item AS note, row_number() OVER (PARTITION BY book, tag ORDER BY page, item, part, width) AS k FROM notes WHERE flag = 'A'),
+firstref AS (SELECT *, row_number() OVER (PARTITION BY book, tag ORDER BY page, item, part, width) AS k FROM refs),
+every AS (SELECT book, tag, page, item, part, width, note, 0 AS late FROM alld WHERE k = 1
+  UNION ALL SELECT r.book, r.tag, r.page, r.item, r.part, r.width, '', 1 FROM firstref r WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM alld a WHERE a.book = r.book AND a.tag = r.tag))
+SELECT book, tag, row_number() OVER (PARTITION BY book ORDER BY late, page, item, part, width, tag)::INT AS number, note FROM every"""
+
+
 def footnote_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return footnotes.orphans(*_notes(spark, sf_dir))
 
@@ -187,15 +200,15 @@ SELECT book, tag, note, min(chapter)::INT AS chapter FROM last ANTI JOIN refs US
 def footnote_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     references, definitions, _ = _notes(spark, sf_dir)
     numbers = footnotes.numbered(references, definitions)
-    bodies = items(spark, sf_dir).filter("page = 1").select("book", "item", "part", "width", F.concat(F.lit("see[^"), (F.col("part") % 97).cast("string"), F.lit("] and [^none].")).alias("text"))
-    return footnotes.resolve(bodies.distinct(), numbers, ["book", "item", "part", "width"], "text").drop("book")
+    bodies = items(spark, sf_dir).select("book", "page", "item", "part", "width", F.concat(F.lit("see[^"), (F.col("part") % 97).cast("string"), F.lit("] and [^none].")).alias("text"))
+    return footnotes.resolve(bodies.distinct(), numbers, ["book", "page", "item", "part", "width"], "text").drop("book")
 
 
 _RESOLVE = f"""
 WITH {_NOTES}, f AS (SELECT book, tag, row_number() OVER (PARTITION BY book, tag ORDER BY page, item, part, width) AS k, page, item, part, width FROM refs),
 n AS (SELECT book, tag, row_number() OVER (PARTITION BY book ORDER BY page, item, part, width, tag) AS number FROM f WHERE k = 1),
-b AS (SELECT DISTINCT book, item, part, width, part % 97 AS tag FROM items WHERE page = 1)
-SELECT item, part, width, 'see' || coalesce('[' || number || ']', '') || ' and .' AS text FROM b LEFT JOIN n USING (book, tag)"""
+b AS (SELECT DISTINCT book, page, item, part, width, part % 97 AS tag FROM items)
+SELECT page, item, part, width, 'see' || coalesce('[' || number || ']', '') || ' and .' AS text FROM b LEFT JOIN n USING (book, tag)"""
 
 
 def spine_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,12 +265,12 @@ SELECT p_partkey, ['pdf', 'epub', 'mobi'][(p_partkey % 3 + 1)::INT] AS parser, p
 QUERIES = {
     "html_blocks": html_blocks_query, "html_titles": html_titles, "html_tree_blocks": html_tree_blocks, "page_boxes": page_boxes, "representative_page": representative_page,
     "running_median": running_median, "line_margins": line_margins, "header_footer": header_footer, "line_segments": line_segments, "superscript_lines": superscript_lines,
-    "first_last_items": first_last_items, "footnote_numbers": footnote_numbers, "footnote_orphans": footnote_orphans, "footnote_resolve": footnote_resolve,
+    "first_last_items": first_last_items, "footnote_numbers": footnote_numbers, "footnote_orphans": footnote_orphans, "footnote_resolve": footnote_resolve, "footnote_definitions_first": footnote_definitions_first,
     "spine_manifest": spine_manifest, "global_counters": global_counters, "event_props": event_props, "contents_pages": contents_pages, "output_names": output_names,
 }
 ORACLES = {
     "html_blocks": _HTML, "html_titles": _TITLES, "page_boxes": _BOX, "representative_page": _REPRESENTATIVE, "running_median": _MEDIAN, "line_margins": _MARGINS,
     "header_footer": _HEADERS, "line_segments": _SEGMENTS, "superscript_lines": _SUPERSCRIPTS, "first_last_items": _FIRST_LAST, "footnote_numbers": _NUMBERS,
-    "footnote_orphans": _ORPHANS, "footnote_resolve": _RESOLVE, "spine_manifest": _SPINE, "global_counters": _COUNTERS, "event_props": _PROPS, "contents_pages": _CONTENTS,
+    "footnote_orphans": _ORPHANS, "footnote_resolve": _RESOLVE, "footnote_definitions_first": _BY_DEFINITION, "spine_manifest": _SPINE, "global_counters": _COUNTERS, "event_props": _PROPS, "contents_pages": _CONTENTS,
     "output_names": _NAMES,
 }

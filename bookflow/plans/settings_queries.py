@@ -90,13 +90,14 @@ _METADATA = "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_name
 
 
 def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of a book that have no item at all: scanned ones, by an anti join with all its page numbers."""
-    rows = items(spark, sf_dir).filter("item % 50 < 2")
-    every = items(spark, sf_dir).select("book").distinct().select("book", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("page"))
-    return every.join(rows, ["book", "page"], "left_anti")
+    """Orders as books, line items as their pages with text: pages up to the last number of any book that have no item are scanned ones."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("book"), F.col("l_linenumber").alias("page"))
+    return pages.scanned_pages(rows, "book", "page")
 
 
-_SCANNED = f"WITH {_ITEMS}, e AS (SELECT DISTINCT book, unnest(range(1, 8))::INT AS page FROM items) SELECT book, page FROM e ANTI JOIN (SELECT * FROM items WHERE item % 50 < 2) USING (book, page)"
+_SCANNED = """
+WITH r AS (SELECT l_orderkey AS book, l_linenumber AS page FROM lineitem),
+e AS (SELECT DISTINCT book, unnest(range(1, (SELECT max(page) FROM r)::INT + 1))::INT AS page FROM r) SELECT book, page FROM e ANTI JOIN r USING (book, page)"""
 
 
 def audit_export(spark: SparkSession, sf_dir: str) -> DataFrame:

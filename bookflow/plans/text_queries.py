@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from bookflow.functions import text as tx
 from bookflow.functions.literal_rules import CONFUSED, clean_literal, has_anomaly
-from bookflow.operators import batching, cache, reports, stitch
+from bookflow.operators import answers as answers_of
+from bookflow.operators import batching, cache, correct, findings, reports, stitch
 from bookflow.plans.base import BLOCKS, DAMAGED, blocks, damaged, read
 
 CLEANED_RULES = (1, 4, 13, 53, 54, 55, 56, 89)
@@ -261,12 +262,12 @@ _DIFFS = f"WITH {_CLEANED} SELECT doc_id, block_no, md5(corrected_text) AS text_
 
 
 def audit_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log of the literal rules, a row for each block and rule that changed it; those with ' ,' in what they changed."""
+    """The log of the literal rules, a row for each block and rule that changed it; those with 'est' in the text or in what they changed."""
     rows = blocks(spark, sf_dir).withColumn("d", damaged(F.col("original_text")))
-    changes = reports.rule_changes(rows, ["doc_id", "block_no", "original_text"], "d", COUNTED_RULES)
-    log = changes.groupBy("doc_id", "block_no", "rule_no").agg(F.first("original_text").alias("original"), F.collect_list(F.struct("before", "after")).alias("changes"))
-    log = log.select("doc_id", "block_no", "rule_no", F.lit("regex").alias("source"), F.concat(F.lit("rule "), F.col("rule_no").cast("string")).alias("rule"), F.lit("").alias("original"), F.lit("").alias("corrected"), "changes")
-    return reports.audit_filter(log, "regex", ",,").select("doc_id", "block_no", "rule_no", F.size("changes").alias("n_changes"))
+    changes = reports.rule_changes(rows, ["doc_id", "block_no", "original_text", "d"], "d", COUNTED_RULES)
+    log = changes.groupBy("doc_id", "block_no", "rule_no").agg(F.first("original_text").alias("original"), F.first("d").alias("corrected"), F.collect_list(F.struct("before", "after")).alias("changes"))
+    log = log.select("doc_id", "block_no", "rule_no", F.lit("regex").alias("source"), F.concat(F.lit("rule "), F.col("rule_no").cast("string")).alias("rule"), "original", "corrected", "changes")
+    return reports.audit_filter(log, "regex", "Est").select("doc_id", "block_no", "rule_no", F.size("changes").alias("n_changes"))
 
 
 def _sql_audit() -> str:
@@ -275,7 +276,7 @@ def _sql_audit() -> str:
     for n in COUNTED_RULES:
         head = head.replace(f"d{n} AS (SELECT regexp", f"d{n} AS (SELECT doc_id, block_no, regexp")
     parts = " UNION ALL ".join(f"SELECT doc_id, block_no, {n} AS rule_no, regexp_extract_all(t, '{p}') AS m FROM d{n}" for n, p, _ in _STEPS if n in COUNTED_RULES)
-    return f"{head} SELECT doc_id, block_no, rule_no, len(m)::INT AS n_changes FROM ({parts}) WHERE len(list_filter(m, lambda x: contains(x, ',,'))) > 0"
+    return f"{head} SELECT doc_id, block_no, rule_no, len(m)::INT AS n_changes FROM ({parts}) JOIN blocks USING (doc_id, block_no) WHERE len(m) > 0 AND contains(lower(original_text), 'est')"
 
 
 def chapter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,17 +293,106 @@ SELECT doc_id, count(*) AS total_blocks, count(*) FILTER (done) AS processed_blo
 FROM s GROUP BY doc_id"""
 
 
+def _routed(spark: SparkSession, sf_dir: str, modes: tuple[str, ...]) -> DataFrame:
+    """Cleaned lines with a route for each of `modes`. Every eleventh block is a figure, some changed ones are finished already, and documents divisible by 10 are in the cache."""
+    rows = _cleaned(spark, sf_dir).withColumn("anomaly", has_anomaly(F.col("corrected_text"), False)).withColumn("mode", F.explode(F.array(*[F.lit(m) for m in modes])))
+    figure, finished = F.col("block_no") % 11 == 10, (F.col("block_no") % 7 == 3) & (F.col("diff_count") > 0)
+    return rows.withColumn("route", reports.route(F.col("mode"), F.col("anomaly"), F.col("is_merged"), F.col("doc_id") % 10 == 0, F.col("mode") == "translate", figure, finished))
+
+
 def block_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    modes = F.explode(F.array(*[F.lit(m) for m in ("rules_only", "smart", "deep_llm", "translate")]))
-    rows = _cleaned(spark, sf_dir).withColumn("anomaly", has_anomaly(F.col("corrected_text"), False)).withColumn("mode", modes)
-    route = reports.route(F.col("mode"), F.col("anomaly"), F.col("is_merged"), F.col("doc_id") % 10 == 0, F.col("mode") == "translate")
-    return rows.groupBy("mode", route.alias("route")).agg(F.count(F.lit(1)).alias("blocks"))
+    return _routed(spark, sf_dir, ("rules_only", "smart", "deep_llm", "translate")).groupBy("mode", "route").agg(F.count(F.lit(1)).alias("blocks"))
 
 
+_ROUTE = """CASE WHEN is_merged THEN 'skip' WHEN block_no % 11 = 10 THEN 'figure' WHEN block_no % 7 = 3 AND diff_count > 0 THEN 'kept' WHEN doc_id % 10 = 0 THEN 'cache'
+  WHEN mode = 'translate' THEN 'model' WHEN mode = 'rules_only' THEN 'done' WHEN mode = 'deep_llm' THEN 'model' WHEN anomaly THEN 'model' ELSE 'done' END"""
 _ROUTES = f"""
 WITH {_CLEANED}, a AS (SELECT *, {_sql_anomaly('corrected_text')} AS anomaly, unnest(['rules_only', 'smart', 'deep_llm', 'translate']) AS mode FROM cleaned)
-SELECT mode, CASE WHEN is_merged THEN 'skip' WHEN doc_id % 10 = 0 THEN 'cache' WHEN mode = 'translate' THEN 'model' WHEN mode = 'rules_only' THEN 'done'
-  WHEN mode = 'deep_llm' THEN 'model' WHEN anomaly THEN 'model' ELSE 'done' END AS route, count(*) AS blocks FROM a GROUP BY ALL"""
+SELECT mode, {_ROUTE} AS route, count(*) AS blocks FROM a GROUP BY ALL"""
+
+
+def joined_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All routes of the smart mode as one table again: cached texts say so, the model writes OF for of."""
+    rows = _routed(spark, sf_dir, ("smart",)).withColumn("cached_text", F.concat(F.lit("cached: "), F.col("original_text")))
+    asked = rows.filter("route = 'model'").select(F.col("doc_id").alias("book"), F.col("block_no").alias("ord"), F.col("corrected_text").alias("text"))
+    answers = correct.corrected(asked, batching.greedy_batches(asked, "book", "ord", "text", 3000), _writes("OF"), 8)
+    out = answers_of.joined_routes(rows, answers.select(F.col("book").alias("doc_id"), F.col("ord").alias("block_no"), "corrected"), ["doc_id", "block_no"])
+    return out.select("doc_id", "block_no", "route", F.md5("text").alias("text_md5"))
+
+
+def _writes(word: str) -> correct.Model:
+    return lambda request: request.replace(" of ", f" {word} ")
+
+
+def _sql_answer(text: str) -> str:
+    """What the response parser makes of a block: signs of emphasis and a colon at its marks go."""
+    inner = f"regexp_replace(regexp_replace({text}, '^\\*{{0,2}}:?', ''), '\\*{{0,2}}$', '')"
+    return f"coalesce(nullif(trim(regexp_replace({inner}, '\\s{{2,}}', ' ', 'g'), E' \\t\\n\\r'), ''), corrected_text)"
+
+
+_JOINED = f"""
+WITH {_CLEANED}, a AS (SELECT *, {_sql_anomaly('corrected_text')} AS anomaly, 'smart' AS mode FROM cleaned), r AS (SELECT *, {_ROUTE} AS route FROM a)
+SELECT doc_id, block_no, route, md5(CASE route WHEN 'skip' THEN NULL WHEN 'figure' THEN original_text WHEN 'cache' THEN 'cached: ' || original_text
+  WHEN 'model' THEN {_sql_answer("replace(corrected_text, ' of ', ' OF ')")} ELSE corrected_text END) AS text_md5 FROM r"""
+
+
+def failing_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line asked of a model that fails for requests of odd length, and then of another."""
+
+    def fails(request: str) -> str:
+        if len(request) % 2:
+            raise ValueError("odd")
+        return _writes("OF")(request)
+
+    rows = blocks(spark, sf_dir).select(F.col("doc_id").alias("book"), F.col("block_no").alias("ord"), F.col("original_text").alias("text"))
+    done = correct.corrected(rows, rows.select("book", "ord", F.col("ord").alias("batch")), correct.in_turn(fails, _writes("0F")), 8)
+    return done.select(F.col("book").alias("doc_id"), F.col("ord").alias("block_no"), F.md5("corrected").alias("text_md5"))
+
+
+_FAILING = f"""
+WITH {BLOCKS}, b AS (SELECT doc_id, block_no, original_text AS corrected_text, replace(original_text, ' of ', CASE WHEN length(original_text) % 2 = 1 THEN ' OF ' ELSE ' 0F ' END) AS t FROM blocks)
+SELECT doc_id, block_no, md5({_sql_answer('t')}) AS text_md5 FROM b"""
+
+
+def block_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as a model may answer them: in a heading, between marks, in an element that is no block, or bare."""
+    line, number = F.col("original_text"), F.col("block_no").cast("string")
+    marked = F.concat(F.lit("[BLOCK_"), number, F.lit("]<P>"), line, F.lit(" &amp;lt; more</P>[/BLOCK_"), number, F.lit("]"))
+    raw = F.when(F.col("block_no") % 4 == 0, F.concat(F.lit('<h2 class="x">'), line, F.lit("</h2>"))).when(F.col("block_no") % 4 == 1, marked).when(F.col("block_no") % 4 == 2, F.concat(F.lit("<div>"), line, F.lit("</div>"))).otherwise(line)
+    rows = blocks(spark, sf_dir).select("doc_id", "block_no", answers_of.block_answer(raw, "li").alias("a"))
+    return rows.select("doc_id", "block_no", "a.tag", F.md5("a.inner").alias("inner_md5"), F.md5("a.text").alias("text_md5"))
+
+
+_ANSWERS = f"""
+WITH {BLOCKS}, a AS (SELECT doc_id, block_no, ['h2', 'p', 'li', 'li'][(block_no % 4 + 1)::INT] AS tag,
+  trim(CASE block_no % 4 WHEN 1 THEN original_text || ' &amp;lt; more' WHEN 2 THEN '<div>' || original_text || '</div>' ELSE original_text END, E' \t\n\r') AS t FROM blocks)
+SELECT doc_id, block_no, tag, md5(t) AS inner_md5,
+  md5(trim(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"'), E' \t\n\r')) AS text_md5 FROM a"""
+
+
+def first_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = blocks(spark, sf_dir).withColumn("d", F.replace(damaged(F.col("original_text")), F.lit("ing "), F.lit("ing- ")))
+    return findings.first_places(rows, ["doc_id", "block_no"], "d")
+
+
+def _sql_findings() -> str:
+    kinds = {"hyphen split": f"[{_L}]+-\\s+[{_L}]+", "space before punctuation": "\\s+[,.!?:;]"}
+    parts = []
+    for kind, p in kinds.items():
+        each = f"SELECT doc_id, block_no, t, string_split_regex(t, '{p}') AS p, regexp_extract_all(t, '{p}') AS m FROM d"
+        rows = f"SELECT *, unnest(range(1, len(m) + 1)) AS k FROM ({each})"
+        at = "(coalesce(list_sum(list_transform(p[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::INT"
+        found = f"SELECT doc_id, block_no, t, {at} AS pos, m[k] AS match, count(*) OVER () AS n FROM ({rows})"
+        shown = "substr(t, greatest(0, pos - 30) + 1, least(length(t), pos + length(match) + 30) - greatest(0, pos - 30))"
+        parts.append(f"SELECT '{kind}' AS kind, doc_id, block_no, pos, match, {shown} AS snippet, n FROM (SELECT * FROM ({found}) ORDER BY doc_id, block_no, pos LIMIT 15)")
+    return f"WITH {BLOCKS}, d AS (SELECT doc_id, block_no, replace({DAMAGED}, 'ing ', 'ing- ') AS t FROM blocks) " + " UNION ALL ".join(f"({p})" for p in parts)
+
+
+def completed_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.completed_chapters(chapter_stats(spark, sf_dir))
+
+
+_COMPLETED = f"SELECT count(*) FILTER (complete) AS completed_chapters, count(*) AS chapters FROM ({_CHAPTERS})"
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,7 +424,8 @@ QUERIES = {
     "suspect_words": suspect_words, "stitch_paragraphs": stitch_paragraphs, "hyphen_pairs": hyphen_pairs, "greedy_batches": greedy_batches,
     "rolling_context": rolling_context, "prompt_build": prompt_build, "batch_parse": batch_parse, "cache_keys": cache_keys, "cache_hits": cache_hits,
     "cache_stats": cache_stats, "diff_filter": diff_filter, "audit_filter": audit_filter, "chapter_stats": chapter_stats, "block_routes": block_routes,
-    "word_counts": word_counts, "dictionary_build": dictionary_build,
+    "word_counts": word_counts, "dictionary_build": dictionary_build, "joined_routes": joined_routes, "failing_models": failing_models,
+    "block_answers": block_answers, "first_findings": first_findings, "completed_chapters": completed_chapters,
 }
 ORACLES = {
     "clean_literal_rules": f"""WITH {BLOCKS}, c AS (SELECT *, {DAMAGED} AS d, {_sql_cleaned(DAMAGED)} AS c FROM blocks)
@@ -346,4 +437,5 @@ ORACLES = {
     "suspect_words": _SUSPECTS, "stitch_paragraphs": _STITCH, "hyphen_pairs": _HYPHENS, "greedy_batches": _BATCHES, "rolling_context": _ROLLING,
     "prompt_build": _PROMPT, "batch_parse": _PARSE, "cache_keys": _KEYS, "cache_hits": _HITS, "cache_stats": _STATS, "diff_filter": _DIFFS,
     "audit_filter": _sql_audit(), "chapter_stats": _CHAPTERS, "block_routes": _ROUTES, "word_counts": _WORDS, "dictionary_build": _DICTIONARY,
+    "joined_routes": _JOINED, "failing_models": _FAILING, "block_answers": _ANSWERS, "first_findings": _sql_findings(), "completed_chapters": _COMPLETED,
 }

@@ -1,15 +1,16 @@
 """Operators of the library on small known tables."""
 
+import io
 import random
+import re
 import zipfile
-import io
 
 import pytest
 from pyspark.sql import functions as F
 
 from bookflow.functions import diff, page_layout as pl
 from bookflow.functions import text as tx
-from bookflow.operators import batching, cache, correct, footnotes, layout, pages, reports, stitch
+from bookflow.operators import answers, batching, cache, correct, findings, footnotes, layout, pages, reports, stitch
 from bookflow.sinks import books
 from bookflow.sources import dictionary, epub, html_blocks, mobi
 from bookflow.streaming import blocks as streams
@@ -250,3 +251,62 @@ def test_streams_equal_batches(spark, tmp_path):
     out = streams.write_batches(streams.cleaned(streams.read_blocks(spark, str(tmp_path / "texts"), "t string"), "t"), str(tmp_path / "out"), str(tmp_path / "check"))
     out.awaitTermination()
     assert sorted((r.cleaned, r.has_anomaly) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a, b", False), ("fine", False)]
+
+
+def test_block_answers(spark):
+    rows = [
+        ("<h2 class='x'> Head </h2>", "h2", "Head", "Head"), ("[BLOCK_3]<P>a &amp;lt; <b>b</b></P>[/BLOCK_3]", "p", "a &amp;lt; <b>b</b>", "a &lt; b"),
+        ("<div>d</div>", "li", "<div>d</div>", "d"), ("bare", "li", "bare", "bare"), ("", "li", "", ""), (None, "li", "", ""), ("<BLOK 2>t</BLOK 2>", "li", "t", "t"),
+    ]
+    frame = spark.createDataFrame(rows, "raw string, tag string, inner string, text string")
+    got = frame.select("tag", "inner", "text", answers.block_answer(F.col("raw"), "li").alias("a")).collect()
+    assert [(r.a.tag, r.a.inner, r.a.text) for r in got] == [(r.tag, r.inner, r.text) for r in got]
+
+
+def test_places_by_hand(spark):
+    texts = ["a , b yapı- lamaz.", "", None, " , ,", "x" * 50 + " ; " + "y" * 50]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for kind, pattern in (("hyphen split", r"[a-zA-ZçğıöşüÇĞİÖŞÜ]+-\s+[a-zA-ZçğıöşüÇĞİÖŞÜ]+"), ("space before punctuation", r"\s+[,.!?:;]")):
+        want = [(n, m.start(), m[0], t[max(0, m.start() - 30) : m.end() + 30]) for n, t in enumerate(texts) for m in re.finditer(pattern, t or "")]
+        assert sorted((r.k, r.pos, r.match, r.snippet) for r in findings.places(frame, ["k"], "t", kind).collect()) == want
+    assert findings.first_places(frame, ["k"], "t", 2).filter("kind like 'space%'").count() == 2
+
+
+def test_models_in_turn_and_named_waits():
+    def fails(request):
+        raise ValueError(request)
+
+    assert correct.in_turn(fails, fails, str.upper)("a") == "A"
+    with pytest.raises(ValueError):
+        correct.in_turn(fails, fails)("a")
+    waits, error = [], ValueError("later")
+    error.retry_after = "7"
+    tries = iter([error, ValueError("now"), None])
+
+    def sometimes(request):
+        e = next(tries)
+        if e:
+            raise e
+        return request
+
+    assert correct.with_retries(sometimes, sleep=waits.append)("a") == "a" and waits == [7.0, 3.6]
+
+
+def test_routes_figures_and_scanned_pages(spark):
+    rows = spark.createDataFrame([(k,) for k in range(6)], "n int")
+    is_ = lambda k: F.col("n") == k
+    route = reports.route(F.lit("smart"), is_(4), is_(0), is_(3), F.lit(False), is_(1), is_(2))
+    assert [r[0] for r in rows.orderBy("n").select(route).collect()] == ["skip", "figure", "kept", "cache", "model", "done"]
+    items = spark.createDataFrame([("a", 1), ("a", 3), ("a", 3), ("b", 2)], "book string, page int")
+    assert sorted(map(tuple, pages.scanned_pages(items, "book", "page").collect())) == [("a", 2), ("b", 1), ("b", 3)]
+    done = spark.createDataFrame([(True,), (False,), (True,)], "complete boolean")
+    assert tuple(reports.completed_chapters(done).first()) == (2, 3)
+    log = spark.createDataFrame([(1, "x"), (3, "b"), (3, "a"), (2, "y")], "t int, m string")
+    assert [r.m for r in reports.newest_first(log, "t", 3).collect()] == ["a", "b", "y"]
+
+
+def test_footnotes_numbered_by_definition(spark):
+    references = spark.createDataFrame([("b", "x", 1), ("b", "z", 2), ("b", "y", 3)], "book string, tag string, pos int")
+    definitions = spark.createDataFrame([("b", "y", 5, "why"), ("b", "x", 6, "ex"), ("b", "y", 7, "again")], "book string, tag string, pos int, note string")
+    got = footnotes.numbered_by_definition(references, definitions).orderBy("number").collect()
+    assert [(r.tag, r.number, r.note) for r in got] == [("y", 1, "why"), ("x", 2, "ex"), ("z", 3, "")]
