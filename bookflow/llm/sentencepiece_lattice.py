@@ -60,7 +60,7 @@ MARK = "▁"
 #: Units up to this many characters hold their boundaries in one long.
 BITS = 62
 #: Most words and most units with codes, their characters, and how often a task has to see a word to propose it.
-HOT_LIMIT, HOT_UNITS, HOT_CHARS, HOT_TIMES = 200_000, 50_000, 32, 4
+HOT_LIMIT, HOT_UNITS, HOT_CHARS, HOT_TIMES = 60_000, 300_000, 32, 8
 #: Distinct words that a task counts before it hands them on, and codes in a bundle of documents.
 GROUP_WORDS, BUNDLE_CODES = 400_000, 400_000
 #: Places of an edge's rank, id, start and length in one long: 18, 18, 20 and 7 bits.
