@@ -14,8 +14,8 @@ from bookflow.llm.common import small_batches, table, written
 
 #: Near copies: n-grams of five words, Jaccard similarity of 80 % or more.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
-#: Words with codes; fewer than alone, as five stages share the workers' memory.
-HOT_WORDS = 100_000
+#: Words and units with codes; fewer than alone, as five stages share the workers' memory.
+HOT_WORDS, HOT_UNITS = 50_000, 150_000
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """For each row of the mix its ids in order, how many they are, whether they decode to its text, and their digest."""
-    return sentencepiece_lattice.count_encoded(docs, hot_limit=HOT_WORDS)
+    return sentencepiece_lattice.count_encoded(docs, hot_limit=HOT_WORDS, unit_limit=HOT_UNITS)
 
 
 def _measured(docs: DataFrame) -> DataFrame:
