@@ -192,4 +192,4 @@ def read_media(media: DataFrame, tail: int = BLOCK) -> DataFrame:
 
 def op7_media(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return read_media(encode_media(docs)).drop("tile")
+    return read_media(encode_media(docs)).withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
