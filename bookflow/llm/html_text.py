@@ -291,7 +291,7 @@ def boilerplate(rows: DataFrame) -> DataFrame:
     each = suffixes.select("page", F.explode("runs").alias("run"))
     more = written(each.groupBy("run").count().filter(F.col("count") >= LEAST_PAGES).select("run"), "pages-repeated")
     of_page = written(suffixes.select("page", "host", "article").distinct(), "pages-articles")
-    repeats = written(each.join(more, "run"), "pages-repeats")
+    repeats = written(each.join(more.hint("merge"), "run"), "pages-repeats")  # one plan at every size
     forget(suffixes, more)
     hosts = of_page.groupBy("host").agg(F.count_distinct("article").alias("articles"))
     often = repeats.join(of_page, "page").groupBy("host", "run").agg(F.count_distinct("article").alias("n")).join(hosts, "host")

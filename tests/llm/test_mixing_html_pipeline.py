@@ -1,7 +1,7 @@
 """The mix against brute force, page text, and the pipeline's stages."""
 
-import hashlib
 import html
+import random
 import re
 import time
 from collections import defaultdict
@@ -199,4 +199,67 @@ def test_pipeline_stages(spark):
     for r in steps[3]:
         counts[r.doc_id] += 1
     assert max(counts.values()) == 2 and len(steps[4]) == len(steps[3]) and all(r.complete for r in steps[4])
-    assert hashlib.sha256(b"").hexdigest()
+
+
+def test_pipeline_on_odd_rows_is_the_plain_one(spark, tmp_path):
+    """Nulls in any column, empty and long texts, ties, repeated rows and clashing columns; each stage against a plain version of it."""
+    from sentencepiece import SentencePieceProcessor
+
+    from bookflow.llm import language_id, pii, sentencepiece_lattice
+    from test_dedup_and_join import linked_by_hand
+
+    rng = random.Random(12)
+    words = {"x": "alpha beta gamma delta kappa", "y": "epsilon zeta eta theta lambda"}
+    rows = []
+    for i in range(80):
+        lang = "xy"[i % 2]
+        text = " ".join(rng.choice(words[lang].split()) for _ in range(rng.randint(1, 60)))
+        rows.append((i, text, lang if i % 7 else None, "ab"[i % 3 == 0], None if i % 5 == 0 else len(text), "k", i, "z"))
+    rows += [(90 + k, rows[3][1] + f" mail me at a{k}@b.org or call +4915123456789 and 4915123456789", "y", None, 1, "k", None, "z") for k in range(6)]
+    rows += [(100, None, "x", "a", None, None, None, None), (None, "alpha beta gamma", "x", None, None, None, None, None), (101, "", None, None, 0, None, 0, ""), (102, "12 34", "x", "a", 5, "k", 1, "z"), (103, "alpha " * 30_000, "x", "b", 1, "k", 1, "z")]
+    rows += [rows[5]] * 3 + [rows[-5]] * 2
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, node long, ids string"
+    docs = spark.createDataFrame(rows, schema).repartition(4)
+    model = language_id.train(docs)
+    plain = [r for r in rows for lang, score in [model.predict(r[1])] if lang != "und" and score >= language_id.LEAST_SCORE]
+    state = {}
+
+    def after(k):
+        nonlocal docs
+        docs = corpus_pipeline.written(corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path)), "odd")
+        if k < 4:
+            assert docs.dtypes == spark.createDataFrame([], schema).dtypes
+        state[k] = sorted(map(tuple, docs.collect()), key=str)
+        return state[k]
+
+    assert after(0) == sorted(plain, key=str)
+    keyed = {r[0] if r[0] is not None else 1 << 62: r for r in sorted(plain, key=str)}
+    groups = {c for _, _, c in linked_by_hand([(i, r[1]) for i, r in keyed.items()], 5, 80)}
+    assert after(1) == sorted((keyed[c] for c in groups), key=str)
+    field = pii.train(spark.createDataFrame(state[1], schema))
+
+    def hidden(text):
+        base, added = pii.spans(text, field)
+        for s, e, k in sorted(((s, e, k) for k, s, e in base + added), reverse=True):
+            text = text[:s] + f"<{pii.KINDS[k].upper()}>" + text[e:]
+        return text
+
+    assert after(2) == sorted(((r[0], hidden(r[1]), *r[2:4], len(hidden(r[1])), *r[5:]) for r in state[1]), key=str)
+    assert any("<PHONE>" in r[1] for r in state[2])
+    mixed = mixing.mix(spark.createDataFrame(state[2], schema))
+    assert sum(len(r[1].split()) for r in after(3)) == sum(r.taken for r in mixed.collect())
+    library = SentencePieceProcessor(model_file=sentencepiece_lattice.default_model())
+    docs_before = {}
+    for r in state[3]:
+        docs_before.setdefault(r[0], []).append(library.encode(r[1]))
+    coded = {}
+    for r in corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).collect():
+        assert r.complete
+        coded.setdefault(r.doc_id, []).append(r.ids)
+    assert {k: sorted(v) for k, v in coded.items()} == {k: sorted(v) for k, v in docs_before.items()}
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
