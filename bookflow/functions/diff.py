@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +21,7 @@ def edits(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     head, a, b = a[:start], a[start:], b[start:]
     reach, trail = {1: 0}, []
     for depth in range(len(a) + len(b) + 1):
-        trail.append(dict(reach))
+        trail.append(array("i", (reach.get(k, 0) for k in range(-depth - 1, depth + 2))))
         for k in range(-depth, depth + 1, 2):
             down = k == -depth or k != depth and reach[k - 1] < reach[k + 1]
             x = reach[k + 1] if down else reach[k - 1] + 1
@@ -35,9 +36,10 @@ def edits(a: list[str], b: list[str]) -> list[tuple[str, str]]:
     x, y, steps = len(a), len(b), []
     for depth in range(len(trail) - 1, -1, -1):
         before, k = trail[depth], x - y
-        down = k == -depth or k != depth and before[k - 1] < before[k + 1]
+        at = k + depth + 1
+        down = k == -depth or k != depth and before[at - 1] < before[at + 1]
         last = k + 1 if down else k - 1
-        px = before[last] if depth else 0
+        px = before[at + 1 if down else at - 1] if depth else 0
         py = px - last if depth else 0
         while x > px and y > py and (x, y) != (0, 0) and a[x - 1] == b[y - 1]:
             steps.append(("equal", a[x - 1]))
@@ -67,6 +69,9 @@ def _batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Data
 
 
 def diff_column(original: Column, corrected: Column) -> Column:
-    """`diffs` and `fixed_words` of two texts."""
-    udf = F.pandas_udf(_batches, "struct<diffs:array<struct<type:string,value:string>>,fixed_words:int>")
-    return udf(original, corrected)
+    """`diffs` and `fixed_words` of two texts. Python sees no equal ones: they are one run."""
+    kind = "struct<diffs:array<struct<type:string,value:string>>,fixed_words:int>"
+    udf = F.pandas_udf(_batches, kind)
+    a, b = F.coalesce(original, F.lit("")), F.coalesce(corrected, F.lit(""))
+    whole = F.when(a != "", F.array(F.struct(F.lit("equal").alias("type"), a.alias("value")))).otherwise(F.array())
+    return F.when(a == b, F.struct(whole.alias("diffs"), F.lit(0).alias("fixed_words")).cast(kind)).otherwise(udf(F.when(a != b, a), F.when(a != b, b)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,28 +12,47 @@ from bookflow.functions import page_layout as pl
 from bookflow.operators.pages import running_medians
 
 
+_ITEM = ["text", "x", "y", "width", "font"]
+
+
+def _by_page(items: DataFrame, fold: Callable[[tuple, list, float], list[tuple]], schema: str) -> DataFrame:
+    """`fold` over each page's items, of `book, page, text, x, y, width, font, median`: pages come sorted, many in a batch, and one that ends in the next batch waits for it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, held, key = [c.split()[0] for c in schema.split(", ")], [], None
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False, name=None):
+                if row[:2] != key:
+                    if held:
+                        out += fold(key, [pl.Item(r[2] or "", *r[3:7]) for r in held], held[0][7])
+                    held, key = [], row[:2]
+                held.append(row)
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(fold(key, [pl.Item(r[2] or "", *r[3:7]) for r in held], held[0][7]), columns=names)
+
+    rows = items.select("book", "page", *_ITEM, "median").repartition("book", "page").sortWithinPartitions("book", "page")
+    return rows.mapInPandas(run, schema)
+
+
 def page_lines(items: DataFrame) -> DataFrame:
-    """`book, page, line_no, y, min_x, max_x, font, text` from `book, page, text, x, y, width, font`. A page is a group; pages are as many as a book is long."""
+    """`book, page, line_no, y, min_x, max_x, font, text` from `book, page, text, x, y, width, font`."""
 
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        lines = pl.lines_of([pl.Item(t or "", x, y, w, f) for t, x, y, w, f in frame[["text", "x", "y", "width", "font"]].itertuples(index=False)])
-        return pd.DataFrame([(*key, k, x.y, x.min_x, x.max_x, x.font, x.text) for k, x in enumerate(lines)], columns=["book", "page", "line_no", "y", "min_x", "max_x", "font", "text"])
+    def fold(key: tuple, page: list, median: float) -> list[tuple]:
+        return [(*key, k, x.y, x.min_x, x.max_x, x.font, x.text) for k, x in enumerate(pl.lines_of(page))]
 
-    return items.groupBy("book", "page").applyInPandas(fold, "book string, page int, line_no int, y double, min_x double, max_x double, font double, text string")
+    return _by_page(items.withColumn("median", F.lit(0.0)), fold, "book string, page int, line_no int, y double, min_x double, max_x double, font double, text string")
 
 
 def page_paragraphs(items: DataFrame, height: float) -> DataFrame:
     """`book, page, ord, kind, text, note`: paragraphs, headings and notes of each page, its median taken over all pages so far."""
     medians = running_medians(items, "book", "page", "font")
-    lines = page_lines(items).join(medians, ["book", "page"])
 
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("line_no")
-        lines = [pl.Line(*row) for row in frame[["y", "min_x", "max_x", "font", "text"]].itertuples(index=False, name=None)]
-        found = pl.page_paragraphs(lines, int(key[1]), float(frame["median"].iloc[0]), height)
-        return pd.DataFrame([(*key, k, p.kind, p.text, p.note) for k, p in enumerate(found)], columns=["book", "page", "ord", "kind", "text", "note"])
+    def fold(key: tuple, page: list, median: float) -> list[tuple]:
+        return [(*key, k, p.kind, p.text, p.note) for k, p in enumerate(pl.page_paragraphs(pl.lines_of(page), int(key[1]), float(median), height))]
 
-    return lines.groupBy("book", "page").applyInPandas(fold, "book string, page int, ord int, kind string, text string, note string")
+    return _by_page(items.join(medians, ["book", "page"]), fold, "book string, page int, ord int, kind string, text string, note string")
 
 
 def chapters(paragraphs: DataFrame, fixed_pages: bool = False, pages: int = 15) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
+import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote
 from xml.etree import ElementTree
@@ -24,16 +25,22 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def entries(books: DataFrame) -> DataFrame:
-    """`book, path, content` of every entry of each archive. One book is one row, and its entries leave one at a time."""
+    """`book, path, content, error` of every entry of each archive. One book is one row, and its entries leave one at a time; a file that is no archive leaves one row, with what is wrong with it."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for book, content in zip(frame["book"], frame["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for name in archive.namelist():
-                        yield pd.DataFrame({"book": [book], "path": [name], "content": [archive.read(name)]})
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content or b"")) as archive:
+                        names = archive.namelist()
+                        if not names:
+                            raise zipfile.BadZipFile("the archive is empty")
+                        for name in names:
+                            yield pd.DataFrame({"book": [book], "path": [name], "content": [archive.read(name)], "error": [None]})
+                except (zipfile.BadZipFile, zlib.error, EOFError, OSError) as error:
+                    yield pd.DataFrame({"book": [book], "path": [None], "content": [None], "error": [str(error)]})
 
-    return books.select("book", "content").mapInPandas(run, "book string, path string, content binary")
+    return books.select("book", "content").mapInPandas(run, "book string, path string, content binary, error string")
 
 
 def resolve(base: str, relative: str) -> str:
@@ -42,13 +49,21 @@ def resolve(base: str, relative: str) -> str:
 
 
 def packages(all_entries: DataFrame) -> DataFrame:
-    """`book, title, creator, language, identifier, publisher, manifest, spine` from each book's container and package files.
+    """`book, title, creator, language, identifier, publisher, manifest, spine, error` from each book's container and package files.
 
-    The small files alone are grouped by book; a book without container, path or package raises.
+    The small files alone are grouped by book; a book without container, path or package keeps its row, with what it lacks.
     """
 
     def read(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return package_of(key, frame)
+        except (ValueError, ElementTree.ParseError) as error:
+            return pd.DataFrame({"book": [key[0]], **{c: [None] for c in ("title", "creator", "language", "identifier", "publisher", "manifest", "spine")}, "error": [str(error)]})
+
+    def package_of(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         held = dict(zip(frame["path"], frame["content"], strict=True))
+        if None in held:
+            raise ValueError(frame["error"].iloc[0])
         if "META-INF/container.xml" not in held:
             raise ValueError(f"{key[0]}: no META-INF/container.xml")
         root = ElementTree.fromstring(held["META-INF/container.xml"]).find(".//c:rootfile", _NS)
@@ -59,10 +74,13 @@ def packages(all_entries: DataFrame) -> DataFrame:
         text = lambda name: next((e.text.strip() for e in package.iterfind(f".//d:{name}", _NS) if e.text and e.text.strip()), None)
         manifest = [{"id": e.get("id"), "href": resolve(base, e.get("href", "")), "media_type": e.get("media-type", "")} for e in package.iterfind(".//o:manifest/o:item", _NS)]
         spine = [e.get("idref") for e in package.iterfind(".//o:spine/o:itemref", _NS)]
-        return pd.DataFrame({"book": [key[0]], "title": [text("title") or "Başlıksız Kitap"], "creator": [text("creator")], "language": [text("language") or "tr"], "identifier": [text("identifier")], "publisher": [text("publisher")], "manifest": [manifest], "spine": [spine]})
+        return pd.DataFrame({"book": [key[0]], "title": [text("title") or "Başlıksız Kitap"], "creator": [text("creator")], "language": [text("language") or "tr"], "identifier": [text("identifier")], "publisher": [text("publisher")], "manifest": [manifest], "spine": [spine], "error": [None]})
 
-    small = all_entries.filter("path = 'META-INF/container.xml' OR path LIKE '%.opf'")
-    return small.groupBy("book").applyInPandas(read, "book string, title string, creator string, language string, identifier string, publisher string, manifest array<struct<id:string,href:string,media_type:string>>, spine array<string>")
+    is_small = F.coalesce(F.col("path").isin("META-INF/container.xml") | F.col("path").endswith(".opf"), F.lit(True))
+    small = all_entries.withColumn("content", F.when(is_small, F.col("content"))).withColumn("rank", F.when(is_small, 0).otherwise(1))
+    least = small.groupBy("book").agg(F.min("rank").alias("least"), F.first("path").alias("any"))
+    small = small.filter("rank = 0").drop("rank").unionByName(least.filter("least = 1").select("book", F.col("any").alias("path"), F.lit(None).cast("binary").alias("content"), F.lit(None).cast("string").alias("error")))
+    return small.groupBy("book").applyInPandas(read, "book string, title string, creator string, language string, identifier string, publisher string, manifest array<struct<id:string,href:string,media_type:string>>, spine array<string>, error string")
 
 
 def chapters(all_entries: DataFrame, books: DataFrame) -> DataFrame:

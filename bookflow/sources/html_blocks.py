@@ -68,40 +68,52 @@ class _Tree(HTMLParser):
         self.at[3].append(data)
 
 
-def _walk(node) -> Iterator[list]:
-    for child in node[3]:
-        if isinstance(child, list):
-            yield child
-            yield from _walk(child)
+def _inside(root) -> dict[int, set[str]]:
+    """The names of all elements inside each element, by its identity. No recursion, as pages nest as deep as they like."""
+    order, due = [], [root]
+    while due:
+        node = due.pop()
+        order.append(node)
+        due += [c for c in node[3] if isinstance(c, list)]
+    names: dict[int, set[str]] = {}
+    for node in reversed(order):
+        own = names[id(node)] = set()
+        for c in node[3]:
+            if isinstance(c, list):
+                own.add(c[0])
+                own |= names[id(c)]
+    return names
 
 
 def _text(node) -> str:
-    return "".join(c if isinstance(c, str) else _text(c) for c in node[3])
+    parts, due = [], [node]
+    while due:
+        one = due.pop()
+        if isinstance(one, str):
+            parts.append(one)
+        else:
+            due += reversed(one[3])
+    return "".join(parts)
 
 
 def tree_blocks(html: str | None) -> list[tuple[str, str, str]]:
     """`tag, text, status` of a chapter's blocks: primary elements that are in no other, and containers that hold neither kind. Figures and asides are done as they are."""
     tree = _Tree()
     tree.feed(html or "")
-    out = []
-
-    def visit(node) -> None:
-        for child in (c for c in node[3] if isinstance(c, list)):
-            if child[0] in ("head", "script", "style"):
-                continue
-            inner = {n[0] for n in _walk(child)}
-            if child[0] in PRIMARY or child[0] in CONTAINERS and not inner & (PRIMARY | CONTAINERS):
-                text = " ".join(_text(child).split())
-                if child[0] == "figure":
-                    out.append(("figure", "[Görsel]", "completed"))
-                elif child[0] == "aside":
-                    out.append(("aside", text, "completed"))
-                elif not inner & NO_TEXT and len(text) >= 2:
-                    out.append((child[0], text, "pending"))
-            else:
-                visit(child)
-
-    visit(tree.root)
+    out, inside, due = [], _inside(tree.root), [tree.root]
+    while due:
+        node = due.pop()
+        inner = inside[id(node)]
+        if node is not tree.root and (node[0] in PRIMARY or node[0] in CONTAINERS and not inner & (PRIMARY | CONTAINERS)):
+            text = " ".join(_text(node).split())
+            if node[0] == "figure":
+                out.append(("figure", "[Görsel]", "completed"))
+            elif node[0] == "aside":
+                out.append(("aside", text, "completed"))
+            elif not inner & NO_TEXT and len(text) >= 2:
+                out.append((node[0], text, "pending"))
+        else:
+            due += [c for c in reversed(node[3]) if isinstance(c, list) and c[0] not in ("head", "script", "style")]
     return out
 
 

@@ -310,3 +310,42 @@ def test_footnotes_numbered_by_definition(spark):
     definitions = spark.createDataFrame([("b", "y", 5, "why"), ("b", "x", 6, "ex"), ("b", "y", 7, "again")], "book string, tag string, pos int, note string")
     got = footnotes.numbered_by_definition(references, definitions).orderBy("number").collect()
     assert [(r.tag, r.number, r.note) for r in got] == [("y", 1, "why"), ("x", 2, "ex"), ("z", 3, "")]
+
+
+def test_bad_archives_keep_their_rows(spark):
+    broken = io.BytesIO()
+    with zipfile.ZipFile(broken, "w") as archive:
+        archive.writestr("mimetype", "application/epub+zip")
+    good = books.epub_bytes(books.epub_files("T", None, "tr", "1", [("One", "<p>some text</p>")]))
+    frame = spark.createDataFrame([("a", b"no archive"), ("b", broken.getvalue()), ("c", good), ("d", None)], "book string, content binary")
+    entries = epub.entries(frame)
+    packages = {r.book: r for r in epub.packages(entries).collect()}
+    assert sorted(packages) == ["a", "b", "c", "d"] and packages["c"].error is None and packages["c"].title == "T"
+    assert all(packages[k].error for k in "abd") and "container" in packages["b"].error
+    assert [r.text for r in epub.blocks(epub.chapters(entries, epub.packages(entries))).collect()] == ["some text"]
+
+
+def test_deep_pages_and_far_texts():
+    assert html_blocks.tree_blocks("<div>" * 5000 + "<p>deep text</p>") == [("p", "deep text", "pending")]
+    a, b = " ".join(f"a{k}" for k in range(700)), " ".join(f"b{k}" for k in range(700))
+    runs, fixed = diff.text_diff(a, b)
+    assert fixed == 700 and "".join(t for k, t in runs if k != "added") == a and "".join(t for k, t in runs if k != "removed") == b
+
+
+def test_diffs_of_equal_texts_and_nulls(spark):
+    frame = spark.createDataFrame([("a b", "a b"), ("", ""), (None, ""), (None, "x y"), ("a b", "a c b")], "a string, b string")
+    got = [(r.d.fixed_words, [(x.type, x.value) for x in r.d.diffs]) for r in frame.select(diff.diff_column(F.col("a"), F.col("b")).alias("d")).collect()]
+    assert got == [(n, runs) for runs, n in (diff.text_diff(*r) for r in [("a b", "a b"), ("", ""), (None, ""), (None, "x y"), ("a b", "a c b")])]
+
+
+def test_pages_split_over_batches(spark):
+    words = [("b", k // 40 + 1, f"w{k}", 50.0 + k % 10 * 40, 60.0 + k // 10 % 4 * 14, 34.0, 11.0) for k in range(400)]
+    frame = spark.createDataFrame(words, "book string, page int, text string, x double, y double, width double, font double")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, whole = spark.conf.get(key), sorted(map(tuple, layout.page_lines(frame).collect()))
+    spark.conf.set(key, "7")
+    try:
+        assert sorted(map(tuple, layout.page_lines(frame).collect())) == whole and len(whole) == 40
+        assert layout.page_paragraphs(frame, 800.0).count() > 0
+    finally:
+        spark.conf.set(key, before)
