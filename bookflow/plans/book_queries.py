@@ -9,7 +9,8 @@ from bookflow.functions.diff import diff_column
 from bookflow.functions.rules import audit, repaired
 from bookflow.functions.text import trimmed
 from bookflow.operators import batching, correct, layout
-from bookflow.plans.base import blocks, damaged, read
+from bookflow.plans.base import BLOCKS, blocks, damaged, read
+from bookflow.plans.text_queries import sql_answer
 from bookflow.sinks import books as sinks
 from bookflow.sources import epub, mobi
 
@@ -95,14 +96,19 @@ WITH {_PARTS} SELECT book, book AS title, 'Author' AS creator, place - 1 AS chap
 
 def model_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in batches through a table model, and what it changed."""
-    rows = blocks(spark, sf_dir).filter("original_text <> ''").select(F.col("doc_id").alias("book"), F.col("block_no").alias("ord"), F.col("original_text").alias("text"))
+    rows = blocks(spark, sf_dir).select(F.col("doc_id").alias("book"), F.col("block_no").alias("ord"), F.col("original_text").alias("text"))
     parts = batching.greedy_batches(rows, "book", "ord", "text", 3000)
     done = correct.corrected(rows, parts, correct.by_table({"the": "THE"}), 8)
     return done.join(rows, ["book", "ord"]).groupBy("book").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("corrected") != F.col("text")).alias("changed"))
 
 
+_MODEL = f"""
+WITH {BLOCKS}, b AS (SELECT doc_id, original_text, original_text AS corrected_text FROM blocks)
+SELECT doc_id AS book, count(*) AS blocks, count(*) FILTER (regexp_matches(original_text, '(^|[^\\p{{L}}\\p{{N}}_])the($|[^\\p{{L}}\\p{{N}}_])') OR {sql_answer('original_text')} <> original_text) AS changed
+FROM b GROUP BY doc_id"""
+
 QUERIES = {
     "turkish_repair": turkish_repair, "audit_log": audit_log, "text_diffs": text_diffs, "page_paragraphs": page_paragraphs, "page_chapters": page_chapters,
     "epub_round_trip": epub_round_trip, "mobi_round_trip": mobi_round_trip, "model_correction": model_correction,
 }
-ORACLES: dict[str, str] = {"epub_round_trip": _EPUB, "mobi_round_trip": _MOBI}
+ORACLES: dict[str, str] = {"epub_round_trip": _EPUB, "mobi_round_trip": _MOBI, "model_correction": _MODEL}

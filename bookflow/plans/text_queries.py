@@ -49,7 +49,23 @@ def clean_literal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anomaly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = blocks(spark, sf_dir).withColumn("d", damaged(F.col("original_text")))
-    return rows.groupBy("source").agg(F.count_if(has_anomaly(F.col("original_text"), False)).alias("before_damage"), F.count_if(has_anomaly(F.col("d"), False)).alias("after_damage"))
+    return rows.groupBy("source").agg(
+        F.count_if(has_anomaly(F.col("original_text"), False)).alias("before_damage"), F.count_if(has_anomaly(F.col("d"), False)).alias("after_damage"),
+        F.count_if(has_anomaly(F.col("original_text"))).alias("with_split_letters"),
+    )
+
+
+def late_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules for apostrophes and stray page numbers, over lines that are given some."""
+    rows = blocks(spark, sf_dir)
+    return rows.select("doc_id", "block_no", F.md5(clean_literal(F.concat("original_text", F.lit(" don 't. 12 The end! 345. ")), (90, 91, 92))).alias("text_md5"))
+
+
+_LATE = f"""
+WITH {BLOCKS}, a AS (SELECT doc_id, block_no, regexp_replace(original_text || ' don ''t. 12 The end! 345. ', '([{_L}0-9]+)\\s+([''’])([{_L}]+)', '\\1\\2\\3', 'g') AS t FROM blocks),
+b AS (SELECT doc_id, block_no, regexp_replace(t, '([.?!:»"''])\\s+[0-9]{{1,4}}\\.?\\s+([A-ZÇĞİÖŞÜ])', '\\1 \\2', 'g') AS t FROM a)
+SELECT doc_id, block_no, md5(regexp_replace(t, '([.?!:»"''])\\s+[0-9]{{1,4}}\\.?\\s*$', '\\1')) AS text_md5 FROM b"""
+_SPLIT = "regexp_matches(original_text, '(^|[^\\p{L}\\p{N}])\\p{L}{1,2}\\s+\\p{L}{1,2}\\s+\\p{L}{1,2}($|[^\\p{L}\\p{N}])')"
 
 
 def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +340,7 @@ def _writes(word: str) -> correct.Model:
     return lambda request: request.replace(" of ", f" {word} ")
 
 
-def _sql_answer(text: str) -> str:
+def sql_answer(text: str) -> str:
     """What the response parser makes of a block: signs of emphasis and a colon at its marks go."""
     inner = f"regexp_replace(regexp_replace({text}, '^\\*{{0,2}}:?', ''), '\\*{{0,2}}$', '')"
     return f"coalesce(nullif(trim(regexp_replace({inner}, '\\s{{2,}}', ' ', 'g'), E' \\t\\n\\r'), ''), corrected_text)"
@@ -333,7 +349,7 @@ def _sql_answer(text: str) -> str:
 _JOINED = f"""
 WITH {_CLEANED}, a AS (SELECT *, {_sql_anomaly('corrected_text')} AS anomaly, 'smart' AS mode FROM cleaned), r AS (SELECT *, {_ROUTE} AS route FROM a)
 SELECT doc_id, block_no, route, md5(CASE route WHEN 'skip' THEN NULL WHEN 'figure' THEN original_text WHEN 'cache' THEN 'cached: ' || original_text
-  WHEN 'model' THEN {_sql_answer("replace(corrected_text, ' of ', ' OF ')")} ELSE corrected_text END) AS text_md5 FROM r"""
+  WHEN 'model' THEN {sql_answer("replace(corrected_text, ' of ', ' OF ')")} ELSE corrected_text END) AS text_md5 FROM r"""
 
 
 def failing_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,7 +367,7 @@ def failing_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FAILING = f"""
 WITH {BLOCKS}, b AS (SELECT doc_id, block_no, original_text AS corrected_text, replace(original_text, ' of ', CASE WHEN length(original_text) % 2 = 1 THEN ' OF ' ELSE ' 0F ' END) AS t FROM blocks)
-SELECT doc_id, block_no, md5({_sql_answer('t')}) AS text_md5 FROM b"""
+SELECT doc_id, block_no, md5({sql_answer('t')}) AS text_md5 FROM b"""
 
 
 def block_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -425,17 +441,17 @@ QUERIES = {
     "rolling_context": rolling_context, "prompt_build": prompt_build, "batch_parse": batch_parse, "cache_keys": cache_keys, "cache_hits": cache_hits,
     "cache_stats": cache_stats, "diff_filter": diff_filter, "audit_filter": audit_filter, "chapter_stats": chapter_stats, "block_routes": block_routes,
     "word_counts": word_counts, "dictionary_build": dictionary_build, "joined_routes": joined_routes, "failing_models": failing_models,
-    "block_answers": block_answers, "first_findings": first_findings, "completed_chapters": completed_chapters,
+    "block_answers": block_answers, "first_findings": first_findings, "completed_chapters": completed_chapters, "late_rules": late_rules,
 }
 ORACLES = {
     "clean_literal_rules": f"""WITH {BLOCKS}, c AS (SELECT *, {DAMAGED} AS d, {_sql_cleaned(DAMAGED)} AS c FROM blocks)
         SELECT lang, count(*) AS blocks, count(*) FILTER (d <> c) AS changed, count(*) FILTER ({_sql_anomaly('c')}) AS anomalies,
         sum(length(c))::BIGINT AS chars, count(*) FILTER (c = original_text) AS restored FROM c GROUP BY lang""",
-    "anomaly_counts": f"WITH {BLOCKS} SELECT source, count(*) FILTER ({_sql_anomaly('original_text')}) AS before_damage, count(*) FILTER ({_sql_anomaly(DAMAGED)}) AS after_damage FROM blocks GROUP BY source",
+    "anomaly_counts": f"WITH {BLOCKS} SELECT source, count(*) FILTER ({_sql_anomaly('original_text')}) AS before_damage, count(*) FILTER ({_sql_anomaly(DAMAGED)}) AS after_damage, count(*) FILTER ({_sql_anomaly('original_text')} OR {_SPLIT}) AS with_split_letters FROM blocks GROUP BY source",
     "rule_report": _sql_rule_report(),
     "audit_counts": _sql_rule_report().replace(f"SELECT {DAMAGED} AS t FROM", f"SELECT lang, {DAMAGED} AS t FROM").replace("(SELECT regexp_replace(t", "(SELECT lang, regexp_replace(t").replace("AS rule_no, before, regexp_replace(before", "AS rule_no, lang, before, regexp_replace(before").replace("(SELECT unnest(", "(SELECT lang, unnest(").replace("SELECT rule_no, before, after, count(*) AS n FROM", "SELECT coalesce(lang, 'all') AS lang, coalesce(rule_no, 0) AS rule_no, count(*) AS n FROM").replace("GROUP BY ALL", "GROUP BY ROLLUP (lang, rule_no)"),
     "suspect_words": _SUSPECTS, "stitch_paragraphs": _STITCH, "hyphen_pairs": _HYPHENS, "greedy_batches": _BATCHES, "rolling_context": _ROLLING,
     "prompt_build": _PROMPT, "batch_parse": _PARSE, "cache_keys": _KEYS, "cache_hits": _HITS, "cache_stats": _STATS, "diff_filter": _DIFFS,
     "audit_filter": _sql_audit(), "chapter_stats": _CHAPTERS, "block_routes": _ROUTES, "word_counts": _WORDS, "dictionary_build": _DICTIONARY,
-    "joined_routes": _JOINED, "failing_models": _FAILING, "block_answers": _ANSWERS, "first_findings": _sql_findings(), "completed_chapters": _COMPLETED,
+    "joined_routes": _JOINED, "failing_models": _FAILING, "block_answers": _ANSWERS, "first_findings": _sql_findings(), "completed_chapters": _COMPLETED, "late_rules": _LATE,
 }
