@@ -49,6 +49,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,9 +61,9 @@ MARK = "▁"
 #: Units up to this many characters hold their boundaries in one long.
 BITS = 62
 #: Most words and most units with codes, their characters, and how often a task has to see a word to propose it.
-HOT_LIMIT, HOT_UNITS, HOT_CHARS, HOT_TIMES = 60_000, 300_000, 32, 8
-#: Distinct words that a task counts before it hands them on, and codes in a bundle of documents.
-GROUP_WORDS, BUNDLE_CODES = 400_000, 400_000
+HOT_LIMIT, HOT_UNITS, HOT_CHARS, HOT_TIMES = 200_000, 160_000, 32, 4
+#: Distinct words that a task holds before it hands them on, and bytes of text in a bundle of documents, about.
+GROUP_WORDS, BUNDLE_BYTES = 400_000, 4_000_000
 #: Places of an edge's rank, id, start and length in one long: 18, 18, 20 and 7 bits.
 _RANK, _ID, _START = 1 << 45, 1 << 27, 1 << 7
 _WIDEST, _LONGEST = (1 << 18) - 1, (1 << 7) - 1
@@ -110,10 +111,34 @@ def units(text: str) -> list[str]:
     return _UNIT.findall(" " + text.replace(MARK, " ")) if text else []
 
 
-def words(text: str) -> list[str] | None:
-    """The words of a text, each with a space before it in the model's reading; None if it has two spaces in a row or one at an end."""
-    parts = text.replace(MARK, " ").split(" ") if text else []
-    return None if "" in parts else parts
+def bundles_of(texts: pa.StringArray, most: int) -> Iterator[tuple[int, int]]:
+    """First and end row of stretches of `texts` of about `most` bytes; a longer text is one alone."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if held and held + size > most:
+            yield first, k
+            first, held = k, 0
+        held += size
+    if first < len(sizes):
+        yield first, len(sizes)
+
+
+def words_of(texts: pa.StringArray) -> tuple[pa.ListArray, np.ndarray]:
+    """The words of each text, what stands between single spaces, and which texts aren't such words: empty ones, and those with spaces in a row or at an end. Marks count as spaces."""
+    plain = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
+    found = pc.split_pattern(plain, " ")
+    empty = pc.equal(found.flatten(), "").to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(empty)])
+    ends = found.offsets.to_numpy() - found.offsets[0].as_py()
+    return found, at[ends[1:]] > at[ends[:-1]]
+
+
+def units_of_words(distinct: list[str]) -> tuple[list[str], np.ndarray]:
+    """The units of distinct words one after the other, and the number of units of each. Only a word's first unit has a space."""
+    found = _UNIT.findall(" " + " ".join(distinct)) if distinct else []
+    starts = np.fromiter((u[0] == " " for u in found), bool, len(found))
+    return found, np.diff(np.append(np.flatnonzero(starts), len(found)))
 
 
 def short_units(unit: str, inside: set[str]) -> list[str]:
@@ -260,45 +285,68 @@ def spell(ids: list[int], table: list[bytes]) -> bytes:
     return b"".join([table[i] for i in ids])[1:]
 
 
-def _fingerprint(spelled: bytes) -> bytes:
+def _fingerprint(spelled: bytes | memoryview) -> bytes:
     return blake2b(spelled, digest_size=16).digest()
 
 
+def _summed(items: list[pa.Array], counts: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
+    """Distinct items and the sums of their counts."""
+    table = pa.table([pa.concat_arrays(items), pa.concat_arrays(counts)], ["item", "n"]).group_by("item").aggregate([("n", "sum")])
+    return table["item"].combine_chunks(), table["n_sum"].to_numpy()
+
+
 def _counted(docs: DataFrame, text: str, path: str) -> DataFrame:
     """`item, is_word, n`: every distinct unit of up to BITS characters of all documents, with marks, and the words that some task has often, and how often each occurs. Tasks count before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = pieces(path).inside
-        seen: Counter = Counter()
-        rest: Counter = Counter()
+        held: list[tuple[pa.Array, pa.Array]] = []
+        odd: Counter = Counter()
 
         def out() -> pa.RecordBatch:
             made: Counter = Counter()
-            for word, n in seen.items():
-                for unit in _UNIT.findall(" " + word):
-                    rest[unit] += n
-            for unit, n in rest.items():
-                if len(unit) <= BITS:
-                    made[unit.replace(" ", MARK)] += n
-                    continue
+            for unit, n in odd.items():
                 for one in short_units(unit.replace(" ", MARK), inside):
                     if len(one) <= BITS:
                         made[one] += n
-            often = {word: n for word, n in seen.items() if n >= HOT_TIMES and len(word) < HOT_CHARS}
-            seen.clear()
-            rest.clear()
-            is_word = np.arange(len(made) + len(often)) >= len(made)
-            return pa.RecordBatch.from_arrays([pa.array([*made, *often], pa.string()), pa.array(is_word), pa.array([*made.values(), *often.values()], pa.int64())], names=["item", "is_word", "n"])
+            units_seen, times = [pa.array(list(made), pa.string())], [pa.array(list(made.values()), pa.int64())]
+            often, often_n = pa.array([], pa.string()), np.zeros(0, np.int64)
+            if held:
+                distinct, n = _summed([h[0] for h in held], [h[1] for h in held])
+                found, sizes = units_of_words(distinct.to_pylist())
+                each = np.repeat(n, sizes)
+                for k in [k for k, u in enumerate(found) if len(u) > BITS]:
+                    parts = [one for one in short_units(found[k].replace(" ", MARK), inside) if len(one) <= BITS]
+                    units_seen.append(pa.array(parts, pa.string()))
+                    times.append(pa.array([int(each[k])] * len(parts), pa.int64()))
+                    found[k] = ""
+                units_seen.append(pc.replace_substring(pa.array(found, pa.string()), " ", MARK))
+                times.append(pa.array(each))
+                many = (n >= HOT_TIMES) & (pc.utf8_length(distinct).to_numpy() < HOT_CHARS)
+                often, often_n = distinct.filter(pa.array(many)), n[many]
+            item, n = _summed(units_seen, times)
+            real = pc.not_equal(item, "")
+            item, n = item.filter(real), n[real.to_numpy(zero_copy_only=False)]
+            held.clear()
+            odd.clear()
+            is_word = np.arange(len(item) + len(often)) >= len(item)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([item, often]), pa.array(is_word), pa.array(np.concatenate([n, often_n]))], names=["item", "is_word", "n"])
 
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                parts = words(value or "")
-                if parts is None:
-                    rest.update(units(value))
-                else:
-                    seen.update(parts)
-                if len(seen) + len(rest) >= GROUP_WORDS:
-                    yield out()
+            texts = batch.column(0).cast(pa.string())
+            for first, end in bundles_of(texts, BUNDLE_BYTES):
+                part = texts.slice(first, end - first)
+                found, is_odd = words_of(part)
+                for k in np.flatnonzero(is_odd).tolist():
+                    odd.update(units(part[k].as_py() or ""))
+                counted = pc.value_counts(found.filter(pa.array(~is_odd)).flatten())
+                held.append((counted.field(0), counted.field(1)))
+                if sum(len(h[0]) for h in held) + len(odd) >= GROUP_WORDS:
+                    if len(held) > 1:
+                        item, n = _summed([h[0] for h in held], [h[1] for h in held])
+                        held[:] = [(item, pa.array(n))]
+                    if len(held[0][0]) + len(odd) >= GROUP_WORDS:
+                        yield out()
         yield out()
 
     return docs.select(text).mapInArrow(run, "item string, is_word boolean, n long").groupBy("item", "is_word").agg(F.sum("n").alias("n"))
@@ -340,11 +388,16 @@ class Hot:
         known = [*((r, False) for r in known_words), *((r, True) for r in known_units)]
         known.sort(key=lambda r: (-r[0][1], r[1], r[0][0]))
         table, ids = piece_bytes(path), [unpacked(r[2]) for r, _ in known]
-        self.words = {r[0]: k + 1 for k, (r, is_unit) in enumerate(known) if not is_unit}
-        self.units = {r[0].replace(MARK, " "): k + 1 for k, (r, is_unit) in enumerate(known) if is_unit}
+        self.words = {r[0]: c + 1 for c, (r, is_unit) in enumerate(known) if not is_unit}
+        self.units = {r[0].replace(MARK, " "): c + 1 for c, (r, is_unit) in enumerate(known) if is_unit}
         self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         self.begins = np.concatenate([[0, 0], np.cumsum([*map(len, ids)])]).astype(np.int64)
-        self.spelled = [b"", *(b"".join([table[i] for i in part.tolist()]) for part in ids)]
+        self.spelled = pa.array([b"", *(b"".join([table[i] for i in part.tolist()]) for part in ids)], pa.binary())
+
+
+def _coded(items: list[str], known: dict[str, int]) -> np.ndarray:
+    """The code of each item, 0 where it has none."""
+    return np.fromiter(map(known.get, items, repeat(0)), np.int64, len(items))
 
 
 def _most_frequent(counts: DataFrame, limit: int) -> DataFrame:
@@ -374,55 +427,70 @@ def _hot(counted: DataFrame, vocabulary: DataFrame, limit: int, unit_limit: int,
 _BUNDLE = ("bundle", "doc_ids", "prints", "sizes", "codes", "slots", "rest", "own")
 
 
-class _Bundle:
-    """Documents in codes: one row of the written table."""
-
-    def __init__(self) -> None:
-        self.doc_ids, self.prints, self.codes, self.slots = [], [], [], []
-        self.rest: dict[str, int] = {}
-        self.own: list[bytes] = []
-
-    def add(self, doc_id: int | None, value: str, hot_words: dict[str, int], hot_units: dict[str, int], inside: set[str], path: str) -> int:
-        parts = words(value)
-        if parts is None:
-            parts = units(value)
-            codes = np.fromiter(map(hot_units.get, parts, repeat(0)), np.int64, len(parts))
-            cut = lambda unit: [unit]
-        else:
-            codes = np.fromiter(map(hot_words.get, parts, repeat(0)), np.int64, len(parts))
-            cut = lambda word: _UNIT.findall(" " + word)
-        unknown = np.flatnonzero(codes == 0)
-        if len(unknown):
-            more, times = [], np.ones(len(codes), np.int64)
-            for k in unknown.tolist():
-                before = len(more)
-                for unit in cut(parts[k]):
-                    code = hot_units.get(unit, 0)
-                    if code:
-                        more.append(code)
-                        continue
-                    for one in short_units(unit.replace(" ", MARK), inside):
-                        more.append(0)
-                        if len(one) <= BITS:
-                            self.slots.append(2 * self.rest.setdefault(one, len(self.rest)))
-                        else:
-                            self.slots.append(2 * len(self.own) + 1)
-                            self.own.append(np.array(merge_long(one, path), ">i4").reshape(-1, 1).view(np.uint8)[:, 1:].tobytes())
-                times[k] = len(more) - before
-            was_known = np.repeat(codes, times)
-            was_known[was_known == 0] = more
-            codes = was_known
-        self.doc_ids.append(doc_id)
-        self.prints.append(_fingerprint(value.replace(MARK, " ").encode("utf-8", "surrogatepass")))
-        self.codes.append(codes)
-        return len(codes)
-
-    def row(self, number: int) -> pa.RecordBatch:
-        pack = ZstdCompressor(level=3).compress
-        sizes = np.array([*map(len, self.codes)], "<i4").tobytes()
-        binaries = [b"".join(self.prints), pack(sizes), pack(short_codes(np.concatenate(self.codes))), pack(short_codes(np.array(self.slots, np.int64)))]
-        columns = [pa.array([number]), pa.array([self.doc_ids], pa.list_(pa.int64())), *(pa.array([b], pa.binary()) for b in binaries)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([list(self.rest)], pa.list_(pa.string())), pa.array([self.own], pa.list_(pa.binary()))], names=list(_BUNDLE))
+def _bundle(number: int, doc_ids: pa.Array, texts: pa.StringArray, hot_words: dict[str, int], hot_units: dict[str, int], path: str) -> pa.RecordBatch:
+    """Documents in codes: one row of the written table. All words without a code, and texts that aren't words, are cut into units once for each distinct one."""
+    inside = pieces(path).inside
+    found, is_odd = words_of(texts)
+    kept = found.filter(pa.array(~is_odd))
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[~is_odd] = pc.list_value_length(kept).to_numpy(zero_copy_only=False)
+    sizes[is_odd] = 1  # an odd text is one item, without a code
+    begins = np.cumsum(sizes) - sizes
+    codes = np.zeros(int(sizes.sum()), np.int64)
+    item = np.full(len(codes), -1)
+    plain = np.ones(len(codes), bool)
+    plain[begins[is_odd]] = False
+    flat = kept.flatten().dictionary_encode()
+    distinct, of = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+    of_distinct = _coded(distinct, hot_words)
+    codes[plain] = of_distinct[of] if len(of) else 0
+    new = np.flatnonzero(of_distinct == 0)
+    place = np.full(len(distinct) + 1, -1)
+    place[new] = np.arange(len(new))
+    item[plain] = place[of]
+    parts, each = units_of_words([distinct[k] for k in new.tolist()])
+    each = each.tolist()
+    for k in np.flatnonzero(is_odd).tolist():
+        item[begins[k]] = len(each)
+        own_units = units(texts[k].as_py() or "")
+        parts += own_units
+        each.append(len(own_units))
+    # Units too long for one long give way to their parts.
+    if parts and max(map(len, parts)) > BITS:
+        of = np.repeat(np.arange(len(each)), each)
+        short = [short_units(u.replace(" ", MARK), inside) for u in parts]
+        of = np.repeat(of, [len(x) for x in short])
+        parts, each = [u.replace(MARK, " ") for x in short for u in x], np.bincount(of, minlength=len(each)).tolist()
+    unit_codes = _coded(parts, hot_units)
+    unknown = unit_codes == 0
+    slots = np.full(len(parts), -1)
+    late = pc.replace_substring(pa.array([parts[k] for k in np.flatnonzero(unknown).tolist()], pa.string()), " ", MARK)
+    is_long = pc.utf8_length(late).to_numpy(zero_copy_only=False) > BITS
+    names = late.filter(pa.array(~is_long)).dictionary_encode()
+    long_names = late.filter(pa.array(is_long)).dictionary_encode()
+    late_slots = np.zeros(len(late), np.int64)
+    late_slots[~is_long] = 2 * names.indices.to_numpy().astype(np.int64)
+    late_slots[is_long] = 2 * long_names.indices.to_numpy().astype(np.int64) + 1
+    slots[unknown] = late_slots
+    own = [np.array(merge_long(u, path), ">i4").reshape(-1, 1).view(np.uint8)[:, 1:].tobytes() for u in long_names.dictionary.to_pylist()]
+    # Items without a code give way to the codes of their units.
+    each = np.array(each, np.int64)
+    first = np.cumsum(each) - each
+    is_new = item >= 0
+    times = np.where(is_new, each[item] if len(each) else 0, 1)
+    ends = np.cumsum(times)
+    of = np.repeat(np.arange(len(codes)), times)
+    unit = np.repeat(np.where(is_new, first[item] if len(each) else 0, 0), times) + np.arange(len(of)) - np.repeat(ends - times, times)
+    is_unit = is_new[of]
+    unit[~is_unit] = 0
+    stream = np.where(is_unit, unit_codes[unit] if len(parts) else 0, codes[of])
+    holes = slots[unit[is_unit & (stream == 0)]] if len(parts) else np.zeros(0, np.int64)
+    bounds = np.concatenate([[0], ends])[np.concatenate([begins, [len(codes)]])]
+    pack = ZstdCompressor(level=3).compress
+    prints = b"".join(_fingerprint((t or "").replace(MARK, " ").encode("utf-8", "surrogatepass")) for t in texts.to_pylist())
+    binaries = [prints, pack(np.diff(bounds).astype("<i4").tobytes()), pack(short_codes(stream)), pack(short_codes(holes))]
+    lists = [pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), *(pa.array([b], pa.binary()) for b in binaries), pa.array([names.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([own], pa.list_(pa.binary()))]
+    return pa.RecordBatch.from_arrays([pa.array([number]), *lists], names=list(_BUNDLE))
 
 
 def _bundled(docs: DataFrame, doc_id: str, text: str, path: str, hot: Hot) -> DataFrame:
@@ -430,24 +498,18 @@ def _bundled(docs: DataFrame, doc_id: str, text: str, path: str, hot: Hot) -> Da
     shared = docs.sparkSession.sparkContext.broadcast((hot.words, hot.units))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (hot_words, hot_units), inside = shared.value, pieces(path).inside
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            bundle, codes = _Bundle(), 0
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                codes += bundle.add(key, value or "", hot_words, hot_units, inside, path)
-                if codes >= BUNDLE_CODES:
-                    yield bundle.row(number)
-                    bundle, codes, number = _Bundle(), 0, number + 1
-            if bundle.codes:
-                yield bundle.row(number)
+            texts = batch.column(1).cast(pa.string())
+            for first, end in bundles_of(texts, BUNDLE_BYTES):
+                yield _bundle(number, batch.column(0).slice(first, end - first), texts.slice(first, end - first), *shared.value, path)
                 number += 1
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "bundle long, doc_ids array<long>, prints binary, sizes binary, codes binary, slots binary, rest array<string>, own array<binary>")
 
 
-def _filled(batches: Iterator[pa.RecordBatch], path: str, hot_ids: np.ndarray, begins: np.ndarray, spelled: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _filled(batches: Iterator[pa.RecordBatch], path: str, hot_ids: np.ndarray, begins: np.ndarray, spelled: pa.Array) -> Iterator[pa.RecordBatch]:
     """From `doc_ids, prints, sizes, codes, slots, found, own` of bundles a row for each document: codes and holes become ids, and what the ids decode to is compared with the text."""
     table, unpack = piece_bytes(path), ZstdDecompressor().decompress
     is_byte = np.zeros(len(table), bool)
@@ -467,12 +529,13 @@ def _filled(batches: Iterator[pa.RecordBatch], path: str, hot_ids: np.ndarray, b
             ids = np.concatenate([hot_ids, *late])[np.arange(upto[-1]) + np.repeat(first - upto[:-1], size)].astype(np.int32)
             bounds = upto[ends]
             byte_ids = np.concatenate([[0], np.cumsum(is_byte[ids])])[bounds]
-            parts = list(map(spelled.__getitem__, codes.tolist()))
-            late_spelled = [b"".join([table[x] for x in v.tolist()]) for v in late]
-            for k, i in zip(holes.tolist(), item.tolist(), strict=True):
-                parts[k] = late_spelled[i]
-            texts = (b"".join(parts[a:b])[1:] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False))
-            complete = [_fingerprint(t) == prints[16 * k : 16 * k + 16] for k, t in enumerate(texts)]
+            late_spelled = pa.array([b"".join([table[x] for x in v.tolist()]) for v in late], pa.binary())
+            at = codes.copy()
+            at[holes] = len(spelled) + item
+            text = pa.concat_arrays([spelled, late_spelled]).take(pa.array(at)).cast(pa.large_binary())
+            cut = np.frombuffer(text.buffers()[1], np.int64)[text.offset :][ends]
+            data = memoryview(text.buffers()[2] or b"")
+            complete = [_fingerprint(data[a + 1 : b]) == prints[16 * k : 16 * k + 16] for k, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist(), strict=False))]
             whole = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), whole, pa.array(np.diff(bounds), pa.int64()), pa.array(np.diff(byte_ids), pa.int64()), pa.array(complete, pa.bool_())], names=["doc_id", "ids", "n_pieces", "n_bytes", "complete"])
 

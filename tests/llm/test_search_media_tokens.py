@@ -147,7 +147,8 @@ def test_small_bundles_give_the_same(spark, monkeypatch):
     texts = [t or "" for t in odd_texts()]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     whole = {r.doc_id: r for r in sentencepiece_lattice.count_encoded(docs).collect()}
-    monkeypatch.setattr(sentencepiece_lattice, "BUNDLE_CODES", 7)
+    monkeypatch.setattr(sentencepiece_lattice, "BUNDLE_BYTES", 90)
+    monkeypatch.setattr(sentencepiece_lattice, "GROUP_WORDS", 9)
     monkeypatch.setattr(sentencepiece_lattice, "HOT_TIMES", 1)
     assert {r.doc_id: r for r in sentencepiece_lattice.count_encoded(docs, hot_limit=20, unit_limit=5).collect()} == whole and all(r.complete for r in whole.values())
 
