@@ -84,6 +84,22 @@ WITH {_PARTS} SELECT book, place - 1 AS chapter_no, len(parts) AS blocks,
 FROM placed WHERE len(parts) > 0"""
 
 
+def chapter_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks are read from each chapter's page and put back: every fourth as a heading, every fifth merged into the one before it, numbers for texts."""
+    pages = _chapters(spark, sf_dir).select("book", "chapter_no", F.concat(F.lit("<html><body class='x'>\n<div>"), "html", F.lit("</div><br/>end</body></html>")).alias("html"))
+    found = epub.blocks(pages).select("book", "chapter_no", "block_no", F.when(F.col("block_no") % 4 == 0, "h2").otherwise(F.col("tag")).alias("tag"), F.concat(F.lit("block "), F.col("block_no").cast("string")).alias("html"), (F.col("block_no") % 5 == 4).alias("is_merged"))
+    return sinks.rebuilt_chapters(pages, found).select("book", "chapter_no", F.md5("html").alias("html_md5"))
+
+
+_REBUILD = f"""
+WITH {_PARTS}, each AS (SELECT page_id, unnest(parts) AS p, unnest(range(len(parts))) AS spot FROM chapters),
+texts AS (SELECT *, length(regexp_replace(p, '&[a-z#0-9]+;', 'x', 'g')) >= 2 AS is_block FROM each),
+numbered AS (SELECT *, sum(is_block::INT) OVER (PARTITION BY page_id ORDER BY spot) - 1 AS n FROM texts),
+shown AS (SELECT page_id, spot, CASE WHEN NOT is_block THEN '<p>' || p || '</p>' WHEN n % 5 = 4 THEN '' WHEN n % 4 = 0 THEN '<h2>block ' || n || '</h2>' ELSE '<p>block ' || n || '</p>' END AS h FROM numbered),
+joined AS (SELECT page_id, string_agg(h, '' ORDER BY spot) AS h FROM shown GROUP BY page_id)
+SELECT book, no AS chapter_no, md5('<html><body class=''x''>' || chr(10) || '<div>' || coalesce(h, '') || '</div><br/>end</body></html>') AS html_md5 FROM chapters LEFT JOIN joined USING (page_id)"""
+
+
 def mobi_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = sinks.packaged(_chapters(spark, sf_dir), "mobi").withColumnRenamed("file", "content")
     return mobi.chapters(files).select("book", "title", "creator", "chapter_no", "chapter_title", F.md5("html").alias("html_md5"))
@@ -109,6 +125,6 @@ FROM b GROUP BY doc_id"""
 
 QUERIES = {
     "turkish_repair": turkish_repair, "audit_log": audit_log, "text_diffs": text_diffs, "page_paragraphs": page_paragraphs, "page_chapters": page_chapters,
-    "epub_round_trip": epub_round_trip, "mobi_round_trip": mobi_round_trip, "model_correction": model_correction,
+    "epub_round_trip": epub_round_trip, "mobi_round_trip": mobi_round_trip, "chapter_rebuild": chapter_rebuild, "model_correction": model_correction,
 }
-ORACLES: dict[str, str] = {"epub_round_trip": _EPUB, "mobi_round_trip": _MOBI, "model_correction": _MODEL}
+ORACLES: dict[str, str] = {"epub_round_trip": _EPUB, "mobi_round_trip": _MOBI, "chapter_rebuild": _REBUILD, "model_correction": _MODEL}

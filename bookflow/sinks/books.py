@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.functions.text import escape_xml
+from bookflow.sources.html_blocks import rebuilt
 
 RECORD = 4096
 
@@ -25,6 +26,18 @@ def chapter_html(blocks: DataFrame) -> DataFrame:
     return kept.groupBy("book", "chapter_no").agg(F.array_join(F.transform(parts, lambda p: p["e"]), "\n").alias("html"))
 
 
+def rebuilt_chapters(chapters: DataFrame, blocks: DataFrame) -> DataFrame:
+    """`book, chapter_no, html`: each chapter's own page with its blocks put back in place, from `book, chapter_no, html` and `book, chapter_no, block_no, tag, html, is_merged`. A chapter without blocks stays as it is."""
+    parts = F.sort_array(F.collect_list(F.struct("block_no", "tag", F.col("html").alias("inner"), F.coalesce("is_merged", F.lit(False)).alias("gone"))))
+    listed = blocks.groupBy("book", "chapter_no").agg(parts.alias("parts"))
+
+    @F.pandas_udf("string")
+    def put_back(html: pd.Series, parts: pd.Series) -> pd.Series:
+        return pd.Series([h if p is None or h is None else rebuilt(h, [(b["tag"], b["inner"], b["gone"]) for b in p]) for h, p in zip(html, parts, strict=True)])
+
+    return chapters.join(listed, ["book", "chapter_no"], "left").select("book", "chapter_no", put_back("html", "parts").alias("html"))
+
+
 def epub_files(title: str, creator: str | None, language: str, identifier: str, chapters: list[tuple[str, str]]) -> list[tuple[str, str]]:
     """Names and texts of an EPUB's files, the type first."""
     names = [f"chapter_{k + 1:03}.xhtml" for k in range(len(chapters))]

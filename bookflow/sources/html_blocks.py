@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -100,23 +101,74 @@ def tree_blocks(html: str | None) -> list[tuple[str, str, str]]:
     """`tag, text, status` of a chapter's blocks: primary elements that are in no other, and containers that hold neither kind. Figures and asides are done as they are."""
     tree = _Tree()
     tree.feed(html or "")
-    out, inside, due = [], _inside(tree.root), [tree.root]
+    return [("figure", "[Görsel]", "completed") if node[0] == "figure" else (node[0], text, "completed" if node[0] == "aside" else "pending") for node, text in block_nodes(tree.root)]
+
+
+def block_nodes(root: list) -> list[tuple[list, str]]:
+    """The elements that are blocks, in order, with their text."""
+    out, inside, due = [], _inside(root), [root]
     while due:
         node = due.pop()
         inner = inside[id(node)]
-        if node is not tree.root and (node[0] in PRIMARY or node[0] in CONTAINERS and not inner & (PRIMARY | CONTAINERS)):
+        if node is not root and (node[0] in PRIMARY or node[0] in CONTAINERS and not inner & (PRIMARY | CONTAINERS)):
             text = " ".join(_text(node).split())
-            if node[0] == "figure":
-                out.append(("figure", "[Görsel]", "completed"))
-            elif node[0] == "aside":
-                out.append(("aside", text, "completed"))
-            elif not inner & NO_TEXT and len(text) >= 2:
-                out.append((node[0], text, "pending"))
+            if node[0] in ("figure", "aside") or not inner & NO_TEXT and len(text) >= 2:
+                out.append((node, text))
         else:
             due += [c for c in reversed(node[3]) if isinstance(c, list) and c[0] not in ("head", "script", "style")]
     return out
 
 
+class _Placed(_Tree):
+    """The tree, with the places in the source at which each element begins, its inside begins and ends, and it ends."""
+
+    def __init__(self, html: str):
+        super().__init__()
+        self.lines, self.places, self.html = [0, *(m.end() for m in re.finditer("\n", html))], {}, html
+        self.feed(html)
+        self.close()
+        self._shut(self.at, self.root, len(html), len(html))
+
+    def _here(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _shut(self, node: list, upto: list, inner: int, end: int) -> None:
+        """Ends `node` and its parents below `upto`; the last of them at `end`."""
+        while node is not upto:
+            last = node[2] is upto
+            self.places[id(node)][2:] = [inner, end if last else inner]
+            node = node[2]
+
+    def handle_starttag(self, tag, attrs):
+        before, here = self.at, self._here()
+        super().handle_starttag(tag, attrs)
+        node = self.at if tag not in _VOID else self.at[3][-1]
+        inner = here + len(self.get_starttag_text())
+        self.places[id(node)] = [here, inner, inner, inner]
+        self._shut(before, node[2], here, here)
+
+    def handle_endtag(self, tag):
+        before, here = self.at, self._here()
+        super().handle_endtag(tag)
+        if self.at is not before:
+            self._shut(before, self.at, here, self.html.find(">", here) + 1 or len(self.html))
+
+
+def rebuilt(html: str, blocks: list[tuple[str, str | None, bool]]) -> str:
+    """`html` with each of its blocks given back, in order, as `tag, inner, is_merged`: merged ones are gone, figures stay, a null inside stays, all around them is as it was."""
+    tree = _Placed(html)
+    out, done = [], 0
+    for (node, _), (tag, inner, is_merged) in zip(block_nodes(tree.root), blocks, strict=False):
+        start, begin, stop, end = tree.places[id(node)]
+        if node[0] == tag == "figure" and not is_merged:
+            continue
+        inside = html[begin:stop] if inner is None else inner
+        out += [html[done:start], "" if is_merged else html[start:begin] + inside + html[stop:end] if tag == node[0] else f"<{tag}>{inside}</{tag}>"]
+        done = end
+    return "".join([*out, html[done:]])
+
+
 def blocks_by_tree(pages: DataFrame, key: str, html: str) -> DataFrame:
     """`key, block_no, tag, text, status` for each block of each page."""
 

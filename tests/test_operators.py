@@ -349,3 +349,17 @@ def test_pages_split_over_batches(spark):
         assert layout.page_paragraphs(frame, 800.0).count() > 0
     finally:
         spark.conf.set(key, before)
+
+
+def test_blocks_put_back_into_their_page(spark):
+    page = "<html><body>\n<nav>x</nav><div class='a'><p id=1>one <b>b</b></p><p>two<p>three</p><figure><img src=1></figure><div>four</div><li>five<br/>x</body></html>"
+    found = html_blocks.tree_blocks(page)
+    assert [(t, x) for t, x, _ in found] == [("p", "one b"), ("p", "two"), ("p", "three"), ("figure", "[Görsel]"), ("div", "four"), ("li", "fivex")]
+    assert html_blocks.rebuilt(page, [(t, None, False) for t, *_ in found]) == page
+    changed = html_blocks.rebuilt(page, [("p", "1", False), ("h2", "2", False), ("p", "", True), ("figure", "y", False), ("div", "4", False)])
+    assert changed == "<html><body>\n<nav>x</nav><div class='a'><p id=1>1</p><h2>2</h2><figure><img src=1></figure><div>4</div><li>five<br/>x</body></html>"
+    assert html_blocks.rebuilt("", [("p", "1", False)]) == "" and html_blocks.rebuilt("<p>a < b</p>", [("p", "c", False)]) == "<p>c</p>"
+    chapters = spark.createDataFrame([("b", 1, page), ("b", 2, "<p>as it was</p>")], "book string, chapter_no int, html string")
+    blocks = spark.createDataFrame([("b", 1, 1, "p", "second", False), ("b", 1, 0, "p", "first", None)], "book string, chapter_no int, block_no int, tag string, html string, is_merged boolean")
+    got = {r.chapter_no: r.html for r in books.rebuilt_chapters(chapters, blocks).collect()}
+    assert got[2] == "<p>as it was</p>" and got[1].startswith("<html><body>\n<nav>x</nav><div class='a'><p id=1>first</p><p>second<p>three")
