@@ -8,7 +8,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from bookflow.functions import diff, page_layout as pl
+from bookflow.functions import diff, registration
+from bookflow.functions import page_layout as pl
 from bookflow.functions import text as tx
 from bookflow.operators import answers, batching, cache, correct, findings, footnotes, layout, pages, reports, stitch
 from bookflow.sinks import books
@@ -363,3 +364,36 @@ def test_blocks_put_back_into_their_page(spark):
     blocks = spark.createDataFrame([("b", 1, 1, "p", "second", False), ("b", 1, 0, "p", "first", None)], "book string, chapter_no int, block_no int, tag string, html string, is_merged boolean")
     got = {r.chapter_no: r.html for r in books.rebuilt_chapters(chapters, blocks).collect()}
     assert got[2] == "<p>as it was</p>" and got[1].startswith("<html><body>\n<nav>x</nav><div class='a'><p id=1>first</p><p>second<p>three")
+
+
+def test_streams_with_state_cache_and_progress(spark, tmp_path):
+    schema = "book string, n int, t string"
+    source = str(tmp_path / "in")
+    told = []
+    listener = streams.Progress(lambda total, now: told.append(total))
+    spark.streams.addListener(listener)
+    try:
+        for k, rows in enumerate(([("a", 0, "one"), ("b", 0, "x"), ("a", 1, "two")], [("a", 3, "four"), ("a", 2, "three"), ("b", 1, "y")])):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+            stream = streams.rolling_context(streams.read_blocks(spark, source, schema), "book", "n", "t", last=2)
+            query = streams.write_batches(stream, str(tmp_path / "out"), str(tmp_path / "point"))
+            query.awaitTermination()
+            assert streams.cancel(query)
+    finally:
+        spark.streams.removeListener(listener)
+    got = {(r.book, r.ord): r.before for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("a", 0): [], ("a", 1): ["one"], ("a", 2): ["one", "two"], ("a", 3): ["two", "three"], ("b", 0): [], ("b", 1): ["x"]}
+    known = spark.createDataFrame([("k1", "ONE", 1)], "cache_key string, corrected string, stamp int")
+    keyed = F.concat(F.lit("k"), (F.col("n") + 1).cast("string"))
+    query = streams.write_batches(streams.resumed(streams.read_blocks(spark, source, schema), keyed, known), str(tmp_path / "out2"), str(tmp_path / "point2"))
+    query.awaitTermination()
+    assert sorted((r.book, r.n, r.cached_text) for r in spark.read.parquet(str(tmp_path / "out2")).collect() if r.cached_text) == [("a", 0, "ONE"), ("b", 0, "ONE")]
+
+
+def test_names_for_sql(spark):
+    registration.register(spark)
+    page = "<p>one <b>two</b></p><li>three</li>"
+    got = spark.sql(f"SELECT b.* FROM (SELECT '{page}' AS h) p, LATERAL extract_blocks(p.h) b").collect()
+    assert [(r.block_no, r.tag, r.text) for r in got] == [(0, "p", "one two"), (1, "li", "three")]
+    row = spark.sql("SELECT strip_tags('<b>x</b> &amp;lt;') AS a, decode_entities('&amp;lt;') AS b, count_words(' a\u00a0b\nc ') AS c, count_words(NULL) AS d, text_diff('a b', 'a c').fixed_words AS e").first()
+    assert tuple(row) == ("x &amp;lt;", "&lt;", 3, 0, 1)
