@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookflow.functions.diff import diff_column
+from bookflow.functions.registration import register
 from bookflow.functions.rules import audit, repaired
 from bookflow.functions.text import trimmed
 from bookflow.operators import batching, correct, layout
@@ -100,6 +101,30 @@ joined AS (SELECT page_id, string_agg(h, '' ORDER BY spot) AS h FROM shown GROUP
 SELECT book, no AS chapter_no, md5('<html><body class=''x''>' || chr(10) || '<div>' || coalesce(h, '') || '</div><br/>end</body></html>') AS html_md5 FROM chapters LEFT JOIN joined USING (page_id)"""
 
 
+def udtf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of chapters by the table function, in SQL."""
+    register(spark)
+    _chapters(spark, sf_dir).createOrReplaceTempView("bookflow_chapters")
+    return spark.sql("SELECT c.book, c.chapter_no, b.block_no, b.tag, md5(b.text) AS text_md5 FROM bookflow_chapters c, LATERAL extract_blocks(c.html) b")
+
+
+_UDTF = f"""
+WITH {_PARTS}, each AS (SELECT page_id, book, no, unnest(parts) AS p, unnest(range(len(parts))) AS spot FROM chapters),
+texts AS (SELECT *, replace(replace(replace(replace(trim(regexp_replace(p, '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM each)
+SELECT book, no AS chapter_no, (row_number() OVER (PARTITION BY page_id ORDER BY spot) - 1)::INT AS block_no, 'p' AS tag, md5(t) AS text_md5 FROM texts WHERE length(t) >= 2"""
+
+
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    read(spark, sf_dir, "pages").createOrReplaceTempView("bookflow_pages")
+    return spark.sql("SELECT page_id, count_words(strip_tags(html)) AS words, md5(decode_entities(strip_tags(html))) AS text_md5 FROM bookflow_pages")
+
+
+_FUNCTIONS = r"""
+WITH s AS (SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS t FROM pages)
+SELECT page_id, len(regexp_extract_all(t, '\S+'))::BIGINT AS words, md5(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"')) AS text_md5 FROM s"""
+
+
 def mobi_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = sinks.packaged(_chapters(spark, sf_dir), "mobi").withColumnRenamed("file", "content")
     return mobi.chapters(files).select("book", "title", "creator", "chapter_no", "chapter_title", F.md5("html").alias("html_md5"))
@@ -125,6 +150,6 @@ FROM b GROUP BY doc_id"""
 
 QUERIES = {
     "turkish_repair": turkish_repair, "audit_log": audit_log, "text_diffs": text_diffs, "page_paragraphs": page_paragraphs, "page_chapters": page_chapters,
-    "epub_round_trip": epub_round_trip, "mobi_round_trip": mobi_round_trip, "chapter_rebuild": chapter_rebuild, "model_correction": model_correction,
+    "epub_round_trip": epub_round_trip, "mobi_round_trip": mobi_round_trip, "chapter_rebuild": chapter_rebuild, "udtf_blocks": udtf_blocks, "sql_functions": sql_functions, "model_correction": model_correction,
 }
-ORACLES: dict[str, str] = {"epub_round_trip": _EPUB, "mobi_round_trip": _MOBI, "chapter_rebuild": _REBUILD, "model_correction": _MODEL}
+ORACLES: dict[str, str] = {"epub_round_trip": _EPUB, "mobi_round_trip": _MOBI, "chapter_rebuild": _REBUILD, "udtf_blocks": _UDTF, "sql_functions": _FUNCTIONS, "model_correction": _MODEL}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bookflow.functions import settings
 from bookflow.functions import text as tx
-from bookflow.operators import pages
+from bookflow.operators import pages, reports
 from bookflow.plans.base import BLOCKS, DAMAGED, blocks, damaged, read
 from bookflow.plans.page_queries import _ITEMS, items
 
@@ -23,6 +23,27 @@ WITH {_ITEMS}, k AS (SELECT book, NOT (y < 820 * 0.1::DOUBLE OR y > 820 * (1 - 0
 SELECT book, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS cut FROM k GROUP BY book"""
 
 
+def crop_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that each preset keeps, by book."""
+    rows, out = items(spark, sf_dir), []
+    kept = {name: F.lit(True) if everything else pages.inside_crop(F.col("y"), F.col("x"), F.col("x") + F.col("width"), F.lit(660.0), F.lit(820.0), {"top": top, "bottom": bottom, "left": 0.0, "right": 0.0}) for name, (top, bottom, everything) in pages.CROP_PRESETS.items()}
+    out = [F.struct(F.lit(name).alias("preset"), F.count_if(test).alias("kept")) for name, test in kept.items()]
+    return rows.groupBy("book").agg(F.array(*out).alias("of")).select("book", F.inline("of"))
+
+
+_PRESETS = f"""
+WITH {_ITEMS}, p(preset, top, bottom, everything) AS (VALUES ('full', 0.0, 0.0, true), ('novel', 0.05, 0.02, false), ('wide', 0.08, 0.04, false))
+SELECT book, preset, count(*) FILTER (everything OR NOT (y < 820 * top::DOUBLE OR y > 820 * (1 - bottom::DOUBLE) OR x + width < 0 OR x > 660)) AS kept FROM items, p GROUP BY ALL"""
+
+
+def newest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last hundred events, the newest first."""
+    return reports.newest_first(read(spark, sf_dir, "events").select("ts", "event_id", "event_type"), "ts", 100).select("event_id", "event_type")
+
+
+_NEWEST = "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id, event_type LIMIT 100"
+
+
 def chapter_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each source how many documents are chosen, whether all or some are, and the kept titles."""
     chosen = F.col("doc_id") % 3 == 0
@@ -112,10 +133,10 @@ WITH {BLOCKS} SELECT doc_id, block_no, '{{"source":"regex","block_no":' || block
   md5(regexp_replace({DAMAGED}, '<[^>]*>', '', 'g') || ' &lt;') AS plain_md5 FROM blocks WHERE {DAMAGED} <> original_text"""
 
 QUERIES = {
-    "crop_filter": crop_filter, "chapter_selection": chapter_selection, "reset_blocks": reset_blocks, "glossary_edit": glossary_edit, "model_catalog": model_catalog,
+    "crop_filter": crop_filter, "crop_presets": crop_presets, "newest_log": newest_log, "chapter_selection": chapter_selection, "reset_blocks": reset_blocks, "glossary_edit": glossary_edit, "model_catalog": model_catalog,
     "progress_table": progress_table, "book_metadata": book_metadata, "scanned_pages": scanned_pages, "audit_export": audit_export,
 }
 ORACLES = {
-    "crop_filter": _CROP, "chapter_selection": _SELECTION, "reset_blocks": _RESET, "glossary_edit": _GLOSSARY, "model_catalog": _MODELS, "progress_table": _PROGRESS,
+    "crop_filter": _CROP, "crop_presets": _PRESETS, "newest_log": _NEWEST, "chapter_selection": _SELECTION, "reset_blocks": _RESET, "glossary_edit": _GLOSSARY, "model_catalog": _MODELS, "progress_table": _PROGRESS,
     "book_metadata": _METADATA, "scanned_pages": _SCANNED, "audit_export": _EXPORT,
 }
