@@ -36,19 +36,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back.
 
     It cuts the lineage, so a lost executor costs a re-read of finished files
     and not a second run of all that came before. The shuffle files of the
-    write go with it: the table has replaced them.
+    write go with it: the table has replaced them. Rows of each value of `by`
+    have a folder of their own, which `forget` can remove alone.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -56,11 +57,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def forget(*tables: DataFrame) -> None:
-    """Removes tables of `written` that nothing reads any more: what was made of them is written too."""
+def forget(*tables: DataFrame, part: str = "") -> None:
+    """Removes tables of `written`, or the folder `part` of them, that nothing reads any more: what was made of them is written too."""
     for one in tables:
         spark = one.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(one.scratch_path)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{one.scratch_path}/{part}".rstrip("/"))
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

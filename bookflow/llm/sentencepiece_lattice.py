@@ -61,7 +61,7 @@ MARK = "▁"
 #: Units up to this many characters hold their boundaries in one long.
 BITS = 62
 #: Most words and most units with codes, their characters, and how often a task has to see a word to propose it.
-HOT_LIMIT, HOT_UNITS, HOT_CHARS, HOT_TIMES = 200_000, 160_000, 32, 4
+HOT_LIMIT, HOT_UNITS, HOT_CHARS, HOT_TIMES = 60_000, 300_000, 32, 8
 #: Distinct words that a task holds before it hands them on, and bytes of text in a bundle of documents, about.
 GROUP_WORDS, BUNDLE_BYTES = 400_000, 4_000_000
 #: Places of an edge's rank, id, start and length in one long: 18, 18, 20 and 7 bits.
@@ -424,11 +424,11 @@ def _hot(counted: DataFrame, vocabulary: DataFrame, limit: int, unit_limit: int,
     return Hot(rows(known_words), rows(known_units), path)
 
 
-_BUNDLE = ("bundle", "doc_ids", "prints", "sizes", "codes", "slots", "rest", "own")
+_BUNDLE = ("bundle", "is_rest", "doc_ids", "prints", "sizes", "codes", "slots", "own", "rest")
 
 
-def _bundle(number: int, doc_ids: pa.Array, texts: pa.StringArray, hot_words: dict[str, int], hot_units: dict[str, int], path: str) -> pa.RecordBatch:
-    """Documents in codes: one row of the written table. All words without a code, and texts that aren't words, are cut into units once for each distinct one."""
+def _bundle(number: int, doc_ids: pa.Array, texts: pa.StringArray, hot_words: dict[str, int], hot_units: dict[str, int], path: str) -> list[pa.RecordBatch]:
+    """Documents in codes: two rows of the written table. All words without a code, and texts that aren't words, are cut into units once for each distinct one."""
     inside = pieces(path).inside
     found, is_odd = words_of(texts)
     kept = found.filter(pa.array(~is_odd))
@@ -489,12 +489,13 @@ def _bundle(number: int, doc_ids: pa.Array, texts: pa.StringArray, hot_words: di
     pack = ZstdCompressor(level=3).compress
     prints = b"".join(_fingerprint((t or "").replace(MARK, " ").encode("utf-8", "surrogatepass")) for t in texts.to_pylist())
     binaries = [prints, pack(np.diff(bounds).astype("<i4").tobytes()), pack(short_codes(stream)), pack(short_codes(holes))]
-    lists = [pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), *(pa.array([b], pa.binary()) for b in binaries), pa.array([names.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([own], pa.list_(pa.binary()))]
-    return pa.RecordBatch.from_arrays([pa.array([number]), *lists], names=list(_BUNDLE))
+    lists = [pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), *(pa.array([b], pa.binary()) for b in binaries), pa.array([own], pa.list_(pa.binary())), pa.nulls(1, pa.list_(pa.string()))]
+    rest = [*(pa.nulls(1, x.type) for x in lists[:-1]), pa.array([names.dictionary.to_pylist()], pa.list_(pa.string()))]
+    return [pa.RecordBatch.from_arrays([pa.array([number]), pa.array([k]), *x], names=list(_BUNDLE)) for k, x in enumerate((lists, rest))]
 
 
 def _bundled(docs: DataFrame, doc_id: str, text: str, path: str, hot: Hot) -> DataFrame:
-    """Rows of `bundle, doc_ids, prints`, the texts' fingerprints, `sizes`, the codes of each text, `codes` of all, `rest`, the distinct units of the holes, `own`, the ids of holes that are known already, of units too long to be shuffled, and `slots`: for each hole twice its place in `rest`, or one more than twice its place in `own`."""
+    """For each bundle a row (`is_rest` 0) of `bundle, doc_ids, prints`, the texts' fingerprints, `sizes`, the codes of each text, `codes` of all, `own`, the ids of holes that are known already, of units too long to be shuffled, and `slots`: for each hole twice its place in `rest`, or one more than twice its place in `own`; and a row (`is_rest` 1) with `rest`, the distinct units of the holes."""
     shared = docs.sparkSession.sparkContext.broadcast((hot.words, hot.units))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,11 +503,11 @@ def _bundled(docs: DataFrame, doc_id: str, text: str, path: str, hot: Hot) -> Da
         for batch in batches:
             texts = batch.column(1).cast(pa.string())
             for first, end in bundles_of(texts, BUNDLE_BYTES):
-                yield _bundle(number, batch.column(0).slice(first, end - first), texts.slice(first, end - first), *shared.value, path)
+                yield from _bundle(number, batch.column(0).slice(first, end - first), texts.slice(first, end - first), *shared.value, path)
                 number += 1
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "bundle long, doc_ids array<long>, prints binary, sizes binary, codes binary, slots binary, rest array<string>, own array<binary>")
+    return rows.mapInArrow(run, "bundle long, is_rest long, doc_ids array<long>, prints binary, sizes binary, codes binary, slots binary, own array<binary>, rest array<string>")
 
 
 def _filled(batches: Iterator[pa.RecordBatch], path: str, hot_ids: np.ndarray, begins: np.ndarray, spelled: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -549,13 +550,14 @@ def count_encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     vocabulary = written(encoded(distinct, path).select("unit", "n", F.expr(_PACKED).alias("ids")), "pieces-vocabulary")
     hot = _hot(counted, vocabulary, min(hot_limit, 1 << 20), min(unit_limit, 1 << 19), path)
     forget(counted)
-    bundles = written(_bundled(docs, doc_id, text, path, hot), "pieces-bundles")
-    pairs = bundles.select("bundle", F.posexplode("rest").alias("slot", "unit"))
+    bundles = written(_bundled(docs, doc_id, text, path, hot), "pieces-bundles", by="is_rest")
+    pairs = bundles.filter("is_rest = 1").select("bundle", F.posexplode("rest").alias("slot", "unit"))
     found = pairs.join(vocabulary.drop("n"), "unit").groupBy("bundle").agg(F.array_sort(F.collect_list(F.struct("slot", "ids"))).alias("found"))
     found = written(found.select("bundle", F.expr("transform(found, f -> f.ids)").alias("found")), "pieces-found")
     forget(vocabulary)
+    forget(bundles, part="is_rest=1")
     shared = docs.sparkSession.sparkContext.broadcast((hot.ids, hot.begins, hot.spelled))
-    both = bundles.drop("rest").join(found, "bundle", "left").select("doc_ids", "prints", "sizes", "codes", "slots", F.coalesce("found", F.array().cast("array<binary>")).alias("found"), "own")
+    both = bundles.filter("is_rest = 0").join(found, "bundle", "left").select("doc_ids", "prints", "sizes", "codes", "slots", F.coalesce("found", F.array().cast("array<binary>")).alias("found"), "own")
     filled = both.mapInArrow(lambda batches: _filled(batches, path, *shared.value), "doc_id long, ids array<int>, n_pieces long, n_bytes long, complete boolean")
     return filled.withColumn("ids_digest", F.xxhash64("ids"))
 
