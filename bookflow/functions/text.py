@@ -6,8 +6,11 @@ here relies on them beyond ASCII.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 LETTERS = "a-zA-ZçğıöşüÇĞİÖŞÜ"
@@ -85,9 +88,24 @@ def number_or_zero(text: Column) -> Column:
     return F.coalesce(text.try_cast("double"), F.lit(0.0))
 
 
+@F.pandas_udf(StringType())
+def _text_hash(texts: pd.Series) -> pd.Series:
+    """32-bit hashes in hexadecimal: h * 33 xor code, from 5381. The texts of a batch are folded together, code by code, the longest first."""
+    codes = [np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
+    sizes = np.array([len(c) for c in codes], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    flat, begins, sizes = np.concatenate([codes[k] for k in order]).astype(np.int64) if len(codes) else np.zeros(0, np.int64), np.cumsum(sizes[order]) - sizes[order], sizes[order]
+    h = np.full(len(codes), 5381, np.int64)
+    for k in range(int(sizes.max(initial=0))):
+        live = int(np.searchsorted(-sizes, -k, side="left"))
+        h[:live] = (h[:live] * 33 ^ flat[begins[:live] + k]) & 0xFFFFFFFF
+    out = np.empty(len(codes), object)
+    out[order] = [f"{x:x}" for x in h.tolist()]
+    return pd.Series(out).where(texts.notna().to_numpy(), None)
+
+
 def cache_key(model: Column, text: Column, prefix: str | None = None) -> Column:
     """`[prefix_]model_hash_length` of a text with white space collapsed; the hash is h * 33 xor code, 32 bits, from 5381."""
     norm = trimmed(F.regexp_replace(text, f"{WS}+", " "))
-    folded = F.aggregate(F.filter(F.split(norm, ""), lambda c: c != ""), F.lit(5381).cast("long"), lambda h, c: (h * 33).bitwiseXOR(F.ascii(c).cast("long")).bitwiseAND(F.lit(4294967295)))
-    parts = [F.coalesce(F.nullif(model, F.lit("")), F.lit("default")), F.lower(F.hex(folded)), F.char_length(norm).cast("string")]
+    parts = [F.coalesce(F.nullif(model, F.lit("")), F.lit("default")), _text_hash(norm), F.char_length(norm).cast("string")]
     return F.concat_ws("_", *([F.lit(prefix)] if prefix else []), *parts)
