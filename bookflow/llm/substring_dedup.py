@@ -5,7 +5,8 @@ the one with the least hash is listed: equal windows hold equal runs, so they
 list the same one, and a run that is listed once in the whole corpus can't be
 part of a repeated window. That is about a sixth of all runs and loses nothing.
 Only windows whose listed run is repeated are extended to twice the length, and
-level 2 compares these by a 128-bit hash. There it ends: whatever repeats at a
+level 2 compares these by two hashes of 64 bits, both made of 64-bit hashes of
+words, of which two different ones would have to agree. There it ends: whatever repeats at a
 greater length is already covered by its windows.
 
 Documents with the same words as one of a smaller doc_id are set aside first:
