@@ -63,7 +63,7 @@ BITS = 62
 #: Most words and most units with codes, their characters, and how often a task has to see a word to propose it.
 HOT_LIMIT, HOT_UNITS, HOT_CHARS, HOT_TIMES = 60_000, 300_000, 32, 8
 #: Distinct words that a task holds before it hands them on, and bytes of text in a bundle of documents, about.
-GROUP_WORDS, BUNDLE_BYTES = 400_000, 4_000_000
+GROUP_WORDS, BUNDLE_BYTES = 150_000, 2_000_000
 #: Places of an edge's rank, id, start and length in one long: 18, 18, 20 and 7 bits.
 _RANK, _ID, _START = 1 << 45, 1 << 27, 1 << 7
 _WIDEST, _LONGEST = (1 << 18) - 1, (1 << 7) - 1
@@ -516,7 +516,8 @@ def _filled(batches: Iterator[pa.RecordBatch], path: str, hot_ids: np.ndarray, b
     is_byte = np.zeros(len(table), bool)
     is_byte[list(pieces(path).byte.values())] = True
     for batch in batches:
-        for doc_ids, prints, sizes, codes, slots, found, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for row in range(batch.num_rows):
+            doc_ids, prints, sizes, codes, slots, found, own = (c[row].as_py() for c in batch.columns)
             ends = np.concatenate([[0], np.cumsum(np.frombuffer(unpack(sizes), "<i4"))])
             codes, slots = long_codes(unpack(codes)), long_codes(unpack(slots))
             late = [unpacked(v) for v in (*found, *own)]
@@ -539,6 +540,8 @@ def _filled(batches: Iterator[pa.RecordBatch], path: str, hot_ids: np.ndarray, b
             complete = [_fingerprint(data[a + 1 : b]) == prints[16 * k : 16 * k + 16] for k, (a, b) in enumerate(zip(cut.tolist(), cut[1:].tolist(), strict=False))]
             whole = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), whole, pa.array(np.diff(bounds), pa.int64()), pa.array(np.diff(byte_ids), pa.int64()), pa.array(complete, pa.bool_())], names=["doc_id", "ids", "n_pieces", "n_bytes", "complete"])
+            del found, own, late, late_spelled, text, data, ids, at
+        pa.default_memory_pool().release_unused()
 
 
 def count_encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, hot_limit: int = HOT_LIMIT, unit_limit: int = HOT_UNITS) -> DataFrame:
