@@ -22,7 +22,7 @@ from bookflow.llm.common import small_batches, table, written
 #: Near copies: n-grams of five words, Jaccard similarity of 80 % or more.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 #: Words and units with codes; fewer than alone, as five stages share the workers' memory.
-HOT_WORDS, HOT_UNITS = 100_000, 80_000
+HOT_WORDS, HOT_UNITS = 60_000, 80_000
 
 
 def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
