@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookflow.llm import html_text, language_id, media, mixing, ngram_join, pii, pivot_search, sentencepiece_lattice, substring_dedup, token_counts
+from bookflow.llm import html_text, language_id, media, mixing, ngram_join, pii, pivot_search, sentencepiece_lattice, substring_dedup, token_alignment, token_counts
 
 _QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ _QUERIES = {
     "op8_sentencepiece": sentencepiece_lattice.op8_sentencepiece,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
 }
 _ORACLES = {
     "op2_ngram_join": ngram_join.ORACLE,
