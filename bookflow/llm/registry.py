@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookflow.llm import html_text, language_id, media, mixing, ngram_join, pii, pivot_search, sentencepiece_lattice, substring_dedup, token_alignment, token_counts
+from bookflow.llm import html_text, language_id, media, merkle_manifest, mixing, ngram_join, pii, pivot_search, sentencepiece_lattice, simhash_index, substring_dedup, token_alignment, token_counts
 
 _QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,13 +15,16 @@ _QUERIES = {
     "op8_sentencepiece": sentencepiece_lattice.op8_sentencepiece,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_merkle": merkle_manifest.op11_merkle,
     "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_simhash": simhash_index.op13_simhash,
 }
 _ORACLES = {
     "op2_ngram_join": ngram_join.ORACLE,
     "op3_pivot_search": pivot_search.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op9_substring_dedup": substring_dedup.ORACLE,
+    "op11_merkle": merkle_manifest.ORACLE,
 }
 
 
