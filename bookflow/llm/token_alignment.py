@@ -1,10 +1,10 @@
 """Operator 12: alignment of two tokenizers over the same bytes.
 
 Tokens never cross a lone space in front of a word, in either tokenizer, so texts
-are cut there into stretches, and each distinct stretch is tokenised once. Python
-only tokenises: it hands on bundles of stretches as one byte string, with the ids
-and the byte offsets at which tokens end for both tokenizers. All else is Spark's
-higher-order functions:
+are cut there into stretches. Python only tokenises: it hands on bundles of texts
+as numbers of their stretches, and each distinct stretch of a bundle once, with
+the ids and the byte offsets at which tokens end for both tokenizers, all
+stretches one after the other. All else is Spark's higher-order functions:
 
 1. `array_intersect` of both arrays of ends gives the cuts.
 2. The place of each cut among a side's tokens comes from sorting the cuts into
@@ -14,13 +14,13 @@ higher-order functions:
 4. A text's groups and links are those of its stretches, in order; `aggregate`
    counts them.
 
-Texts are kept in bundles of bounded size, as numbers of their stretches. The
-stretches of the most texts (at most `hot_limit`, of at most HOT_CHARS characters)
-go to all tasks as one bounded array; all others, which are rare by construction,
-meet the bundles that hold them in shuffled joins.
-An id pair's count is the number of texts that hold it, pre-aggregated before it
-is shuffled. Sums over a text are those of its stretches, each of which has the
-sums of its links. What is hot changes the route and never the result.
+The stretches of the most texts (at most `hot_limit`, of at most HOT_CHARS
+characters) are aligned once and go to all tasks as one bounded array; the others,
+which are rare by construction, are aligned in the bundles that hold them, whose
+size is bounded, so no text and no stretch is shuffled. An id pair's count is the
+number of texts that hold it, pre-aggregated before it is shuffled. Sums over a
+text are those of its stretches, each of which has the sums of its links. What is
+hot changes the route and never the result.
 
 Defined cases: texts that are null or empty, and those whose tokens' bytes don't
 give the space and the text again on both sides, have no tokens: zeros, and an
@@ -86,7 +86,7 @@ def _loaded(path_a: str, path_b: str):
 def stretches(text: str) -> list[str]:
     """The space and the text, cut before each lone space; each part begins with a space."""
     whole = " " + text
-    if _BESIDE.search(whole):
+    if whole[-1] == " " or _BESIDE.search(whole):
         first, *rest = _SAFE.split(whole)
         return [first, *(" " + r for r in rest)]
     return [" " + r for r in text.split(" ")]
@@ -102,23 +102,49 @@ def frequent(docs: DataFrame, text: str, limit: int) -> list[str]:
     return counted.orderBy(F.col("n").desc(), "item").limit(limit).select("item").toArrow()["item"].to_pylist()  # short strings, limit at most
 
 
+_INTS = ("n_a", "n_b", "ids_a", "ends_a", "ids_b", "ends_b", "stretch_ends")
 _TEXT = pa.struct([("row", pa.int64()), ("doc_id", pa.int64()), ("held", pa.list_(pa.int32()))])
 
 
-def cut(docs: DataFrame, doc_id: str, text: str, hot: list[str]) -> DataFrame:
-    """Bundles: `bundle, texts, rest, one`. `texts` are structs `row, doc_id, held`, the numbers of their stretches in order, those below 0 being places in `rest`, from -1 down; `one` is 1."""
+def _tokenizer(path_a: str, path_b: str) -> Callable[[list[str]], tuple[np.ndarray, list[pa.Array]]]:
+    """From stretches to their places, those first whose tokens give their bytes, and the columns _INTS: of these the numbers of tokens, and over all of them, one after the other, ids, ends of tokens and ends of stretches."""
+    encode_a, encode_b, bytes_a, bytes_b = _loaded(path_a, path_b)
+    length_a, length_b = (np.array([*map(len, t)], np.int64) for t in (bytes_a, bytes_b))
+
+    def tokenise(parts: list[str]) -> tuple[np.ndarray, list[pa.Array]]:
+        good, n, whole = [], [], []
+        for s, a, b in zip(parts, encode_a(parts), encode_b([s[1:] for s in parts]), strict=True):
+            raw = s.encode()
+            whole.append(b"".join([bytes_a[i] for i in a]) == raw and b"".join([bytes_b[i] for i in b]) == raw)
+            if whole[-1]:
+                good.append((a, b))
+                n.append(len(raw))
+        same = np.array(whole, bool)
+        place = np.where(same, np.cumsum(same), same.sum() + np.cumsum(~same)) - 1
+        ids_a, ids_b = (np.array([i for g in good for i in g[side]], np.int64) for side in (0, 1))
+        ints = [[len(g[0]) for g in good], [len(g[1]) for g in good], ids_a, length_a[ids_a].cumsum(), ids_b, length_b[ids_b].cumsum(), np.cumsum(n, dtype=np.int64)]
+        return place, [pa.array([x], pa.list_(pa.int32())) for x in ints]
+
+    return tokenise
+
+
+def cut(docs: DataFrame, doc_id: str, text: str, hot: list[str], path_a: str, path_b: str) -> DataFrame:
+    """Bundles: `bundle, texts, stretches`, _INTS and `one`, which is 1. `texts` are structs `row, doc_id, held`, the numbers of their stretches in order, those below 0 being places among the bundle's own, from -1 down; `stretches` has the numbers of these."""
     shared = docs.sparkSession.sparkContext.broadcast({s: k for k, s in enumerate(hot)})  # hot_limit short strings at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value.get
+        known, tokenise = shared.value.get, _tokenizer(path_a, path_b)
         rest: dict[str, int] = {}
-        texts: list[dict] = []
+        texts: list[tuple[int, int | None, np.ndarray]] = []
 
         def bundle() -> pa.RecordBatch:
-            cells = [pa.array([texts[0]["row"]]), pa.array([texts], pa.list_(_TEXT)), pa.array([list(rest)], pa.list_(pa.string())), pa.array([1], pa.int32())]
+            place, ints = tokenise(list(rest))
+            own = np.append(-1 - place, 0)  # for no own stretch at all
+            cells = [{"row": row, "doc_id": key, "held": np.where(held < 0, own[np.maximum(-1 - held, 0)], held).astype(np.int32)} for row, key, held in texts]
+            out = [pa.array([texts[0][0]]), pa.array([cells], pa.list_(_TEXT)), pa.array([range(len(rest))], pa.list_(pa.int32())), *ints, pa.array([1], pa.int32())]
             rest.clear()
             texts.clear()
-            return pa.RecordBatch.from_arrays(cells, names=["bundle", "texts", "rest", "one"])
+            return pa.RecordBatch.from_arrays(out, names=["bundle", "texts", "stretches", *_INTS, "one"])
 
         chars = 0
         for batch in batches:
@@ -128,7 +154,7 @@ def cut(docs: DataFrame, doc_id: str, text: str, hot: list[str]) -> DataFrame:
                 numbers = [known(s) for s in parts]
                 for at in [k for k, c in enumerate(numbers) if c is None]:
                     numbers[at] = -1 - rest.setdefault(parts[at], len(rest))
-                texts.append({"row": row, "doc_id": key, "held": np.array(numbers, np.int32)})
+                texts.append((row, key, np.array(numbers, np.int32)))
                 chars += len(value or "")
                 if chars >= BUNDLE_CHARS:
                     yield bundle()
@@ -137,31 +163,19 @@ def cut(docs: DataFrame, doc_id: str, text: str, hot: list[str]) -> DataFrame:
             yield bundle()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "bundle long, texts array<struct<row:long,doc_id:long,held:array<int>>>, rest array<string>, one int")
+    return rows.mapInArrow(run, f"bundle long, texts array<struct<row:long,doc_id:long,held:array<int>>>, stretches array<int>, {', '.join(f'{c} array<int>' for c in _INTS)}, one int")
 
 
-_INTS = ("codes", "n_a", "n_b", "ids_a", "ends_a", "ids_b", "ends_b", "stretch_ends")
-
-
-def tokenised(stretch_table: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Bundles of the rows `stretch, code`: `stretches, codes`, first those whose tokens give their bytes; of these the numbers of tokens `n_a, n_b`, and over all of them, one after the other, `ids_a, ends_a, ids_b, ends_b, stretch_ends`."""
+def tokenised(hot: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """`stretches` (their codes) and _INTS of the rows `stretch, code`, ROW_CHARS characters in a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_a, encode_b, bytes_a, bytes_b = _loaded(path_a, path_b)
-        length_a, length_b = (np.array([*map(len, t)], np.int64) for t in (bytes_a, bytes_b))
-
-        def bundle(held: list[tuple[str, int | None]]) -> pa.RecordBatch:
-            good, bad = [], []
-            for (s, code), a, b in zip(held, encode_a([s for s, _ in held]), encode_b([s[1:] for s, _ in held]), strict=True):
-                raw = s.encode()
-                same = b"".join([bytes_a[i] for i in a]) == raw and b"".join([bytes_b[i] for i in b]) == raw
-                (good if same else bad).append((s, code, a, b, len(raw)))
-            ids_a, ids_b = (np.array([i for g in good for i in g[side]], np.int64) for side in (2, 3))
-            ints = [
-                [g[1] for g in good + bad], [len(g[2]) for g in good], [len(g[3]) for g in good],
-                ids_a, length_a[ids_a].cumsum(), ids_b, length_b[ids_b].cumsum(), np.cumsum([g[4] for g in good], dtype=np.int64),
-            ]
-            return pa.RecordBatch.from_arrays([pa.array([[g[0] for g in good + bad]], pa.list_(pa.string())), *(pa.array([x], pa.list_(pa.int32())) for x in ints)], names=["stretches", *_INTS])
+        tokenise = _tokenizer(path_a, path_b)
+
+        def out(held: list[tuple[str, int]]) -> pa.RecordBatch:
+            place, ints = tokenise([s for s, _ in held])
+            codes = [held[k][1] for k in np.argsort(place)]
+            return pa.RecordBatch.from_arrays([pa.array([codes], pa.list_(pa.int32())), *ints], names=["stretches", *_INTS])
 
         held, chars = [], 0
         for batch in batches:
@@ -169,12 +183,12 @@ def tokenised(stretch_table: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 held.append((s, code))
                 chars += len(s)
                 if chars >= ROW_CHARS:
-                    yield bundle(held)
+                    yield out(held)
                     held, chars = [], 0
         if held:
-            yield bundle(held)
+            yield out(held)
 
-    return stretch_table.select("stretch", "code").mapInArrow(run, f"stretches array<string>, {', '.join(f'{c} array<int>' for c in _INTS)}")
+    return hot.select("stretch", "code").mapInArrow(run, f"stretches array<int>, {', '.join(f'{c} array<int>' for c in _INTS)}")
 
 
 def _sorted_in(cuts: str, ends: str) -> Column:
@@ -222,9 +236,8 @@ def _by_group(one: Callable[[Column, Column], Column], many: Callable[[Column],
     return F.transform("spans", lambda g: F.when(single(g), one(_item("ids_a", g["a0"]), _item("ids_b", g["b0"]))).otherwise(many(g)))
 
 
-def aligned(stretch_table: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """`stretch, code, n_a, n_b, n_groups, written, links` of each row `stretch, code`: the numbers of its tokens and groups, the groups written out, and its links (the first id times 2^32 and the second). All but the first two are null where the bytes differ."""
-    bundles = tokenised(stretch_table, path_a, path_b)
+def aligned(bundles: DataFrame) -> DataFrame:
+    """`bundles` with their columns _INTS and `stretches` replaced by `own`, structs `k, n_a, n_b, n_groups, written, links`: of each stretch its number, the numbers of its tokens and groups, the groups written out, and its links (the first id times 2^32 and the second). All but the first are null where the bytes differ."""
     # Every column is used at least twice in the next step or bound, so that none is merged into a lambda and computed for each element.
     cuts = bundles.withColumn("cuts", F.array_intersect("ends_a", "ends_b"))
     merged = cuts.withColumns({"merged_a": _sorted_in("cuts", "ends_a"), "merged_b": _sorted_in("cuts", "ends_b"), "merged_s": _sorted_in("stretch_ends", "cuts")})
@@ -236,41 +249,38 @@ def aligned(stretch_table: DataFrame, path_a: str, path_b: str) -> DataFrame:
     links = _by_group(lambda a, b: F.array(_pair(a, b)), lambda g: F.flatten(F.transform(_ids("a", g), lambda a: F.transform(_ids("b", g), lambda b: _pair(a, b)))))
     begin = lambda k: F.coalesce(_item("last", k - F.lit(1)), F.lit(0))
     by_stretch = lambda values, join: _bound(values, lambda v: F.transform("last", lambda e, k: join(F.slice(v, begin(k) + F.lit(1), e - begin(k)))))
-    each = spans.select(F.arrays_zip(
-        F.col("stretches").alias("stretch"), F.col("codes").alias("code"), F.col("n_a").alias("n_a"), F.col("n_b").alias("n_b"),
+    own = F.arrays_zip(
+        F.col("stretches").alias("k"), F.col("n_a").alias("n_a"), F.col("n_b").alias("n_b"),
         F.transform("last", lambda e, k: e - begin(k)).alias("n_groups"),
         by_stretch(texts, lambda own: F.array_join(own, ";")).alias("written"),
         by_stretch(links, F.flatten).alias("links"),
-    ).alias("each"))
-    # inline_outer, as no filter on its size is derived then, which would be pushed into the steps above with all of them copied into it; no bundle is empty
-    return each.select(F.inline_outer("each").alias("stretch", "code", "n_a", "n_b", "n_groups", "written", "links"))
+    )
+    return spans.select(*(c for c in bundles.columns if c not in ("stretches", *_INTS)), own.alias("own"))
 
 
-def _rest(bundles: DataFrame) -> DataFrame:
-    return bundles.select("bundle", F.posexplode("rest").alias("k", "stretch"))
-
-
-def _each_text(bundles: DataFrame, values: DataFrame, told: Callable[[Column, Column], list[Column]]) -> DataFrame:
-    """A row of what `told` makes of each text, given its struct and the rows of `values` (`stretch, code, ...`; all stretches) of the stretches that it holds, as an array in order."""
-    names = [c for c in values.columns if c not in ("stretch", "code")]
-    sorted_by = lambda k: F.array_sort(F.collect_list(F.struct(F.col(k).alias("k"), *names)))
-    hot = values.filter("code IS NOT NULL").agg(sorted_by("code").alias("hot"), (F.count(F.lit(1)) * 0 + 1).cast("int").alias("one"))  # hot_limit rows at most
-    own = _rest(bundles).join(values.filter("code IS NULL"), "stretch").groupBy("bundle").agg(sorted_by("k").alias("own"))  # those of one bundle
-    both = bundles.drop("rest").join(own, "bundle", "left").join(F.broadcast(hot), "one")
+def _each_text(bundles: DataFrame, hot: DataFrame, told: Callable[[Column, Column], list[Column]]) -> DataFrame:
+    """A row of what `told` makes of each text, given its struct and those of its stretches as an array in order. `own` and, in the one row of `hot`, `hot` are sorted by number."""
+    both = bundles.join(F.broadcast(hot), "one")  # one row of hot_limit structs at most
     item = lambda k: F.when(k >= 0, F.get(F.col("hot"), k)).otherwise(F.get(F.col("own"), F.lit(-1) - k))
     of = lambda t: _bound(F.transform(t["held"], item), lambda items: F.struct(*told(t, items)))
-    # inline_outer for the reason given in `aligned`; no bundle is empty
+    # inline_outer, as of inline a filter on its size is derived and pushed into the steps before, with all of them copied into it; no bundle is empty
     return both.select(F.inline_outer(F.transform("texts", of)))
 
 
+def _gathered(rows: DataFrame, *key: str) -> DataFrame:
+    """The structs `held` of `rows`, in order, as one array for each key."""
+    return rows.groupBy(*key).agg(F.array_sort(F.collect_list("held")).alias("held"))
+
+
 def align(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", paths: tuple[str, str] | None = None, hot_limit: int = HOT_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Three written tables: bundles of texts as `cut` gives them; stretches as `aligned` gives them; and `row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs` of each text, with each linked id pair once."""
-    spark = docs.sparkSession
-    hot = frequent(docs, text, hot_limit)
-    bundles = written(cut(docs, doc_id, text, hot), "align-cut")
-    of_hot = spark.createDataFrame(pa.table({"stretch": pa.array(hot, pa.string()), "code": pa.array(range(len(hot)), pa.int32())}))
-    all_of = _rest(bundles).select("stretch").distinct().withColumn("code", F.lit(None).cast("int")).unionByName(of_hot)
-    stretch_table = written(aligned(all_of, *(paths or default_tokenizers())), "align-stretches")
+    """Three written tables: bundles `bundle, texts, own, one`; the hot stretches as one row `hot, one`, like `own`; and `row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs` of each text, with each linked id pair once."""
+    spark, paths = docs.sparkSession, paths or default_tokenizers()
+    known = frequent(docs, text, hot_limit)
+    bundles = written(aligned(cut(docs, doc_id, text, known, *paths)), "align-bundles")
+    codes = spark.createDataFrame(pa.table({"stretch": pa.array(known, pa.string()), "code": pa.array(range(len(known)), pa.int32())}))
+    rows = written(aligned(tokenised(codes, *paths)).select(F.inline_outer("own")), "align-stretches")
+    hot = written(rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("hot"), (F.count(F.lit(1)) * 0 + 1).cast("int").alias("one")), "align-hot")
+    forget(rows)
 
     def told(t: Column, items: Column) -> list[Column]:
         good = (F.size(items) > 0) & ~F.exists(items, lambda x: x["n_groups"].isNull())
@@ -280,7 +290,7 @@ def align(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", paths: tu
         pairs = F.array_distinct(F.flatten(items["links"]))
         return [t["row"].alias("row"), t["doc_id"].alias("doc_id"), *sums, F.when(good, n_links).otherwise(0).alias("n_links"), F.when(good, digest).otherwise("").alias("groups_sha256"), F.when(good, pairs).alias("pairs")]
 
-    return bundles, stretch_table, written(_each_text(bundles, stretch_table, told), "align-texts")
+    return bundles, hot, written(_each_text(bundles, hot, told), "align-texts")
 
 
 def pair_counts(alignment: DataFrame) -> DataFrame:
@@ -293,26 +303,28 @@ def pair_counts(alignment: DataFrame) -> DataFrame:
     return out
 
 
-def stretch_sums(stretch_table: DataFrame, counts: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
-    """`stretch, code, best, count`: of each stretch the links whose pair is best, and the sum of its links' counts; written."""
-    hot = written(counts.orderBy(F.col("count").desc(), "pair").limit(hot_pairs), "align-hot")
-    known = F.broadcast(hot)  # hot_pairs rows at most
-    each = stretch_table.select("stretch", "code", F.explode("links").alias("pair"))
+def stretch_sums(items: DataFrame, counts: DataFrame, hot_pairs: int = HOT_PAIRS) -> DataFrame:
+    """From `of, k, links` of stretches to `of, held`: for each `of` the structs `k, best, count` of its stretches in order, the links whose pair is best and the sum of the links' counts."""
+    known = F.broadcast(counts.orderBy(F.col("count").desc(), "pair").limit(hot_pairs))  # hot_pairs rows at most
+    each = items.select("of", "k", F.explode_outer("links").alias("pair"))
+    found = each.join(known, "pair", "left")
+    sums = lambda held: held.groupBy("of", "k").agg(F.coalesce(F.sum(F.col("best").cast("long")), F.lit(0)).alias("best"), F.coalesce(F.sum("count"), F.lit(0)).alias("count"))
     rest = each.join(known.select("pair"), "pair", "left_anti").join(counts.join(known.select("pair"), "pair", "left_anti"), "pair")
-    sums = lambda held: held.groupBy("stretch", "code").agg(F.sum(F.col("best").cast("long")).alias("best"), F.sum("count").alias("count"))
-    both = sums(each.join(known, "pair")).unionByName(sums(rest))
-    summed = both.groupBy("stretch").agg(F.sum("best").alias("best"), F.sum("count").alias("count"))
-    out = written(stretch_table.select("stretch", "code").join(summed, "stretch", "left"), "align-sums")
-    forget(hot)
-    return out
+    both = sums(found).unionByName(sums(rest)).groupBy("of", "k").agg(F.sum("best").alias("best"), F.sum("count").alias("count"))
+    return _gathered(both.select("of", F.struct("k", "best", "count").alias("held")), "of")
 
 
 def alignment_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", paths: tuple[str, str] | None = None, hot_limit: int = HOT_LIMIT, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """`doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256` for each row of `docs`."""
-    bundles, stretch_table, base = align(docs, doc_id, text, paths, hot_limit)
-    sums = stretch_sums(stretch_table, pair_counts(base), hot_pairs)
-    forget(stretch_table)
-    of_row = _each_text(bundles, sums, lambda t, items: [t["row"].alias("row"), _sum(items["best"]).alias("n_best"), _sum(items["count"]).alias("count_sum")])
+    bundles, hot, base = align(docs, doc_id, text, paths, hot_limit)
+    counts = pair_counts(base)
+    of = lambda table, name, number: table.select(number.alias("of"), F.explode(name).alias("x")).select("of", "x.k", "x.links")
+    own = written(stretch_sums(of(bundles, "own", F.col("bundle")), counts, hot_pairs).select(F.col("of").alias("bundle"), F.col("held").alias("own")), "align-sums")
+    known = written(stretch_sums(of(hot, "hot", F.col("one")), counts, hot_pairs).select(F.col("of").alias("one"), F.col("held").alias("hot")), "align-hot-sums")
+    forget(counts)
+    summed = hot.select("one").join(known, "one", "left")
+    texts = bundles.select("bundle", "texts", "one").join(own, "bundle", "left")
+    of_row = _each_text(texts, summed, lambda t, items: [t["row"].alias("row"), _sum(items["best"]).alias("n_best"), _sum(items["count"]).alias("count_sum")])
     linked = lambda c: F.when(F.col("groups_sha256") != "", F.col(c)).otherwise(0).alias(c)
     return base.drop("pairs").join(of_row, "row").select("doc_id", "n_a", "n_b", "n_groups", "n_links", linked("n_best"), linked("count_sum"), "groups_sha256")
 
