@@ -135,9 +135,10 @@ class _Tables:
         self.spark, self.context = spark, spark.sparkContext
         self.path = f"{scratch_dir(spark)}/merkle-{uuid.uuid4().hex}"
 
-    def save(self, records: RDD, name: str) -> RDD:
+    def save(self, records: RDD, name: str, most: int) -> RDD:
+        """`records`, `most` at most, written and read back in tasks of TASK records, however many files they are in."""
         records.saveAsPickleFile(f"{self.path}/{name}")
-        return self.context.pickleFile(f"{self.path}/{name}")
+        return self.context.pickleFile(f"{self.path}/{name}").coalesce(self.parts(most))
 
     def parts(self, records: int) -> int:
         return max(1, min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-records // TASK)))
@@ -153,7 +154,13 @@ def _gathered(vertex: Vertex, messages: list[Up], step: int) -> tuple[int, Run]
     return step, Run(vertex, messages, joined if size == 1 else _hash(joined))  # a lone node is what remains
 
 
-def _forward(run: Run, step: int) -> Iterator[tuple[Vertex, Up]]:
+def _onward(told: tuple, step: int) -> Iterator[tuple[Vertex, Up]]:
+    """The message of a completed vertex to its parent, or those that wait."""
+    if told[0] is None:
+        vertex, messages = told[1]
+        yield from ((vertex, m) for m in messages)
+        return
+    run = told[1]
     (tree, level, number), first = run.vertex, run.children[0]
     size = -(-first.level_size // RUN)
     if size > 1:
@@ -195,13 +202,14 @@ def manifest(docs: DataFrame) -> DataFrame:
     start = lambda r: ((r[0], 1, r[1] // RUN), Up(r[1] % RUN, r[2], r[3], r[4], bytes(r[6]), None, 0, r[5], bytes(r[7]) if r[7] else None))
     sent = rows.rdd.map(start)
     steps: list[RDD] = []
+    sizes: list[int] = []
     while count:
         step = len(steps)
         groups = sent.groupByKey(tables.parts(count), _dealt)
-        told = tables.save(groups.map(lambda kv, step=step: _gathered(kv[0], list(kv[1]), step)), f"up-{step}")
+        told = tables.save(groups.map(lambda kv, step=step: _gathered(kv[0], list(kv[1]), step)), f"up-{step}", count)
         steps.append(told.filter(lambda x: x[0] is not None).values())
-        waiting = told.filter(lambda x: x[0] is None).flatMap(lambda x: [(x[1][0], m) for m in x[1][1]])
-        sent = steps[-1].flatMap(lambda run, step=step: _forward(run, step)).union(waiting)
+        sizes.append(count)
+        sent = told.flatMap(lambda x, step=step: _onward(x, step))
         if step == 0:
             forget(rows)
         count = sent.count()
@@ -214,13 +222,13 @@ def manifest(docs: DataFrame) -> DataFrame:
     out = None
     for step in reversed(range(len(steps))):
         here = pending.filter(lambda x, step=step: x[0] == step).values()
-        met = steps[step].map(lambda run: (run.vertex, run)).cogroup(here, tables.parts(steps[step].count()))
+        met = steps[step].map(lambda run: (run.vertex, run)).cogroup(here, tables.parts(sizes[step]))
         both = met.flatMap(lambda kv: [(run, down) for run in kv[1][0] for down in kv[1][1]])
         if step == 0:
             out = both.flatMap(lambda x: verified(*x))  # the lowest runs are those of the first superstep
         else:
             later = pending.filter(lambda x, step=step: x[0] < step)
-            pending = tables.save(both.flatMap(lambda x: _to_children(*x)).union(later), f"down-{step}")
+            pending = tables.save(both.flatMap(lambda x: _to_children(*x)).union(later), f"down-{step}", sizes[step])
     return spark.createDataFrame(out, _RESULT, verifySchema=False)
 
 
