@@ -11,7 +11,9 @@ from hit to hit, covered words are removed, and unique runs are kept.
 
 Markup is evidence: blocks in menus, headers, footers, asides, forms, scripts,
 adverts, notices and reader comments always go, and where a page has an
-<article> or <main>, only blocks of one stay. On the rest of a page a substring
+<article> or <main>, only blocks of one stay. Names that only sound like an
+article (a class of body or content) count if their blocks hold more text than
+all others, and never against a name that says what goes. On the rest of a page a substring
 goes that is on LEAST_SHARE of the host's articles. Articles themselves quote
 and repeat lines, so in them it has to be on ARTICLE_SHARE of them, as notices
 of a template are. Copies of one article repeat too: pages whose articles have
@@ -47,20 +49,29 @@ ARTICLE_PAGES, ARTICLE_SHARE = 5, 0.5
 MAIN = 2
 
 # Names of elements and words in class, id and role.
-_RAW = frozenset("script style textarea title noscript template iframe svg math canvas object".split())
+_RAW = frozenset("script style textarea title noscript template iframe svg".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
-_DROPPED = frozenset("nav header footer aside form button select option dialog menu head fieldset datalist".split()) | _RAW
-# A class, id or role of these words alone, or of them and words for places, drops an element; in an article only those of the first list do.
-_ALWAYS_DROPPED = frozenset(
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mspace mstyle mfenced menclose semantics".split()
+)
+_DROPPED = frozenset("nav header footer aside form button select option menu head fieldset datalist".split()) | _RAW
+# A class, id or role with one of these words drops an element wherever it is, unless it has one of _ABOUT, by which it speaks of a layout.
+_NAMED_DROPPED = frozenset(
+    "ads advert adverts advertisement advertising adbox adslot adsense sponsored taboola outbrain cookie cookies cookiebar consent gdpr notice notices disclaimer "
+    "sidebar sidebars comments commentlist disqus respond replies".split()
+)
+# Of these words alone, or of them and words for places, too; in an article only those of the first list do.
+_ALWAYS_DROPPED = _NAMED_DROPPED | frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot adsense sponsor sponsored banner taboola outbrain cookie cookies cookiebar consent gdpr notice notices disclaimer "
     "sidebar sidebars menu menus nav navbar navigation topbar breadcrumb breadcrumbs footer header masthead comment comments commentlist disqus".split()
 )
 _DROPPED_OUTSIDE = _ALWAYS_DROPPED | frozenset(
     "promo promotion alert copyright legal rail reply replies respond responses discussion feedback related recommended "
-    "share sharing social newsletter subscribe subscription signup login popup modal overlay pager pagination toolbar widget widgets skip paywall".split()
+    "share sharing social teaser teasers newsletter subscribe subscription signup login popup modal overlay pager pagination toolbar widget widgets skip paywall".split()
 )
 _PLACES = frozenset("box slot bar banner container wrapper wrap area section list block inner outer unit top bottom left right main site page global id link links item items form thread policy post posts".split())
+_ABOUT = frozenset("has with no not without layout hide show open closed count".split())
 _BODY_WORDS = frozenset("content article post entry story main body text articlebody".split())
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 #: One attribute, or the tag's end. A quote counts only where a value begins.
@@ -75,7 +86,9 @@ _RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I | re.A) for tag in _RAW}
 
 
 def _dropped_name(parts: list[str], words: frozenset[str]) -> bool:
-    return any(p in words for p in parts) and all(p in words or p in _PLACES or p.isdigit() for p in parts)
+    if not _ABOUT.isdisjoint(parts):
+        return False
+    return any(p in _NAMED_DROPPED for p in parts) or any(p in words for p in parts) and all(p in words or p in _PLACES or p in _BODY_WORDS or p.isdigit() for p in parts)
 
 
 def _meaning(tag: str, attributes: list[tuple[str, str]], level: int, dropped: bool) -> tuple[int, bool]:
@@ -95,13 +108,13 @@ def _meaning(tag: str, attributes: list[tuple[str, str]], level: int, dropped: b
                     parts = [p.lower() for p in _PART.findall(one)]
                     if _dropped_name(parts, words):
                         dropped = True
-                    elif parts and parts[-1] in _BODY_WORDS:
+                    elif parts and parts[-1] in _BODY_WORDS and words.isdisjoint(parts):
                         own = max(own, 1)
     return max(level, own), dropped
 
 
 def blocks(page: str | None) -> list[tuple[str, int, bool, int]]:
-    """`text, level, dropped, words in links` of each block, in page order."""
+    """`text, level, dropped, words in links` of each block, in page order; the words of a paragraph don't count as links."""
     page = page or ""
     out, stack, parts = [], [], []
     level, dropped, linked, links = 0, False, 0, 0
@@ -113,7 +126,7 @@ def blocks(page: str | None) -> list[tuple[str, int, bool, int]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((text, level, dropped, linked))
+                out.append((text, level, dropped, 0 if open_at.get("p") else linked))
             parts.clear()
         linked = 0
 
@@ -256,6 +269,9 @@ NOTHING = np.zeros(0, np.uint64)
 def main_text(page: list[Block], host: int = 0, outside: np.ndarray = NOTHING, inside: np.ndarray = NOTHING) -> str:
     """The blocks that stay. `outside` and `inside` are the hashes of runs that are boilerplate of the host out of and in articles."""
     best = max((b[1] for b in page if not b[2]), default=0)
+    if best == 1:  # by a name alone
+        held = [sum(len(b[0]) for b in page if not b[2] and b[1] == k) for k in (0, 1)]
+        best = int(held[1] >= held[0])
     words = stream(page)
     known = {False: outside, True: inside}
     masks = {k: covered(words, host, v) if len(v) else None for k, v in known.items()}
@@ -263,7 +279,7 @@ def main_text(page: list[Block], host: int = 0, outside: np.ndarray = NOTHING, i
     for text, level, dropped, linked in page:
         n = len(text.encode("utf-8", "surrogatepass").split())
         here, at = slice(at, at + n), at + n
-        if dropped or level < min(best, MAIN) or 2 * linked > n > 0 == best:
+        if dropped or level < min(best, MAIN) or linked == n > 0 == best:
             continue
         mask = masks[level >= MAIN]
         if n and mask is not None and mask[here].any():

@@ -6,9 +6,8 @@ frequency, and brought to unit length. The document frequencies are counted over
 all learning documents. The weights are learnt by follow-the-regularised-leader
 with elastic-net penalties from a bounded sample of labelled rows, about
 ROWS_PER_LANG of each language (by hash, so no language fills a task), and
-ROWS_IN_ALL at most in all. A fifth of it sets the temperature. Of more than
-MOST_LANGS values of lang those of the most rows are learnt, so the model, which
-is broadcast, has MOST_LANGS times BUCKETS weights at most.
+ROWS_IN_ALL at most in all. A fifth of it sets the temperature. Every value
+of lang is learnt; the model, which is broadcast, has BUCKETS weights for each.
 
 Only text, lang and the remainder of crc32(doc_id) choose and label the learning
 rows; a prediction sees the text alone.
@@ -34,8 +33,6 @@ from bookflow.llm.common import table
 
 BUCKETS = 1 << 15
 FOLDS, ROWS_PER_LANG, ROWS_IN_ALL = 5, 300, 3000
-#: Languages that are learnt at most, those of the most rows: they bound the model's size.
-MOST_LANGS = 256
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.01, 0.1, 3
 UNDETERMINED = "und"
 #: The least score of an accepted row: more than all other languages together. Held-out rows of sf0.1 score 0.6251 or more.
@@ -133,13 +130,13 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     seen = np.zeros(BUCKETS + 1)
     seen[counted.bucket.to_numpy()] = counted.docs.to_numpy()
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
-    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGS)
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row for each language; the model has BUCKETS weights for each
     sizes = {r["lang"]: r["n"] for r in counted.collect()}
     model = Model(sorted(sizes), idf)
     if not sizes:
         return model
     each = min(ROWS_PER_LANG, max(1, ROWS_IN_ALL // len(sizes)))
-    share = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, each / n)))), F.col("lang"))  # null for others
+    share = F.element_at(F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, each / n)))), F.col("lang"))
     place = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 40)) / float(1 << 40)
     drawn = rows.filter(place < share)
 

@@ -94,6 +94,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     rows = rows[::-1] if high > 0 else rows
     if deep == 8:
         palette = np.frombuffer(data, np.uint8, colours * 4, start - colours * 4).reshape(-1, 4)[:, 2::-1]
+        if rows.size and rows.max() >= len(palette):
+            raise ValueError("a pixel beyond the palette")
         grey = (palette == palette[:, :1]).all()
         return palette[:, 0][rows] if grey else palette[rows]
     return rows.reshape(abs(high), wide, deep // 8)[:, :, 2::-1]

@@ -2,12 +2,14 @@
 
 Base spans come from fixed patterns. Over them runs a CRF whose nodes are the
 base spans, held at their kind, and every other word with a digit, `@` or `+`.
-Nodes a word apart are chained. All occurrences of a form (digits without their
-punctuation, or a lower-cased address), however far apart, share one node for
-the form, and a potential ties each of them to it. A base span gives the form of
-all its digits, and of those that are left without its leading groups, so that a
-number is known without its country code; neighbouring words of digits that
-together have such a form are one node. A form of a base span is held at the
+Nodes a word apart are chained. All occurrences of a form, however far apart,
+share one node for the form, and a potential ties each of them to it. Forms are
+those of a kind: of an email the lower-cased address, of an IP address its four
+numbers, of a card or phone number its digits, and of these also what is left
+without leading groups as long as it is most of the number, so that it is known
+without its country code. Neighbouring words of digits that together have the
+form of a base span are one node. The digits of an IP address are no form: 12345
+isn't 1.23.4.5. A form of a base span is held at the
 span's kind, so repeats don't outvote the pattern. Loopy sum-product passes
 messages along chains and forms until they settle.
 
@@ -45,8 +47,6 @@ SAMPLE_DOCS, LEAST_PROBABILITY = 20_000, 0.5
 PAIRS, SETTLED, HALVED = 0.1, 1e-3, 16
 #: What holds a label against any number of messages.
 HELD = 1e9
-#: Digits of a form at least, and of one without leading groups; most words of digits in one node.
-FORM_DIGITS, TAIL_DIGITS, GROUPS = 5, 7, 6
 
 # The base patterns.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -118,32 +118,50 @@ def _digits(text: str) -> str:
     return "".join(_DIGITS.findall(text))
 
 
+def _ip_form(groups: list[str]) -> str:
+    """The form of four numbers up to 255, else nothing."""
+    short = [g.lstrip("0") or "0" for g in groups]
+    return "ip " + ".".join(short) if len(short) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in short) else ""
+
+
+def _word_forms(groups: list[str]) -> tuple[str, ...]:
+    """What digits could be: a number, and an IP address if they are four that fit."""
+    ip = _ip_form(groups)
+    return ("".join(groups), ip) if ip else ("".join(groups),) if groups else ()
+
+
 def _base_forms(kind: int, word: str) -> tuple[str, ...]:
-    if kind == 0:
-        return (word.lower(),)
     groups = _DIGITS.findall(word)
-    tails = {"".join(groups[k:]) for k in range(len(groups))} if kind > 1 else set()
-    return tuple(sorted({f for f in ["".join(groups)] if len(f) >= FORM_DIGITS} | {f for f in tails if len(f) >= TAIL_DIGITS}))
+    if kind < 2:
+        return (word.lower(),) if kind == 0 else (_ip_form(groups),)
+    size = sum(map(len, groups))
+    tails = ("".join(groups[k:]) for k in range(len(groups)))
+    return tuple(sorted({t for t in tails if 2 * len(t) > size}))
 
 
 def nodes(text: str, base: list[Span]) -> list[Node]:
     """`start, end, kind (0 none), shape, forms, word number` in text order. A base span is one node; other nodes are words outside of base spans, and neighbouring words that have a base span's form together."""
     out = [(s, e, kind + 1, _shape(text[s:e], _digits(text[s:e])), _base_forms(kind, text[s:e]), -1) for kind, s, e in base]
     known = {f for node in out for f in node[4]}
+    longest = max((sum(map(str.isdigit, f)) for f in known if "@" not in f), default=0)
     spans, k = sorted((s, e) for _, s, e in base), 0
-    groups: list[tuple[int, int, str, int]] = []
+    groups: list[tuple[int, int, list[str], int]] = []
 
     def close() -> None:
         at = 0
         while at < len(groups):
-            for size in range(min(GROUPS, len(groups) - at), 0, -1):
-                part = groups[at : at + size]
-                digits = "".join(g[2] for g in part)
-                if size == 1 or digits in known:
-                    word = text[part[0][0] : part[-1][1]]
-                    out.append((part[0][0], part[-1][1], 0, _shape(word, digits), (digits,) if len(digits) >= FORM_DIGITS else (), part[-1][3]))
-                    at += size
+            taken, held, size = groups[at][2], sum(map(len, groups[at][2])), 1
+            joined = list(taken)
+            for k in range(at + 1, len(groups)):  # at most as many words as the longest form has digits
+                joined = joined + groups[k][2]
+                held += sum(map(len, groups[k][2]))
+                if held > longest:
                     break
+                if known.intersection(_word_forms(joined)):
+                    taken, size = joined, k + 1 - at
+            last = groups[at + size - 1]
+            out.append((groups[at][0], last[1], 0, _shape(text[groups[at][0] : last[1]], "".join(taken)), _word_forms(taken), last[3]))
+            at += size
         groups.clear()
 
     for number, m in enumerate(_WORD.finditer(text)):
@@ -161,11 +179,11 @@ def nodes(text: str, base: list[Span]) -> list[Node]:
         if groups and groups[-1][1] < m.start() - 3:
             close()
         if _GROUP.fullmatch(bare):
-            groups.append((start, start + len(bare), _digits(bare), number))
+            groups.append((start, start + len(bare), _DIGITS.findall(bare), number))
             continue
         close()
         digits = _digits(bare)
-        forms = (bare.lower(),) if "@" in bare else (digits,) if len(digits) >= FORM_DIGITS else ()
+        forms = (bare.lower(),) if "@" in bare else _word_forms(_DIGITS.findall(bare))
         out.append((start, start + len(bare), 0, _shape(bare, digits), forms, number))
     close()
     return sorted(out)

@@ -263,3 +263,24 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+REAL = "<p>Real article text that goes on and on, with many words in it.</p><p>And more of it in a second paragraph here.</p>"
+READ = "Real article text that goes on and on, with many words in it.\nAnd more of it in a second paragraph here."
+
+
+@pytest.mark.parametrize("part", ['class="footer-text">Copyright', 'id="related-content">More stories', 'class="newsletter-text">Sign up', 'class="teaser-body">Teaser'])
+def test_a_body_word_never_outranks_a_dropping_one(part):
+    assert main_text(f"{REAL}<div {part}</div>") == READ
+
+
+@pytest.mark.parametrize("name", ['class="reader-comments"', 'class="user-comments"', 'class="fb-comments"', 'class="cookie_notice_v2"', 'id="respond"'])
+def test_comments_and_notices_go_wherever_their_word_stands(name):
+    assert main_text(f"<article>{REAL}<div {name}>Not the article</div></article>") == READ
+
+
+def test_nothing_else_goes():
+    page = f'<body class="with-sidebar">{REAL}<dialog>Said</dialog><p>x = <math><mi>a</mi><mo>+</mo><mn>1</mn></math></p><p><a href=x>all of it links</a></p><ul><li><a href=y>Home</a></li></ul></body>'
+    assert main_text(page) == f"{READ}\nSaid\nx = a+1\nall of it links"
+    assert main_text(f'<div class="content">short</div>{REAL}') == f"short\n{READ}"
+    assert main_text(f'<div class="content">{REAL}</div><p>short</p>') == READ

@@ -229,14 +229,24 @@ def test_training_is_the_plain_one(spark):
         assert (r.lang_pred, r.score) == model.predict(text) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
-def test_language_ties_repeats_and_many_languages(spark, monkeypatch):
+def test_language_ties_repeats_and_many_languages(spark):
     rows = [(i, "same words here", "ba"[i % 2]) for i in range(40)] * 2
     model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.langs == ["a", "b"] and len(language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()) == 80
     model.weights[:] = 0
     assert model.predict("same") == ("a", 0.5)
-    monkeypatch.setattr(language_id, "MOST_LANGS", 3)
-    many = [(i, f"text {i}", f"l{min(i % 20, 7)}") for i in range(200)]
-    assert len(language_id.train(spark.createDataFrame(many, "doc_id long, text string, lang string")).langs) == 3
+    many = [(i, f"text {i}", f"l{i % 300}") for i in range(3000)]
+    assert len(language_id.train(spark.createDataFrame(many, "doc_id long, text string, lang string")).langs) == 300
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language_id.train(empty).langs == [] and language_id.predict(empty, language_id.train(empty)).collect() == []
+
+
+def test_forms_are_those_of_a_kind(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = pii.train(docs)
+    added = lambda text: [(pii.KINDS[k], text[s:e]) for k, s, e in pii.spans(text, model)[1]]
+    assert added("server 1.23.4.5 and order number 12345 today") == []
+    assert added("ip 10.20.30.4 and zip 1020304") == []
+    assert added("dns 8.8.8.8 or written 8-8-8-8 there") == [("ip", "8-8-8-8")]
+    assert added("call +1 (017) 555-7713 or 017 555 7713 or 0 1 7 5 5 5 7 7 1 3 or 7713") == [("phone", "017 555 7713"), ("phone", "0 1 7 5 5 5 7 7 1 3")]
+    assert added("+12 34 56 78 90 12, and again 12 34 56 78 90 12 now") == [("phone", "12 34 56 78 90 12")]

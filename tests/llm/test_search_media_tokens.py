@@ -177,3 +177,11 @@ def test_viterbi_fold_is_the_best_path(spark):
     edges = sentencepiece_lattice.lattice(spark.createDataFrame([(w,) for w in words], "unit string"), table.select("piece", "id", "rank"), 3)
     for r in edges.withColumn("path", sentencepiece_lattice.fold_viterbi(table)).collect():
         assert [None if e < 0 else order[e >> 45] for e in r.path] == best(r.unit)
+
+
+def test_a_pixel_beyond_the_palette_gives_nulls(spark):
+    data = bytearray(media.encode_bmp(np.full((2, 4), 200, np.uint8)))
+    data[46:50] = (2).to_bytes(4, "little")
+    rows = spark.createDataFrame([(1, 8, bytes(data)), (2, 8, media.encode_bmp(np.full((2, 4), 200, np.uint8)))], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r.payload_bytes for r in media.read_media(rows).collect()}
+    assert got == {1: None, 2: 8}
