@@ -45,9 +45,9 @@ from bookflow.llm.common import forget, often_seen, table, written
 from bookflow.llm.token_counts import _BESIDE, _SAFE
 
 #: Most stretches and id pairs that go to all tasks, the longest length of such a stretch, and in how many texts of a group one must be to be proposed.
-HOT_LIMIT, HOT_PAIRS, HOT_CHARS, HOT_DOCS = 300_000, 1 << 18, 32, 2
+HOT_LIMIT, HOT_PAIRS, HOT_CHARS, HOT_DOCS = 200_000, 1 << 18, 32, 2
 #: Characters of stretches that are aligned in one row, and of texts in a bundle, about.
-ROW_CHARS, BUNDLE_CHARS = 400_000, 2_000_000
+ROW_CHARS, BUNDLE_CHARS = 200_000, 1_000_000
 _SHIFT, _LOW = 1 << 32, (1 << 32) - 1
 
 
