@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookflow.functions.text import WS, trimmed
+from bookflow.operators.chains import reached
 
 MAX_CHARS = 15_000
 
@@ -14,17 +15,26 @@ MAX_CHARS = 15_000
 def greedy_batches(blocks: DataFrame, book: str, order: str, text: str, max_chars: int = MAX_CHARS) -> DataFrame:
     """`book, ord, batch`: a new batch starts where the next block would take a batch that has some over `max_chars`.
 
-    The sum restarts where a limit is met, so it is a fold over each book's
-    block lengths, kept in the JVM; one book's lengths are one array.
+    Each block names the one that would start the next batch if it started one:
+    the first whose running sum is too far on. Both kinds of places stand in one
+    order of sums, so that is a window and no join. The batches' starts are those
+    that the first block reaches, found by pointer doubling.
     """
-    rows = blocks.select(F.col(book).alias("book"), F.col(order).alias("ord"), F.char_length(text).alias("n"))
-    listed = rows.groupBy("book").agg(F.sort_array(F.collect_list(F.struct("ord", "n"))).alias("items"))
-    step = f"""aggregate(items, named_struct('batch', 0, 'sum', 0L, 'out', cast(array() as array<int>)), (a, i) ->
-      if(a.sum > 0 and a.sum + i.n > {max_chars},
-         named_struct('batch', a.batch + 1, 'sum', cast(i.n as bigint), 'out', array_append(a.out, a.batch + 1)),
-         named_struct('batch', a.batch, 'sum', a.sum + i.n, 'out', array_append(a.out, a.batch)))).out"""
-    zipped = listed.select("book", F.explode(F.arrays_zip(F.col("items.ord").alias("ord"), F.expr(step).alias("batch"))).alias("z"))
-    return zipped.select("book", F.col("z.ord").alias("ord"), F.col("z.batch").alias("batch"))
+    rows = blocks.select(F.col(book).alias("book"), F.col(order).alias("ord"), F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("n"))
+    at = W.partitionBy("book").orderBy("ord")
+    rows = rows.withColumns({"node": F.row_number().over(at) - 1, "through": F.sum("n").over(at)})
+    some = F.min(F.when(F.col("n") > 0, F.col("node"))).over(at.rowsBetween(0, W.unboundedFollowing))
+    rows = rows.withColumn("some", some)
+    both = F.explode(F.array(F.struct(F.col("through").alias("sum"), F.lit(0).alias("asks")), F.struct((F.col("through") - F.col("n") + max_chars).alias("sum"), F.lit(1).alias("asks")))).alias("place")
+    placed = rows.select("book", "node", "some", both).select("book", "node", "some", "place.*")
+    later = W.partitionBy("book").orderBy("sum", "asks", "node").rowsBetween(1, W.unboundedFollowing)
+    found = placed.withColumn("found", F.min(F.when(F.col("asks") == 0, F.col("node"))).over(later)).filter("asks = 1")
+    following = F.when(F.col("found") > F.col("some"), F.col("found")).when(F.col("found").isNotNull(), F.col("some") + 1)
+    last = F.max("node").over(W.partitionBy("book"))
+    nodes = found.withColumns({"next": following, "last": last}).select("book", "node", F.when(F.col("next") <= F.col("last"), F.col("next")).alias("next"))
+    starts = reached(nodes, "book").distinct().withColumn("starts", F.lit(1))
+    numbered = rows.join(starts, ["book", "node"], "left").withColumn("batch", F.sum(F.coalesce("starts", F.lit(0))).over(at) - 1)
+    return numbered.select("book", "ord", F.col("batch").cast("int").alias("batch"))
 
 
 def rolling_context(rows: DataFrame, book: str, order: list[str], parts: list[Column], last: int = 3, chars: int = 300) -> Column:

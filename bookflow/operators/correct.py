@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.operators.batching import parse_response
+from bookflow.operators.chains import with_checkpoints
 
 Model = Callable[[str], str]
 
@@ -87,3 +88,59 @@ def corrected(blocks: DataFrame, batches: DataFrame, model: Model, parallel: int
     parsed = answers.select("book", "batch", F.posexplode(parse_response(F.col("answer"), F.col("n"))).alias("at", "answer"))
     order = listed.select("book", "batch", F.posexplode("items").alias("at", "item"))
     return order.join(parsed, ["book", "batch", "at"], "left").select("book", F.col("item.ord").alias("ord"), F.coalesce(F.nullif("answer", F.lit("")), F.col("item.text")).alias("corrected"))
+
+
+def _marked(items: str) -> F.Column:
+    return F.array_join(F.transform(items, lambda x, i: F.concat(F.lit("[BLOCK_"), i.cast("string"), F.lit("]"), x["text"], F.lit("[/BLOCK_"), i.cast("string"), F.lit("]"))), "\n")
+
+
+def attempted(requests: DataFrame, model: Model) -> DataFrame:
+    """`requests` with `answer` and `error`: the one or the other. An error of the model is a row, so it neither ends the job nor takes other answers with it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            answers, errors = [], []
+            for request in frame["request"]:
+                try:
+                    answers.append(model(request))
+                    errors.append(None)
+                except Exception as error:
+                    answers.append(None)
+                    errors.append(f"{type(error).__name__}: {error}"[:500])
+            yield frame.assign(answer=answers, error=errors)
+
+    schema = ", ".join(f"`{n}` {k}" for n, k in requests.dtypes)
+    return requests.mapInPandas(run, f"{schema}, answer string, error string")
+
+
+def corrected_or_failed(blocks: DataFrame, batches: DataFrame, model: Model, parallel: int = 2) -> DataFrame:
+    """`book, ord, corrected, source, error` of `book, ord, text`, by batches `book, ord, batch`: `llm` with the answer, `error` with the text as it was and the model's last error.
+
+    A batch that fails is halved and asked again, until its failing blocks stand
+    alone: a batch of n blocks takes log2(n) + 1 rounds at most. Each round's
+    answers are written before the next begins, so what has been paid for is
+    never asked again, whatever is lost later.
+    """
+    with_checkpoints(blocks.sparkSession)
+    listed = blocks.join(batches, ["book", "ord"]).groupBy("book", "batch").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("items"))
+    waiting, out = listed.select("book", "items"), None
+    while True:
+        asked = waiting.withColumn("request", _marked("items")).repartition(parallel)
+        plain = asked.select("book", F.to_json("items").alias("items"), "request")
+        kind = blocks.schema["ord"].dataType.simpleString()
+        answers = attempted(plain, model).withColumn("items", F.from_json("items", f"array<struct<ord:{kind},text:string>>")).checkpoint()
+        good = answers.filter("error IS NULL").select("book", F.posexplode(F.arrays_zip("items", parse_response(F.col("answer"), F.size("items")).alias("answer"))).alias("at", "x"))
+        text = F.coalesce(F.nullif(F.col("x.answer"), F.lit("")), F.col("x.items.text"))
+        done = good.select("book", F.col("x.items.ord").alias("ord"), text.alias("corrected"), F.lit("llm").alias("source"), F.lit(None).cast("string").alias("error"))
+        bad = answers.filter("error IS NOT NULL")
+        alone = bad.filter("size(items) = 1").select("book", F.col("items")[0]["ord"].alias("ord"), F.col("items")[0]["text"].alias("corrected"), F.lit("error").alias("source"), "error")
+        out = done.unionByName(alone) if out is None else out.unionByName(done).unionByName(alone)
+        half = F.ceil(F.size("items") / 2).cast("int")
+        waiting = bad.filter("size(items) > 1").select("book", F.explode(F.array(F.slice("items", F.lit(1), half), F.slice("items", half + 1, F.size("items") - half))).alias("items"))
+        if waiting.isEmpty():
+            return out
+
+
+def audit_by_source(changes: DataFrame) -> DataFrame:
+    """`source, n` of log rows, and of all of them as `all`, in one pass."""
+    return changes.rollup("source").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("source", F.lit("all")).alias("source"), "n")

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Pages of a band.
+PAGES = 16
+
 
 def last_definitions(definitions: DataFrame) -> DataFrame:
     """`book, tag, page, note`: of a tag's definitions the one that comes last."""
@@ -31,10 +34,13 @@ def numbered_by_definition(references: DataFrame, definitions: DataFrame) -> Dat
 def orphans(references: DataFrame, definitions: DataFrame, chapters: DataFrame) -> DataFrame:
     """`book, tag, note, chapter`: definitions that nothing refers to, in the first chapter whose pages hold theirs.
 
-    The range join has the book as an equal key, so it is a hash join with a filter.
+    Chapters stand in each band of PAGES pages that they touch, so the join's equal
+    key holds the band, and a note meets the chapters near its page alone.
     """
     alone = last_definitions(definitions).join(references.select("book", "tag").distinct(), ["book", "tag"], "left_anti")
-    held = alone.join(chapters, "book").filter(F.col("page").between(F.col("start_page"), F.col("end_page")))
+    band = lambda c: F.floor(F.col(c) / PAGES)
+    bands = chapters.filter("start_page <= end_page").withColumn("band", F.explode(F.sequence(band("start_page"), band("end_page"))))
+    held = alone.withColumn("band", band("page")).join(bands, ["book", "band"]).filter(F.col("page").between(F.col("start_page"), F.col("end_page")))
     return held.groupBy("book", "tag", "note").agg(F.min("chapter").alias("chapter"))
 
 

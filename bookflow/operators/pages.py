@@ -40,11 +40,10 @@ def representative_pages(pages: DataFrame, book: str, page: str, items: str) ->
     return pages.join(few, [book, page]).groupBy(book).agg(F.min_by(page, F.struct(-F.col(items), F.col(page))).alias(page))
 
 
-def scanned_pages(items: DataFrame, book: str, page: str) -> DataFrame:
-    """`book, page`: page numbers up to the last of any book that have no item in a book."""
-    last = items.agg(F.max(page).cast("int").alias("last"))  # one row
-    every = items.select(book).distinct().join(F.broadcast(last)).select(book, F.explode(F.sequence(F.lit(1), F.col("last"))).alias(page))
-    return every.join(items, [book, page], "left_anti")
+def scanned_pages(items: DataFrame, sizes: DataFrame, book: str, page: str) -> DataFrame:
+    """`book, page`: the pages of each book, as many as `sizes` (`book, n_pages`) says it has, that have no item."""
+    every = sizes.filter("n_pages > 0").select(book, F.explode(F.sequence(F.lit(1), F.col("n_pages").cast("int"))).alias(page))
+    return every.join(items.select(book, page), [book, page], "left_anti")
 
 
 def running_medians(items: DataFrame, book: str, page: str, size: str) -> DataFrame:
@@ -87,7 +86,7 @@ def is_header_or_footer(text: Column, y: Column, font: Column, page_height: Colu
 
 _any_case = lambda words: "|".join(both_cases(w.lower() if w.isascii() else w).replace(" ", f"{WS}+") for w in words)
 _ENDS = "(?![A-Za-z0-9_])"
-_CHAPTER = rf"^(?:(?:{_any_case(ORDINALS)}){WS}+(?:{_any_case(['BÖLÜM', 'KISIM'])})|(?:{_any_case(['BÖLÜM', 'KISIM', 'CHAPTER', 'PART'])}){WS}*(?:[0-9]{{1,3}}|[IVXLCDMivxlcdm]{{1,6}})?|{_any_case(['GİRİŞ', 'ÖNSÖZ'])}|{both_cases('SON'.lower())}{WS}*{both_cases('SÖZ')}|{_any_case(['EPİLOG', 'PROLOG', 'İÇİNDEKİLER'])}){_ENDS}"
+CHAPTER = rf"^(?:(?:{_any_case(ORDINALS)}){WS}+(?:{_any_case(['BÖLÜM', 'KISIM'])})|(?:{_any_case(['BÖLÜM', 'KISIM', 'CHAPTER', 'PART'])}){WS}*(?:[0-9]{{1,3}}|[IVXLCDMivxlcdm]{{1,6}})?|{_any_case(['GİRİŞ', 'ÖNSÖZ'])}|{both_cases('SON'.lower())}{WS}*{both_cases('SÖZ')}|{_any_case(['EPİLOG', 'PROLOG', 'İÇİNDEKİLER'])}){_ENDS}"
 
 
 def collapse_letter_spacing(text: Column) -> Column:
@@ -103,7 +102,7 @@ def is_chapter_heading(text: Column, font: Column, median: Column, y: Column) ->
     t = trimmed(text)
     n = collapse_letter_spacing(t)
     could = (t != "") & (F.char_length(t) <= 60) & (y > 48) & t.rlike(f"^[{UPPER}0-9\"']") & ~t.rlike(rf"[.?!]{WS}+[{UPPER}]") & ~t.rlike(r"\.{4,}")
-    named = (n.rlike(_CHAPTER) | t.rlike(_CHAPTER)) & ~n.rlike(f"^(?:{both_cases('kısım')}:|{_any_case(['bölümde', 'bölümden', 'bölümü'])}){_ENDS}")
+    named = (n.rlike(CHAPTER) | t.rlike(CHAPTER)) & ~n.rlike(f"^(?:{both_cases('kısım')}:|{_any_case(['bölümde', 'bölümden', 'bölümü'])}){_ENDS}")
     end = t.rlike(rf"^(?:SONUÇ|Sonuç|sonuç)(?:{WS}+{both_cases('BÖLÜMÜ')})?{WS}*:?\z")
     numeral = n.rlike(rf"^(?:{both_cases('bölüm')}{WS}*)?(?:[0-9]{{1,2}}|[IVXLCDMivxlcdm]{{1,6}})\.?\z") & (font >= median * 1.35)
     caps = (n == F.upper(n)) & n.rlike(f"[{UPPER}]")
@@ -131,10 +130,21 @@ def line_texts(items: DataFrame, keys: list[str], order: list[str], text: str, x
     return rows.groupBy(*keys).agg(trimmed(F.array_join(F.transform(parts, lambda p: p["part"]), "")).alias("text"))
 
 
+#: How far a raised mark may be from its line, above or below; the height of a band.
+MARK_AWAY = 8.5
+
+
 def nearest_lines(marks: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Each raised mark (`mark, x, y`) with the nearest line (`line, min_x, max_x, line_y`) of its page: at most 8.5 away, from 15 before its start to 25 after its end; the first of equals. Equal keys make it a hash join with a filter."""
-    near = (F.abs(F.col("y") - F.col("line_y")) <= 8.5) & (F.col("x") >= F.col("min_x") - 15) & (F.col("x") <= F.col("max_x") + 25)
-    both = marks.join(lines, keys).filter(near)
+    """Each raised mark (`mark, x, y`) with the nearest line (`line, min_x, max_x, line_y`) of its page: at most MARK_AWAY away, from 15 before its start to 25 after its end; the first of equals.
+
+    Pages are cut into bands of that height. A mark asks its own band and both
+    beside it, so the join's equal key holds the band, and a mark meets the lines
+    near it and not all of its page.
+    """
+    band = lambda y: F.floor(F.col(y) / MARK_AWAY)
+    asks = marks.withColumn("band", F.explode(F.array(*(band("y") + k for k in (-1, 0, 1)))))
+    near = (F.abs(F.col("y") - F.col("line_y")) <= MARK_AWAY) & (F.col("x") >= F.col("min_x") - 15) & (F.col("x") <= F.col("max_x") + 25)
+    both = asks.join(lines.withColumn("band", band("line_y")), [*keys, "band"]).filter(near)
     return both.groupBy(*keys, "mark").agg(F.min(F.struct(F.abs(F.col("y") - F.col("line_y")).alias("away"), F.col("line"))).alias("m")).select(*keys, "mark", "m.line", "m.away")
 
 

@@ -10,9 +10,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """`df` over all cores by a hash of `by`, where it has fewer partitions than cores: a file of one row group is one task, whatever its queries do."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, by) if df.rdd.getNumPartitions() < cores else df
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`doc_id, lang, source, block_no, original_text`."""
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
     return docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("block_no", "original_text"))
 
 

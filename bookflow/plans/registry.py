@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bookflow.plans import book_queries, page_queries, settings_queries, text_queries
+from bookflow.plans import book_queries, page_queries, service_queries, settings_queries, text_queries
 
-MODULES = (text_queries, page_queries, settings_queries, book_queries)
+MODULES = (text_queries, page_queries, settings_queries, book_queries, service_queries)
 
 
 def queries():

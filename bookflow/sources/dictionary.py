@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookflow.functions.text import LETTERS, trimmed, turkish_lower
@@ -17,3 +18,25 @@ def build(texts: DataFrame, text: str, least: int = 2) -> DataFrame:
     """`word`: the distinct words of texts, in Turkish lower case with the circumflex folded. Order by `word collate tr` where a sorted file is wanted."""
     words = texts.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(f"([{LETTERS}âîûÂÎÛ]+)"), 1)).alias("w")).filter(F.char_length("w") >= least)
     return words.select(F.translate(turkish_lower(F.col("w")), "âîû", "aiu").alias("word")).distinct()
+
+
+def known(texts: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
+    """`key, words, known`: how many different words a text has, and how many of them the list knows.
+
+    Words are looked up once for each that is in any text, so the list meets
+    distinct words; Spark broadcasts it, or filters by a Bloom filter, by its size.
+    """
+    found = texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(f"([{LETTERS}âîûÂÎÛ]+)"), 1)).alias("w")).filter(F.char_length("w") >= 2)
+    each = found.select(key, F.translate(turkish_lower(F.col("w")), "âîû", "aiu").alias("word")).distinct()
+    listed = each.select("word").distinct().join(words, "word", "left_semi").withColumn("listed", F.lit(1))
+    return each.join(listed, "word", "left").groupBy(key).agg(F.count(F.lit(1)).alias("words"), F.count("listed").alias("known"))
+
+
+def in_order(words: DataFrame) -> DataFrame:
+    """`word, letter, place`: the words by Turkish collation (c ç, ı i, o ö, s ş, u ü), each with its place among those of its first letter.
+
+    A letter's words are one window, and the list as a whole is never in one task.
+    """
+    letter = F.substring("word", 1, 1)
+    place = F.row_number().over(W.partitionBy("letter").orderBy(F.collate("word", "tr"), "word"))
+    return words.withColumn("letter", letter).withColumn("place", place).select("word", "letter", "place")

@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from bookflow.functions import diff, registration
-from bookflow.functions import page_layout as pl
 from bookflow.functions import text as tx
 from bookflow.operators import answers, batching, cache, correct, findings, footnotes, layout, pages, reports, stitch
 from bookflow.sinks import books
@@ -140,7 +139,6 @@ def test_pages(spark):
     rows = spark.createDataFrame([("BÖLÜM 1", 12.0, 100.0, True), ("İKİNCİ BÖLÜM", 12.0, 100.0, True), ("Bölüm 3", 12.0, 40.0, False), ("bölüm 1", 12.0, 100.0, False), ("Kısım: notlar", 12.0, 100.0, False), ("IV.", 18.0, 100.0, True), ("IV.", 12.0, 100.0, False), ("Yeni Bir Gün", 22.0, 100.0, True), ("Bir şey oldu", 22.0, 100.0, False), ("K A R A N L I K", 22.0, 90.0, True), ("G İ R İ Ş", 12.0, 90.0, True), ("Sonuç:", 12.0, 90.0, True)], "t string, font double, y double, want boolean")
     got = rows.withColumn("got", pages.is_chapter_heading(F.col("t"), F.col("font"), F.lit(12.0), F.col("y"))).collect()
     assert [(r.t, r.font) for r in got if r.got != r.want] == []
-    assert all(pl.is_heading(r.t, r.font, 12.0, r.y) == r.want for r in got)
     lines = spark.createDataFrame([("- 12 -", 790.0, True), ("xii", 10.0, True), ("Sayfa 3", 10.0, True), ("Running head", 10.0, True), ("A sentence.", 10.0, False), ("12", 400.0, False), ("12", 730.0, True), ("body text", 400.0, False)], "t string, y double, want boolean")
     head = pages.is_header_or_footer(F.col("t"), F.col("y"), F.lit(11.0), F.lit(800.0), F.lit(12.0), F.lit(12), 0.05, 0.04)
     assert [r.t for r in lines.withColumn("got", head).collect() if r.got != r.want] == []
@@ -158,24 +156,76 @@ def test_footnotes(spark):
     assert sorted((r.k, r.t) for r in footnotes.resolve(body, footnotes.numbered(references, definitions), ["k"], "t").collect()) == [(1, "see[2] and[1]."), (2, "plain")]
 
 
-def line(y, x0, x1, font, text):
-    return pl.Line(y, x0, x1, font, text)
+def as_lines(spark, rows, page, median):
+    rows = [("b", page, k, float(y), float(a), float(b), float(font), text, float(median)) for k, (y, a, b, font, text) in enumerate(rows)]
+    return spark.createDataFrame(rows, "book string, page int, line_no int, y double, min_x double, max_x double, font double, text string, median double")
 
 
-def test_page_folds():
-    found = pl.page_paragraphs([line(100, 50, 500, 12, "Bir söz[^1] var."), line(120, 50, 480, 12, "ve devam"), line(550, 50, 450, 9, "1. Not metni")], 12, 12, 600)
-    assert [(p.text, p.note) for p in found] == [("Bir söz[^p12_1] var. ve devam", None), ("[^p12_1]: Not metni", "p12_1")]
-    attached = pl.page_paragraphs([line(100, 50, 500, 12, "Taş atıldı1 ve gitti."), line(550, 50, 450, 12, "1. Not")], 5, 12, 600)
-    assert attached[0].text == "Taş atıldı[^p5_1] ve gitti."
-    assert "[^" not in pl.page_paragraphs([line(100, 50, 500, 12, "Cilt 1 sayfa 20 Madde 1 oldu"), line(550, 50, 450, 9, "1. Not")], 1, 12, 600)[0].text
-    two = pl.paragraphs_of([line(100, 52, 500, 16, "Bir uzun satır burada bitti."), line(125, 58, 495, 16, "aynı paragraf."), line(165, 85, 490, 16, "Yeni paragraf.")], 1, 16)
-    assert [p.text for p in two] == ["Bir uzun satır burada bitti. aynı paragraf.", "Yeni paragraf."]
-    words = [pl.Item("Merhaba", 50, 100, 60, 12), pl.Item("dünya", 114, 100.5, 40, 12), pl.Item("2", 155, 96, 4, 7), pl.Item("uzak", 400, 100, 30, 12)]
-    assert [x.text for x in pl.lines_of(words)] == ["Merhaba dünya[^2]", "uzak"]
-    assert pl.lines_of([]) == [] and pl.collapse("K A R A gece") == "KARA gece"
-    body = [pl.Paragraph(f"p{k}", k // 2 + 1) for k in range(50)]
-    assert [c[0] for c in pl.draft_chapters([pl.Paragraph("BÖLÜM 1", 1, "heading"), *body[:4], pl.Paragraph("BÖLÜM 2", 3, "heading"), *body[4:8]], "T")] == ["BÖLÜM 1", "BÖLÜM 2"]
-    assert [c[0] for c in pl.draft_chapters(body, "T", True, 3)][:2] == ["Kısım 1 (Sayfa 1-3)", "Kısım 2 (Sayfa 11-13)"]
+def read_page(spark, rows, page, median, height):
+    return [(r.text, r.note) for r in layout.line_paragraphs(as_lines(spark, rows, page, median), height).orderBy("ord").collect()]
+
+
+def test_page_relations(spark):
+    found = read_page(spark, [(100, 50, 500, 12, "Bir söz[^1] var."), (120, 50, 480, 12, "ve devam"), (550, 50, 450, 9, "1. Not metni"), (560, 50, 450, 9, "sürer")], 12, 12, 600)
+    assert found == [("Bir söz[^p12_1] var. ve devam", None), ("[^p12_1]: Not metni sürer", "p12_1")]
+    assert read_page(spark, [(100, 50, 500, 12, "Taş atıldı1 ve gitti."), (550, 50, 450, 12, "1. Not")], 5, 12, 600)[0][0] == "Taş atıldı[^p5_1] ve gitti."
+    assert "[^" not in read_page(spark, [(100, 50, 500, 12, "Cilt 1 sayfa 20 Madde 1 oldu"), (550, 50, 450, 9, "1. Not")], 1, 12, 600)[0][0]
+    ruled = read_page(spark, [(100, 50, 500, 12, "Metin."), (300, 50, 200, 12, "-----"), (320, 50, 450, 12, "* Yıldız"), (340, 50, 450, 12, "gövde")], 3, 12, 600)
+    assert ruled == [("Metin.", None), ("gövde", None), ("[^p3_1]: Yıldız", "p3_1")]
+    two = read_page(spark, [(100, 52, 500, 16, "Bir uzun satır burada bitti."), (125, 58, 495, 16, "aynı paragraf."), (165, 85, 490, 16, "Yeni paragraf.")], 1, 16, 600)
+    assert [t for t, _ in two] == ["Bir uzun satır burada bitti. aynı paragraf.", "Yeni paragraf."]
+    cut = read_page(spark, [(100, 50, 500, 12, "BÖLÜM 1"), (120, 50, 500, 12, "güzel ki-"), (134, 50, 500, 12, "tap ve ge-"), (148, 50, 500, 12, "Ali"), (162, 50, 500, 12, "12"), (176, 50, 500, 12, "— Dedi ki")], 1, 12, 800)
+    assert [t for t, _ in cut] == ["BÖLÜM 1", "güzel kitap ve ge - Ali", "— Dedi ki"]
+    toc = read_page(spark, [(100, 50, 500, 12, "İçindekiler"), (120, 50, 500, 30, "BÖLÜM 1.....3")], 1, 12, 800)
+    assert [t for t, _ in toc] == ["İçindekiler", "BÖLÜM 1.....3"]
+
+
+def test_lines_of_items(spark):
+    items = [("b", 1, "Merhaba", 50.0, 100.0, 60.0, 12.0), ("b", 1, "dünya", 114.0, 100.5, 40.0, 12.0), ("b", 1, "2", 155.0, 96.0, 4.0, 7.0), ("b", 1, "uzak", 400.0, 100.0, 30.0, 12.0), ("b", 1, "3", 700.0, 300.0, 4.0, 7.0), ("b", 1, None, 1.0, 1.0, 1.0, 1.0)]
+    frame = spark.createDataFrame(items, "book string, page int, text string, x double, y double, width double, font double")
+    assert [r.text for r in layout.page_lines(frame).orderBy("line_no").collect()] == ["Merhaba dünya[^2]", "uzak", "3"]
+    assert layout.page_lines(frame.limit(0)).count() == 0
+
+
+def plain_chapters(rows, fixed, pages):
+    """Starts found one after the other."""
+    out, at = [], 0
+    seen = False
+    while at < len(rows):
+        begin = rows[at][0] if at == 0 else rows[at - 1][0] + 1
+        end, heading = len(rows), False
+        for k in range(at, len(rows)):
+            if fixed and k - at >= 19 and rows[k][0] >= begin + pages or not fixed and not seen and k - at >= 34 and rows[k][0] % pages == 0:
+                end = k + 1
+                break
+            if not fixed and rows[k][1] and k - at >= 2:
+                end, heading = k, True
+                break
+        out.append((at, end - at))
+        at, seen = end, seen or heading
+    return out
+
+
+@pytest.mark.parametrize("fixed", [True, False])
+def test_chapters_are_those_found_one_after_the_other(spark, fixed):
+    rng = random.Random(5)
+    rows = {f"b{k}": [(1 + i // rng.choice([3, 4]), i > 100 * (k % 2) and rng.random() < 0.04) for i in range(rng.choice([1, 30, 400]))] for k in range(8)}
+    rows = {b: sorted(r) for b, r in rows.items()}
+    frame = spark.createDataFrame([(b, p, n, "heading" if h else "text", f"BÖLÜM {n}" if h else f"p{n}", None) for b, own in rows.items() for n, (p, h) in enumerate(own)], "book string, page int, ord int, kind string, text string, note string")
+    got = {}
+    for r in layout.chapters(frame, fixed, 5).orderBy("book", "chapter").collect():
+        got.setdefault(r.book, []).append(r.n_paragraphs)
+    assert got == {b: [n for _, n in plain_chapters(own, fixed, 5)] for b, own in rows.items()}
+
+
+def test_chapter_names(spark):
+    body = [("b", k // 2 + 1, k, "text", f"p{k}", None) for k in range(50)]
+    schema = "book string, page int, ord int, kind string, text string, note string"
+    headed = [("b", 1, 0, "heading", "BÖLÜM 1", None), *[("b", 1, k + 1, "text", "x", None) for k in range(4)], ("b", 3, 9, "heading", "BÖLÜM 2", None), ("b", 3, 10, "text", "y", None)]
+    got = layout.chapters(spark.createDataFrame(headed, schema)).orderBy("chapter").collect()
+    assert [(r.title, r.first_page, r.last_page) for r in got] == [("BÖLÜM 1", 1, 3), ("BÖLÜM 2", 3, 3)]
+    got = layout.chapters(spark.createDataFrame(body, schema), True, 3).orderBy("chapter").collect()
+    assert [r.title for r in got][:2] == ["Kısım 1 (Sayfa 1-3)", "Kısım 2 (Sayfa 11-13)"]
 
 
 def test_layout_frames(spark):
@@ -298,8 +348,10 @@ def test_routes_figures_and_scanned_pages(spark):
     is_ = lambda k: F.col("n") == k
     route = reports.route(F.lit("smart"), is_(4), is_(0), is_(3), F.lit(False), is_(1), is_(2))
     assert [r[0] for r in rows.orderBy("n").select(route).collect()] == ["skip", "figure", "kept", "cache", "model", "done"]
-    items = spark.createDataFrame([("a", 1), ("a", 3), ("a", 3), ("b", 2)], "book string, page int")
-    assert sorted(map(tuple, pages.scanned_pages(items, "book", "page").collect())) == [("a", 2), ("b", 1), ("b", 3)]
+    items = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("b", 9)], "book string, page int")
+    sizes = spark.createDataFrame([("a", 2), ("b", 10), ("c", 1), ("d", 0)], "book string, n_pages int")
+    found = sorted(map(tuple, pages.scanned_pages(items, sizes, "book", "page").collect()))
+    assert found == [*(("b", k) for k in (1, 10, 2, 3, 4, 5, 6, 7, 8)), ("c", 1)] or found == [*(("b", k) for k in (1, 2, 3, 4, 5, 6, 7, 8, 10)), ("c", 1)]
     done = spark.createDataFrame([(True,), (False,), (True,)], "complete boolean")
     assert tuple(reports.completed_chapters(done).first()) == (2, 3)
     log = spark.createDataFrame([(1, "x"), (3, "b"), (3, "a"), (2, "y")], "t int, m string")
