@@ -11,7 +11,7 @@ from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookflow.sources.html_blocks import blocks_by_tree, page_title
@@ -83,13 +83,36 @@ def packages(all_entries: DataFrame) -> DataFrame:
     return small.groupBy("book").applyInPandas(read, "book string, title string, creator string, language string, identifier string, publisher string, manifest array<struct<id:string,href:string,media_type:string>>, spine array<string>, error string")
 
 
+def _decoded(contents: pd.Series, names: pd.Series) -> pd.Series:
+    """Contents by the names of their encodings, or UTF-8 where nobody knows the name; what isn't valid is replaced."""
+
+    def one(content: bytes | None, name: str) -> str | None:
+        try:
+            return None if content is None else content.decode(name, "replace")
+        except LookupError:
+            return content.decode("utf-8", "replace")
+
+    return pd.Series([one(c, n) for c, n in zip(contents, names, strict=True)], dtype=object)
+
+
+def decoded(content: Column) -> tuple[Column, Column]:
+    """The text of a page, and what is wrong with it. The encoding is the one that its mark or its first bytes declare; UTF-8, as nearly all are, is decoded in the JVM."""
+    head = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    declared = F.lower(F.regexp_extract(head, r"(?i)(?:encoding|charset)\s*=\s*[\"']?([a-z0-9_.:-]+)", 1))
+    name = F.when(head.rlike("^(?:\u00fe\u00ff|\u00ff\u00fe)"), "utf-16").when(head.rlike("^\u00ef\u00bb\u00bf"), "utf-8").otherwise(declared)
+    plain = name.isin("", "utf-8", "utf8", "us-ascii", "ascii")
+    text = content.cast("string")
+    error = F.when(plain & ~F.is_valid_utf8(text), "not valid UTF-8: replaced")
+    return F.when(plain, F.make_valid_utf8(text)).otherwise(F.pandas_udf(_decoded, "string")(F.when(~plain, content), name)), error
+
+
 def chapters(all_entries: DataFrame, books: DataFrame) -> DataFrame:
-    """`book, chapter_no, href, title, html`: the spine joined to the manifest (the last entry of an id counts) and to the archive; what isn't there or isn't text drops out."""
+    """`book, chapter_no, href, html, error, title`: the spine joined to the manifest (the last entry of an id counts) and to the archive; what isn't there or isn't text drops out. A page in no valid encoding stays, with its bad bytes replaced and its error."""
     manifest = books.select("book", F.posexplode("manifest").alias("at", "m")).groupBy("book", F.col("m.id").alias("id")).agg(F.max_by("m", "at").alias("m"))
     spine = books.select("book", F.posexplode("spine").alias("chapter_no", "id"))
     joined = spine.join(manifest, ["book", "id"]).filter(F.col("m.media_type").rlike("html|xml")).select("book", "chapter_no", F.col("m.href").alias("path"))
-    html = F.decode(F.col("content"), "UTF-8")
-    found = joined.join(all_entries, ["book", "path"]).select("book", "chapter_no", F.col("path").alias("href"), html.alias("html"))
+    html, error = decoded(F.col("content"))
+    found = joined.join(all_entries.drop("error"), ["book", "path"]).select("book", "chapter_no", F.col("path").alias("href"), html.alias("html"), error.alias("error"))
     title = page_title(F.col("html"))
     return found.withColumn("title", F.coalesce(F.nullif(title, F.lit("")), F.concat(F.lit("Bölüm "), (F.col("chapter_no") + 1).cast("string"))))
 
