@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from bookflow.functions.text import escape_xml
+
 #: Pages of a band.
 PAGES = 16
 
@@ -52,3 +54,36 @@ def resolve(bodies: DataFrame, numbers: DataFrame, keys: list[str], text: str) -
     shown = F.when(F.col("tag").isNull(), F.col("piece")).otherwise(F.coalesce(F.concat(F.lit("["), F.col("number").cast("string"), F.lit("]")), F.lit("")))
     parts = F.sort_array(F.collect_list(F.struct("place", shown.alias("shown"))))
     return joined.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["shown"]), "").alias(text))
+
+
+def linked(bodies: DataFrame, definitions: DataFrame) -> DataFrame:
+    """`book, kind, ord, html`: paragraphs `book, pos, text` with their `[^tag]` marks as anchors, and the notes (`book, tag, note`, one a tag) as asides with links back.
+
+    Tags are numbered by their first mark; those that nothing refers to come
+    after them, by tag. Marks without a definition go, and every other mark of a
+    note has an id of its own, which its aside leads back to. Marks are exploded,
+    numbered by windows over a book, joined with the notes, and put back.
+    """
+    mark = r"\[\^[A-Za-z0-9_:-]+\]"
+    rows = bodies.withColumn("ord", F.row_number().over(W.partitionBy("book").orderBy("pos")))
+    pieces = rows.select("book", "ord", F.posexplode_outer(F.regexp_extract_all("text", F.lit(rf"(?s)({mark}|(?:(?!{mark}).)+)"), 1)).alias("place", "piece"))
+    tag = F.regexp_extract("piece", r"^\[\^([A-Za-z0-9_:-]+)\]$", 1)
+    pieces = pieces.withColumn("tag", F.when(tag != "", tag))
+    notes = definitions.select("book", F.col("tag").cast("string").alias("tag"), "note")
+    marks = pieces.filter("tag IS NOT NULL").join(notes.select("book", "tag"), ["book", "tag"], "left_semi")
+    named = marks.groupBy("book", "tag").agg(F.min(F.struct("ord", "place")).alias("first"), F.count(F.lit(1)).alias("marks"))
+    known = notes.join(named, ["book", "tag"], "left")
+    number = F.row_number().over(W.partitionBy("book").orderBy(F.col("first").isNull(), "first", "tag"))
+    known = known.withColumn("number", number)
+
+    times = marks.select("book", "ord", "place", F.row_number().over(W.partitionBy("book", "tag").orderBy("ord", "place")).alias("time"))
+    shown = pieces.join(known.select("book", "tag", "number"), ["book", "tag"], "left").join(times, ["book", "ord", "place"], "left")
+    n, k = F.col("number").cast("string"), F.col("time").cast("string")
+    anchor = F.concat(F.lit('<a id="ref-'), n, F.lit("-"), k, F.lit('" href="#note-'), n, F.lit('">['), n, F.lit("]</a>"))
+    html = F.when(F.col("tag").isNull(), escape_xml(F.coalesce("piece", F.lit("")))).otherwise(F.coalesce(anchor, F.lit("")))
+    parts = F.array_sort(F.collect_list(F.struct("place", html.alias("html"))))
+    body = shown.groupBy("book", "ord").agg(F.concat(F.lit("<p>"), F.array_join(F.transform(parts, lambda p: p["html"]), ""), F.lit("</p>")).alias("html"))
+
+    back = F.transform(F.when(F.col("marks") > 0, F.sequence(F.lit(1), F.col("marks").cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit(' <a href="#ref-'), n, F.lit("-"), i.cast("string"), F.lit('">^</a>')))
+    aside = F.concat(F.lit('<aside id="note-'), n, F.lit('"><p>'), n, F.lit(". "), escape_xml(F.coalesce("note", F.lit(""))), F.array_join(back, ""), F.lit("</p></aside>"))
+    return body.select("book", F.lit("body").alias("kind"), "ord", "html").unionByName(known.select("book", F.lit("note").alias("kind"), F.col("number").alias("ord"), aside.alias("html")))

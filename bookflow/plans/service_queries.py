@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookflow.functions.text import turkish_lower
-from bookflow.operators import batching, cache_table, correct, layout, policy
+from bookflow.operators import aggregates, batching, cache_table, correct, footnotes, layout, policy
 from bookflow.operators.chains import with_checkpoints
 from bookflow.plans.base import BLOCKS, blocks, read
 from bookflow.plans.book_queries import page_items
@@ -132,7 +132,43 @@ s AS (SELECT book, (k // 360 + 1)::INT AS page, k % 360 // 12 AS line, k, replac
 l AS (SELECT book, page, line, string_agg(t, ' ' ORDER BY k) AS t FROM s GROUP BY ALL UNION ALL SELECT DISTINCT book, page, 1000, page::VARCHAR FROM s)
 SELECT book, page, count(*) AS lines, md5(string_agg(t, chr(10) ORDER BY line)) AS texts_md5 FROM l GROUP BY book, page"""
 
+def maintained_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in four batches, of which the second runs twice: totals by kind from the recorded counts, and the same from the log."""
+    with_checkpoints(spark)
+    events = read(spark, sf_dir, "events")
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/counts-{uuid.uuid4().hex}"
+    before = aggregates.totals(spark, path, ["event_type"], events, F.col("value"))
+    for number in (0, 1, 2, 1, 3):
+        aggregates.record(path, events.filter(F.col("event_id") % 4 == number), ["event_type"], F.col("value"), number)
+    after = aggregates.totals(spark, path, ["event_type"], events, F.col("value"))
+    return after.join(before.select("event_type", F.col("n").alias("logged"), F.col("words").alias("logged_words")), "event_type")
+
+
+_MAINTAINED = """
+SELECT event_type, count(*) AS n, sum(floor(least(greatest(coalesce(value, 0), 0), 100000)))::BIGINT AS words, count(*) AS logged, sum(floor(least(greatest(coalesce(value, 0), 0), 100000)))::BIGINT AS logged_words
+FROM events GROUP BY event_type"""
+
+
+def footnote_xhtml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as an order's paragraphs, each with a mark of its part; suppliers' parts as notes: paragraphs with anchors and notes with links back."""
+    rows = read(spark, sf_dir, "lineitem").withColumns({"book": F.col("l_orderkey"), "tag": (F.col("l_partkey") % 5).cast("string")})
+    bodies = rows.filter("l_returnflag <> 'A'").select("book", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag").alias("pos"), F.concat(F.lit("see[^"), "tag", F.lit("] & [^none]["), "l_returnflag", F.lit("]")).alias("text"))
+    notes = rows.groupBy("book", "tag").agg(F.min(F.concat("l_linestatus", F.lit(" <"), F.col("l_linenumber").cast("string"))).alias("note"))
+    return footnotes.linked(bodies, notes).select("book", "kind", F.col("ord").cast("int").alias("ord"), "html")
+
+
+_XHTML = """
+WITH r AS (SELECT l_orderkey AS book, l_linenumber AS pos, (l_partkey % 5)::VARCHAR AS tag, l_returnflag AS flag, l_linestatus AS mode, l_partkey AS part, l_suppkey AS supp FROM lineitem),
+b AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY pos, part, supp, flag) AS ord, row_number() OVER (PARTITION BY book, tag ORDER BY pos, part, supp, flag) AS k FROM r WHERE flag <> 'A'),
+f AS (SELECT book, tag, min(ord) AS first, count(*) AS marks FROM b GROUP BY ALL),
+d AS (SELECT book, tag, min(mode || ' <' || pos) AS note FROM r GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY first IS NULL, first, tag) AS number FROM d LEFT JOIN f USING (book, tag))
+SELECT book, 'body' AS kind, ord::INT AS ord, '<p>see<a id="ref-' || number || '-' || k || '" href="#note-' || number || '">[' || number || ']</a> &amp; [' || flag || ']</p>' AS html FROM b JOIN n USING (book, tag)
+UNION ALL SELECT book, 'note', number::INT, '<aside id="note-' || number || '"><p>' || number || '. ' || replace(note, '<', '&lt;') ||
+  coalesce(array_to_string(list_transform(range(1, marks + 1), lambda i: ' <a href="#ref-' || number || '-' || i || '">^</a>'), ''), '') || '</p></aside>' FROM n"""
+
 QUERIES = {
     "failed_batches": failed_batches, "audit_sources": audit_sources, "planned_calls": planned_calls, "cache_runs": cache_runs, "dictionary_check": dictionary_check, "dictionary_sorted": dictionary_sorted, "page_lines": page_lines,
+    "maintained_counts": maintained_counts, "footnote_xhtml": footnote_xhtml,
 }
-ORACLES = {"failed_batches": _FAILED, "audit_sources": _SOURCES, "planned_calls": _PLANNED, "cache_runs": _RUNS, "dictionary_check": _CHECK, "dictionary_sorted": _SORTED, "page_lines": _LINES}
+ORACLES = {"failed_batches": _FAILED, "audit_sources": _SOURCES, "planned_calls": _PLANNED, "cache_runs": _RUNS, "dictionary_check": _CHECK, "dictionary_sorted": _SORTED, "page_lines": _LINES, "maintained_counts": _MAINTAINED, "footnote_xhtml": _XHTML}
