@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookflow.functions.text import turkish_lower
-from bookflow.operators import aggregates, batching, cache_table, correct, footnotes, layout, policy
+from bookflow.operators import aggregates, batching, cache_table, correct, footnotes, layout, pictures, policy
 from bookflow.operators.chains import with_checkpoints
 from bookflow.plans.base import BLOCKS, blocks, read
 from bookflow.plans.book_queries import page_items
@@ -167,8 +167,26 @@ SELECT book, 'body' AS kind, ord::INT AS ord, '<p>see<a id="ref-' || number || '
 UNION ALL SELECT book, 'note', number::INT, '<aside id="note-' || number || '"><p>' || number || '. ' || replace(note, '<', '&lt;') ||
   coalesce(array_to_string(list_transform(range(1, marks + 1), lambda i: ' <a href="#ref-' || number || '-' || i || '">^</a>'), ''), '') || '</p></aside>' FROM n"""
 
+def book_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' bytes as pixels of five kinds, on the pages of books of fifty, with a paragraph and here and there a note on each page: paragraphs, notes, pictures and the bytes of their files."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumns({"book": F.col("doc_id") % 50, "page": F.floor(F.col("doc_id") / 50).cast("int")})
+    kind = F.element_at(F.array(*map(F.lit, pictures.KINDS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    made = docs.select("book", "page", F.lit(0).alias("place"), kind.alias("kind"), (F.col("doc_id") % 40 + 10).cast("int").alias("width"), (F.col("doc_id") % 23 + 20).cast("int").alias("height"), F.col("text").cast("binary").alias("data"))
+    files = pictures.converted(made)
+    body = docs.select("book", "page", F.lit(0).alias("ord"), F.when(F.col("doc_id") % 7 == 0, "note").otherwise("text").alias("kind"), F.lit("x").alias("text"))
+    every = pictures.with_pictures(body, files)
+    sizes = files.groupBy("book").agg(F.sum(F.octet_length("file")).cast("long").alias("bytes"))
+    last = every.groupBy("book").agg(F.count_if((F.col("kind") == "picture") & (F.col("ord") == 1)).alias("after_body"))
+    return pictures.book_counts(every).join(last, "book").join(sizes, "book", "left").fillna(0, ["notes", "pictures", "bytes"])
+
+
+_PICTURES = """
+WITH d AS (SELECT doc_id, doc_id % 50 AS book, doc_id % 40 + 10 AS w, doc_id % 23 + 20 AS h FROM documents)
+SELECT book, count(*) FILTER (doc_id % 7 = 0) AS notes, count(*) FILTER (w >= 25 AND h >= 25) AS pictures, count(*) FILTER (w >= 25 AND h >= 25) AS after_body,
+  coalesce(sum(54 + (3 * w + 3) // 4 * 4 * h) FILTER (w >= 25 AND h >= 25), 0)::BIGINT AS bytes FROM d GROUP BY book"""
+
 QUERIES = {
     "failed_batches": failed_batches, "audit_sources": audit_sources, "planned_calls": planned_calls, "cache_runs": cache_runs, "dictionary_check": dictionary_check, "dictionary_sorted": dictionary_sorted, "page_lines": page_lines,
-    "maintained_counts": maintained_counts, "footnote_xhtml": footnote_xhtml,
+    "maintained_counts": maintained_counts, "footnote_xhtml": footnote_xhtml, "book_pictures": book_pictures,
 }
-ORACLES = {"failed_batches": _FAILED, "audit_sources": _SOURCES, "planned_calls": _PLANNED, "cache_runs": _RUNS, "dictionary_check": _CHECK, "dictionary_sorted": _SORTED, "page_lines": _LINES, "maintained_counts": _MAINTAINED, "footnote_xhtml": _XHTML}
+ORACLES = {"failed_batches": _FAILED, "audit_sources": _SOURCES, "planned_calls": _PLANNED, "cache_runs": _RUNS, "dictionary_check": _CHECK, "dictionary_sorted": _SORTED, "page_lines": _LINES, "maintained_counts": _MAINTAINED, "footnote_xhtml": _XHTML, "book_pictures": _PICTURES}

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from bookflow.operators import batching, cache_table, chains, correct, footnotes, pages, policy
+from bookflow.operators import batching, cache_table, chains, correct, footnotes, pages, pictures, policy
 from bookflow.sources import dictionary, epub, mobi
 
 
@@ -157,3 +157,26 @@ def test_bad_mobi_files_keep_their_rows(spark):
 def test_three_ways_to_cut_a_book(spark, html, titles):
     parts = spark.createDataFrame([(html,)], "h string").select(mobi.split_chapters(F.col("h")).alias("p")).first().p
     assert [p.title for p in parts] == titles
+
+
+def test_pixels_of_every_kind():
+    rgb = lambda *a: pictures.to_rgb(*a).tolist()
+    assert rgb("bit", 9, 1, b"\x80\x80") == [[[255] * 3] + [[0] * 3] * 7 + [[255] * 3]]
+    assert rgb("grey", 2, 1, b"\x07") == [[[7] * 3, [0] * 3]]
+    assert rgb("rgb", 1, 2, bytes(range(6))) == [[[0, 1, 2]], [[3, 4, 5]]]
+    assert rgb("rgba", 2, 1, bytes([10, 20, 30, 0, 40, 50, 60, 0])) == [[[10, 20, 30], [40, 50, 60]]]
+    assert rgb("rgba", 2, 1, bytes([10, 20, 30, 0, 40, 50, 60, 255])) == [[[255] * 3, [40, 50, 60]]]
+    assert rgb("rgba", 1, 1, bytes([0, 0, 0, 51])) == [[[204] * 3]]
+    assert rgb("cmyk", 1, 1, bytes([0, 255, 0, 0])) == [[[255, 0, 255]]] and rgb("cmyk", 1, 1, b"\0\0\0\xff") == [[[0] * 3]]
+    file = pictures.bmp(pictures.to_rgb("rgb", 3, 2, bytes(range(18))))
+    assert len(file) == 54 + 12 * 2 and file[54:57] == bytes([2, 1, 0]) and file[63:66] == b"\0\0\0"
+
+
+def test_pictures_follow_their_page(spark):
+    made = [("b", 1, 0, "grey", 30, 30, b"x"), ("b", 1, 1, "grey", 24, 30, b"x"), ("b", 2, 0, "jpx", 30, 30, b"x"), ("b", 2, 1, "rgb", 30, 30, None)]
+    found = pictures.converted(spark.createDataFrame(made, "book string, page int, place int, kind string, width int, height int, data binary"))
+    assert sorted((r.page, r.place, r.file is None, r.error is None) for r in found.collect()) == [(1, 0, False, True), (2, 0, True, False), (2, 1, True, False)]
+    body = spark.createDataFrame([("b", 1, 0, "text", "a"), ("b", 1, 1, "note", "n"), ("c", 1, 0, "text", "z")], "book string, page int, ord int, kind string, text string")
+    every = pictures.with_pictures(body, found)
+    assert [(r.ord, r.kind) for r in every.filter("book = 'b' AND page = 1").orderBy("ord").collect()] == [(0, "text"), (1, "note"), (2, "picture")]
+    assert sorted(tuple(r) for r in pictures.book_counts(every).collect()) == [("b", 1, 1), ("c", None, None)]
