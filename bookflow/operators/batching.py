@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,7 +75,7 @@ _OPEN = r"\*{0,2}[\[<](?:BLOCK|BLOK)[_\s]?"
 
 
 def sanitized(text: Column) -> Column:
-    text = F.regexp_replace(text, f"(?i){_MARK}", "")
+    text = F.when(text.rlike("[\\[<]"), F.regexp_replace(text, f"(?i){_MARK}", "")).otherwise(text)
     text = F.regexp_replace(F.regexp_replace(text, f"{WS}{{2,}}", " "), f"{WS}+</", "</")
     return trimmed(text)
 
@@ -84,36 +86,44 @@ def unfenced(text: Column) -> Column:
     return F.when(text.startswith("```"), bare).otherwise(text)
 
 
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """`of` the value, which is computed once: as the one element of an array, since Spark computes what a lambda repeats for each of its elements."""
+    return F.transform(F.array(value), of)[0]
+
+
 def parse_response(response: Column, expected: Column) -> Column:
     """The `expected` blocks of a response as an array of texts, '' for a missing one.
 
     Closed marks count first, the last of a number wins; open marks fill what is
     missing, the first of a number wins; numbers from 1 are shifted where there
     is no 0; a response without marks is the block itself if one is expected, or
-    is split at blank lines if that gives the number expected.
+    is split at blank lines if that gives the number expected. The response is
+    read once and its marks are sorted once, whatever the number of blocks.
     """
-    clean = unfenced(response)
     closed = rf"(?is)({_OPEN}([0-9]+)[\]>]\*{{0,2}}:?(.*?)\*{{0,2}}(?:\[/|</?)(?:BLOCK|BLOK)[_\s]?\2[\]>]\*{{0,2}})"
     opened = rf"(?is)({_OPEN}([0-9]+)[\]>]\*{{0,2}}:?(.*?)(?={_OPEN}[0-9]+[\]>]\*{{0,2}}|\z))"
 
-    def found(pattern: str) -> Column:
+    def found(clean: Column, pattern: str) -> Column:
         numbers, bodies = F.regexp_extract_all(clean, F.lit(pattern), 2), F.regexp_extract_all(clean, F.lit(pattern), 3)
-        both = F.zip_with(numbers, bodies, lambda n, b: F.struct(n.cast("int").alias("n"), sanitized(b).alias("t")))
+        both = F.zip_with(numbers, bodies, lambda n, b: F.struct(n.try_cast("int").alias("n"), sanitized(b).alias("t")))
         return F.filter(both, lambda p: p["t"] != "")
 
-    def pick(of: Column, number: Column, last: bool) -> Column:
-        own = F.filter(of, lambda p: p["n"] == number)
-        return F.try_element_at(own, F.lit(-1 if last else 1))["t"]
-
-    first, second = found(closed), found(opened)
-    enough = F.size(F.array_distinct(first["n"])) >= expected
-
-    def block(number: Column) -> Column:
-        return F.coalesce(pick(first, number, True), F.when(~enough, pick(second, number, False)))
-
-    none = (F.size(first) == 0) & (F.size(second) == 0)
-    shift = F.when(block(F.lit(0)).isNull() & block(F.lit(1)).isNotNull(), 1).otherwise(0)
-    marked = F.transform(F.sequence(F.lit(0), expected - 1), lambda i: F.coalesce(block(i + shift), F.when(shift == 1, block(i)), F.lit("")))
-    parts = F.filter(F.transform(F.split(clean, r"\n\s*\n"), sanitized), lambda p: p != "")
-    bare = F.when(expected == 1, F.array(sanitized(clean))).when(F.size(parts) == expected, parts)
-    return F.when(none & (clean != ""), F.coalesce(bare, marked)).otherwise(marked)
+    def placed(marks: Column, shift: Column, rank: int, last: bool) -> Column:
+        return F.transform(marks, lambda p, i: F.struct((p["n"] - shift).alias("n"), F.lit(rank).alias("rank"), (i if last else -i).alias("at"), p["t"].alias("t")))
+
+    def by_marks(clean: Column, first: Column, second: Column) -> Column:
+        # one sort finds what counts of each number: blank places, marks as numbered where numbers are shifted, open marks, closed ones
+        numbers = F.concat(first["n"], second["n"])
+        shift = F.when(~F.exists(numbers, lambda n: n == 0) & F.exists(numbers, lambda n: n == 1), 1).otherwise(0)
+        blank = F.transform(F.slice(F.sequence(F.lit(0), expected), F.lit(1), expected), lambda i: F.struct(i.alias("n"), F.lit(0).alias("rank"), F.lit(0).alias("at"), F.lit("").alias("t")))
+        every = F.concat(blank, placed(second, F.lit(0), 1, False), placed(first, F.lit(0), 2, True), placed(second, shift, 3, False), placed(first, shift, 4, True))
+        marked = _bound(F.sort_array(F.filter(every, lambda p: p["n"].between(0, expected - 1))), lambda s: F.filter(s, lambda p, i: F.coalesce(F.get(s, i + 1)["n"] != p["n"], F.lit(True)))["t"])
+        parts = F.filter(F.transform(F.split(clean, r"\n\s*\n"), sanitized), lambda p: p != "")
+        bare = F.when(expected == 1, F.array(sanitized(clean))).otherwise(_bound(parts, lambda some: F.when(F.size(some) == expected, some)))
+        return F.when((F.size(first) == 0) & (F.size(second) == 0) & (clean != ""), F.coalesce(bare, marked)).otherwise(marked)
+
+    def by_closed(clean: Column, first: Column) -> Column:
+        enough = F.size(F.array_distinct(first["n"])) >= expected
+        return _bound(F.when(enough, F.slice(first, 1, 0)).otherwise(found(clean, opened)), lambda second: by_marks(clean, first, second))
+
+    return _bound(unfenced(F.coalesce(response, F.lit(""))), lambda clean: _bound(found(clean, closed), lambda first: by_closed(clean, first)))

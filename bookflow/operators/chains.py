@@ -23,10 +23,10 @@ def with_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(where)
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder and read back: computed once, where checkpoint() would compute it twice."""
     spark = df.sparkSession
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/chain-{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -40,13 +40,13 @@ def reached(nodes: DataFrame, key: str) -> DataFrame:
     as nothing is then further on.
     """
     with_checkpoints(nodes.sparkSession)
-    every = _kept(nodes.select(key, "node", "next"))
+    every = kept(nodes.select(key, "node", "next"))
     jumps = every.filter("next IS NOT NULL")
     found = every.groupBy(key).agg(F.min("node").alias("node"))
     while True:
-        more = _kept(found.join(jumps, [key, "node"]).select(key, F.col("next").alias("node")))
+        more = kept(found.join(jumps, [key, "node"]).select(key, F.col("next").alias("node")))
         if more.isEmpty():
             return found
         found = found.union(more)
         twice = jumps.select(key, F.col("node").alias("next"), F.col("next").alias("far"))
-        jumps = _kept(jumps.join(twice, [key, "next"]).select(key, "node", F.col("far").alias("next")))
+        jumps = kept(jumps.join(twice, [key, "next"]).select(key, "node", F.col("far").alias("next")))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookflow.operators.batching import parse_response
-from bookflow.operators.chains import with_checkpoints
+from bookflow.operators.chains import kept, with_checkpoints
 
 Model = Callable[[str], str]
 
@@ -70,24 +70,33 @@ def corrected(blocks: DataFrame, batches: DataFrame, model: Model, parallel: int
     `parallel` tasks call at a time, each with `pause` seconds between calls.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    @F.pandas_udf("string")
+    def ask(requests: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in requests:
             answers = []
-            for request in frame["request"]:
+            for request in some:
                 answers.append(model(request))
                 if pause:
                     time.sleep(pause)
-            yield frame.assign(answer=answers)[["book", "batch", "n", "answer"]]
+            yield pd.Series(answers, dtype=object)
 
-    rows = blocks.join(batches, ["book", "ord"])
-    listed = rows.groupBy("book", "batch").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("items"))
-    marked = F.array_join(F.transform("items", lambda x, i: F.concat(F.lit("[BLOCK_"), i.cast("string"), F.lit("]"), x["text"], F.lit("[/BLOCK_"), i.cast("string"), F.lit("]"))), "\n")
-    requests = listed.select("book", "batch", F.size("items").alias("n"), marked.alias("request")).repartition(parallel)
-    kind = dict(blocks.dtypes)["book"]
-    answers = requests.mapInPandas(run, f"book {kind}, batch int, n int, answer string")
-    parsed = answers.select("book", "batch", F.posexplode(parse_response(F.col("answer"), F.col("n"))).alias("at", "answer"))
-    order = listed.select("book", "batch", F.posexplode("items").alias("at", "item"))
-    return order.join(parsed, ["book", "batch", "at"], "left").select("book", F.col("item.ord").alias("ord"), F.coalesce(F.nullif("answer", F.lit("")), F.col("item.text")).alias("corrected"))
+    listed = _listed(blocks, batches).repartition(parallel)
+    answered = listed.select("book", "items", ask.asNondeterministic()(_marked("items")).alias("answer"))
+    both = answered.select("book", F.explode(_answered()).alias("x"))
+    return both.select("book", F.col("x.items.ord").alias("ord"), _or_own_text().alias("corrected"))
+
+
+def _listed(blocks: DataFrame, batches: DataFrame) -> DataFrame:
+    return blocks.join(batches, ["book", "ord"]).groupBy("book", "batch").agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("items"))
+
+
+def _answered() -> F.Column:
+    """The blocks of a batch, `items`, each with its part of the batch's `answer`."""
+    return F.arrays_zip("items", parse_response(F.col("answer"), F.size("items")).alias("answer"))
+
+
+def _or_own_text() -> F.Column:
+    return F.coalesce(F.nullif(F.col("x.answer"), F.lit("")), F.col("x.items.text"))
 
 
 def _marked(items: str) -> F.Column:
@@ -95,22 +104,21 @@ def _marked(items: str) -> F.Column:
 
 
 def attempted(requests: DataFrame, model: Model) -> DataFrame:
-    """`requests` with `answer` and `error`: the one or the other. An error of the model is a row, so it neither ends the job nor takes other answers with it."""
+    """`requests` with `answer` and `error` in place of `request`: the one or the other. An error of the model is a row, so it neither ends the job nor takes other answers with it. Only requests go to Python."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            answers, errors = [], []
-            for request in frame["request"]:
-                try:
-                    answers.append(model(request))
-                    errors.append(None)
-                except Exception as error:
-                    answers.append(None)
-                    errors.append(f"{type(error).__name__}: {error}"[:500])
-            yield frame.assign(answer=answers, error=errors)
+    @F.pandas_udf("answer string, error string")
+    def ask(requests: pd.Series) -> pd.DataFrame:
+        answers, errors = [], []
+        for request in requests:
+            try:
+                answers.append(model(request))
+                errors.append(None)
+            except Exception as error:
+                answers.append(None)
+                errors.append(f"{type(error).__name__}: {error}"[:500])
+        return pd.DataFrame({"answer": pd.Series(answers, dtype=object), "error": pd.Series(errors, dtype=object)})
 
-    schema = ", ".join(f"`{n}` {k}" for n, k in requests.dtypes)
-    return requests.mapInPandas(run, f"{schema}, answer string, error string")
+    return requests.withColumn("_got", ask.asNondeterministic()("request")).select(*[c for c in requests.columns if c != "request"], "_got.*")
 
 
 def corrected_or_failed(blocks: DataFrame, batches: DataFrame, model: Model, parallel: int = 2) -> DataFrame:
@@ -122,16 +130,11 @@ def corrected_or_failed(blocks: DataFrame, batches: DataFrame, model: Model, par
     never asked again, whatever is lost later.
     """
     with_checkpoints(blocks.sparkSession)
-    listed = blocks.join(batches, ["book", "ord"]).groupBy("book", "batch").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("items"))
-    waiting, out = listed.select("book", "items"), None
+    waiting, out = _listed(blocks, batches).select("book", "items"), None
     while True:
-        asked = waiting.withColumn("request", _marked("items")).repartition(parallel)
-        plain = asked.select("book", F.to_json("items").alias("items"), "request")
-        kind = blocks.schema["ord"].dataType.simpleString()
-        answers = attempted(plain, model).withColumn("items", F.from_json("items", f"array<struct<ord:{kind},text:string>>")).checkpoint()
-        good = answers.filter("error IS NULL").select("book", F.posexplode(F.arrays_zip("items", parse_response(F.col("answer"), F.size("items")).alias("answer"))).alias("at", "x"))
-        text = F.coalesce(F.nullif(F.col("x.answer"), F.lit("")), F.col("x.items.text"))
-        done = good.select("book", F.col("x.items.ord").alias("ord"), text.alias("corrected"), F.lit("llm").alias("source"), F.lit(None).cast("string").alias("error"))
+        answers = kept(attempted(waiting.repartition(parallel).withColumn("request", _marked("items")), model))
+        good = answers.filter("error IS NULL").select("book", F.explode(_answered()).alias("x"))
+        done = good.select("book", F.col("x.items.ord").alias("ord"), _or_own_text().alias("corrected"), F.lit("llm").alias("source"), F.lit(None).cast("string").alias("error"))
         bad = answers.filter("error IS NOT NULL")
         alone = bad.filter("size(items) = 1").select("book", F.col("items")[0]["ord"].alias("ord"), F.col("items")[0]["text"].alias("corrected"), F.lit("error").alias("source"), "error")
         out = done.unionByName(alone) if out is None else out.unionByName(done).unionByName(alone)
