@@ -22,6 +22,9 @@ LITERAL_RULES = (
     (92, rf"(?<=[.?!:»\"']){WS}+[0-9]{{1,4}}\.?{WS}*\z", ""),
 )
 
+#: Patterns that put the same in place, without a search from each letter of a word: what stands before its last one stays as it is.
+SHORTER = {90: rf"([{LETTERS}0-9]){WS}+(['’])([{LETTERS}]+)"}
+
 # Phrases of short words that are no split word.
 SHORT_PHRASES = (
     "o da bir", "bu da bir", "şu da bir", "ne de olsa", "az da olsa", "ve ya da", "o ve bu", "ya da o", "o da o",
@@ -44,20 +47,21 @@ def both_cases(text: str) -> str:
 
 
 FOOTNOTES = r"(?is)<aside\b[^>]*>.*?</aside>|<a\b[^>]*\bepub:type=[\"']noteref[\"'][^>]*>.*?</a>|\[\^[a-zA-Z0-9_:-]+\]:?|\^[a-zA-Z0-9_:-]+:?"
+_FIRST = {w[0]: [v for v in CONFUSED if v[0] == w[0]] for w in CONFUSED}
+_CONFUSED = "|".join(f"{both_cases(first)}(?:{'|'.join(both_cases(w[1:]) for w in words)})" for first, words in _FIRST.items())
+#: What the tests find somewhere in a text. Only whether there is a match counts, so a run is no longer than it need be: one sign before a gap stands for the word that ends in it, and a gap before a full stop for three stops with gaps.
 ANOMALIES = (
-    r"\uFFFD",
-    rf"\.{WS}*,|,{WS}*,|::|;;",
-    f"(?<![{LETTERS}])(?:{'|'.join(both_cases(w) for w in CONFUSED)}|{both_cases('farkıma')}{WS}+{both_cases('var')})[A-Za-z0-9_]*(?![{LETTERS}])",
-    f"[{LETTERS}0-9]+-{WS}+[{LETTERS}]+",
+    r"[\uFFFDÔÊôê@#$\\/|<>~]",
+    rf"[.,],|::|;;|{WS}[,.!?:;]",
     "[cC][lL][aeıioöuüAEIOÖUÜ]",
+    f"[{LETTERS}0-9]-{WS}+[{LETTERS}]",
+    f"[A-Za-z0-9_]{WS}+['’][A-Za-z0-9_]",
     f"(?<![A-Za-z0-9_])(?:{both_cases('bir çok')}(?![A-Za-z0-9_])|{both_cases('her hangi')}(?![A-Za-z0-9_])|{both_cases('bir kaç')}(?=[A-Za-z0-9_])|{both_cases('bir az')}(?![A-Za-z0-9_])|{both_cases('hiç bir')}(?![A-Za-z0-9_]))",
-    f"{WS}+[,.!?:;]",
-    f"[A-Za-z0-9_]+{WS}+['’][A-Za-z0-9_]+",
-    rf"\.{WS}+\.{WS}+\.",
     f"(?<![{_ANY_CASE}])[{_CONSONANTS}]{{5,}}(?![{_ANY_CASE}])",
-    r"[ÔÊôê@#$\\/|<>~]",
-    f"{ASCII_BREAK}[{LOWER}]+[{UPPER}]+[{LOWER}]+{ASCII_BREAK}",
+    f"(?<![{LETTERS}])(?:{_CONFUSED}|{both_cases('farkıma')}{WS}+{both_cases('var')})[A-Za-z0-9_]*(?![{LETTERS}])",
 )
+#: A capital inside a word; looked for where a capital stands after a small letter.
+INNER_CAPITAL = f"{ASCII_BREAK}[{LOWER}]+[{UPPER}]+[{LOWER}]+{ASCII_BREAK}"
 SPLIT_LETTERS = rf"(?<![\p{{L}}\p{{N}}])\p{{L}}{{1,2}}{WS}+\p{{L}}{{1,2}}{WS}+\p{{L}}{{1,2}}(?![\p{{L}}\p{{N}}])"
 
 
@@ -65,7 +69,7 @@ def clean_literal(text: Column, numbers: tuple[int, ...] = tuple(r[0] for r in L
     """The literal rules in catalog order, each on the one before's output."""
     for number, pattern, to in LITERAL_RULES:
         if number in numbers:
-            text = F.regexp_replace(text, pattern, to)
+            text = F.regexp_replace(text, SHORTER.get(number, pattern), to)
     return text
 
 
@@ -80,6 +84,7 @@ def has_anomaly(text: Column, split_letters: bool = True) -> Column:
         hit = F.lit(False)
         for pattern in ANOMALIES:
             hit = hit | plain.rlike(pattern)
+        hit = hit | plain.rlike(f"[{LOWER}][{UPPER}]") & plain.rlike(INNER_CAPITAL)
         if split_letters:
             found = F.regexp_extract_all(plain, F.lit(f"({SPLIT_LETTERS})"), 1)
             hit = hit | F.exists(found, lambda m: ~F.lower(m).isin(*SHORT_PHRASES))

@@ -12,7 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: As Python's re takes it.
+PLAIN_WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+#: The same for Java, which tries the parts of a class one by one: signs from ! to ~, nearly all there are, fail at the first.
+WS = rf"[\x00-\x20\x7f-\x{{10ffff}}&&{PLAIN_WS}]"
 LETTERS = "a-zA-ZçğıöşüÇĞİÖŞÜ"
 LOWER, UPPER = "a-zçğıöşü", "A-ZÇĞİÖŞÜ"
 #: Between words of ASCII word characters.

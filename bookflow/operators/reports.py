@@ -16,13 +16,13 @@ def _change(pattern: str, to: str):
 
 def rule_changes(blocks: DataFrame, keys: list[str], text: str, numbers: tuple[int, ...]) -> DataFrame:
     """`keys, rule_no, before, after`: each match of each literal rule, in the text that the rules before left."""
-    current, steps = F.col(text), []
+    rows, steps, at = blocks.withColumn("_t0", F.col(text)), [], 0
     for number, pattern, to in LITERAL_RULES:
         if number in numbers:
-            found = F.regexp_extract_all(current, F.lit(f"({pattern})"), 1)
+            found = F.regexp_extract_all(F.col(f"_t{at}"), F.lit(f"({pattern})"), 1)
             steps.append(F.struct(F.lit(number).alias("rule_no"), F.transform(found, _change(pattern, to)).alias("changes")))
-            current = F.regexp_replace(current, pattern, to)
-    each = blocks.select(*keys, F.explode(F.array(*steps)).alias("s")).select(*keys, "s.rule_no", F.explode("s.changes").alias("c"))
+            rows, at = rows.withColumn(f"_t{at + 1}", F.regexp_replace(f"_t{at}", pattern, to)), at + 1  # a column of its own, so each is made once
+    each = rows.select(*keys, F.explode(F.array(*steps)).alias("s")).select(*keys, "s.rule_no", F.explode("s.changes").alias("c"))
     return each.select(*keys, "rule_no", "c.before", "c.after")
 
 

@@ -48,10 +48,10 @@ def clean_literal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anomaly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = blocks(spark, sf_dir).withColumn("d", damaged(F.col("original_text")))
+    rows = blocks(spark, sf_dir).withColumn("d", damaged(F.col("original_text"))).withColumn("before", has_anomaly(F.col("original_text"), False))
     return rows.groupBy("source").agg(
-        F.count_if(has_anomaly(F.col("original_text"), False)).alias("before_damage"), F.count_if(has_anomaly(F.col("d"), False)).alias("after_damage"),
-        F.count_if(has_anomaly(F.col("original_text"))).alias("with_split_letters"),
+        F.count_if("before").alias("before_damage"), F.count_if(F.when(F.col("d") == F.col("original_text"), F.col("before")).otherwise(has_anomaly(F.col("d"), False))).alias("after_damage"),
+        F.count_if(F.col("before") | has_anomaly(F.col("original_text"))).alias("with_split_letters"),
     )
 
 
