@@ -52,6 +52,10 @@ def escape_xml(text: Column) -> Column:
     return text
 
 
+#: An ampersand that begins no character reference with its end.
+BARE_AMPERSAND = "&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)"
+
+
 def round_half_up(number: Column) -> Column:
     """Halves go toward plus infinity."""
     return F.floor(number + 0.5)
@@ -66,9 +70,9 @@ def duration(seconds: Column) -> Column:
 
 
 def file_size(n_bytes: Column) -> Column:
-    """Megabytes with two decimals from one megabyte on, else whole kilobytes."""
-    mb = n_bytes / F.lit(1024.0 * 1024.0)
-    return F.when(mb >= 1, F.concat(F.format_string("%.2f", mb), F.lit(" MB"))).otherwise(F.concat(F.format_string("%.0f", n_bytes / F.lit(1024.0)), F.lit(" KB")))
+    """Megabytes with two decimals from one megabyte on, else whole kilobytes; halves go to the even number, as in C's printf. Divisions by powers of two are exact."""
+    hundredths = F.rint(n_bytes * 100 / F.lit(1024.0 * 1024.0))
+    return F.when(n_bytes >= 1024 * 1024, F.concat(F.format_string("%.2f", hundredths / 100), F.lit(" MB"))).otherwise(F.concat(F.format_string("%.0f", F.rint(n_bytes / F.lit(1024.0))), F.lit(" KB")))
 
 
 def output_name(file_name: Column, language: Column | None = None) -> Column:

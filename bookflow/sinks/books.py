@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
 from html import escape
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.functions.text import escape_xml
+from bookflow.functions.text import BARE_AMPERSAND, escape_xml
 from bookflow.sources.html_blocks import rebuilt
 
 RECORD = 4096
@@ -39,7 +40,7 @@ def rebuilt_chapters(chapters: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def epub_files(title: str, creator: str | None, language: str, identifier: str, chapters: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """Names and texts of an EPUB's files, the type first."""
+    """Names and texts of an EPUB's files, the type first. A bare ampersand of a page is written as a reference, as XML wants it: a cut `&amp` stays the text that it was."""
     names = [f"chapter_{k + 1:03}.xhtml" for k in range(len(chapters))]
     page = lambda head, body: f'<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>{escape(head)}</title></head><body>{body}</body></html>'
     items = "".join(f'<item id="c{k}" href="{n}" media-type="application/xhtml+xml"/>' for k, n in enumerate(names))
@@ -53,7 +54,7 @@ def epub_files(title: str, creator: str | None, language: str, identifier: str,
         ("OEBPS/content.opf", f'<?xml version="1.0" encoding="utf-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">{escape(identifier)}</dc:identifier><dc:title>{escape(title)}</dc:title>{by}<dc:language>{escape(language)}</dc:language></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>{items}</manifest><spine toc="ncx">{refs}</spine></package>'),
         ("OEBPS/toc.ncx", f'<?xml version="1.0" encoding="utf-8"?><ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><docTitle><text>{escape(title)}</text></docTitle><navMap>{points}</navMap></ncx>'),
         ("OEBPS/nav.xhtml", page(title, f'<nav epub:type="toc"><ol>{links}</ol></nav>')),
-        *((f"OEBPS/{n}", page(t, h)) for n, (t, h) in zip(names, chapters, strict=True)),
+        *((f"OEBPS/{n}", page(t, re.sub(BARE_AMPERSAND, "&amp;", h))) for n, (t, h) in zip(names, chapters, strict=True)),
     ]
 
 
