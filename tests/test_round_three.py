@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from bookflow.functions import rules
 from bookflow.functions import text as tx
 from bookflow.operators import batching, correct
 from bookflow.sinks import books as sinks
@@ -46,3 +47,21 @@ def test_no_request_is_asked_twice(spark, tmp_path):
     assert sorted((r.ord, r.source) for r in done.collect()) == [(0, "llm"), (1, "llm"), (2, "error"), (3, "llm")]
     calls = (tmp_path / "calls").read_text().splitlines()
     assert len(calls) == len(set(calls)) == 5  # the checkpoint asked each twice before
+
+
+def test_rules_that_can_find_nothing_are_not_tried():
+    tried = []
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def sub(self, to, text):
+            tried.append(text)
+            return self.pattern.sub(to, text)
+
+    lexicon = rules.Lexicon([])
+    every = [(n, name, Counted(p), to) for n, name, p, to in rules.catalog(lexicon)]
+    assert rules.repair("plain words alone", every, lexicon) == ("plain words alone", [])
+    assert len(tried) < 10  # all 92 before
+    assert rules.repair("YARM deil soma B a ş l a d ı de ğil", every, lexicon)[0] == "YARIN değil sonra Başladı değil"
