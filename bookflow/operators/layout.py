@@ -8,14 +8,14 @@ further below the item above it than SAME_LINE.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bookflow.functions.casing import any_case
 from bookflow.functions.rules import FINISHED_ENDINGS
 from bookflow.functions.text import LETTERS, UPPER, WS, trimmed
-from bookflow.operators.chains import reached
+from bookflow.operators.chains import kept, reached, with_checkpoints
 from bookflow.operators.pages import CHAPTER, collapse_letter_spacing, is_chapter_heading, nearest_lines, percentile, running_medians
 
 # Raised signs, tolerances and patterns of the layout.
@@ -33,6 +33,11 @@ LOW, VERY_LOW, SMALL = 0.45, 0.65, 0.94
 FIXED_LEAST, AUTO_LEAST, HEADING_LEAST = 20, 35, 2
 
 
+def partitions(spark: SparkSession) -> int:
+    """Into how many partitions items go: as many as a shuffle has, and four for each core at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def _page(*order: str) -> W:
     return W.partitionBy("book", "page").orderBy(*order)
 
@@ -43,8 +48,16 @@ def _plain_signs(text: Column) -> Column:
     return text
 
 
-def page_lines(items: DataFrame) -> DataFrame:
-    """`book, page, line_no, y, min_x, max_x, font, text` from `book, page, text, x, y, width, font`, in reading order. A raised mark belongs to the nearest line that it stands by, a wide gap cuts a line."""
+def page_lines(items: DataFrame, parts: int | None = None) -> DataFrame:
+    """`book, page, line_no, y, min_x, max_x, font, text` from `book, page, text, x, y, width, font`, in reading order. A raised mark belongs to the nearest line that it stands by, a wide gap cuts a line.
+
+    Items are dealt out by page once, or not at all where they are in `parts`
+    partitions by a hash of their book; raised marks, few, come to where their
+    page's items are. So no window or aggregate shuffles items again.
+    """
+    by = ["book"] if parts else ["book", "page"]
+    n = parts or partitions(items.sparkSession)
+    items = items if parts else items.repartition(n, *by)
     rows = items.withColumns({"text": F.coalesce("text", F.lit("")), "mark": F.xxhash64("text", "x", "y", "font")}).dropDuplicates(["book", "page", "mark", "width"])
     raised = (F.col("font") <= MARK_FONT) & trimmed(F.col("text")).rlike(MARK)
     far = F.coalesce(F.col("y") - F.lag("y").over(_page("y", "x")) > SAME_LINE, F.lit(False))
@@ -55,7 +68,8 @@ def page_lines(items: DataFrame) -> DataFrame:
     near = nearest_lines(marks.select("book", "page", "mark", "x", "y"), bounds, ["book", "page"]).select("book", "page", "mark", "line")
     placed = marks.join(near, ["book", "page", "mark"], "left")
     alone = islands(placed.filter("line IS NULL").drop("line")).withColumn("line", -1 - F.col("line"))
-    every = own.unionByName(placed.filter("line IS NOT NULL")).unionByName(alone).filter("text <> ''")
+    placed = placed.filter("line IS NOT NULL").unionByName(alone).repartition(n, *by)
+    every = own.unionByName(placed).filter("text <> ''")
 
     in_line = W.partitionBy("book", "page", "line").orderBy("x", "mark")
     gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(in_line)
@@ -156,10 +170,11 @@ def line_paragraphs(lines: DataFrame, height: float) -> DataFrame:
     return every.withColumn("ord", (F.row_number().over(W.partitionBy("book", "page").orderBy(F.col("kind") == "note", "first")) - 1).cast("int")).select("book", "page", "ord", "kind", "text", "note")
 
 
-def page_paragraphs(items: DataFrame, height: float) -> DataFrame:
-    """`line_paragraphs` of items, the median size taken over all pages so far."""
+def page_paragraphs(items: DataFrame, height: float, parts: int | None = None) -> DataFrame:
+    """`line_paragraphs` of items, the median size taken over all pages so far; `parts` as in `page_lines`. Lines are written once, as notes, their labels and the body are each made from them."""
+    with_checkpoints(items.sparkSession)
     medians = running_medians(items, "book", "page", "font")
-    return line_paragraphs(page_lines(items).join(medians, ["book", "page"]), height)
+    return line_paragraphs(kept(page_lines(items, parts).join(medians, ["book", "page"])), height)
 
 
 def chapters(paragraphs: DataFrame, fixed_pages: bool = False, pages: int = 15) -> DataFrame:
@@ -168,8 +183,11 @@ def chapters(paragraphs: DataFrame, fixed_pages: bool = False, pages: int = 15)
     A chapter's start names the start of the next: by `fixed_pages` the paragraph
     after the first that is far enough on in pages and number; else the next major
     heading, or while a book has had none the end of every `pages` pages. The
-    starts are those that the first one reaches.
+    starts are those that the first one reaches. Paragraphs are written once, as
+    the starts and the counts are both made from them.
     """
+    with_checkpoints(paragraphs.sparkSession)
+    paragraphs = kept(paragraphs)
     book = W.partitionBy("book")
     at = book.orderBy("at")
     title = collapse_letter_spacing(trimmed(F.col("text")))

@@ -121,7 +121,7 @@ SELECT word, left(word, 1) AS letter, row_number() OVER (PARTITION BY left(word,
 
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of positioned words, a hash of each page's."""
-    lines = layout.page_lines(page_items(spark, sf_dir))
+    lines = layout.page_lines(page_items(spark, sf_dir), layout.partitions(spark))
     texts = F.array_sort(F.collect_list(F.struct("line_no", "text")))
     return lines.groupBy("book", "page").agg(F.count(F.lit(1)).alias("lines"), F.md5(F.array_join(F.transform(texts, lambda x: x["text"]), "\n")).alias("texts_md5"))
 
