@@ -9,7 +9,7 @@ from bookflow.functions import text as tx
 from bookflow.functions.literal_rules import CONFUSED, clean_literal, has_anomaly
 from bookflow.operators import answers as answers_of
 from bookflow.operators import batching, cache, correct, findings, reports, stitch
-from bookflow.plans.base import BLOCKS, DAMAGED, blocks, damaged, read
+from bookflow.plans.base import BLOCKS, DAMAGED, blocks, damaged, read, spread
 
 CLEANED_RULES = (1, 4, 13, 53, 54, 55, 56, 89)
 COUNTED_RULES = (13, 53, 54, 55, 56, 89)
@@ -118,7 +118,7 @@ _HEADING = "^[A-Z][^.]{0,40}$"
 
 def stitch_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines cut again before every ' of ' or ' de ', then stitched."""
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     cut = F.replace(F.replace(F.col("text"), F.lit(" of "), F.lit("\nof ")), F.lit("ing "), F.lit("ing-\n"))
     rows = docs.select("doc_id", F.posexplode(F.split(cut, "\n")).alias("block_no", "line"))
     out = stitch.stitch_paragraphs(rows, "doc_id", "block_no", "line", tx.trimmed(F.col("line")).rlike(_HEADING.replace("$", r"\z")))
@@ -142,7 +142,7 @@ UNION ALL SELECT doc_id, ord, ord, 1, md5(t), true FROM kept WHERE is_heading"""
 
 
 def hyphen_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     rows = docs.select("doc_id", F.posexplode(F.split(F.replace(F.col("text"), F.lit(" th"), F.lit("-\nth")), "\n")).alias("block_no", "line"))
     return stitch.merge_hyphen_pairs(rows, "doc_id", "block_no", "line").select(F.col("book").alias("doc_id"), "ord", F.md5("text").alias("text_md5"), "is_merged")
 
