@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bookflow.functions.literal_rules import LITERAL_RULES
 from bookflow.functions.text import LETTERS, turkish_lower
+from bookflow.operators.chains import kept, with_checkpoints
 
 
 def _change(pattern: str, to: str):
@@ -49,13 +50,38 @@ def suspect_categories(word: Column) -> Column:
     return F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in tests.items()]), lambda c: c.isNotNull())
 
 
+def _any_case(word: str) -> str:
+    """A pattern of what turkish_lower makes `word` of."""
+    return "".join(f"[{c}{ {'i': 'İ', 'ı': 'I'}.get(c, c.upper()) }]" for c in word)
+
+
+def _one_of(words: list[str]) -> str:
+    """A pattern of any of `words` in any case, tried by their first letters."""
+    heads = {w[0]: sorted({v[1:] for v in words if v[0] == w[0]}) for w in words}
+    return "|".join(f"{_any_case(head)}(?:{'|'.join(map(_any_case, tails))})" for head, tails in heads.items())
+
+
+_OTHER = "a-gj-km-zçğıöşüA-ZÇĞİÖŞÜ"  # letters but l, h and i
+#: What every word of some category has in it, where a word is all letters and digits that stand together.
+SUSPECT = (
+    f"[cC][lL][{LETTERS}]|{_one_of(['amlik', 'umuk', 'umdu', 'umca', 'urna', 'irni', 'vv'])}|[0-9][{_OTHER}]*+[lhi]|[lhi][{_OTHER}]*+[0-9]"
+    f"|(?<![{LETTERS}0-9])(?:{_one_of(M_FOR_RN + UNMARKED)})(?![{LETTERS}0-9])"
+)
+
+
 def suspect_words(blocks: DataFrame, order: list[str], text: str, contexts: int = 3, chars: int = 120) -> DataFrame:
-    """`category, word, n, contexts`: how often, and where first."""
-    words = blocks.select(*order, text, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"([{LETTERS}0-9]+)"), 1)).alias("pos", "word"))
-    found = words.withColumn("category", F.explode(suspect_categories(F.col("word"))))
+    """`category, word, n, contexts`: how often, and where first.
+
+    Only blocks in which one pattern finds a suspect become words, and only
+    suspects are sorted into categories. They are few, and written once.
+    """
+    with_checkpoints(blocks.sparkSession)
+    some = blocks.filter(F.col(text).rlike(SUSPECT))
+    words = some.select(*order, text, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"([{LETTERS}0-9]+)"), 1)).alias("pos", "word")).filter(F.col("word").rlike(SUSPECT))
     shown = F.when(F.char_length(text) > chars, F.concat(F.substring(text, 1, chars), F.lit("..."))).otherwise(F.col(text))
+    found = kept(words.select(*order, "pos", "word", shown.alias("shown"), F.explode(suspect_categories(F.col("word"))).alias("category")))
     first = W.partitionBy("category", "word").orderBy(*order, "pos")
-    top = found.select("category", "word", *order, "pos", shown.alias("shown")).withColumn("place", F.row_number().over(first)).filter(F.col("place") <= contexts)
+    top = found.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= contexts)
     top = top.groupBy("category", "word").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "shown"))), lambda p: p["shown"]), " | ").alias("contexts"))
     return found.groupBy("category", "word").agg(F.count(F.lit(1)).alias("n")).join(top, ["category", "word"])
 
