@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 from bookflow.functions.text import LETTERS, WS
 
 # Patterns of the two kinds, and the width of what is shown on either side.
-KINDS = {"hyphen split": f"[{LETTERS}]+-{WS}+[{LETTERS}]+", "space before punctuation": f"{WS}+[,.!?:;]"}
+KINDS = {"hyphen split": f"(?<![{LETTERS}])[{LETTERS}]++-{WS}+[{LETTERS}]+", "space before punctuation": f"(?<!{WS}){WS}++[,.!?:;]"}
+#: Patterns with as many matches: of what stands before the sign that counts, the last letter or space is enough.
+COUNTED = {"hyphen split": f"[{LETTERS}]-{WS}+[{LETTERS}]+", "space before punctuation": f"{WS}[,.!?:;]"}
 AROUND, FIRST = 30, 15
 
 
-def places(blocks: DataFrame, keys: list[str], text: str, kind: str) -> DataFrame:
-    """`kind, keys, pos, match, snippet` of each match, `pos` from 0. A match begins after all pieces and matches before it."""
+def places(blocks: DataFrame, keys: list[str], text: str, kind: str, first: int | None = None) -> DataFrame:
+    """`kind, keys, pos, match, snippet` of each match, or of a block's `first`; `pos` from 0. A match begins after all pieces and matches before it."""
     t = F.col(text)
-    found, pieces = F.regexp_extract_all(t, F.lit(f"({KINDS[kind]})"), 1), F.split(t, KINDS[kind], -1)
+    cut = lambda parts: parts if first is None else F.slice(parts, 1, first)
+    found, pieces = cut(F.regexp_extract_all(t, F.lit(f"({KINDS[kind]})"), 1)), cut(F.split(t, KINDS[kind], -1))
     each = blocks.select(*keys, t.alias("_text"), pieces.alias("_pieces"), found.alias("_found")).filter(F.size("_found") > 0)
     length = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda total, p: total + F.char_length(p))
     rows = each.select("*", F.posexplode("_found").alias("_nth", "match")).withColumn("pos", length("_pieces", F.col("_nth") + 1) + length("_found", F.col("_nth")))
@@ -27,10 +30,16 @@ def places(blocks: DataFrame, keys: list[str], text: str, kind: str) -> DataFram
 
 
 def first_places(blocks: DataFrame, keys: list[str], text: str, first: int = FIRST) -> DataFrame:
-    """The `first` places of each kind in the order of `keys`, and how many there are in all."""
+    """The `first` places of each kind in the order of `keys`, and how many there are in all.
+
+    Each of the first blocks with a match has one of its own, so the first places
+    are in so many blocks, and only those are cut into pieces; in all others
+    matches are counted.
+    """
+    counts = blocks.agg(*[F.sum(F.regexp_count(text, F.lit(pattern))).alias(kind) for kind, pattern in COUNTED.items()])
+    total = counts.select(F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"`{kind}`").alias("n")) for kind in KINDS])))
     tops = []
     for kind in KINDS:
-        found = places(blocks, keys, text, kind)
-        total = found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-        tops.append(found.orderBy(*keys, "pos").limit(first).join(total, "kind"))
-    return reduce(DataFrame.unionByName, tops)
+        some = blocks.filter(F.col(text).rlike(COUNTED[kind])).orderBy(*keys, F.regexp_instr(text, F.lit(KINDS[kind]))).limit(first)
+        tops.append(places(some, keys, text, kind, first).orderBy(*keys, "pos").limit(first))
+    return reduce(DataFrame.unionByName, tops).join(F.broadcast(total), "kind")  # a row for each kind

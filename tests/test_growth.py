@@ -17,3 +17,17 @@ def test_only_suspects_are_sorted_into_categories(spark):
     frame = spark.createDataFrame([(w,) for w in words], "w string")
     got = frame.select("w", (F.size(reports.suspect_categories(F.col("w"))) > 0).alias("some"), F.col("w").rlike(reports.SUSPECT).alias("found")).collect()
     assert [r.w for r in got if r.some != r.found] == [] and {r.w for r in got if not r.some} >= {"99", "9L", "plain", "virnı", "kamiya", "somak", "CL"}
+
+
+def test_many_places_in_a_block(spark):
+    frame = spark.createDataFrame([(1, " ," * 50_000), (0, "a , b"), (2, None)], "k int, t string")
+    got = findings.first_places(frame, ["k"], "t", 3).orderBy("k", "pos").collect()
+    assert [(r.k, r.pos, r.match, r.n) for r in got] == [(0, 1, " ,", 50_001), (1, 0, " ,", 50_001), (1, 2, " ,", 50_001)]
+
+
+@pytest.mark.parametrize("kind", findings.KINDS)
+def test_counted_patterns_find_as_much(spark, kind):
+    texts = ["ab- cd- e", "a-  b- c d-\n e", "x - y", "  , ,.  !", "a ,b \t;", "çok- şey-", ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in frame.select("t", F.regexp_count("t", F.lit(findings.KINDS[kind])).alias("a"), F.regexp_count("t", F.lit(findings.COUNTED[kind])).alias("b")).collect():
+        assert r.a == r.b, r.t
