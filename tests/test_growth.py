@@ -31,3 +31,10 @@ def test_counted_patterns_find_as_much(spark, kind):
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in frame.select("t", F.regexp_count("t", F.lit(findings.KINDS[kind])).alias("a"), F.regexp_count("t", F.lit(findings.COUNTED[kind])).alias("b")).collect():
         assert r.a == r.b, r.t
+
+
+def test_long_texts_with_only_more_tokens():
+    whole = "a, b. " * 20_000
+    runs, words = text_diff(whole.replace(", ", " ,, ").replace(". ", " . "), whole)
+    assert len(runs) == 120_001 and words == 0  # a trail of gigabytes before
+    assert text_diff("a b", "a c b") == ([("equal", "a "), ("added", "c "), ("equal", "b")], 1)
