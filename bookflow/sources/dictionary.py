@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bookflow.functions.text import LETTERS, trimmed, turkish_lower
+from bookflow.functions.text import LETTERS, LOWER, trimmed, turkish_lower
+from bookflow.operators.chains import kept, with_checkpoints
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -23,12 +24,15 @@ def build(texts: DataFrame, text: str, least: int = 2) -> DataFrame:
 def known(texts: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
     """`key, words, known`: how many different words a text has, and how many of them the list knows.
 
-    Words are looked up once for each that is in any text, so the list meets
-    distinct words; Spark broadcasts it, or filters by a Bloom filter, by its size.
+    Texts are dealt out by `key` before they become words, which stay where their
+    text is unless the list is too large to be broadcast: written first, it has a
+    size by which Spark decides that.
     """
-    found = texts.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit(f"([{LETTERS}âîûÂÎÛ]+)"), 1)).alias("w")).filter(F.char_length("w") >= 2)
-    each = found.select(key, F.translate(turkish_lower(F.col("w")), "âîû", "aiu").alias("word")).distinct()
-    listed = each.select("word").distinct().join(words, "word", "left_semi").withColumn("listed", F.lit(1))
+    with_checkpoints(texts.sparkSession)
+    listed = kept(words.select("word").distinct()).withColumn("listed", F.lit(1))
+    low = F.lower(F.translate(F.col(text), "İI\u212aâîûÂÎÛ", "iı aiuaiu"))  # the Kelvin sign is no letter here, though a k in lower case
+    dealt = texts.select(key, F.col(text)).repartition(key)
+    each = dealt.select(key, F.explode(F.regexp_extract_all(low, F.lit(f"([{LOWER}]+)"), 1)).alias("word")).filter(F.char_length("word") >= 2).distinct()
     return each.join(listed, "word", "left").groupBy(key).agg(F.count(F.lit(1)).alias("words"), F.count("listed").alias("known"))
 
 

@@ -38,3 +38,10 @@ def test_long_texts_with_only_more_tokens():
     runs, words = text_diff(whole.replace(", ", " ,, ").replace(". ", " . "), whole)
     assert len(runs) == 120_001 and words == 0  # a trail of gigabytes before
     assert text_diff("a b", "a c b") == ([("equal", "a "), ("added", "c "), ("equal", "b")], 1)
+
+
+def test_words_stay_where_their_text_is(spark):
+    words = spark.createDataFrame([("cam",), ("cam",), ("kaya",)], "word string")
+    texts = spark.createDataFrame([(1, "Cam ÇAM cam xyz KAYA Kaya Kâya"), (1, "cam")], "id int, t string")
+    out = dictionary.known(texts, "id", "t", words)
+    assert [tuple(r) for r in out.collect()] == [(1, 5, 2)] and shuffles(out) == 1
