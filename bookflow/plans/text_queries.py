@@ -9,6 +9,7 @@ from bookflow.functions import text as tx
 from bookflow.functions.literal_rules import CONFUSED, clean_literal, has_anomaly
 from bookflow.operators import answers as answers_of
 from bookflow.operators import batching, cache, correct, findings, reports, stitch
+from bookflow.operators.chains import kept, with_checkpoints
 from bookflow.plans.base import BLOCKS, DAMAGED, blocks, damaged, read, spread
 
 CLEANED_RULES = (1, 4, 13, 53, 54, 55, 56, 89)
@@ -329,7 +330,9 @@ SELECT mode, {_ROUTE} AS route, count(*) AS blocks FROM a GROUP BY ALL"""
 
 def joined_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All routes of the smart mode as one table again: cached texts say so, the model writes OF for of."""
-    rows = _routed(spark, sf_dir, ("smart",)).withColumn("cached_text", F.concat(F.lit("cached: "), F.col("original_text")))
+    with_checkpoints(spark)
+    routed = kept(_routed(spark, sf_dir, ("smart",)).select("doc_id", "block_no", "route", "original_text", "corrected_text"))  # batches, requests and the join begin with it
+    rows = routed.withColumn("cached_text", F.concat(F.lit("cached: "), F.col("original_text")))
     asked = rows.filter("route = 'model'").select(F.col("doc_id").alias("book"), F.col("block_no").alias("ord"), F.col("corrected_text").alias("text"))
     answers = correct.corrected(asked, batching.greedy_batches(asked, "book", "ord", "text", 3000), _writes("OF"), 8)
     out = answers_of.joined_routes(rows, answers.select(F.col("book").alias("doc_id"), F.col("ord").alias("block_no"), "corrected"), ["doc_id", "block_no"])
