@@ -22,8 +22,12 @@ LOWER, UPPER = "a-zçğıöşü", "A-ZÇĞİÖŞÜ"
 ASCII_BREAK = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
+#: The characters of the class.
+WS_SIGNS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+\\z", "")
+    return F.btrim(text, F.lit(WS_SIGNS))
 
 
 def turkish_lower(text: Column) -> Column:

@@ -25,11 +25,12 @@ def greedy_batches(blocks: DataFrame, book: str, order: str, text: str, max_char
     rows = blocks.select(F.col(book).alias("book"), F.col(order).alias("ord"), F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("n"))
     at = W.partitionBy("book").orderBy("ord")
     rows = rows.withColumns({"node": F.row_number().over(at) - 1, "through": F.sum("n").over(at)})
-    some = F.min(F.when(F.col("n") > 0, F.col("node"))).over(at.rowsBetween(0, W.unboundedFollowing))
+    # what follows is what precedes in the reverse order: Spark computes a frame without end anew for each of its rows
+    some = F.min(F.when(F.col("n") > 0, F.col("node"))).over(W.partitionBy("book").orderBy(F.desc("node")).rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("some", some)
     both = F.explode(F.array(F.struct(F.col("through").alias("sum"), F.lit(0).alias("asks")), F.struct((F.col("through") - F.col("n") + max_chars).alias("sum"), F.lit(1).alias("asks")))).alias("place")
     placed = rows.select("book", "node", "some", both).select("book", "node", "some", "place.*")
-    later = W.partitionBy("book").orderBy("sum", "asks", "node").rowsBetween(1, W.unboundedFollowing)
+    later = W.partitionBy("book").orderBy(F.desc("sum"), F.desc("asks"), F.desc("node")).rowsBetween(W.unboundedPreceding, -1)
     found = placed.withColumn("found", F.min(F.when(F.col("asks") == 0, F.col("node"))).over(later)).filter("asks = 1")
     following = F.when(F.col("found") > F.col("some"), F.col("found")).when(F.col("found").isNotNull(), F.col("some") + 1)
     last = F.max("node").over(W.partitionBy("book"))
@@ -75,15 +76,17 @@ _OPEN = r"\*{0,2}[\[<](?:BLOCK|BLOK)[_\s]?"
 
 
 def sanitized(text: Column) -> Column:
-    text = F.when(text.rlike("[\\[<]"), F.regexp_replace(text, f"(?i){_MARK}", "")).otherwise(text)
-    text = F.regexp_replace(F.regexp_replace(text, f"{WS}{{2,}}", " "), f"{WS}+</", "</")
-    return trimmed(text)
+    def spaced(bare: Column) -> Column:
+        once = F.regexp_replace(bare, f"{WS}{{2,}}", " ")
+        return trimmed(F.when(F.contains(bare, F.lit("</")), F.regexp_replace(once, f"{WS}+</", "</")).otherwise(once))
+
+    return _bound(F.when(text.rlike("[\\[<]"), F.regexp_replace(text, f"(?i){_MARK}", "")).otherwise(text), spaced)
 
 
 def unfenced(text: Column) -> Column:
-    text = trimmed(text)
-    bare = trimmed(F.regexp_replace(F.regexp_replace(text, r"^```[a-zA-Z0-9_-]*\s*\n?", ""), r"\n?```\s*\z", ""))
-    return F.when(text.startswith("```"), bare).otherwise(text)
+    whole = trimmed(text)
+    bare = trimmed(F.regexp_replace(F.regexp_replace(whole, r"^```[a-zA-Z0-9_-]*\s*\n?", ""), r"\n?```\s*\z", ""))
+    return F.when(F.contains(text, F.lit("```")) & whole.startswith("```"), bare).otherwise(whole)
 
 
 def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
@@ -100,8 +103,11 @@ def parse_response(response: Column, expected: Column) -> Column:
     is split at blank lines if that gives the number expected. The response is
     read once and its marks are sorted once, whatever the number of blocks.
     """
-    closed = rf"(?is)({_OPEN}([0-9]+)[\]>]\*{{0,2}}:?(.*?)\*{{0,2}}(?:\[/|</?)(?:BLOCK|BLOK)[_\s]?\2[\]>]\*{{0,2}})"
-    opened = rf"(?is)({_OPEN}([0-9]+)[\]>]\*{{0,2}}:?(.*?)(?={_OPEN}[0-9]+[\]>]\*{{0,2}}|\z))"
+    # a body's end can only stand at one of three signs, so it is looked for there and runs of others are taken at once
+    body = lambda end: rf"((?:[^*\[<]++|(?!{end})[*\[<])*+)"
+    close = r"\*{0,2}(?:\[/|</?)(?:BLOCK|BLOK)[_\s]?\2[\]>]\*{0,2}"
+    closed = rf"(?is)({_OPEN}([0-9]+)[\]>]\*{{0,2}}:?{body(close)}{close})"
+    opened = rf"(?is)({_OPEN}([0-9]+)[\]>]\*{{0,2}}:?{body(f'{_OPEN}[0-9]+[{chr(92)}]>]')})"
 
     def found(clean: Column, pattern: str) -> Column:
         numbers, bodies = F.regexp_extract_all(clean, F.lit(pattern), 2), F.regexp_extract_all(clean, F.lit(pattern), 3)

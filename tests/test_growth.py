@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from bookflow.functions import text as tx
 from bookflow.functions.diff import text_diff
-from bookflow.operators import findings, reports
+from bookflow.operators import batching, findings, reports
+from bookflow.plans import text_queries
 from bookflow.sources import dictionary
 
 
@@ -42,6 +44,32 @@ def test_long_texts_with_only_more_tokens():
 
 def test_words_stay_where_their_text_is(spark):
     words = spark.createDataFrame([("cam",), ("cam",), ("kaya",)], "word string")
-    texts = spark.createDataFrame([(1, "Cam ÇAM cam xyz KAYA Kaya Kâya"), (1, "cam")], "id int, t string")
+    texts = spark.createDataFrame([(1, "Cam ÇAM cam xyz KAYA Kâya \u212aaya"), (1, "cam")], "id int, t string")
     out = dictionary.known(texts, "id", "t", words)
-    assert [tuple(r) for r in out.collect()] == [(1, 5, 2)] and shuffles(out) == 1
+    assert shuffles(out) == 1  # three before
+    assert [tuple(r) for r in out.collect()] == [(1, 5, 2)]
+
+
+def test_a_book_of_many_blocks_is_batched(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.lit("b").alias("book"), F.col("id").alias("ord"), F.lit("x" * 10).alias("text"))
+    batches = {r.ord: r.batch for r in batching.greedy_batches(rows, "book", "ord", "text", 100_000).collect()}
+    assert len(batches) == n and all(batch == ord // 10_000 for ord, batch in batches.items())  # a frame of all later blocks for each one before
+
+
+def test_routes_are_made_once(spark):
+    out = text_queries.joined_routes(spark, "/root/testdata/sf0.001")
+    assert "documents.parquet" not in out._jdf.queryExecution().executedPlan().toString()  # four times before
+
+
+def test_trimmed_is_what_the_class_takes(spark):
+    texts = [tx.WS_SIGNS + "a" + tx.WS_SIGNS + "b" + tx.WS_SIGNS, "\x85a\x1c", "​ a", "", tx.WS_SIGNS, None]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert frame.filter(~tx.trimmed(F.col("t")).eqNullSafe(F.regexp_replace("t", f"^{tx.WS}+|{tx.WS}+\\z", ""))).count() == 0
+    assert spark.createDataFrame([(chr(c),) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000], "t string").filter(F.col("t").rlike(tx.WS)).count() == len(tx.WS_SIGNS)
+
+
+def test_bodies_of_many_signs(spark):
+    signs = "*<[" * 100_000
+    texts = spark.createDataFrame([(f"[BLOCK_0]{signs}[/BLOCK_0]",), (f"[BLOCK_0]{signs}",)], "t string")
+    assert [len(r.p[0]) for r in texts.select(batching.parse_response(F.col("t"), F.lit(1)).alias("p")).collect()] == [299_999] * 2
