@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,10 +18,12 @@ def last_definitions(definitions: DataFrame) -> DataFrame:
 
 
 def numbered(references: DataFrame, definitions: DataFrame) -> DataFrame:
-    """`book, tag, number, note`: tags numbered from 1 by their first reference, with their definition if there is one."""
-    first = references.groupBy("book", "tag").agg(F.min("pos").alias("pos"))
+    """`book, tag, number, note`: tags numbered from 1 by their first reference, with their definition if there is one. Both tables are dealt out by book as one, and stay so."""
+    both = references.select("book", "tag", F.col("pos").alias("ref")).unionByName(definitions.select("book", "tag", "note", F.col("pos").alias("def")), allowMissingColumns=True)
+    note = F.when(F.col("book").isNotNull() & F.col("tag").isNotNull(), F.max_by("note", "def"))
+    named = both.repartition("book").groupBy("book", "tag").agg(F.min("ref").alias("pos"), F.count("ref").alias("refs"), note.alias("note")).filter("refs > 0")
     order = F.row_number().over(W.partitionBy("book").orderBy("pos", "tag"))
-    return first.withColumn("number", order).join(last_definitions(definitions).select("book", "tag", "note"), ["book", "tag"], "left").drop("pos")
+    return named.select("book", "tag", order.alias("number"), "note")
 
 
 def numbered_by_definition(references: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -46,14 +48,33 @@ def orphans(references: DataFrame, definitions: DataFrame, chapters: DataFrame)
     return held.groupBy("book", "tag", "note").agg(F.min("chapter").alias("chapter"))
 
 
+_MARK = r"\[\^([A-Za-z0-9_:-]+)\]"
+
+
+def _cut(text: Column) -> Column:
+    """A text as an array of `tag, after`: what stands before its first mark, without a tag, and each mark's tag with what follows it."""
+    text = F.coalesce(text, F.lit(""))
+    tags = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all(text, F.lit(_MARK), 1))
+    return F.zip_with(tags, F.split(text, _MARK, -1), lambda tag, after: F.struct(tag.alias("tag"), after.alias("after")))
+
+
 def resolve(bodies: DataFrame, numbers: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """`keys, text`: bodies with each `[^tag]` as its number in brackets, or gone where it has none. The marks are exploded, joined and put back in order."""
-    pieces = bodies.select(*keys, "book", F.posexplode(F.regexp_extract_all(F.col(text), F.lit(r"(\[\^[A-Za-z0-9_:-]+\]|(?:(?!\[\^[A-Za-z0-9_:-]+\]).)+)"), 1)).alias("place", "piece"))
-    tag = F.regexp_extract("piece", r"^\[\^([A-Za-z0-9_:-]+)\]$", 1)
-    joined = pieces.withColumn("tag", F.when(tag != "", tag)).join(numbers.select("book", F.col("tag").cast("string").alias("tag"), "number"), ["book", "tag"], "left")
-    shown = F.when(F.col("tag").isNull(), F.col("piece")).otherwise(F.coalesce(F.concat(F.lit("["), F.col("number").cast("string"), F.lit("]")), F.lit("")))
-    parts = F.sort_array(F.collect_list(F.struct("place", shown.alias("shown"))))
-    return joined.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["shown"]), "").alias(text))
+    """`keys, text`: bodies with each `[^tag]` as its number in brackets, or gone where it has none.
+
+    Bodies and numbers are dealt out by book as one table, before bodies are cut at
+    their marks; a tag's number comes first among its marks and is carried on.
+    """
+    own = list(dict.fromkeys([*keys, "book"]))
+    named = numbers.select("book", F.col("tag").cast("string").alias("_tag"), F.col("number").alias("_number"))
+    every = bodies.select(*own, F.coalesce(F.col(text), F.lit("")).alias("_text")).unionByName(named, allowMissingColumns=True).repartition("book")
+    parts = F.when(F.col("_text").isNull(), F.array(F.struct(F.col("_tag").alias("tag"), F.lit("").alias("after")))).otherwise(_cut(F.col("_text")))
+    pieces = every.select(*own, F.col("_text").isNotNull().alias("_body"), "_number", F.posexplode(parts).alias("_place", "_part"))
+    before = W.partitionBy("book", "_part.tag").orderBy("_body").rowsBetween(W.unboundedPreceding, 0)
+    number = F.when(F.col("book").isNotNull() & F.col("_part.tag").isNotNull(), F.max("_number").over(before))
+    shown = F.concat(F.coalesce(F.concat(F.lit("["), F.col("_shown").cast("string"), F.lit("]")), F.lit("")), F.col("_part.after"))
+    joined = pieces.withColumn("_shown", number).filter("_body").select(*own, F.struct("_place", shown.alias("shown")).alias("_piece"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list("_piece")), lambda p: p["shown"]), "")
+    return joined.groupBy(*own).agg(whole.alias(text)).select(*keys, text)
 
 
 def linked(bodies: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from bookflow.functions import text as tx
 from bookflow.functions.diff import text_diff
-from bookflow.operators import batching, findings, reports
+from bookflow.operators import batching, findings, footnotes, reports
 from bookflow.plans import text_queries
 from bookflow.sources import dictionary
 
@@ -38,7 +38,7 @@ def test_counted_patterns_find_as_much(spark, kind):
 def test_long_texts_with_only_more_tokens():
     whole = "a, b. " * 20_000
     runs, words = text_diff(whole.replace(", ", " ,, ").replace(". ", " . "), whole)
-    assert len(runs) == 120_001 and words == 0  # a trail of gigabytes before
+    assert len(runs) == 120_001 and words == 0  # a trail that grew with the square of the removals before
     assert text_diff("a b", "a c b") == ([("equal", "a "), ("added", "c "), ("equal", "b")], 1)
 
 
@@ -46,7 +46,7 @@ def test_words_stay_where_their_text_is(spark):
     words = spark.createDataFrame([("cam",), ("cam",), ("kaya",)], "word string")
     texts = spark.createDataFrame([(1, "Cam ÇAM cam xyz KAYA Kâya \u212aaya"), (1, "cam")], "id int, t string")
     out = dictionary.known(texts, "id", "t", words)
-    assert shuffles(out) == 1  # three before
+    assert shuffles(out) == 1  # pairs were joined with the list by word before
     assert [tuple(r) for r in out.collect()] == [(1, 5, 2)]
 
 
@@ -59,7 +59,7 @@ def test_a_book_of_many_blocks_is_batched(spark):
 
 def test_routes_are_made_once(spark):
     out = text_queries.joined_routes(spark, "/root/testdata/sf0.001")
-    assert "documents.parquet" not in out._jdf.queryExecution().executedPlan().toString()  # four times before
+    assert "documents.parquet" not in out._jdf.queryExecution().executedPlan().toString()  # each use made them anew before
 
 
 def test_trimmed_is_what_the_class_takes(spark):
@@ -73,3 +73,11 @@ def test_bodies_of_many_signs(spark):
     signs = "*<[" * 100_000
     texts = spark.createDataFrame([(f"[BLOCK_0]{signs}[/BLOCK_0]",), (f"[BLOCK_0]{signs}",)], "t string")
     assert [len(r.p[0]) for r in texts.select(batching.parse_response(F.col("t"), F.lit(1)).alias("p")).collect()] == [299_999] * 2
+
+
+def test_lines_and_empty_bodies_stay_as_numbers_are_put_in(spark):
+    bodies = spark.createDataFrame([(1, "b", "one\ntwo[^x]\n[^none]."), (2, "b", ""), (3, "c", "[^x]")], "k int, book string, t string")
+    numbers = spark.createDataFrame([("b", "x", 7)], "book string, tag string, number int")
+    out = footnotes.resolve(bodies, numbers, ["k"], "t")
+    assert shuffles(out) == 1  # pieces and numbers were joined by book and tag before
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "one\ntwo[7]\n."), (2, ""), (3, "")]  # lines and the empty body went before
