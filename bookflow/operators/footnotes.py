@@ -82,29 +82,33 @@ def linked(bodies: DataFrame, definitions: DataFrame) -> DataFrame:
 
     Tags are numbered by their first mark; those that nothing refers to come
     after them, by tag. Marks without a definition go, and every other mark of a
-    note has an id of its own, which its aside leads back to. Marks are exploded,
-    numbered by windows over a book, joined with the notes, and put back.
+    note has an id of its own, which its aside leads back to. Paragraphs and notes
+    are one table, dealt out by book once: paragraphs are cut at their marks, marks
+    and notes meet in windows of their tag, and a ranking of tags numbers both.
     """
-    mark = r"\[\^[A-Za-z0-9_:-]+\]"
-    rows = bodies.withColumn("ord", F.row_number().over(W.partitionBy("book").orderBy("pos")))
-    pieces = rows.select("book", "ord", F.posexplode_outer(F.regexp_extract_all("text", F.lit(rf"(?s)({mark}|(?:(?!{mark}).)+)"), 1)).alias("place", "piece"))
-    tag = F.regexp_extract("piece", r"^\[\^([A-Za-z0-9_:-]+)\]$", 1)
-    pieces = pieces.withColumn("tag", F.when(tag != "", tag))
-    notes = definitions.select("book", F.col("tag").cast("string").alias("tag"), "note")
-    marks = pieces.filter("tag IS NOT NULL").join(notes.select("book", "tag"), ["book", "tag"], "left_semi")
-    named = marks.groupBy("book", "tag").agg(F.min(F.struct("ord", "place")).alias("first"), F.count(F.lit(1)).alias("marks"))
-    known = notes.join(named, ["book", "tag"], "left")
-    number = F.row_number().over(W.partitionBy("book").orderBy(F.col("first").isNull(), "first", "tag"))
-    known = known.withColumn("number", number)
-
-    times = marks.select("book", "ord", "place", F.row_number().over(W.partitionBy("book", "tag").orderBy("ord", "place")).alias("time"))
-    shown = pieces.join(known.select("book", "tag", "number"), ["book", "tag"], "left").join(times, ["book", "ord", "place"], "left")
+    notes = definitions.select("book", F.col("tag").cast("string").alias("tag"), F.coalesce("note", F.lit("")).alias("note"), F.lit(True).alias("is_note"))
+    every = bodies.select("book", "pos", "text", F.lit(False).alias("is_note")).unionByName(notes, allowMissingColumns=True)
+    rows = every.withColumn("ord", F.row_number().over(W.partitionBy("book").orderBy("is_note", "pos")))
+    parts = F.when(F.col("is_note"), F.array(F.struct("tag", F.lit("").alias("after")))).otherwise(_cut(F.col("text")))
+    pieces = rows.select("book", "ord", "is_note", "note", F.posexplode(parts).alias("place", "part")).select("book", "ord", "is_note", "note", "place", "part.*")
+
+    is_mark = ~F.col("is_note") & F.col("tag").isNotNull()
+    in_tag = W.partitionBy("book", "tag").orderBy("is_note", "ord", "place")
+    of_tag = in_tag.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    pieces = pieces.withColumns({"time": F.row_number().over(in_tag), "first": F.min(F.when(is_mark, F.struct("ord", "place"))).over(of_tag), "marks": F.count_if(is_mark).over(of_tag), "noted": F.max("is_note").over(of_tag)})
+    pieces = pieces.withColumn("known", F.col("is_note") | is_mark & F.col("noted"))
+    number = F.dense_rank().over(W.partitionBy("book").orderBy(F.desc("known"), F.col("first").isNull(), "first", "tag"))
+    pieces = pieces.withColumn("number", number)
+
     n, k = F.col("number").cast("string"), F.col("time").cast("string")
     anchor = F.concat(F.lit('<a id="ref-'), n, F.lit("-"), k, F.lit('" href="#note-'), n, F.lit('">['), n, F.lit("]</a>"))
-    html = F.when(F.col("tag").isNull(), escape_xml(F.coalesce("piece", F.lit("")))).otherwise(F.coalesce(anchor, F.lit("")))
-    parts = F.array_sort(F.collect_list(F.struct("place", html.alias("html"))))
-    body = shown.groupBy("book", "ord").agg(F.concat(F.lit("<p>"), F.array_join(F.transform(parts, lambda p: p["html"]), ""), F.lit("</p>")).alias("html"))
-
     back = F.transform(F.when(F.col("marks") > 0, F.sequence(F.lit(1), F.col("marks").cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit(' <a href="#ref-'), n, F.lit("-"), i.cast("string"), F.lit('">^</a>')))
-    aside = F.concat(F.lit('<aside id="note-'), n, F.lit('"><p>'), n, F.lit(". "), escape_xml(F.coalesce("note", F.lit(""))), F.array_join(back, ""), F.lit("</p></aside>"))
-    return body.select("book", F.lit("body").alias("kind"), "ord", "html").unionByName(known.select("book", F.lit("note").alias("kind"), F.col("number").alias("ord"), aside.alias("html")))
+    aside = F.concat(F.lit('<aside id="note-'), n, F.lit('"><p>'), n, F.lit(". "), escape_xml(F.col("note")), F.array_join(back, ""), F.lit("</p></aside>"))
+    html = F.when(F.col("is_note"), aside).otherwise(F.concat(F.when(F.col("known"), anchor).otherwise(""), escape_xml(F.col("after"))))
+    shown = pieces.select("book", "ord", "is_note", F.when(F.col("is_note"), F.col("number")).alias("number"), F.struct("place", html.alias("html")).alias("piece"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list("piece")), lambda p: p["html"]), "")
+    out = shown.groupBy("book", "ord", "is_note").agg(whole.alias("html"), F.max("number").alias("number"))
+    return out.select(
+        "book", F.when(F.col("is_note"), "note").otherwise("body").alias("kind"), F.coalesce("number", "ord").alias("ord"),
+        F.when(F.col("is_note"), F.col("html")).otherwise(F.concat(F.lit("<p>"), F.col("html"), F.lit("</p>"))).alias("html"),
+    )

@@ -81,3 +81,15 @@ def test_lines_and_empty_bodies_stay_as_numbers_are_put_in(spark):
     out = footnotes.resolve(bodies, numbers, ["k"], "t")
     assert shuffles(out) == 1  # pieces and numbers were joined by book and tag before
     assert sorted(tuple(r) for r in out.collect()) == [(1, "one\ntwo[7]\n."), (2, ""), (3, "")]  # lines and the empty body went before
+
+
+def test_notes_and_marks_meet_in_one_shuffle(spark):
+    bodies = spark.createDataFrame([("b", 1, "a[^x] & [^none]"), ("b", 2, "[^y][^x]")], "book string, pos int, text string")
+    notes = spark.createDataFrame([("b", "x", "X"), ("b", "y", "Y"), ("b", "a", "A")], "book string, tag string, note string")
+    out = footnotes.linked(bodies, notes)
+    assert shuffles(out) == 1  # marks and notes were joined before
+    assert sorted((r.kind, r.ord, r.html) for r in out.collect()) == [
+        ("body", 1, '<p>a<a id="ref-1-1" href="#note-1">[1]</a> &amp; </p>'), ("body", 2, '<p><a id="ref-2-1" href="#note-2">[2]</a><a id="ref-1-2" href="#note-1">[1]</a></p>'),
+        ("note", 1, '<aside id="note-1"><p>1. X <a href="#ref-1-1">^</a> <a href="#ref-1-2">^</a></p></aside>'),
+        ("note", 2, '<aside id="note-2"><p>2. Y <a href="#ref-2-1">^</a></p></aside>'), ("note", 3, '<aside id="note-3"><p>3. A</p></aside>'),
+    ]
