@@ -1,4 +1,4 @@
-"""Names for SQL: scalar functions as SQL expressions, the diff as a pandas function, blocks as a table function."""
+"""Names for SQL: scalar functions as SQL expressions, the diff as an Arrow function, blocks as a table function."""
 
 from __future__ import annotations
 
@@ -23,7 +23,7 @@ class ExtractBlocks:
 def register(spark: SparkSession) -> None:
     """`extract_blocks(html)` as a table function, `text_diff(a, b)`, and `strip_tags`, `decode_entities`, `count_words` as SQL expressions that the optimizer sees through."""
     spark.udtf.register("extract_blocks", F.udtf(ExtractBlocks, returnType="block_no: int, tag: string, text: string, status: string"))
-    spark.udf.register("text_diff", F.pandas_udf(_batches, "struct<diffs:array<struct<type:string,value:string>>,fixed_words:int>"))
+    spark.udf.register("text_diff", F.arrow_udf(_batches, "struct<diffs:array<struct<type:string,value:string>>,fixed_words:int>"))
     space = WS.replace("\\", "\\\\")
     bodies = {
         "strip_tags": "regexp_replace(t, '<[^>]*>', '')",
