@@ -129,6 +129,31 @@ def test_alignment_is_that_of_whole_texts(spark, hot, pairs):
     assert sorted(tuple(r) for r in got.collect()) == plain_alignment(TEXTS)
 
 
+@pytest.mark.parametrize("most", [0, 1 << 17])
+def test_each_shape_is_aligned_once(spark, monkeypatch, most):
+    """Stretches whose tokens end alike share one shape; forgotten shapes are met again."""
+    monkeypatch.setattr(token_alignment, "SHAPES", most)
+    paths = token_alignment.default_tokenizers()
+    words = [w for t in TEXTS for w in token_alignment.stretches(t or "")] + [f"zq{a}{b}x" for a in "bcdfghjklm" for b in "bcdfghjklm"]
+    words = list(dict.fromkeys(words))
+    halves, tokenise, rows = [words[::2], words[1::2], words], token_alignment._tokenizer(*paths), []
+    for part in halves:
+        place, ints = tokenise(part)
+        rows.append([np.argsort(place).tolist(), *(x[0].as_py() for x in ints)])
+    shapes, good = [len(r[token_alignment._INTS.index("shape_ends") + 1]) for r in rows], [len(r[1]) for r in rows]
+    assert shapes[0] < good[0] and (shapes[2] > 0) == (most == 0)
+    bundles = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"bundle long, {token_alignment._SHAPED}").coalesce(1)
+    own = {r.bundle: r.own for r in token_alignment.filled(token_alignment.aligned(bundles)).collect()}
+    for k, part in enumerate(halves):
+        plain = {w: r for w, r in zip(part, plain_alignment([w if w else None for w in part]), strict=True) if w}
+        for one in own[k]:
+            _, a, b, groups, links, *_, digest = plain.get(part[one.k], (0,) * 8)
+            if a:
+                assert (one.tokens, one.groups, len(one.links), h(one.written)) == ((a << 32) + b, (groups << 32) + links, links, digest)
+            elif part[one.k] in plain:
+                assert one.tokens is None and one.links is None
+
+
 def test_alignment_of_nothing(spark):
     assert token_alignment.alignment_counts(rows_of(spark, [])).collect() == []
     nulls = token_alignment.alignment_counts(rows_of(spark, [(None, None, None, None, None)] * 2)).collect()
