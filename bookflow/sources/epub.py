@@ -117,8 +117,8 @@ def chapters(all_entries: DataFrame, books: DataFrame) -> DataFrame:
     return found.withColumn("title", F.coalesce(F.nullif(title, F.lit("")), F.concat(F.lit("Bölüm "), (F.col("chapter_no") + 1).cast("string"))))
 
 
-def blocks(book_chapters: DataFrame) -> DataFrame:
-    """`book, chapter_no, block_no, tag, text, status` of all chapters."""
+def blocks(book_chapters: DataFrame, whole: bool = False) -> DataFrame:
+    """`book, chapter_no, block_no, tag, text, status` of all chapters; `whole` as in `tree_blocks`."""
     keyed = book_chapters.select(F.to_json(F.struct("book", "chapter_no")).alias("key"), "html")
     key = F.from_json("key", "book string, chapter_no int")
-    return blocks_by_tree(keyed, "key", "html").select(key["book"].alias("book"), key["chapter_no"].alias("chapter_no"), "block_no", "tag", "text", "status")
+    return blocks_by_tree(keyed, "key", "html", whole).select(key["book"].alias("book"), key["chapter_no"].alias("chapter_no"), "block_no", "tag", "text", "status")
