@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -36,20 +38,36 @@ def scratch_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+#: Of Parquet files whose rows are large: their row groups hold about 8 MB, and one row at least. Both a writer and a reader, whose batches end where a row group does, hold one of these at a time and not the 128 MB or 4096 rows of the default.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
+
+
+def trim_memory() -> None:
+    """Gives what this worker has freed back to the system: it stays for later tasks, beside the JVM's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without it
+
+
+def written(df: DataFrame, name: str, by: str | None = None, large_rows: bool = False) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back.
 
     It cuts the lineage, so a lost executor costs a re-read of finished files
     and not a second run of all that came before. The shuffle files of the
     write go with it: the table has replaced them. Rows of each value of `by`
-    have a folder of their own, which `forget` can remove alone.
+    have a folder of their own, which `forget` can remove alone. `large_rows`
+    are read a few at a time.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        (df.write.partitionBy(by) if by else df.write).parquet(path)
+        writer = df.write.options(**LARGE_ROWS) if large_rows else df.write
+        (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

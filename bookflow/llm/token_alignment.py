@@ -47,7 +47,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookflow.llm.common import forget, often_seen, table, written
+from bookflow.llm.common import forget, often_seen, table, trim_memory, written
 from bookflow.llm.token_counts import _BESIDE, _SAFE
 
 #: Most stretches and id pairs that go to all tasks, the longest length of such a stretch, and in how many texts of a group one must be to be proposed.
@@ -245,6 +245,8 @@ def cut(docs: DataFrame, doc_id: str, text: str, hot: list[str], path_a: str, pa
                     chars = 0
         if texts:
             yield bundle()
+        del known, tokenise
+        trim_memory()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"bundle long, texts array<struct<row:long,doc_id:long,held:array<int>>>, one int, {_SHAPED}")
@@ -394,6 +396,8 @@ def filled(bundles: DataFrame) -> DataFrame:
                 del own, cell
             del batch
             pa.default_memory_pool().release_unused()
+        del shapes
+        trim_memory()
 
     types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in bundles.select(*kept).schema)
     return bundles.mapInArrow(run, f"{types}own {_OWN_TYPE}")
@@ -420,7 +424,7 @@ def align(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", paths: tu
     before = spark.conf.get(_BYTES, None)
     spark.conf.set(_BYTES, BATCH_BYTES)  # bundles go to Python a few at a time
     try:
-        bundles = written(filled(aligned(cut(docs, doc_id, text, known, *paths))).select("bundle", "texts", "own", "one"), "align-bundles")
+        bundles = written(filled(aligned(cut(docs, doc_id, text, known, *paths))).select("bundle", "texts", "own", "one"), "align-bundles", large_rows=True)
     finally:
         spark.conf.unset(_BYTES) if before is None else spark.conf.set(_BYTES, before)
     codes = spark.createDataFrame(pa.table({"stretch": pa.array(known, pa.string()), "code": pa.array(range(len(known)), pa.int32())}))
@@ -466,7 +470,7 @@ def alignment_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     bundles, hot, base = align(docs, doc_id, text, paths, hot_limit)
     counts = pair_counts(base)
     of = lambda table, name, number: table.select(number.alias("of"), F.explode(name).alias("x")).select("of", "x.k", "x.links")
-    own = written(stretch_sums(of(bundles, "own", F.col("bundle")), counts, hot_pairs).select(F.col("of").alias("bundle"), F.col("held").alias("own")), "align-sums")
+    own = written(stretch_sums(of(bundles, "own", F.col("bundle")), counts, hot_pairs).select(F.col("of").alias("bundle"), F.col("held").alias("own")), "align-sums", large_rows=True)
     known = written(stretch_sums(of(hot, "hot", F.col("one")), counts, hot_pairs).select(F.col("of").alias("one"), F.col("held").alias("hot")), "align-hot-sums")
     forget(counts)
     summed = hot.select("one").join(known, "one", "left")

@@ -1,7 +1,12 @@
 """Cases of the fourth review: each failed before."""
 
+import random
+from pathlib import Path
+
 import duckdb
+import pyarrow.parquet as pq
 
+from bookflow.llm import token_alignment
 from bookflow.plans import registry
 
 from test_queries import rows
@@ -22,3 +27,13 @@ def test_books_give_the_blocks_of_the_sql_whatever_the_text(spark, tmp_path):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     got, want = registry.queries()["epub_round_trip"](spark, str(tmp_path)).toPandas(), con.sql(registry.oracle_sql()["epub_round_trip"]).df()
     assert rows(got) == rows(want) and len(want) == 6
+
+
+def test_bundles_are_read_a_few_at_a_time(spark):
+    some = random.Random(4)
+    texts = [" ".join(f"{some.getrandbits(40):x}" for _ in range(100_000)) for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bundles, _, rows = token_alignment.align(docs)
+    assert bundles.count() == rows.filter("n_groups > 0").count() == 3
+    groups = [pq.ParquetFile(f).metadata for f in Path(bundles.scratch_path.removeprefix("file:")).glob("*.parquet")]
+    assert sum(g.num_row_groups for g in groups) == 3  # one row group with all of them before
