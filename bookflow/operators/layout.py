@@ -53,36 +53,45 @@ def page_lines(items: DataFrame, parts: int | None = None) -> DataFrame:
 
     Items are dealt out by page once, or not at all where they are in `parts`
     partitions by a hash of their book; raised marks, few, come to where their
-    page's items are. So no window or aggregate shuffles items again.
+    page's items are. So no window or aggregate shuffles items again. Marks are
+    written first: where there are none, items are gone through once.
     """
     by = ["book"] if parts else ["book", "page"]
     n = parts or partitions(items.sparkSession)
     items = items if parts else items.repartition(n, *by)
-    rows = items.withColumns({"text": F.coalesce("text", F.lit("")), "mark": F.xxhash64("text", "x", "y", "font")}).dropDuplicates(["book", "page", "mark", "width"])
+    with_checkpoints(items.sparkSession)
+    rows = items.withColumns({"text": F.coalesce("text", F.lit("")), "mark": F.xxhash64("text", "x", "y", "font")})
     raised = (F.col("font") <= MARK_FONT) & trimmed(F.col("text")).rlike(MARK)
-    far = F.coalesce(F.col("y") - F.lag("y").over(_page("y", "x")) > SAME_LINE, F.lit(False))
-    islands = lambda some: some.withColumn("far", far.cast("int")).withColumn("line", F.sum("far").over(_page("y", "x")).cast("long")).drop("far")
-    own = islands(rows.filter(~raised))
-    bounds = own.groupBy("book", "page", "line").agg(F.min("x").alias("min_x"), F.max(F.col("x") + F.col("width")).alias("max_x"), F.avg("y").alias("line_y"))
-    marks = rows.filter(raised)
-    near = nearest_lines(marks.select("book", "page", "mark", "x", "y"), bounds, ["book", "page"]).select("book", "page", "mark", "line")
-    placed = marks.join(near, ["book", "page", "mark"], "left")
-    alone = islands(placed.filter("line IS NULL").drop("line")).withColumn("line", -1 - F.col("line"))
-    placed = placed.filter("line IS NOT NULL").unionByName(alone).repartition(n, *by)
-    every = own.unionByName(placed).filter("text <> ''")
-
+    # copies of an item stand side by side in this order, and each has the height of the first
+    in_page, so_far = _page("y", "x", "mark", "width"), _page("y", "x", "mark", "width").rowsBetween(W.unboundedPreceding, W.currentRow)
+    copy = F.coalesce((F.lag("mark").over(in_page) == F.col("mark")) & F.lag("width").over(in_page).eqNullSafe(F.col("width")), F.lit(False))
+    far = F.coalesce(F.col("y") - F.lag("y").over(in_page) > SAME_LINE, F.lit(False))
+    islands = lambda some: some.withColumns({"copy": copy, "far": far.cast("int")}).filter("NOT copy").withColumn("line", F.sum("far").over(so_far).cast("long")).drop("copy", "far")
+    every = islands(rows.filter(~raised))
+    marks = kept(rows.filter(raised).dropDuplicates(["book", "page", "mark", "width"]))
+    if not marks.isEmpty():
+        marked = every.join(marks.select("book", "page").distinct(), ["book", "page"], "left_semi")
+        bounds = marked.groupBy("book", "page", "line").agg(F.min("x").alias("min_x"), F.max(F.col("x") + F.col("width")).alias("max_x"), F.avg("y").alias("line_y"))
+        near = nearest_lines(marks.select("book", "page", "mark", "x", "y"), bounds, ["book", "page"]).select("book", "page", "mark", "line")
+        placed = marks.join(near, ["book", "page", "mark"], "left")
+        alone = islands(placed.filter("line IS NULL").drop("line")).withColumn("line", -1 - F.col("line"))
+        every = every.unionByName(placed.filter("line IS NOT NULL").unionByName(alone).repartition(n, *by))
+    every = every.filter("text <> ''")
+
+    # one sort for all: a part begins where the gap is wide, so what is before an item in its part is what is before it in its line
     in_line = W.partitionBy("book", "page", "line").orderBy("x", "mark")
-    gap = F.col("x") - F.lag(F.col("x") + F.col("width")).over(in_line)
-    cut = every.withColumn("gap", gap).withColumn("segment", F.sum((F.coalesce(F.col("gap"), F.lit(0.0)) > LINE_GAP).cast("int")).over(in_line))
-    in_part = W.partitionBy("book", "page", "line", "segment").orderBy("x", "mark")
-    before, part = F.lag("font").over(in_part), _plain_signs(F.col("text"))
-    number = F.regexp_extract(trimmed(F.col("text")), INLINE_MARK, 1)
+    each = every.withColumns({"gap": F.col("x") - F.lag(F.col("x") + F.col("width")).over(in_line), "font_before": F.lag("font").over(in_line), "text_before": F.lag("text").over(in_line)})
+    first = F.coalesce(F.col("gap"), F.lit(0.0)) > LINE_GAP
+    cut = each.withColumn("segment", F.sum(first.cast("int")).over(in_line.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    before, text = F.when(~first, F.col("font_before")), F.col("text")
+    number = F.regexp_extract(trimmed(text), INLINE_MARK, 1)
     is_mark = F.coalesce((F.col("font") <= F.least(before * 0.88, F.lit(11.0))) & (F.col("gap") <= MARK_GAP) & (number != ""), F.lit(False))
-    spaced = F.col("text").rlike(f"^{WS}") | F.lag("text").over(in_part).rlike(f"{WS}\\z") | (F.col("gap") >= F.greatest(F.lit(2.4), 0.12 * (F.col("font") + before)))
+    spaced = (F.col("gap") >= F.greatest(F.lit(2.4), 0.12 * (F.col("font") + before))) | text.rlike(f"^{WS}") | F.col("text_before").rlike(f"{WS}\\z")
+    part = F.when((F.octet_length(text) > F.char_length(text)) | F.contains(text, F.lit("*")), _plain_signs(text)).otherwise(text)
     piece = F.when(is_mark, F.concat(F.lit("[^"), number, F.lit("]"))).otherwise(F.concat(F.when(F.coalesce(before.isNotNull() & spaced, F.lit(False)), " ").otherwise(""), trimmed(part)))
-    pieces = F.array_sort(F.collect_list(F.struct("x", "mark", "piece")))
+    pieces = F.sort_array(F.collect_list(F.struct("x", "mark", "piece")))
     found = cut.withColumn("piece", piece).groupBy("book", "page", "line", "segment").agg(
-        F.avg("y").alias("y"), F.min("x").alias("min_x"), F.max(F.col("x") + F.col("width")).alias("max_x"), F.max("font").alias("font"), trimmed(F.array_join(F.transform(pieces, lambda p: p["piece"]), "")).alias("text")
+        F.avg("y").alias("y"), F.min("x").alias("min_x"), F.max(F.col("x") + F.col("width")).alias("max_x"), F.max("font").alias("font"), trimmed(F.array_join(pieces["piece"], "")).alias("text")
     )
     numbered = found.filter("text <> ''").withColumn("line_no", (F.row_number().over(_page("y", "min_x", "line", "segment")) - 1).cast("int"))
     return numbered.select("book", "page", "line_no", "y", "min_x", "max_x", "font", "text")
@@ -157,8 +166,9 @@ def body_paragraphs(lines: DataFrame) -> DataFrame:
 
 
 def line_paragraphs(lines: DataFrame, height: float) -> DataFrame:
-    """`book, page, ord, kind, text, note` of lines with their page's `median`: paragraphs and headings of each page, then its notes as `[^p{page}_{label}]: text`."""
-    marked = note_lines(lines, height)
+    """`book, page, ord, kind, text, note` of lines with their page's `median`: paragraphs and headings of each page, then its notes as `[^p{page}_{label}]: text`. Lines are written once with their notes, as notes, their labels and the body are each made from them."""
+    with_checkpoints(lines.sparkSession)
+    marked = kept(note_lines(lines, height))
     name = F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_"), F.col("label"))
     pieces = F.array_sort(F.collect_list(F.struct("line_no", F.coalesce("said", "text").alias("t"))))
     notes = marked.filter("note > 0").groupBy("book", "page", "note").agg(F.min("line_no").alias("first"), F.first("label", ignorenulls=True).alias("label"), _words(F.array_join(F.transform(pieces, lambda p: p["t"]), " ")).alias("said"))

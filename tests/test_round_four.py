@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 from bookflow.llm import token_alignment
 from bookflow.plans import registry
 
-from test_queries import rows
+from test_queries import SF, rows
 
 PARTS = [
     ["a", "-", "ab"],  # texts of one character are blocks in the SQL
@@ -37,3 +37,24 @@ def test_bundles_are_read_a_few_at_a_time(spark):
     assert bundles.count() == rows.filter("n_groups > 0").count() == 3
     groups = [pq.ParquetFile(f).metadata for f in Path(bundles.scratch_path.removeprefix("file:")).glob("*.parquet")]
     assert sum(g.num_row_groups for g in groups) == 3  # one row group with all of them before
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_items_are_gone_through_once(spark):
+    assert plan(registry.queries()["page_lines"](spark, SF)).count("Generate posexplode") == 1  # four and more before
+
+
+def test_notes_are_found_once(spark):
+    assert plan(registry.queries()["page_paragraphs"](spark, SF)).count("[dD]ipnot") == 0  # in the steps of the notes, their labels and the body before
+
+
+def test_pages_of_blank_ends_and_copies_of_items(spark, tmp_path):
+    texts = ["", " ", None, "a", " a", "a ", " " + "w " * 360, "w " * 359 + "w", "w " * 360 + "w", "x  y"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = registry.queries()["page_lines"](spark, str(tmp_path)).toPandas(), con.sql(registry.oracle_sql()["page_lines"]).df()
+    assert rows(got) == rows(want)
