@@ -181,10 +181,9 @@ def line_paragraphs(lines: DataFrame, height: float) -> DataFrame:
 
 
 def page_paragraphs(items: DataFrame, height: float, parts: int | None = None) -> DataFrame:
-    """`line_paragraphs` of items, the median size taken over all pages so far; `parts` as in `page_lines`. Lines are written once, as notes, their labels and the body are each made from them."""
-    with_checkpoints(items.sparkSession)
+    """`line_paragraphs` of items, the median size taken over all pages so far; `parts` as in `page_lines`."""
     medians = running_medians(items, "book", "page", "font")
-    return line_paragraphs(kept(page_lines(items, parts).join(medians, ["book", "page"])), height)
+    return line_paragraphs(page_lines(items, parts).join(medians, ["book", "page"]), height)
 
 
 def chapters(paragraphs: DataFrame, fixed_pages: bool = False, pages: int = 15) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from bookflow.functions.headings import OPENERS, ORDINALS
 from bookflow.functions.literal_rules import both_cases
 from bookflow.functions.text import LETTERS, LOWER, UPPER, WS, round_half_up, trimmed
+from bookflow.operators.chains import kept, with_checkpoints
 
 # Margins of the crop presets as fractions of the page's height: top, bottom, whether all lines stay.
 CROP_PRESETS = {"full": (0.0, 0.0, True), "novel": (0.05, 0.02, False), "wide": (0.08, 0.04, False)}
@@ -51,8 +52,10 @@ def running_medians(items: DataFrame, book: str, page: str, size: str) -> DataFr
 
     Sizes have few values, so their counts are summed over pages for each value,
     and over values for each page: as many rows as pages times sizes of a book.
+    The counts are written once, as three steps ask for them.
     """
-    counts = items.groupBy(book, page, size).agg(F.count(F.lit(1)).alias("n"))
+    with_checkpoints(items.sparkSession)
+    counts = kept(items.groupBy(book, page, size).agg(F.count(F.lit(1)).alias("n")))
     grid = counts.select(book, page).distinct().join(counts.select(book, size).distinct(), book)
     up_to = W.partitionBy(book, size).orderBy(page)
     so_far = grid.join(counts, [book, page, size], "left").withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(up_to))
